@@ -52,7 +52,7 @@ WITH d AS (
   SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(source_size * 2) OVER (ORDER BY room, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(w) OVER (ORDER BY room, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
 ), g AS (
-  SELECT source, source_size, least(2.0::DOUBLE * source_size, coalesce(first(level) FILTER (level <= room) OVER (ORDER BY (level > room), room, k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * w, 2.0::DOUBLE * source_size)) AS target FROM l
+  SELECT source, source_size, least(2.0::DOUBLE * source_size, first_value(level) OVER (ORDER BY (level > room), room, k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * w) AS target FROM l
 ), e AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM g
 ), r AS (
@@ -70,7 +70,7 @@ WITH RECURSIVE d AS (
   SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents
 ), s AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s FROM d
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d
 ), x AS (
   SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
 ), edge AS (
