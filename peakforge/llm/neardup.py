@@ -16,6 +16,8 @@ from peakforge.llm.store import drop, written
 SHINGLE = 5
 #: 16 bands of 4 ranks: a pair at a Jaccard similarity of 0.85 shares no band with a probability of 7e-6.
 BANDS, ROWS = 16, 4
+#: Members of a bucket up to which all its pairs between components are verified; larger ones go through the prefix join.
+SMALL = 32
 _U = np.uint64
 
 
@@ -148,8 +150,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     1. Sketch: SuperMinHash bands and a 128-bit digest of the set. Equal sets form a class; only classes go on.
     2. In each bucket of a band the most central class (the one with the largest buckets) is verified against the
        others, so a group of m copies costs m checks. Links are joined by union-find.
-    3. Buckets that still hold several components go through an exact prefix join of the full sets of their
-       members; pairs of one component are left out, all others are verified. No link between components is lost.
+    3. Of buckets that still hold several components, small ones have all pairs between components verified; the
+       members of larger ones go through an exact prefix join of their full sets. No link between components is lost.
 
     Rows that share a doc_id share a node. A null doc_id never is a component_id; such rows are kept unless linked
     with a row that has one. Columns other than doc_id and text are not read. An empty table gives an empty result.
@@ -176,11 +178,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     links = written(_verified(pairs, sets, percent), "links")
     root = components(links)
 
-    state = written(member.join(root, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root")), "state")
-    mixed = state.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = written(state.join(mixed, "key", "left_semi").select("node", "root").distinct(), "rest")
-    more = _verified(_prefix_pairs(rest, sets, percent), sets, percent)
-    root = components(written(links.unionByName(more), "links"))
+    state = member.join(root, "node", "left").select("node", "n", "key", F.coalesce("root", "node").alias("root"))
+    mixed = state.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
+    rest = written(state.join(mixed, "key"), "rest")
+    x, y = (rest.where(f"m <= {SMALL}").select("key", *[F.col(c).alias(c + k) for c in ("node", "root", "n")]) for k in "xy")
+    fits = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
+    pairs = x.join(y, "key").where((F.col("nodex") < F.col("nodey")) & (F.col("rootx") != F.col("rooty")) & fits).select(F.col("nodex").alias("u"), F.col("nodey").alias("v"))
+    large = rest.where(f"m > {SMALL}").select("node", "root").distinct()
+    more = _verified(pairs.unionByName(_prefix_pairs(large, sets, percent)).distinct(), sets, percent)
+    links = written(links.unionByName(more), "links")
+    drop(sets)
+    drop(rest)
+    root = components(links)
+    drop(member)
 
     placed = classes.join(root, "node", "left").select("h1", "h2", "doc", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("doc").alias("component_id"))
