@@ -30,7 +30,7 @@ MAGIC = b"PFOR0001"
 TRAILER = 40
 END_ID = 0
 #: Words whose ids a worker keeps; beyond that it starts anew, which costs time only.
-KEPT = 250_000
+KEPT = 400_000
 
 
 # blocks
@@ -49,25 +49,23 @@ def pack(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     v = full.reshape(n, BLOCK)
     low = v.min(axis=1)
     v = v - low[:, None]
-    length = np.frexp(v.astype(np.float64))[1].astype(np.int64)
-    longer = np.empty((n, 33), np.int64)
-    for w in range(33):
-        longer[:, w] = (length > w).sum(axis=1)
+    length = np.frexp(v.astype(np.float32 if v.max(initial=0) < 1 << 24 else np.float64))[1]
+    row = np.arange(n)[:, None] * 33
+    longer = BLOCK - np.cumsum(np.bincount((length + row).reshape(-1), minlength=n * 33).reshape(n, 33), axis=1)
     width = (np.arange(33) * (BLOCK // 8) + longer * 5).argmin(axis=1)
+    odd_block, odd_place = np.nonzero(length > width[:, None])
+    high = (v[odd_block, odd_place].astype(np.uint64) >> width[odd_block].astype(np.uint64)).astype("<u4")
+    first = np.searchsorted(odd_block, np.arange(n + 1)).tolist()
+    places, heads = odd_place.astype(np.uint8), low.astype("<u4").tobytes()
     out: list[bytes] = [b""] * n
-    for w in np.unique(width):
+    for w in np.unique(width).tolist():
         at = np.flatnonzero(width == w)
-        x = v[at]
-        if w:
-            bits = (x[:, :, None] >> np.arange(w, dtype=np.uint32)) & 1
-            body = np.packbits(bits.astype(np.uint8).reshape(len(at), -1), axis=1, bitorder="little")
-        else:
-            body = np.zeros((len(at), 0), np.uint8)
-        odd = length[at] > w
-        for i, k in enumerate(at):
-            places = np.flatnonzero(odd[i])
-            high = (x[i][places].astype(np.uint64) >> np.uint64(w)).astype("<u4")
-            out[k] = low[k].astype("<u4").tobytes() + bytes([w]) + len(places).to_bytes(2, "little") + body[i].tobytes() + places.astype(np.uint8).tobytes() + high.tobytes()
+        unit = np.uint8 if w <= 8 else np.dtype("<u2") if w <= 16 else np.dtype("<u4")
+        bits = np.unpackbits(v[at].astype(unit).view(np.uint8).reshape(len(at), BLOCK, -1), axis=2, bitorder="little")[:, :, :w]
+        body = np.packbits(bits.reshape(len(at), BLOCK * w), axis=1, bitorder="little")
+        for i, k in enumerate(at.tolist()):
+            x, y = first[k], first[k + 1]
+            out[k] = heads[4 * k : 4 * k + 4] + bytes((w, y - x & 255, y - x >> 8)) + body[i].tobytes() + places[x:y].tobytes() + high[x:y].tobytes()
     return b"".join(out), np.array([len(x) for x in out], np.int64)
 
 
@@ -181,6 +179,22 @@ class Encoder:
         self.tok.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes | None] = {}
+        self.bytes = np.zeros(self.tok.get_vocab_size(), np.int64)
+        for token, i in self.tok.get_vocab().items():  # in a byte-level vocabulary a character stands for a byte
+            self.bytes[i] = len(token)
+
+    def split(self, parts: list[str], some: int = 400) -> list[bytes]:
+        """The ids of each of parts, encoded many in one text: the ids' lengths in bytes tell where each part ends."""
+        texts = ["".join(parts[i : i + some]) for i in range(0, len(parts), some)]
+        ids = np.concatenate([np.array(e.ids, self.kind) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.cumsum([len(p.encode()) for p in parts])
+        upto = np.cumsum(self.bytes[ids])
+        cut = np.searchsorted(upto, ends)
+        if len(upto) != cut[-1] + 1 or (upto[cut] != ends).any():
+            return self.whole(parts)
+        data, size = ids.tobytes(), self.kind.itemsize
+        cut = [0, *(size * (cut + 1)).tolist()]
+        return [data[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -198,9 +212,11 @@ class Encoder:
                 plain.append(p)
             else:
                 known[p] = None
-        for i in range(0, len(plain), 5000):
-            some = plain[i : i + 5000]
-            known.update(zip(some, self.whole([p[1:] if p[0] == "\0" else p if p[0] == "\n" else " " + p for p in some]), strict=True))
+        first = [p for p in plain if p[0] == "\0"]
+        known.update(zip(first, self.whole([p[1:] for p in first]), strict=True))
+        inner = [p for p in plain if p[0] != "\0"]
+        if inner:
+            known.update(zip(inner, self.split([p if p[0] == "\n" else " " + p for p in inner]), strict=True))
         out: list[bytes | None] = []
         odd = []
         for i, p in enumerate(parts):
