@@ -16,9 +16,9 @@ from peakforge.llm.store import written
 WINDOW, LITERAL, LEAST = 8, 4, 4
 #: A document holds an item if it holds this share of its windows.
 COVER = 0.5
-#: Bits of the filter that all executors get: 4 MB however large the benchmark is. Beyond that it lets more through
+#: Bits of the filter that all executors get: 1 MB however large the benchmark is. Beyond that it lets more through
 #: to the join, which decides.
-FILTER_BITS = 25
+FILTER_BITS = 23
 # fixed values: words that count as units of measurement
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms tonne tonnes pound pounds ounce ounces "
