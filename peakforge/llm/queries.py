@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from peakforge.llm import decontam, mixing, neardup, quality, tokens
+from peakforge.llm import chat, classifier, decontam, lines, mixing, neardup, quality, substring, tokens, warc
 from peakforge.llm.store import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,12 +28,37 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents")).drop("band")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_digests(table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_links", "class_id", F.array_join("removed", ",").alias("removed"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_digests(tokens.write_tokens(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mix_sources, op3_minhash_near_dedup, op5_quality_rules, op7_token_output)}
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.record_digests(warc.write_warc(table(spark, sf_dir, "pages")))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    rows = turns.unionByName(hard).select("conv_id", "turn", "role", chat.text_parts().alias("parts"))
+    return chat.chat_digests(chat.format_chats(rows))
+
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mix_sources, op3_minhash_near_dedup, op4_warc, op5_quality_rules, op6_substring_dedup, op7_token_output, op8_line_dedup, op9_chat_formatting, op10_quality_classifier)}
+
+_ESCAPED = "length({0}) + length({0}) - length(replace({0}, chr(92), ''))" + "".join(f" + (length({{0}}) - length(replace({{0}}, '{c}', ''))) // {len(c)}" for c in chat.CONTROL)
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE = {
@@ -82,5 +108,69 @@ WITH RECURSIVE d AS (
   SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id
 )
 SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
+""",
+    "op4_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x, strlen(coalesce(html, '')) AS n FROM pages
+), g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS top, row_number() OVER (PARTITION BY h ORDER BY page_id DESC NULLS LAST) AS k FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(x, CAST(1 + 10 * (i // 8) AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN top END AS refers_to
+FROM g
+""",
+    "op9_chat_formatting": f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), g AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, encode(role), encode(text))) AS turns_sha256,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, encode(role), encode(text)), '') AS loss,
+    CAST(sum({len(chat.START + chat.SEP + chat.END)} + {_ESCAPED.format("role")} + {_ESCAPED.format("text")}) AS BIGINT) AS formatted_chars
+  FROM c GROUP BY conv_id
+)
+SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+""",
+    "op6_substring_dedup": rf"""
+WITH d AS (
+  SELECT doc_id, {_WORDS.format("text")} AS w FROM documents
+), x AS (
+  SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35
+), k AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS k FROM x
+), r AS (
+  SELECT doc_id, i FROM k WHERE k IN (SELECT k FROM k GROUP BY k HAVING count(*) > 1)
+), gone AS (
+  SELECT doc_id, list_sort(list_distinct(flatten(list(range(i, i + 35))))) AS gone FROM r GROUP BY doc_id
+), o AS (
+  SELECT doc_id, w, coalesce(gone, []) AS gone, list_filter(w, lambda v, j: NOT list_contains(coalesce(gone, []), j)) AS kept FROM d LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM o
+""",
+    "op8_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents
+), f AS (
+  SELECT line, min(struct_pack(d := doc_id, l := line_no)) AS first, list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS s FROM l GROUP BY line
+), w AS (
+  SELECT line, len(s) AS n, unnest(s) AS w FROM f
+), rare AS (
+  SELECT w, count(*) AS c FROM w GROUP BY w
+), p AS (
+  SELECT line, n, w FROM (SELECT w.line, w.n, w.w, row_number() OVER (PARTITION BY w.line ORDER BY c, w.w) AS i FROM w JOIN rare USING (w)) WHERE i <= n - ceil(0.8 * n - 1e-9) + 1
+), c AS (
+  SELECT DISTINCT a.line AS a, b.line AS b FROM p a JOIN p b ON a.w = b.w AND a.line <> b.line AND 10 * least(a.n, b.n) >= 8 * greatest(a.n, b.n)
+), e AS (
+  SELECT c.a, c.b, y.first FROM c JOIN f x ON x.line = c.a JOIN f y ON y.line = c.b
+  WHERE 100 * len(list_intersect(x.s, y.s)) >= 80 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)))
+), g AS (
+  SELECT f.line, least(f.first, coalesce(min(e.first), f.first)) AS best, count(e.b) AS links FROM f LEFT JOIN e ON e.a = f.line GROUP BY f.line, f.first
+), o AS (
+  SELECT l.doc_id, l.line_no, links, best, best < struct_pack(d := l.doc_id, l := l.line_no) AS gone FROM l JOIN g USING (line)
+)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_removed, CAST(sum(links) AS BIGINT) AS n_links, min(best.d) AS class_id,
+  coalesce(string_agg(CASE WHEN gone THEN CAST(line_no AS VARCHAR) END, ',' ORDER BY line_no), '') AS removed
+FROM o GROUP BY doc_id
 """,
 }
