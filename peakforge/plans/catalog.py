@@ -2,5 +2,318 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from peakforge.functions import constants as K
+from peakforge.functions import peptide as P
+from peakforge.functions import vectors as V
+from peakforge.operators import decoding, matching, metrics, spectra
+from peakforge.plans import fixtures as X
+from peakforge.sources import files, mgf
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _peaks(spark, d):
+    return X.view(spark, d, X.PEAKS, "lineitem")
+
+
+def _precursors(spark, d):
+    return X.view(spark, d, X.PRECURSORS, "supplier")
+
+
+def _spectra(spark, d):
+    return _precursors(spark, d).join(spectra.collect_peaks(_peaks(spark, d)), "spectrum_id")
+
+
+def _peptides(spark, d):
+    return X.view(spark, d, X.peptides(False), "documents")
+
+
+def _pairs(spark, d):
+    return X.view(spark, d, X.pairs(False), "documents")
+
+
+def _logp(spark, d):
+    rows = X.view(spark, d, X.logits(False), "embeddings")
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("spectrum_id", "direction", "step")
+    top = F.max("logit").over(w)
+    return rows.withColumn("top", top).withColumn("logp", F.col("logit") - F.col("top") - F.log(F.sum(F.exp(F.col("logit") - F.col("top"))).over(w))).drop("top", "logit")
+
+
+_VOCAB = "(VALUES " + ", ".join(f"('{t}', {i}, CAST({m!r} AS DOUBLE))" for i, (t, m) in enumerate(K.RESIDUES.items(), 2)) + ") AS vocab(token, id, mass)"
+_TOKENS = """SELECT spectrum_id, lang, source, peptide, token, pos FROM (SELECT spectrum_id, lang, source, peptide,
+  unnest(regexp_extract_all({p}, '^[^A-Z]+|[A-Z][^A-Z]*')) AS token, generate_subscripts(regexp_extract_all({p}, '^[^A-Z]+|[A-Z][^A-Z]*'), 1) AS pos FROM ({f}) f) u"""
+_OWN, _MERGED = (_TOKENS.format(p=p, f=X.peptides(True)) for p in ("peptide", "replace(peptide, 'I', 'L')"))
+
+
+@query(f"""
+WITH s AS (SELECT p.spectrum_id, mz, intensity FROM ({X.PEAKS}) p JOIN ({X.PRECURSORS}) q USING (spectrum_id)
+  WHERE mz BETWEEN 50 AND 2500 AND NOT EXISTS (SELECT 1 FROM range(1, 12) k(k) WHERE k.k <= q.charge AND abs(mz - ((q.precursor_mz - {K.PROTON!r}) * q.charge / k.k + {K.PROTON!r})) <= 2)),
+m AS (SELECT *, max(intensity) OVER (PARTITION BY spectrum_id) AS top FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY spectrum_id ORDER BY intensity DESC, mz) AS k FROM m WHERE intensity > 0.01 * top)
+SELECT spectrum_id, round(mz, 6) AS mz, round(sqrt(intensity) / sqrt(top), 6) AS intensity FROM r WHERE k <= 150
+""")
+def spectrum_clean(spark, d):
+    rows = spectra.clean(_spectra(spark, d)).select("spectrum_id", F.explode("peaks").alias("p"))
+    return rows.select("spectrum_id", F.round("p.mz", 6).alias("mz"), F.round("p.intensity", 6).alias("intensity"))
+
+
+@query(f"SELECT spectrum_id, count(*) AS n_peaks, CAST(sum(count(*)) OVER (ORDER BY spectrum_id) - count(*) AS BIGINT) AS start FROM ({X.PEAKS}) p GROUP BY spectrum_id")
+def peaks_offsets(spark, d):
+    from pyspark.sql import Window
+
+    n = _peaks(spark, d).groupBy("spectrum_id").agg(F.count("*").alias("n_peaks"))
+    return n.withColumn("start", F.sum("n_peaks").over(Window.orderBy("spectrum_id")) - F.col("n_peaks"))
+
+
+@query(f"SELECT spectrum_id, charge, round((precursor_mz - {K.PROTON!r}) * charge, 6) AS mass FROM ({X.PRECURSORS}) q WHERE charge BETWEEN 1 AND 10")
+def precursor_mass(spark, d):
+    rows = _precursors(spark, d).where(F.col("charge").isin(*mgf.VALID_CHARGE))
+    return rows.select("spectrum_id", "charge", F.round(P.mz_to_mass(F.col("precursor_mz"), F.col("charge")), 6).alias("mass"))
+
+
+def _tokens_sql(order: str) -> str:
+    return f"""SELECT spectrum_id, '1,' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos {order}) || ',1' AS tokens FROM ({_MERGED}) t JOIN {_VOCAB} USING (token)
+GROUP BY spectrum_id"""
+
+
+@query(_tokens_sql("ASC"))
+def peptide_tokenize(spark, d):
+    return _peptides(spark, d).select("spectrum_id", F.array_join(P.tokenize(F.col("peptide")), ",").alias("tokens"))
+
+
+@query(_tokens_sql("DESC"))
+def peptide_tokenize_rev(spark, d):
+    return _peptides(spark, d).select("spectrum_id", F.array_join(P.tokenize(F.col("peptide"), reverse=True), ",").alias("tokens"))
+
+
+@query(f"SELECT spectrum_id, replace(peptide, 'I', 'L') AS forward, replace(peptide, 'I', 'L') AS backward FROM ({X.peptides(True)}) f")
+def peptide_roundtrip(spark, d):
+    p = F.col("peptide")
+    return _peptides(spark, d).select("spectrum_id", P.detokenize(P.tokenize(p)).alias("forward"), P.detokenize(P.tokenize(p, reverse=True), reverse=True).alias("backward"))
+
+
+_NAMES = {"C+57.021": "C(+57.02)", "M+15.995": "M(+15.99)", "N+0.984": "N(+.98)", "Q+0.984": "Q(+.98)"}
+
+
+@query("SELECT spectrum_id, " + "".join("replace(" for _ in _NAMES) + "peptide" + "".join(f", '{a}', '{b}')" for a, b in _NAMES.items()) + f" AS renamed FROM ({X.peptides(True)}) f")
+def ptm_rename(spark, d):
+    return _peptides(spark, d).select("spectrum_id", P.rename_residues(F.col("peptide"), _NAMES).alias("renamed"))
+
+
+@query(f"SELECT lang, token, count(*) AS n FROM ({_OWN}) t GROUP BY lang, token")
+def residue_counts(spark, d):
+    return _peptides(spark, d).select("lang", F.explode(P.split_residues(F.col("peptide"))).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT spectrum_id, round(sum(mass) + {K.H2O!r}, 4) AS mass, round((sum(mass) + {K.H2O!r}) / (1 + spectrum_id % 3) + {K.PROTON!r}, 4) AS mz
+FROM ({_OWN}) t LEFT JOIN {_VOCAB} USING (token) GROUP BY spectrum_id""")
+def peptide_mass(spark, d):
+    m = _peptides(spark, d).select("spectrum_id", P.peptide_mass(P.split_residues(F.col("peptide"))).alias("m"))
+    return m.select("spectrum_id", F.round("m", 4).alias("mass"), F.round(P.mass_to_mz(F.col("m"), F.col("spectrum_id") % 3 + 1), 4).alias("mz"))
+
+
+_PREFIX = f"SELECT spectrum_id, CAST(pos AS INT) AS pos, sum(mass) OVER (PARTITION BY spectrum_id ORDER BY pos) AS m FROM ({_OWN}) t JOIN {_VOCAB} USING (token)"
+
+
+@query(f"SELECT spectrum_id, pos, round(m, 5) AS none, round(m - {K.H2O!r}, 5) AS water, round(m - {K.NH3!r}, 5) AS ammonia FROM ({_PREFIX}) p")
+def fragment_losses(spark, d):
+    rows = _peptides(spark, d).select("spectrum_id", F.posexplode(P.prefix_masses(P.split_residues(F.col("peptide")))).alias("i", "m"))
+    losses = P.neutral_losses(F.col("m"))
+    return rows.select("spectrum_id", (F.col("i") + 1).alias("pos"), *[F.round(losses[i], 5).alias(c) for i, c in enumerate(("none", "water", "ammonia"))])
+
+
+_MASSES = f"SELECT spectrum_id AS peptide_id, sum(mass) + {K.H2O!r} AS mass FROM ({_OWN}) t JOIN {_VOCAB} USING (token) GROUP BY spectrum_id"
+
+
+@query(f"""SELECT q.spectrum_id, p.peptide_id FROM ({X.PRECURSORS}) q JOIN ({_MASSES}) p
+ON charge BETWEEN 1 AND 10 AND abs((precursor_mz - {K.PROTON!r}) * charge - mass) < 0.5""")
+def precursor_window_join(spark, d):
+    """Precursors and peptides within half a Dalton: an interval join by mass bins, each precursor in its own and both next ones."""
+    p = _peptides(spark, d).select(F.col("spectrum_id").alias("peptide_id"), P.peptide_mass(P.split_residues(F.col("peptide"))).alias("mass")).withColumn("bin", F.floor("mass"))
+    q = _precursors(spark, d).where("charge between 1 and 10").withColumn("m", P.mz_to_mass(F.col("precursor_mz"), F.col("charge")))
+    q = q.withColumn("bin", F.explode(F.sequence(F.floor(F.col("m") - 0.5), F.floor(F.col("m") + 0.5))))
+    return p.join(q, "bin").where(F.abs(F.col("m") - F.col("mass")) < 0.5).select("spectrum_id", "peptide_id")
+
+
+_WALK = f"""
+WITH RECURSIVE f AS ({X.pairs(True)}), v AS (SELECT map(list(token), list(mass)) AS m FROM {_VOCAB}),
+t AS (SELECT spectrum_id, CASE WHEN gt_peptide = '' THEN [''] ELSE regexp_extract_all(gt_peptide, '^[^A-Z]+|[A-Z][^A-Z]*') END AS p,
+  CASE WHEN coalesce(pred_peptide, '') = '' THEN [''] ELSE regexp_extract_all(pred_peptide, '^[^A-Z]+|[A-Z][^A-Z]*') END AS q FROM f),
+x AS (SELECT spectrum_id, list_transform(p, lambda k: coalesce(v.m[k], 0)) AS p, list_transform(q, lambda k: coalesce(v.m[k], 0)) AS q FROM t, v),
+w AS (SELECT spectrum_id, p, q, 1 AS i, 1 AS j, 0::DOUBLE AS a, 0::DOUBLE AS b, CAST(NULL AS INT) AS hit FROM x
+  UNION ALL SELECT spectrum_id, p, q, CASE WHEN meet OR b + q[j] > a + p[i] THEN i + 1 ELSE i END, CASE WHEN meet OR NOT b + q[j] > a + p[i] THEN j + 1 ELSE j END,
+    CASE WHEN meet OR b + q[j] > a + p[i] THEN a + p[i] ELSE a END, CASE WHEN meet OR NOT b + q[j] > a + p[i] THEN b + q[j] ELSE b END,
+    CASE WHEN meet AND abs(p[i] - q[j]) < 0.1 THEN greatest(i, j) END
+  FROM (SELECT *, abs(a + p[i] - b - q[j]) < 0.5 AS meet FROM w WHERE i <= len(p) AND j <= len(q)) s)
+"""
+
+
+@query(_WALK + "SELECT spectrum_id, CAST(greatest(len(p), len(q)) AS INT) AS n, CAST(count(DISTINCT hit) AS INT) AS n_match FROM w GROUP BY spectrum_id, p, q")
+def aa_match_prefix(spark, d):
+    flags = matching.match(P.split_residues(F.col("gt_peptide")), P.split_residues(F.coalesce("pred_peptide", F.lit(""))))
+    return _pairs(spark, d).select("spectrum_id", flags.alias("f")).select("spectrum_id", F.size("f").alias("n"), matching.count_true(F.col("f")).alias("n_match"))
+
+
+def _matched(spark, d, assign: bool = True) -> DataFrame:
+    t, p = P.split_residues(P.merge_isomers(F.col("gt_peptide"))), P.split_residues(P.merge_isomers(F.coalesce("pred_peptide", F.lit(""))))
+    rows = _pairs(spark, d).select("spectrum_id", "lang", "source", F.col("pred_score").alias("score"), t.alias("t"), p.alias("p"))
+    rows = rows.withColumn("f", matching.best_match(F.col("t"), F.col("p"), assign))
+    return rows.select("spectrum_id", "lang", "source", "score", matching.count_true(F.col("f")).alias("n_match"), F.size("t").alias("n_true"), F.size("p").alias("n_pred"), F.forall("f", lambda x: x).alias("whole"))
+
+
+@query()
+def aa_match_best(spark, d):
+    return _matched(spark, d)
+
+
+@query()
+def metrics_three(spark, d):
+    return metrics.with_mean(metrics.three(_matched(spark, d), "lang"), "lang", ["aa_precision", "aa_recall", "peptide_recall"])
+
+
+@query()
+def pr_auc(spark, d):
+    return metrics.pr_auc(_matched(spark, d, False), "lang")
+
+
+@query(f"""WITH f AS ({X.pairs(True)}), g AS (SELECT source, lang, round(avg(CASE WHEN pred_peptide = gt_peptide THEN 1.0::DOUBLE WHEN pred_peptide IS NULL THEN 0 ELSE 0 END), 6) AS v FROM f GROUP BY source, lang)
+SELECT source, max(v) FILTER (lang = 'de') AS de, max(v) FILTER (lang = 'en') AS en, max(v) FILTER (lang = 'es') AS es, max(v) FILTER (lang = 'fr') AS fr FROM g GROUP BY source""")
+def metrics_pivot(spark, d):
+    exact = F.coalesce((F.col("pred_peptide") == F.col("gt_peptide")).cast("double"), F.lit(0.0))
+    return _pairs(spark, d).groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).agg(F.round(F.avg(exact), 6))
+
+
+@query("SELECT 'step=30-accuracy=0.9100.ckpt' AS path, 30 AS step, 0.91::DOUBLE AS accuracy")
+def best_checkpoint(spark, d):
+    names = ["step=10-accuracy=0.5000.ckpt", "step=20-accuracy=0.9100.ckpt", "step=30-accuracy=0.9100.ckpt", "last.ckpt"]
+    rows = spark.createDataFrame([(n,) for n in names], "path string")
+    step, accuracy = F.regexp_extract("path", r"step=(\d+)", 1).try_cast("int"), F.regexp_extract("path", r"accuracy=(\d+\.\d+)", 1).try_cast("double")
+    best = rows.select("path", step.alias("step"), accuracy.alias("accuracy")).where("step is not null and accuracy is not null").agg(F.max_by(F.struct("*"), F.struct("accuracy", "step")).alias("b"))
+    return best.select("b.*")
+
+
+_LOGP = f"""SELECT spectrum_id, direction, step, token, logit - top - ln(sum(exp(logit - top)) OVER w) AS logp
+FROM (SELECT *, max(logit) OVER (PARTITION BY spectrum_id, direction, step) AS top FROM ({X.logits(True)}) l) l WINDOW w AS (PARTITION BY spectrum_id, direction, step)"""
+
+
+@query(f"""WITH b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY spectrum_id, direction, step ORDER BY logp DESC, token) AS k FROM ({_LOGP}) l) r WHERE k = 1),
+s AS (SELECT *, coalesce(max(CAST(token = 1 AS INT)) OVER (PARTITION BY spectrum_id, direction ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM b)
+SELECT spectrum_id, direction, coalesce(string_agg(CASE WHEN token <> 1 THEN CAST(token AS VARCHAR) END, ',' ORDER BY step), '') AS tokens, round(exp(avg(logp)), 6) AS score FROM s WHERE over = 0 GROUP BY ALL""")
+def greedy_decode(spark, d):
+    return decoding.greedy(_logp(spark, d)).select("spectrum_id", "direction", F.array_join("tokens", ",").alias("tokens"), F.round("score", 6).alias("score"))
+
+
+def _beam(spark, d):
+    steps = _logp(spark, d)
+    ids = steps.select("spectrum_id").distinct()
+    target = ids.select("spectrum_id", (F.lit(500.0) + F.col("spectrum_id") * 3.7).alias("precursor_mz"), (F.col("spectrum_id") % 3 + 1).alias("charge"))
+    return decoding.beam_search(steps, target)
+
+
+@query()
+def beam_decode(spark, d):
+    return _beam(spark, d).select("spectrum_id", "direction", F.array_join("tokens", ",").alias("tokens"), F.round("score", 6).alias("score"))
+
+
+@query()
+def resolve_directions(spark, d):
+    names = F.array_join("tokens", ",").alias("peptide")
+    rows = _beam(spark, d).select("spectrum_id", "direction", names, "score")
+    side = lambda x: rows.where(f"direction = '{x}'").select("spectrum_id", F.col("peptide").alias(f"{x}_peptide"), F.col("score").alias(f"{x}_score"))
+    return decoding.resolve(side("fwd").join(side("rev"), "spectrum_id"))
+
+
+_SIM = f"""SELECT a.batch_id, a.pair_id AS spectrum, b.pair_id AS peptide, 20 * list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))
+  / sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) / sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS sim
+FROM ({X.contrast(True)}) a JOIN ({X.contrast(True)}) b ON a.batch_id = b.batch_id AND a.side = 'spectrum' AND b.side = 'peptide'"""
+
+
+def _similarity(spark, d):
+    c = X.view(spark, d, X.contrast(False), "embeddings")
+    unit = c.withColumn("n", V.norm(F.col("embedding")))
+    side = lambda s, name: unit.where(F.col("side") == s).select("batch_id", F.col("pair_id").alias(name), F.col("embedding").alias(f"{name}_e"), F.col("n").alias(f"{name}_n"))
+    sim = 20 * V.dot(F.col("spectrum_e"), F.col("peptide_e")) / F.col("spectrum_n") / F.col("peptide_n")
+    return side("spectrum", "spectrum").join(side("peptide", "peptide"), "batch_id").select("batch_id", "spectrum", "peptide", sim.alias("sim"))
+
+
+@query(f"SELECT batch_id, spectrum, peptide, round(sim, 4) AS sim FROM ({_SIM}) s")
+def clip_similarity(spark, d):
+    return _similarity(spark, d).withColumn("sim", F.round("sim", 4))
+
+
+@query(f"""WITH s AS ({_SIM}), r AS (SELECT *, ln(sum(exp(sim)) OVER (PARTITION BY spectrum)) AS row_l, ln(sum(exp(sim)) OVER (PARTITION BY peptide)) AS col_l,
+  sim = max(sim) OVER (PARTITION BY spectrum) AS row_1, sim = max(sim) OVER (PARTITION BY peptide) AS col_1 FROM s)
+SELECT batch_id, round(avg((row_l - sim + col_l - sim) / 2), 4) AS loss, round(avg((CAST(row_1 AS INT) + CAST(col_1 AS INT)) / 2::DOUBLE), 4) AS top_1 FROM r WHERE spectrum = peptide GROUP BY batch_id""")
+def clip_loss(spark, d):
+    from pyspark.sql import Window
+
+    row, col = Window.partitionBy("spectrum"), Window.partitionBy("peptide")
+    s = F.col("sim")
+    r = _similarity(spark, d).select("*", *[x for w, c in ((row, "row"), (col, "col")) for x in (F.log(F.sum(F.exp(s)).over(w)).alias(f"{c}_l"), (s == F.max(s).over(w)).cast("int").alias(f"{c}_1"))])
+    return r.where("spectrum = peptide").groupBy("batch_id").agg(F.round(F.avg((F.col("row_l") + F.col("col_l")) / 2 - s), 4).alias("loss"), F.round(F.avg((F.col("row_1") + F.col("col_1")) / 2), 4).alias("top_1"))
+
+
+@query("SELECT spectrum_id, CAST(i AS INT) AS i, round(CASE WHEN i < 4 THEN sin(precursor_mz / t) ELSE cos(precursor_mz / t) END, 4) + 0.0::DOUBLE AS v FROM (SELECT *, 1.0::DOUBLE / (2 * pi()) * pow(10000::DOUBLE, (i % 4) / 3.0::DOUBLE) AS t FROM (" + X.PRECURSORS + ") q, range(0, 8) r(i)) x")
+def float_encoding(spark, d):
+    return _precursors(spark, d).select("spectrum_id", F.posexplode(V.float_encoding(F.col("precursor_mz"), 8, 1.0, 10000.0)).alias("i", "v")).withColumn("v", F.round("v", 4) + F.lit(0.0))
+
+
+@query("""SELECT step, round(CASE WHEN step < 100 THEN step / 100.0::DOUBLE ELSE pow(5.0::DOUBLE, -floor((step - 100) / 300.0::DOUBLE)) * 0.5 * (1 + cos(pi() * ((step - 100) / 300.0::DOUBLE - floor((step - 100) / 300.0::DOUBLE)))) END, 6) AS factor
+FROM (SELECT range AS step FROM range(0, 1000)) s""")
+def lr_schedule(spark, d):
+    return spark.range(1000).select(F.col("id").alias("step"), F.round(V.learning_rate(F.col("id"), 100, 1000, 3), 6).alias("factor"))
+
+
+@query(f"SELECT spectrum_id, 'BEGIN IONS' || chr(10) || 'TITLE=all:test:' || spectrum_id || chr(10) || 'PEPMASS=' || printf('%.6f', precursor_mz) || chr(10) || 'CHARGE=' || charge || '+' || chr(10) || 'END IONS' AS value FROM ({X.PRECURSORS}) q")
+def mgf_text(spark, d):
+    rows = _precursors(spark, d).withColumns({"title": F.concat(F.lit("all:test:"), F.col("spectrum_id").cast("string")), "peaks": F.array().cast("array<struct<mz:double, intensity:double>>")})
+    return mgf.mgf_text(rows)
+
+
+@query()
+def mgf_roundtrip(spark, d):
+    folder = f"{_scratch(spark)}/mgf"
+    mgf.write_mgf(_spectra(spark, d).withColumn("title", F.col("spectrum_id").cast("string")), folder)
+    return mgf.read_mgf(spark, folder).select("title", "precursor_mz", "charge", F.size("peaks").alias("n_peaks"), "status")
+
+
+@query()
+def csv_roundtrip(spark, d):
+    folder = f"{_scratch(spark)}/csv"
+    files.write_predictions(_pairs(spark, d).select(F.col("pred_score"), "pred_peptide", "gt_peptide"), folder)
+    return files.read_predictions(spark, folder, "pred_score double, pred_peptide string, gt_peptide string")
+
+
+def _scratch(spark: SparkSession) -> str:
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    return f"{base.rstrip('/')}/peakforge-{uuid.uuid4().hex}"
+
+
+@query()
+def spectrum_augment(spark, d):
+    from pyspark.sql import Window
+
+    top = F.max("intensity").over(Window.partitionBy("spectrum_id"))
+    rows = _peaks(spark, d).withColumn("pos", F.row_number().over(Window.partitionBy("spectrum_id").orderBy("mz", "intensity"))).withColumn("intensity", F.col("intensity") / top)
+    return spectra.augment(rows)
