@@ -45,7 +45,8 @@ def _unit_hashes() -> np.ndarray:
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all words that have a letter or digit: hash of the bare lower-case word, template hash, whether it is a slot; rows' bounds.
 
-    A word with a digit is a number, a word of UNITS a unit, a capitalised word that begins no sentence a name.
+    A word with a digit is a number, a word of UNITS a unit, a capitalised word a name
+    if it, or the same word elsewhere in the text, begins no sentence.
     """
     low = T.LOWER[data]
     if len(data) > 1:  # capitals of Latin-1 in UTF-8
@@ -70,7 +71,10 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     bounds = np.concatenate([[0], np.cumsum(some)])[bounds]
     bare = low[keep]
     h = T.word_hashes(bare, bare_start[some], bare_end[some])
-    number, name = number[some], (letter & ~opens)[some]
+    number, name, first = number[some], (letter & ~opens)[some], (letter & opens)[some]
+    row = np.repeat(np.arange(len(offs) - 1, dtype=np.uint64), np.diff(bounds))
+    own = T.mix(h ^ T.mix(row))
+    name |= first & np.isin(own, own[name])
     at = np.minimum(np.searchsorted(_UNIT_HASHES, h), len(_UNIT_HASHES) - 1)
     unit = _UNIT_HASHES[at] == h
     kind = np.select([number, unit, name], [NUMBER, UNIT, NAME], _U(0))

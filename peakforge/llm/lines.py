@@ -58,9 +58,11 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     fits = (F.col("hx") < F.col("hy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & ((100 + percent) * left >= percent * total)
     pairs = written(x.join(y, "s").where(fits).select(F.col("hx").alias("u"), F.col("hy").alias("v")).distinct(), "pairs")
     named = pairs.select(F.col("u").alias("h")).union(pairs.select("v")).distinct()
-    holder = lines.join(named, "h", "left_semi").groupBy("h").agg(F.min("row_key").alias("row_key"))
-    some = docs.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))).join(holder.select("row_key").distinct(), "row_key", "left_semi")
-    sets = written(_lines(some).join(named, "h", "left_semi").select("h", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("s")).dropDuplicates(["h"]), "sets")
+    holder = lines.join(named, "h", "left_semi").groupBy("h").agg(F.min(F.struct("row_key", "line_no")).alias("at"))
+    wanted = holder.select(F.col("at.row_key").alias("row_key"), F.struct("h", "at.line_no").alias("at")).groupBy("row_key").agg(F.collect_list("at").alias("at"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select(F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    some = texts.join(wanted, "row_key").select(F.explode(F.expr("transform(at, a -> struct(a.h as h, split(text, '\n')[a.line_no] as line))")).alias("x"))
+    sets = written(some.select("x.h", F.array_distinct(F.transform(_words(F.col("x.line")), lambda w: F.xxhash64(w))).alias("s")).dropDuplicates(["h"]), "sets")
     a, b = sets.select(F.col("h").alias("u"), "s"), sets.select(F.col("h").alias("v"), F.col("s").alias("t"))
     common = F.size(F.array_intersect("s", "t"))
     links = written(pairs.join(b, "v").join(a, "u").where(100 * common >= percent * (F.size("s") + F.size("t") - common)).select("u", "v"), "links")

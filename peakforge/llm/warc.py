@@ -151,6 +151,8 @@ class WarcReader(DataSourceReader):
         return True
 
     def read(self, partition: _Files):
+        if not partition.paths:
+            return
         system, folder = fs.FileSystem.from_uri(self.folder)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
