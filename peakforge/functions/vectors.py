@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,3 +51,10 @@ def learning_rate(step: Column, warmup: int, steps: int, cycles: int = 1, decay:
 
 def warmup_steps(value: float, total: int) -> int:
     return int(value * total) if isinstance(value, float) and value < 1 else int(value)
+
+
+def attention_pool(rows: DataFrame, by: str) -> DataFrame:
+    """(by, dim, v): of rows (by, score, vector), the mean of vectors weighted with the softmax of scores in each group; a null score counts as masked out."""
+    weight = F.exp(F.col("score") - F.max("score").over(Window.partitionBy(by)))
+    parts = rows.where("score is not null").select(by, weight.alias("w"), F.posexplode("vector").alias("dim", "x"))
+    return parts.groupBy(by, "dim").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("v"))

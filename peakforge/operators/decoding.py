@@ -95,3 +95,20 @@ def resolve(pairs: DataFrame) -> DataFrame:
     fwd = F.when((F.col("fwd_peptide") == "") & (F.col("rev_peptide") != ""), False).when((F.col("fwd_peptide") != "") & (F.col("rev_peptide") == ""), True).otherwise(F.col("fwd_score") >= F.col("rev_score"))
     pick = lambda c: F.when(fwd, F.col(f"fwd_{c}")).otherwise(F.col(f"rev_{c}"))
     return p.select(*pairs.columns, pick("peptide").alias("pred_peptide"), pick("score").alias("pred_score"), F.when(fwd, "fwd").otherwise("rev").alias("direction"))
+
+
+def best_tokens(steps: DataFrame) -> DataFrame:
+    """The likeliest token of each step, the smaller id at a tie."""
+    return steps.groupBy("spectrum_id", "direction", "step").agg(F.max_by("token", F.struct("logp", -F.col("token"))).alias("token"))
+
+
+def smoothed_loss(steps: DataFrame, smoothing: float, *by: str) -> DataFrame:
+    """Mean cross-entropy with label smoothing of rows (spectrum_id, direction, step, token, logp, label); padding labels don't count."""
+    each = steps.where(F.col("label") != K.PAD).groupBy("spectrum_id", "direction", "step").agg(F.max(F.when(F.col("token") == F.col("label"), F.col("logp"))).alias("hit"), F.avg("logp").alias("mean"))
+    return each.groupBy(*by).agg(F.avg(-(1 - smoothing) * F.col("hit") - smoothing * F.col("mean")).alias("loss"))
+
+
+def whole_accuracy(steps: DataFrame, *by: str) -> DataFrame:
+    """Share of peptides all of whose places with keep have the right token: rows (spectrum_id, direction, token, label, keep)."""
+    whole = steps.groupBy("spectrum_id", "direction").agg(F.every((F.col("token") == F.col("label")) | ~F.col("keep")).alias("whole"))
+    return whole.groupBy(*by).agg(F.avg(F.col("whole").cast("int")).alias("accuracy"))

@@ -15,6 +15,15 @@ def three(pairs: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def seven(pairs: DataFrame, by: str) -> DataFrame:
+    """three(), peptide_precision, precision and recall of modified residues, and the area under the curve; a row without a prediction (not given) matches nothing and predicts nothing."""
+    none = {c: F.when(F.col("given"), F.col(c)).otherwise(0) for c in ("n_match", "n_pred", "ptm_pred", "ptm_true_match", "ptm_pred_match")}
+    rows = pairs.withColumns(none | {"whole": F.col("whole") & F.col("given")})
+    ratio = lambda a, b: (F.sum(a) / (F.sum(b) + EPS)).alias(f"ptm_{'precision' if 'pred' in b else 'recall'}")
+    ptm = rows.groupBy(by).agg(ratio("ptm_pred_match", "ptm_pred"), ratio("ptm_true_match", "ptm_true"))
+    return three(rows, by).withColumn("peptide_precision", F.col("peptide_recall")).join(ptm, by).join(pr_auc(rows, by), by)
+
+
 def curve(pairs: DataFrame, by: str) -> DataFrame:
     """Precision and recall after each row by falling score (then spectrum_id) of rows (score, spectrum_id, whole)."""
     w = Window.partitionBy(by).orderBy(F.col("score").desc(), "spectrum_id")

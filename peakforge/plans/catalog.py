@@ -154,10 +154,13 @@ def precursor_window_join(spark, d):
     return p.join(q, "bin").where(F.abs(F.col("m") - F.col("mass")) < 0.5).select("spectrum_id", "peptide_id")
 
 
-_WALK = f"""
+def _walk_sql(merge: bool) -> str:
+    """The walk of a prefix match as a recursive CTE; merge: with I read as L."""
+    p, q = (f"replace({c}, 'I', 'L')" if merge else c for c in ("gt_peptide", "coalesce(pred_peptide, '')"))
+    return f"""
 WITH RECURSIVE f AS ({X.pairs(True)}), v AS (SELECT map(list(token), list(mass)) AS m FROM {_VOCAB}),
-t AS (SELECT spectrum_id, CASE WHEN gt_peptide = '' THEN [''] ELSE regexp_extract_all(gt_peptide, '^[^A-Z]+|[A-Z][^A-Z]*') END AS p,
-  CASE WHEN coalesce(pred_peptide, '') = '' THEN [''] ELSE regexp_extract_all(pred_peptide, '^[^A-Z]+|[A-Z][^A-Z]*') END AS q FROM f),
+t AS (SELECT spectrum_id, CASE WHEN {p} = '' THEN [''] ELSE regexp_extract_all({p}, '^[^A-Z]+|[A-Z][^A-Z]*') END AS p,
+  CASE WHEN {q} = '' THEN [''] ELSE regexp_extract_all({q}, '^[^A-Z]+|[A-Z][^A-Z]*') END AS q FROM f),
 x AS (SELECT spectrum_id, list_transform(p, lambda k: coalesce(v.m[k], 0)) AS p, list_transform(q, lambda k: coalesce(v.m[k], 0)) AS q FROM t, v),
 w AS (SELECT spectrum_id, p, q, 1 AS i, 1 AS j, 0::DOUBLE AS a, 0::DOUBLE AS b, CAST(NULL AS INT) AS hit FROM x
   UNION ALL SELECT spectrum_id, p, q, CASE WHEN meet OR b + q[j] > a + p[i] THEN i + 1 ELSE i END, CASE WHEN meet OR NOT b + q[j] > a + p[i] THEN j + 1 ELSE j END,
@@ -167,7 +170,7 @@ w AS (SELECT spectrum_id, p, q, 1 AS i, 1 AS j, 0::DOUBLE AS a, 0::DOUBLE AS b,
 """
 
 
-@query(_WALK + "SELECT spectrum_id, CAST(greatest(len(p), len(q)) AS INT) AS n, CAST(count(DISTINCT hit) AS INT) AS n_match FROM w GROUP BY spectrum_id, p, q")
+@query(_walk_sql(False) + "SELECT spectrum_id, CAST(greatest(len(p), len(q)) AS INT) AS n, CAST(count(DISTINCT hit) AS INT) AS n_match FROM w GROUP BY spectrum_id, p, q")
 def aa_match_prefix(spark, d):
     flags = matching.match(P.split_residues(F.col("gt_peptide")), P.split_residues(F.coalesce("pred_peptide", F.lit(""))))
     return _pairs(spark, d).select("spectrum_id", flags.alias("f")).select("spectrum_id", F.size("f").alias("n"), matching.count_true(F.col("f")).alias("n_match"))
@@ -175,24 +178,78 @@ def aa_match_prefix(spark, d):
 
 def _matched(spark, d, assign: bool = True) -> DataFrame:
     t, p = P.split_residues(P.merge_isomers(F.col("gt_peptide"))), P.split_residues(P.merge_isomers(F.coalesce("pred_peptide", F.lit(""))))
-    rows = _pairs(spark, d).select("spectrum_id", "lang", "source", F.col("pred_score").alias("score"), t.alias("t"), p.alias("p"))
-    rows = rows.withColumn("f", matching.best_match(F.col("t"), F.col("p"), assign))
-    return rows.select("spectrum_id", "lang", "source", "score", matching.count_true(F.col("f")).alias("n_match"), F.size("t").alias("n_true"), F.size("p").alias("n_pred"), F.forall("f", lambda x: x).alias("whole"))
+    rows = _pairs(spark, d).select("spectrum_id", "lang", "source", F.col("pred_score").alias("score"), t.alias("t"), p.alias("p"), F.col("pred_peptide").isNotNull().alias("given"))
+    rows = rows.withColumn("m", matching.best_pairs(F.col("t"), F.col("p"), assign)).withColumn("n", F.size("m"))
+    size, among = (lambda c: F.size(c)), (lambda side, c: matching.count_among(F.col("m"), F.col(c), side, K.PTMS))
+    ptms = lambda c: F.size(F.filter(c, lambda x: x.isin(*K.PTMS)))
+    return rows.select(
+        "spectrum_id", "lang", "source", "score", "given", F.col("n").alias("n_match"), size("t").alias("n_true"), size("p").alias("n_pred"), (F.col("n") == F.greatest(size("t"), size("p"))).alias("whole"),
+        among("i", "t").alias("ptm_true_match"), among("j", "p").alias("ptm_pred_match"), ptms("t").alias("ptm_true"), ptms("p").alias("ptm_pred"),
+    )
+
+
+#: Matches by both passes; over: the entries of the second pass that replace the first's.
+_BEST = _walk_sql(True).rstrip() + """,
+h AS (SELECT spectrum_id, p, q, CAST(greatest(len(p), len(q)) AS INT) AS n, coalesce(list(DISTINCT hit) FILTER (hit IS NOT NULL), []) AS hits FROM w GROUP BY spectrum_id, p, q),
+st AS (SELECT *, coalesce(list_min(list_filter(range(1, n + 1), lambda k: NOT list_contains(hits, CAST(k AS INT)))), n + 1) AS stop FROM h),
+z AS (SELECT spectrum_id, p, q, stop, CAST(len(p) AS INT) AS i, CAST(len(q) AS INT) AS j, 0::DOUBLE AS a, 0::DOUBLE AS b, CAST(NULL AS INT) AS met, false AS ok FROM st
+  UNION ALL SELECT spectrum_id, p, q, stop, CASE WHEN meet OR b + q[j] > a + p[i] THEN i - 1 ELSE i END, CASE WHEN meet OR NOT b + q[j] > a + p[i] THEN j - 1 ELSE j END,
+    CASE WHEN meet OR b + q[j] > a + p[i] THEN a + p[i] ELSE a END, CASE WHEN meet OR NOT b + q[j] > a + p[i] THEN b + q[j] ELSE b END,
+    CASE WHEN meet THEN greatest(i, j) END, meet AND abs(p[i] - q[j]) < 0.1
+  FROM (SELECT *, abs(a + p[i] - b - q[j]) < 0.5 AS meet FROM z WHERE i >= stop AND j >= stop) s),
+y AS (SELECT spectrum_id, coalesce(list(met) FILTER (met IS NOT NULL), []) AS met, coalesce(list(met) FILTER (ok), []) AS ok FROM z GROUP BY spectrum_id),
+best AS (SELECT spectrum_id, lang, source, pred_score AS score, CAST(len(list_filter(range(1, n + 1), lambda k: list_contains(ok, CAST(k AS INT)) OR (list_contains(hits, CAST(k AS INT)) AND NOT list_contains({over}, CAST(k AS INT))))) AS INT) AS n_match,
+  CAST(len(p) AS INT) AS n_true, CAST(len(q) AS INT) AS n_pred, n FROM st JOIN y USING (spectrum_id) JOIN f USING (spectrum_id))
+"""
+_BEST_COLUMNS = ["spectrum_id", "lang", "source", "score", "n_match", "n_true", "n_pred", "whole"]
 
 
-@query()
+@query(_BEST.format(over="met") + "SELECT spectrum_id, lang, source, score, n_match, n_true, n_pred, n_match = n AS whole FROM best")
 def aa_match_best(spark, d):
-    return _matched(spark, d)
+    return _matched(spark, d).select(*_BEST_COLUMNS)
 
 
-@query()
+@query(_BEST.format(over="met") + """, g AS (SELECT lang, sum(n_match) / (sum(n_pred) + 1e-8::DOUBLE) AS aa_precision, sum(n_match) / (sum(n_true) + 1e-8::DOUBLE) AS aa_recall,
+  sum(CAST(n_match = n AS INT)) / (count(*) + 1e-8::DOUBLE) AS peptide_recall FROM best GROUP BY lang),
+u AS (SELECT * FROM g UNION ALL SELECT 'mean', avg(aa_precision), avg(aa_recall), avg(peptide_recall) FROM g)
+SELECT lang, round(aa_precision, 9) AS aa_precision, round(aa_recall, 9) AS aa_recall, round(peptide_recall, 9) AS peptide_recall FROM u""")
 def metrics_three(spark, d):
-    return metrics.with_mean(metrics.three(_matched(spark, d), "lang"), "lang", ["aa_precision", "aa_recall", "peptide_recall"])
+    names = ["aa_precision", "aa_recall", "peptide_recall"]
+    return metrics.with_mean(metrics.three(_matched(spark, d), "lang"), "lang", names).withColumns({c: F.round(c, 9) for c in names})
 
 
-@query()
+_AUC = """, c AS (SELECT lang, score, spectrum_id, sum(CAST(n_match = n AS INT)) OVER o / row_number() OVER o::DOUBLE AS precision, sum(CAST(n_match = n AS INT)) OVER o / count(*) OVER (PARTITION BY lang)::DOUBLE AS recall
+  FROM best WINDOW o AS (PARTITION BY lang ORDER BY score DESC, spectrum_id ROWS UNBOUNDED PRECEDING)),
+trapezoids AS (SELECT lang, (recall - lag(recall) OVER o) * (precision + lag(precision) OVER o) / 2 AS area FROM c WINDOW o AS (PARTITION BY lang ORDER BY score DESC, spectrum_id))
+"""
+
+
+@query(_BEST.format(over="ok") + _AUC + "SELECT lang, round(sum(area), 9) AS pr_auc FROM trapezoids GROUP BY lang")
 def pr_auc(spark, d):
-    return metrics.pr_auc(_matched(spark, d, False), "lang")
+    return metrics.pr_auc(_matched(spark, d, False), "lang").withColumn("pr_auc", F.round("pr_auc", 9))
+
+
+@query()
+def metrics_seven(spark, d):
+    return metrics.seven(_matched(spark, d, False), "lang")
+
+
+@query(_BEST.format(over="ok") + """SELECT round(sum(n_match) FILTER (score > 0.5) / sum(n) FILTER (score > 0.5)::DOUBLE, 9) AS precision, round(sum(n_match) FILTER (score > 0.5) / sum(n)::DOUBLE, 9) AS recall FROM best""")
+def aa_threshold_pr(spark, d):
+    t, p = (P.split_residues(P.merge_isomers(x)) for x in (F.col("gt_peptide"), F.coalesce("pred_peptide", F.lit(""))))
+    residues = _pairs(spark, d).select(F.col("pred_score").alias("score"), F.explode(matching.best_match(t, p, False)).alias("ok"))
+    return metrics.thresholded(residues, 0.5).select(F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
+@query(f"SELECT source, round(avg(pred_score), 9) AS pred_score, round(avg(len(pred_peptide)), 9) AS length FROM ({X.pairs(True)}) f GROUP BY source")
+def strategy_mean(spark, d):
+    return _pairs(spark, d).groupBy("source").agg(F.round(F.avg("pred_score"), 9).alias("pred_score"), F.round(F.avg(F.length("pred_peptide")), 9).alias("length"))
+
+
+@query("SELECT source, " + ", ".join(f"count(*) FILTER (lang = '{x}') AS {x}_n, round(avg(pred_score) FILTER (lang = '{x}'), 9) AS {x}_score" for x in ("de", "en", "es", "fr")) + f" FROM ({X.pairs(True)}) f GROUP BY source")
+def metrics_wide(spark, d):
+    wide = _pairs(spark, d).groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("pred_score"), 9).alias("score"))
+    return wide.fillna(0, [c for c in wide.columns if c.endswith("_n")])
 
 
 @query(f"""WITH f AS ({X.pairs(True)}), g AS (SELECT source, lang, round(avg(CASE WHEN pred_peptide = gt_peptide THEN 1.0::DOUBLE WHEN pred_peptide IS NULL THEN 0 ELSE 0 END), 6) AS v FROM f GROUP BY source, lang)
@@ -242,6 +299,54 @@ def resolve_directions(spark, d):
     return decoding.resolve(side("fwd").join(side("rev"), "spectrum_id"))
 
 
+_LABEL = "(spectrum_id * 7 + step) % 29"
+
+
+@query(f"""WITH l AS ({_LOGP}), r AS (SELECT spectrum_id, direction, step, {_LABEL} AS label, -max(logp) FILTER (token = {_LABEL}) AS nll, -avg(logp) AS smooth FROM l GROUP BY ALL)
+SELECT direction, round(avg(0.95::DOUBLE * nll + 0.05::DOUBLE * smooth), 6) AS loss FROM r WHERE label <> 0 GROUP BY direction""")
+def ce_label_smoothing(spark, d):
+    return decoding.smoothed_loss(_logp(spark, d).withColumn("label", F.expr(_LABEL)), 0.05, "direction").withColumn("loss", F.round("loss", 6))
+
+
+@query(f"""WITH b AS (SELECT spectrum_id, direction, step, first(token ORDER BY logp DESC, token) AS best FROM ({_LOGP}) l WHERE step <= 2 GROUP BY ALL),
+s AS (SELECT spectrum_id, direction, bool_and(best % 5 = spectrum_id % 5 OR (spectrum_id + step) % 3 = 0) AS whole FROM b GROUP BY ALL)
+SELECT direction, round(avg(CAST(whole AS INT)), 9) AS accuracy FROM s GROUP BY direction""")
+def teacher_accuracy(spark, d):
+    """Best tokens against labels, both modulo 5 so that some agree; every third place is masked out."""
+    best = decoding.best_tokens(_logp(spark, d).where("step <= 2")).withColumns({"token": F.col("token") % 5, "label": F.col("spectrum_id") % 5, "keep": (F.col("spectrum_id") + F.col("step")) % 3 != 0})
+    return decoding.whole_accuracy(best, "direction").withColumn("accuracy", F.round("accuracy", 9))
+
+
+@query("""WITH e AS (SELECT vec_id // 32 AS id, embedding[1]::DOUBLE * 5 AS s, embedding AS e FROM embeddings), w AS (SELECT *, exp(s - max(s) OVER (PARTITION BY id)) AS w FROM e),
+x AS (SELECT id, w, unnest(e)::DOUBLE AS v, generate_subscripts(e, 1) - 1 AS dim FROM w) SELECT id, CAST(dim AS INT) AS dim, round(sum(w * v) / sum(w), 6) + 0.0::DOUBLE AS v FROM x GROUP BY id, dim""")
+def attention_pool(spark, d):
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").selectExpr("vec_id div 32 AS id", "double(embedding[0]) * 5 AS score", "embedding AS vector")
+    return V.attention_pool(rows, "id").withColumn("v", F.round("v", 6) + F.lit(0.0))
+
+
+@query("""WITH a AS (SELECT vec_id, embedding AS e, len(embedding) // 2 AS h FROM embeddings), x AS (SELECT *, unnest(range(1, h + 1)) AS k FROM a), t AS (SELECT *, (vec_id % 8) / pow(10000::DOUBLE, (k - 1) / h::DOUBLE) AS t FROM x),
+r AS (SELECT vec_id, CAST(k - 1 AS INT) AS dim, e[k]::DOUBLE * cos(t) - e[h + k]::DOUBLE * sin(t) AS v FROM t UNION ALL SELECT vec_id, CAST(h + k - 1 AS INT), e[h + k]::DOUBLE * cos(t) + e[k]::DOUBLE * sin(t) FROM t)
+SELECT vec_id, dim, round(v, 6) + 0.0::DOUBLE AS v FROM r""")
+def rotary(spark, d):
+    half = (F.size("embedding") / 2).cast("int")
+    angles = F.transform(F.sequence(F.lit(0), half - 1), lambda k: (F.col("vec_id") % 8) / F.pow(F.lit(10000.0), k / half))
+    turned = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", V.rotate(F.col("embedding").cast("array<double>"), angles).alias("r"))
+    return turned.select("vec_id", F.posexplode("r").alias("dim", "v")).withColumn("v", F.round("v", 6) + F.lit(0.0))
+
+
+@query(f"SELECT charge, count(DISTINCT spectrum_id) AS n_spectra, count(*) AS n_peaks FROM ({X.PRECURSORS}) q JOIN ({X.PEAKS}) p USING (spectrum_id) WHERE charge BETWEEN 1 AND 10 GROUP BY charge")
+def charge_filter_scan(spark, d):
+    return _spectra(spark, d).where(F.col("charge").isin(*mgf.VALID_CHARGE)).groupBy("charge").agg(F.count("*").alias("n_spectra"), F.sum(F.size("peaks")).alias("n_peaks"))
+
+
+@query(f"""SELECT spectrum_id, peptide_id, round(least(abs(z - precursor_mz), abs(z - precursor_mz + {K.ISOTOPE!r} / charge)) / precursor_mz * 1000000, 4) AS ppm
+FROM (SELECT *, mass / charge + {K.PROTON!r} AS z FROM ({X.PRECURSORS}) q JOIN ({_MASSES}) p ON charge BETWEEN 1 AND 10 AND abs((precursor_mz - {K.PROTON!r}) * charge - mass) < 0.5) x""")
+def ppm_isotope_fit(spark, d):
+    p = _peptides(spark, d).select(F.col("spectrum_id").alias("peptide_id"), P.peptide_mass(P.split_residues(F.col("peptide"))).alias("mass"))
+    rows = precursor_window_join(spark, d).join(_precursors(spark, d), "spectrum_id").join(p, "peptide_id")
+    return rows.select("spectrum_id", "peptide_id", F.round(P.isotope_ppm(P.mass_to_mz(F.col("mass"), F.col("charge")), F.col("precursor_mz"), F.col("charge")), 4).alias("ppm"))
+
+
 _SIM = f"""SELECT a.batch_id, a.pair_id AS spectrum, b.pair_id AS peptide, 20 * list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))
   / sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) / sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS sim
 FROM ({X.contrast(True)}) a JOIN ({X.contrast(True)}) b ON a.batch_id = b.batch_id AND a.side = 'spectrum' AND b.side = 'peptide'"""
