@@ -88,3 +88,11 @@ def test_curve_and_mean(spark):
     area = metrics.pr_auc(rows, "d").first().pr_auc
     assert abs(area - (0 + (1 / 3) * (0.5 + 2 / 3) / 2)) < 1e-9
     assert [r.v for r in metrics.with_mean(spark.createDataFrame([("x", 1.0), ("y", 2.0)], "n string, v double"), "n", ["v"]).orderBy("n").collect()] == [1.5, 1.0, 2.0]
+
+
+def test_seven_metrics(spark):
+    names = "spectrum_id int, d string, score double, given boolean, n_match int, n_true int, n_pred int, whole boolean, ptm_true_match int, ptm_pred_match int, ptm_true int, ptm_pred int"
+    rows = [(1, "a", 0.9, True, 4, 4, 4, True, 1, 1, 1, 1), (2, "a", 0.8, True, 1, 4, 3, False, 0, 0, 1, 1), (3, "a", 0.7, False, 1, 2, 1, True, 0, 0, 0, 0)]
+    r = metrics.seven(spark.createDataFrame(rows, names), "d").first()
+    want = {"aa_precision": 5 / 7, "aa_recall": 0.5, "peptide_precision": 1 / 3, "peptide_recall": 1 / 3, "ptm_precision": 0.5, "ptm_recall": 0.5, "pr_auc": 0.0}
+    assert {k: round(r[k], 6) for k in want} == {k: round(v, 6) for k, v in want.items()}
