@@ -39,36 +39,48 @@ def _ordered(line: Column, ranks: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(_words(line), number)))
 
 
-def similar_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(lines, links): every line (doc_id, row_key, line_no, h), and all pairs (u, v), u < v, of different similar lines by h.
+def _sketch(s: Column) -> Column:
+    """64 bits, each the parity of the words that fall on it: sets that differ in d words have sketches that differ in d bits at most."""
+    return F.aggregate(s, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(w, F.lit(64)).cast("int"))))
+
+
+def similar_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, firsts, links): every line (doc_id, row_key, line_no, h), the first place of each h, and all pairs (u, v), u < v, of different similar lines by h.
 
     Sets of n words that are similar share one of their first n - ceil(t n) + 1 words in a common order, rarest first
     (prefix filter); the shorter has at least t times the words of the longer (length filter), and behind the first
-    words that they share enough must remain in both (positional filter). What passes is verified on the full sets.
+    words that they share enough must remain in both (positional filter). Pairs whose sketches differ in more bits than
+    similar sets can differ in words go as well. What passes is verified on the words themselves.
     Equal lines are one row of the join, so copies cost nothing.
     """
     ranks = rarity(docs)
     lines = written(_lines(docs).drop("line"), "lines")
-    each = _lines(docs).select("h", _ordered(F.col("line"), ranks).alias("s")).withColumn("n", F.size("s")).where("n > 0")
+    firsts = written(lines.groupBy("h").agg(F.min(_place()).alias("first")), "firsts")
+    each = _lines(docs).select("h", _ordered(F.col("line"), ranks).alias("s")).withColumn("n", F.size("s"))
     need = F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9)
-    each = each.select("h", "n", F.slice("s", 1, (F.col("n") - need + 1).cast("int")).alias("p"))
-    first = each.groupBy("h").agg(F.max("n").alias("n"), F.first("p").alias("p")).select("h", "n", F.posexplode("p").alias("i", "s"))
-    x, y = (first.select("s", *[F.col(c).alias(c + k) for c in ("h", "n", "i")]) for k in "xy")
+    each = each.select("h", F.struct("n", _sketch(F.col("s")).alias("b"), F.transform(F.slice("s", 1, (F.col("n") - need + 1).cast("int")), lambda w: F.hash(w)).alias("p")).alias("x"))
+    each = each.groupBy("h").agg(F.first("x").alias("x")).select("h", "x.*")
+    first = each.select("h", "n", "b", F.posexplode("p").alias("i", "s"))  # by a hash of the word: more candidates at worst
+    x, y = (first.select("s", *[F.col(c).alias(c + k) for c in ("h", "n", "b", "i")]) for k in "xy")
     total, left = F.col("nx") + F.col("ny"), F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
     fits = (F.col("hx") < F.col("hy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & ((100 + percent) * left >= percent * total)
-    pairs = written(x.join(y, "s").where(fits).select(F.col("hx").alias("u"), F.col("hy").alias("v")).distinct(), "pairs")
+    near = (100 + percent) * (total - F.bit_count(F.col("bx").bitwiseXOR(F.col("by")))) >= 2 * percent * total
+    pairs = written(x.join(y, "s").where(fits & near).select(F.col("hx").alias("u"), F.col("hy").alias("v"), total.alias("total")).distinct(), "pairs")
+
     named = pairs.select(F.col("u").alias("h")).union(pairs.select("v")).distinct()
-    holder = lines.join(named, "h", "left_semi").groupBy("h").agg(F.min(F.struct("row_key", "line_no")).alias("at"))
-    wanted = holder.select(F.col("at.row_key").alias("row_key"), F.struct("h", "at.line_no").alias("at")).groupBy("row_key").agg(F.collect_list("at").alias("at"))
+    holder = firsts.join(named, "h", "left_semi")
+    wanted = holder.select(F.col("first.row_key").alias("row_key"), F.struct("h", "first.line_no").alias("at")).groupBy("row_key").agg(F.collect_list("at").alias("at"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select(F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    some = texts.join(wanted, "row_key").select(F.explode(F.expr("transform(at, a -> struct(a.h as h, split(text, '\n')[a.line_no] as line))")).alias("x"))
-    sets = written(some.select("x.h", F.array_distinct(F.transform(_words(F.col("x.line")), lambda w: F.xxhash64(w))).alias("s")).dropDuplicates(["h"]), "sets")
-    a, b = sets.select(F.col("h").alias("u"), "s"), sets.select(F.col("h").alias("v"), F.col("s").alias("t"))
-    common = F.size(F.array_intersect("s", "t"))
-    links = written(pairs.join(b, "v").join(a, "u").where(100 * common >= percent * (F.size("s") + F.size("t") - common)).select("u", "v"), "links")
+    some = texts.join(wanted, "row_key").select(F.explode(F.expr("transform(at, a -> struct(a.h as h, split(text, '\n')[a.line_no] as line))")).alias("x")).select("x.*")
+    some = written(some, "texts", "zstd")
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows hold the same lines
+        some = some.dropDuplicates(["h"])
+    a, b = some.select(F.col("h").alias("u"), F.col("line").alias("s")), some.select(F.col("h").alias("v"), F.col("line").alias("t"))
+    common = F.size(F.array_intersect(_words(F.col("s")), _words(F.col("t"))))
+    links = written(pairs.join(b, "v").join(a, "u").where((100 + percent) * common >= percent * F.col("total")).select("u", "v"), "links")
     drop(pairs)
-    drop(sets)
-    return lines, links
+    drop(some)
+    return lines, firsts, links
 
 
 def _place(prefix: str = "") -> Column:
@@ -77,9 +89,8 @@ def _place(prefix: str = "") -> Column:
 
 def _judged(docs: DataFrame, percent: int) -> DataFrame:
     """Every line with links (to different lines), the place of the earliest match, and whether that lies before it."""
-    lines, links = similar_lines(docs, percent)
+    lines, firsts, links = similar_lines(docs, percent)
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    firsts = lines.groupBy("h").agg(F.min(_place()).alias("first"))
     near = both.join(firsts.withColumnRenamed("h", "v"), "v").groupBy("u").agg(F.min("first").alias("near"), F.count("*").alias("links"))
     best = written(firsts.join(near.withColumnRenamed("u", "h"), "h", "left").select("h", F.least("first", F.coalesce("near", "first")).alias("best"), F.coalesce("links", F.lit(0)).alias("links")), "best")
     return lines.join(best, "h").withColumn("removed", F.col("best") < _place())
@@ -95,11 +106,13 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     doc_id among their earliest matches (itself included; null stays null), removed lists the numbers of removed
     lines. Null texts are one empty line. Rows that share doc_id and text count as one document.
     """
-    out = _judged(docs, percent).dropDuplicates(["doc_id", "row_key", "line_no"]).groupBy("doc_id", "row_key").agg(
-        F.count("*").alias("n_lines"), F.sum(F.col("removed").cast("long")).alias("n_removed"), F.sum("links").cast("long").alias("n_links"),
-        F.nullif(F.min("best.doc_id"), F.lit(-(2**63))).alias("class_id"), F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line_no")))).alias("removed"),
+    line = F.struct("line_no", "removed", "links", F.col("best.doc_id").alias("class_id"))
+    rows = _judged(docs, percent).groupBy("doc_id", "row_key").agg(F.collect_set(line).alias("x"))  # a set: repeated rows give the same lines
+    return rows.select(
+        "doc_id", "row_key", F.size("x").cast("long").alias("n_lines"), F.size(F.filter("x", lambda l: l["removed"])).cast("long").alias("n_removed"),
+        F.aggregate("x", F.lit(0).cast("long"), lambda n, l: n + l["links"]).alias("n_links"), F.nullif(F.array_min("x.class_id"), F.lit(-(2**63))).alias("class_id"),
+        F.sort_array(F.transform(F.filter("x", lambda l: l["removed"]), lambda l: l["line_no"])).alias("removed"),
     )
-    return out
 
 
 def without_repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
