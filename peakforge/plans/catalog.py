@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from peakforge.functions import activations as A
 from peakforge.functions import constants as K
 from peakforge.functions import peptide as P
+from peakforge.functions import sizing
 from peakforge.functions import vectors as V
 from peakforge.operators import decoding, matching, metrics, spectra
 from peakforge.plans import fixtures as X
@@ -154,14 +156,14 @@ def precursor_window_join(spark, d):
     return p.join(q, "bin").where(F.abs(F.col("m") - F.col("mass")) < 0.5).select("spectrum_id", "peptide_id")
 
 
-def _walk_sql(merge: bool) -> str:
-    """The walk of a prefix match as a recursive CTE; merge: with I read as L."""
+def _walk_sql(merge: bool, turn: str = "") -> str:
+    """The walk of a prefix match as a recursive CTE; merge: with I read as L; turn: a function on both lists first."""
     p, q = (f"replace({c}, 'I', 'L')" if merge else c for c in ("gt_peptide", "coalesce(pred_peptide, '')"))
     return f"""
 WITH RECURSIVE f AS ({X.pairs(True)}), v AS (SELECT map(list(token), list(mass)) AS m FROM {_VOCAB}),
 t AS (SELECT spectrum_id, CASE WHEN {p} = '' THEN [''] ELSE regexp_extract_all({p}, '^[^A-Z]+|[A-Z][^A-Z]*') END AS p,
   CASE WHEN {q} = '' THEN [''] ELSE regexp_extract_all({q}, '^[^A-Z]+|[A-Z][^A-Z]*') END AS q FROM f),
-x AS (SELECT spectrum_id, list_transform(p, lambda k: coalesce(v.m[k], 0)) AS p, list_transform(q, lambda k: coalesce(v.m[k], 0)) AS q FROM t, v),
+x AS (SELECT spectrum_id, list_transform({turn}(p), lambda k: coalesce(v.m[k], 0)) AS p, list_transform({turn}(q), lambda k: coalesce(v.m[k], 0)) AS q FROM t, v),
 w AS (SELECT spectrum_id, p, q, 1 AS i, 1 AS j, 0::DOUBLE AS a, 0::DOUBLE AS b, CAST(NULL AS INT) AS hit FROM x
   UNION ALL SELECT spectrum_id, p, q, CASE WHEN meet OR b + q[j] > a + p[i] THEN i + 1 ELSE i END, CASE WHEN meet OR NOT b + q[j] > a + p[i] THEN j + 1 ELSE j END,
     CASE WHEN meet OR b + q[j] > a + p[i] THEN a + p[i] ELSE a END, CASE WHEN meet OR NOT b + q[j] > a + p[i] THEN b + q[j] ELSE b END,
@@ -176,6 +178,12 @@ def aa_match_prefix(spark, d):
     return _pairs(spark, d).select("spectrum_id", flags.alias("f")).select("spectrum_id", F.size("f").alias("n"), matching.count_true(F.col("f")).alias("n_match"))
 
 
+@query(_walk_sql(False, "list_reverse") + "SELECT spectrum_id, CAST(greatest(len(p), len(q)) AS INT) AS n, CAST(count(DISTINCT hit) AS INT) AS n_match FROM w GROUP BY spectrum_id, p, q")
+def aa_match_backward(spark, d):
+    flags = matching.match(P.split_residues(F.col("gt_peptide")), P.split_residues(F.coalesce("pred_peptide", F.lit(""))), "backward")
+    return _pairs(spark, d).select("spectrum_id", flags.alias("f")).select("spectrum_id", F.size("f").alias("n"), matching.count_true(F.col("f")).alias("n_match"))
+
+
 def _matched(spark, d, assign: bool = True) -> DataFrame:
     t, p = P.split_residues(P.merge_isomers(F.col("gt_peptide"))), P.split_residues(P.merge_isomers(F.coalesce("pred_peptide", F.lit(""))))
     rows = _pairs(spark, d).select("spectrum_id", "lang", "source", F.col("pred_score").alias("score"), t.alias("t"), p.alias("p"), F.col("pred_peptide").isNotNull().alias("given"))
@@ -365,6 +373,12 @@ def clip_similarity(spark, d):
     return _similarity(spark, d).withColumn("sim", F.round("sim", 4))
 
 
+@query(f"SELECT batch_id, spectrum, first(peptide ORDER BY round(sim, 6) DESC, peptide) AS peptide FROM ({_SIM}) s GROUP BY batch_id, spectrum")
+def clip_top1(spark, d):
+    best = F.max_by("peptide", F.struct(F.round("sim", 6), -F.col("peptide")))
+    return _similarity(spark, d).groupBy("batch_id", "spectrum").agg(best.alias("peptide"))
+
+
 @query(f"""WITH s AS ({_SIM}), r AS (SELECT *, ln(sum(exp(sim)) OVER (PARTITION BY spectrum)) AS row_l, ln(sum(exp(sim)) OVER (PARTITION BY peptide)) AS col_l,
   sim = max(sim) OVER (PARTITION BY spectrum) AS row_1, sim = max(sim) OVER (PARTITION BY peptide) AS col_1 FROM s)
 SELECT batch_id, round(avg((row_l - sim + col_l - sim) / 2), 4) AS loss, round(avg((CAST(row_1 AS INT) + CAST(col_1 AS INT)) / 2::DOUBLE), 4) AS top_1 FROM r WHERE spectrum = peptide GROUP BY batch_id""")
@@ -388,6 +402,26 @@ def lr_schedule(spark, d):
     return spark.range(1000).select(F.col("id").alias("step"), F.round(V.learning_rate(F.col("id"), 100, 1000, 3), 6).alias("factor"))
 
 
+@query("""SELECT i AS gib, i % 11 AS beams, CAST(greatest(floor(floor(greatest(i * 1073741824.0::DOUBLE - 1610612736, 0) * 0.95::DOUBLE / (item * 1.15::DOUBLE)) / 8) * 8, 1) AS BIGINT) AS items
+FROM (SELECT i, greatest(i % 11, 1) * (300 * 512 * 2 + 4 * 100 * 9 * 512 * 2 * (1 + d) + 1024 * 2 + 2 * d * (8 * 102 + 4 * 102 * 29 + 4 + 8 * 102 * 102 + 4 * 102 + 4))
+  + 1.5::DOUBLE * (4 * 8 * 301 * 301 + 301 * 1024 * 2) AS item FROM (SELECT range AS i, CASE WHEN range % 11 >= 1 THEN 1 ELSE 0 END AS d FROM range(0, 200)) r) s""")
+def batch_size_model(spark, d):
+    rows = spark.range(200).select(F.col("id").alias("gib"), (F.col("id") % 11).alias("beams"))
+    return rows.select("gib", "beams", sizing.batch_size(F.col("gib") * float(1 << 30), F.col("beams")).alias("items"))
+
+
+_X = "(SELECT vec_id, embedding[1]::DOUBLE * 10 AS x, embedding[2]::DOUBLE AS y FROM embeddings) e"
+
+
+@query(f"""SELECT vec_id, round(greatest(x, 0), 6) + 0.0::DOUBLE AS relu, round({A.SELU_SCALE!r}::DOUBLE * CASE WHEN x > 0 THEN x ELSE {A.SELU_ALPHA!r}::DOUBLE * (exp(x) - 1) END, 6) + 0.0::DOUBLE AS selu,
+  round(x / (1 + exp(-x)), 6) + 0.0::DOUBLE AS silu, round(x / (1 + exp(-x)) * y, 6) + 0.0::DOUBLE AS swilu FROM {_X}""")
+def activation_functions(spark, d):
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").selectExpr("vec_id", "double(embedding[0]) * 10 AS x", "double(embedding[1]) AS y")
+    x = F.col("x")
+    values = {n: A.activation(n, x) for n in ("relu", "selu", "silu")} | {"swilu": A.activation("swilu", x, F.col("y"))}
+    return rows.select("vec_id", *[(F.round(v, 6) + F.lit(0.0)).alias(n) for n, v in values.items()])
+
+
 @query(f"SELECT spectrum_id, 'BEGIN IONS' || chr(10) || 'TITLE=all:test:' || spectrum_id || chr(10) || 'PEPMASS=' || printf('%.6f', precursor_mz) || chr(10) || 'CHARGE=' || charge || '+' || chr(10) || 'END IONS' AS value FROM ({X.PRECURSORS}) q")
 def mgf_text(spark, d):
     rows = _precursors(spark, d).withColumns({"title": F.concat(F.lit("all:test:"), F.col("spectrum_id").cast("string")), "peaks": F.array().cast("array<struct<mz:double, intensity:double>>")})
