@@ -6,16 +6,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakforge.llm import text as T
 from peakforge.llm.store import written
 
-#: Words in a window, and the fewest of them that are no slots; an item with fewer than LEAST words is never found.
+#: Words in a window, and the fewest of them that are no slots; an item with fewer than LEAST words is found as it is only.
 WINDOW, LITERAL, LEAST = 8, 4, 4
-#: A document holds an item if it holds this share of its windows.
-COVER = 0.5
+#: A document holds an item if it holds this share of its windows, or this many of its words in a row, however long it is.
+COVER, RUN = 0.5, 13
 #: Bits of the filter that all executors get: 1 MB however large the benchmark is. Beyond that it lets more through
 #: to the join, which decides.
 FILTER_BITS = 23
@@ -98,7 +98,7 @@ def _bench_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for i in range(hi - lo):
                 n = int(bounds[i + 1] - bounds[i])
-                if n < LEAST:
+                if not n:
                     continue
                 k = min(n, WINDOW)
                 first = np.arange(bounds[i], bounds[i + 1] - k + 1)
@@ -107,7 +107,7 @@ def _bench_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for j, f in enumerate(first):
                     own = slot[f : f + k]
                     rows.append((literal[j].astype(np.int64), ids[i], j, len(first), k, False, []))
-                    if own.any() and k - own.sum() >= min(LITERAL, k - 1):
+                    if n >= LEAST and own.any() and k - own.sum() >= min(LITERAL, k - 1):
                         rows.append((template[j].astype(np.int64), ids[i], j, len(first), k, True, np.where(own, h[f : f + k], _U(0)).view(np.int64).tolist()))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names=names)
@@ -163,8 +163,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
     were found as templates only. Words lose case and signs. Windows of WINDOW words are compared as they are, and as
     templates with numbers, units and names replaced by typed placeholders. Templates found at one shift of the item
     count only if each of its slot values stands for one value of the document throughout. A pair is returned if at
-    least `cover` of the item's windows are found. Items and texts that are null or shorter than LEAST words, empty
-    tables and documents without items give no rows; rows that share doc_id and text count once; ties don't arise.
+    least `cover` of the item's windows are found, or RUN words of it in a row at one shift. Items of fewer than LEAST
+    words are compared as they are. Items and texts that are null or have no words, empty tables and documents without
+    items give no rows; rows that share doc_id and text count once; ties don't arise.
 
     Documents are read once and filtered against a bit table of fixed size; what passes is joined by window key.
     """
@@ -182,8 +183,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
     on = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.expr("a.row_key = b.row_key and a.item_id <=> b.item_id and a.shift = b.shift") & F.col("a.templated")
     fine = hits.drop("ours", "theirs").alias("a").join(mixed.alias("b"), on, "left_anti")
     per = fine.groupBy("doc_id", "row_key", "item_id", "at", "total").agg(F.min("templated").alias("templated"))
+    # windows of a run have one difference of place and rank
+    spots = fine.select(*place, "at", (F.col("total") > RUN - WINDOW).alias("long")).where("long").distinct()
+    rank = F.row_number().over(Window.partitionBy(*place).orderBy("at"))
+    runs = spots.withColumn("run", F.col("at") - rank).groupBy(*place, "run").count().where(F.col("count") > RUN - WINDOW)
+    held = runs.select("doc_id", "row_key", "item_id").distinct().withColumn("held", F.lit(True))
     out = per.groupBy("doc_id", "row_key", "item_id").agg(F.count("*").alias("n_windows"), F.max("total").alias("n_item_windows"), F.max("templated").alias("templated"))
-    return out.where(F.col("n_windows") >= F.col("n_item_windows") * cover)
+    same = F.expr("o.doc_id <=> r.doc_id and o.row_key = r.row_key and o.item_id <=> r.item_id")
+    return out.alias("o").join(held.alias("r"), same, "left").where((F.col("n_windows") >= F.col("n_item_windows") * cover) | F.col("held")).select("o.*")
 
 
 def without_items(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:

@@ -105,6 +105,17 @@ def test_decontamination(spark, docs, texts):
     assert decontam.contaminated(rows, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_passages(spark):
+    rng = random.Random(2)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    item, long = prose(59).split(), prose(200).split()
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(long)), (3, "Too short!"), (4, "word")], "item_id long, text string")
+    quotes = [item[10:35], long[50:140], item[20:33], item[20:32], ["Is", "this", "too", "short?"], ["too", "very", "short"], ["one", "word", "here"]]
+    rows = [(i, f"{prose(40)} {' '.join(q)} {prose(40)}") for i, q in enumerate(quotes)]
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(0, 1), (1, 2), (2, 1), (4, 3), (6, 4)}
+
+
 def test_mixing(docs, texts, none):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == len(texts) and sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs).collect()))
