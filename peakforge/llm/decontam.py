@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from peakforge.llm import text as T
 from peakforge.llm.store import written
 
-#: Words in a window, and the fewest of them that are no slots; an item with fewer than LEAST words is found as it is only.
+#: Words in a window, and the fewest of them that are no slots where the window counts without a neighbour; an item
+#: with fewer than LEAST words is found as it is only.
 WINDOW, LITERAL, LEAST = 8, 4, 4
 #: A document holds an item if it holds this share of its windows, or this many of its words in a row, however long it is.
 COVER, RUN = 0.5, 13
@@ -42,8 +43,10 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(T.word_hashes(data, s, e))
 
 
-def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all words that have a letter or digit: hash of the bare lower-case word, template hash, whether it is a slot; rows' bounds.
+def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words that have a letter or digit: hash of the bare lower-case word, kind of slot (0 for none), whether it
+    may be a name as well (capitalised, seen at the beginning of sentences only), whether it may go on a name that ends
+    right before it; rows' bounds.
 
     A word with a digit is a number, a word of UNITS a unit, a capitalised word a name
     if it, or the same word elsewhere in the text, begins no sentence.
@@ -60,11 +63,12 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     some = bare_end > bare_start
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     number = digits[ends] > digits[starts]
-    opens = np.ones(len(starts), bool)
+    opens, joins = np.ones(len(starts), bool), np.zeros(len(starts), bool)
     if len(starts) > 1:
         opens[1:] = _END[data[ends[:-1] - 1]]
         lines = np.concatenate([[0], np.cumsum(data == 10)])
         opens[1:] |= lines[starts[1:]] > lines[starts[:-1]]
+        joins[1:] = _WORDY[data[ends[:-1] - 1]]
     opens[bounds[:-1][bounds[:-1] < len(starts)]] = True
     caps = np.concatenate([[0], np.cumsum(capital)])
     letter = caps[np.minimum(starts + 2, ends)] > caps[starts]
@@ -78,7 +82,7 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     at = np.minimum(np.searchsorted(_UNIT_HASHES, h), len(_UNIT_HASHES) - 1)
     unit = _UNIT_HASHES[at] == h
     kind = np.select([number, unit, name], [NUMBER, UNIT, NAME], _U(0))
-    return h, np.where(kind > 0, kind, h), kind > 0, bounds
+    return h, kind, first & (kind == 0), (joins & ~opens)[some], bounds
 
 
 _UNIT_HASHES = _unit_hashes()
@@ -88,28 +92,77 @@ def _windows(h: np.ndarray, first: np.ndarray, k: int, templated: bool) -> np.nd
     return T.spans(h, first, first + k, 11 if templated else 12)
 
 
+def _template(h: np.ndarray, kind: np.ndarray, joins: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all places, a run of adjacent names being one: template hash, hash of the slot's words (0 for no slot), first word; rows' bounds."""
+    more = joins & (kind == NAME)
+    more[1:] &= kind[:-1] == NAME
+    start = np.flatnonzero(~more)
+    end = np.append(start[1:], len(h)).astype(np.int64)
+    value = h[start]
+    long = end - start > 1
+    value[long] = T.spans(h, start[long], end[long], 13)
+    slot = kind[start] > 0
+    return np.where(slot, kind[start], value), np.where(slot, value, _U(0)), start, np.searchsorted(start, bounds)
+
+
+def _readings(kind: np.ndarray, maybe: np.ndarray) -> list[np.ndarray]:
+    """Kinds with the doubtful words taken as they are, all as names, and each alone as a name."""
+    at = np.flatnonzero(maybe)
+    out = [kind] + ([np.where(maybe, NAME, kind)] if len(at) else [])
+    for i in at if len(at) > 1 else []:
+        out.append(kind.copy())
+        out[-1][i] = NAME
+    return out
+
+
+def _item_templates(h: np.ndarray, kind: np.ndarray, maybe: np.ndarray, joins: np.ndarray) -> Iterator[tuple]:
+    """Template windows of an item: key, place, first window of words it stands for, how many, size, grade, hashes of the slots' words.
+
+    Grade 1: LITERAL words are no slots and no doubtful word is a name. 2: others that count alone. 3: windows with
+    more slots, which count beside another only. Windows of slots alone match any row of numbers; they are left out.
+    """
+    seen = set()
+    for n, reading in enumerate(_readings(kind, maybe)):
+        t, value, start, bounds = _template(h, reading, joins, np.array([0, len(h)]))
+        m = len(t)
+        k = min(m, WINDOW)
+        first = np.arange(m - k + 1)
+        ends = np.append(start, len(h))
+        keys = _windows(t, first, k, True)
+        for j in first:
+            own = value[j : j + k]
+            left = k - int((own > 0).sum())
+            key, at = int(keys[j].astype(np.int64)), int(start[j])
+            if left in (0, k) or (key, at) in seen:
+                continue
+            seen.add((key, at))
+            enough = left >= min(LITERAL, k - 1)
+            if not enough and len(first) == 1 and k < WINDOW:
+                continue
+            alone = enough or (len(first) == 1 and left > 1)
+            windows = int(ends[j + k]) - at - min(len(h), WINDOW) + 1
+            yield key, int(j), at, windows, k, (1 if n == 0 else 2) if enough else 2 if alone else 3, own.view(np.int64).tolist()
+
+
 def _bench_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each item: key, position, whether templated, window size, hashes of its words where they are slots (else 0)."""
-    names = ["key", "item_id", "pos", "total", "k", "templated", "slots"]
+    """Of each item's windows: key, place among the windows of its kind, window of words, how many of them it stands for, all of these, size, grade (0 for words as they are), slots."""
+    names = ["key", "item_id", "pos", "at", "windows", "total", "k", "grade", "slots"]
     for b in batches:
         for lo, hi, data, offs in T.slices(b, "text"):
-            h, t, slot, bounds = tokens(data, offs)
+            h, kind, maybe, joins, bounds = tokens(data, offs)
             ids = b.column(0).slice(lo, hi - lo).to_pylist()
             rows = []
             for i in range(hi - lo):
+                own = slice(bounds[i], bounds[i + 1])
                 n = int(bounds[i + 1] - bounds[i])
                 if not n:
                     continue
                 k = min(n, WINDOW)
-                first = np.arange(bounds[i], bounds[i + 1] - k + 1)
-                literal = _windows(h, first, k, False)
-                template = _windows(t, first, k, True)
-                for j, f in enumerate(first):
-                    own = slot[f : f + k]
-                    rows.append((literal[j].astype(np.int64), ids[i], j, len(first), k, False, []))
-                    if n >= LEAST and own.any() and k - own.sum() >= min(LITERAL, k - 1):
-                        rows.append((template[j].astype(np.int64), ids[i], j, len(first), k, True, np.where(own, h[f : f + k], _U(0)).view(np.int64).tolist()))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+                first = np.arange(n - k + 1)
+                rows += [(int(key), ids[i], j, j, 1, len(first), k, 0, []) for j, key in enumerate(_windows(h[own], first, k, False).view(np.int64))]
+                if n >= LEAST:
+                    rows += [(key, ids[i], j, at, w, len(first), size, grade, slots) for key, j, at, w, size, grade, slots in _item_templates(h[own], kind[own], maybe[own], joins[own])]
+            types = [*[pa.int64()] * 8, pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names=names)
 
 
@@ -121,23 +174,27 @@ def _probe(bits, lengths: list[int]) -> Callable:
         shift = _U(64 - FILTER_BITS)
         for b in batches:
             for lo, hi, data, offs in T.slices(b, "text"):
-                h, t, slot, bounds = tokens(data, offs)
+                h, kind, maybe, joins, bounds = tokens(data, offs)
+                plain = _template(h, kind, joins, bounds)
+                named = _template(h, np.where(maybe, NAME, kind), joins, bounds)
+                doubt = np.concatenate([[0], np.cumsum(maybe)])
                 out = []
                 for k in lengths:
-                    first, _ = T.window_starts(bounds, k)
-                    for templated, of in ((False, h), (True, t)):
+                    for templated, (of, value, start, rows) in ((False, (h, None, None, bounds)), (True, plain), (True, named)):
+                        first, _ = T.window_starts(rows, k)
                         key = _windows(of, first, k, templated)
                         hit = table[key >> shift]
                         at, key = first[hit], key[hit]
+                        slots = [[]] * len(at)
                         if templated:
-                            own = slot[at[:, None] + np.arange(k)]
+                            own = value[at[:, None] + np.arange(k)]
                             ok = own.any(axis=1)
-                            at, key, own = at[ok], key[ok], own[ok]
-                            slots = np.where(own, h[at[:, None] + np.arange(k)], _U(0)).view(np.int64).tolist()
-                        else:
-                            slots = [[]] * len(at)
-                        row = np.searchsorted(bounds, at, "right") - 1
-                        out.append((row, key, at - bounds[row], templated, slots))
+                            if value is named[1]:  # windows without doubtful words are those of the plain reading
+                                ok &= doubt[np.append(start, len(h))[at + k]] > doubt[start[at]]
+                            at, key = at[ok], key[ok]
+                            slots = own[ok].view(np.int64).tolist()
+                        row = np.searchsorted(rows, at, "right") - 1
+                        out.append((row, key, at - rows[row], templated, slots))
                 row = np.concatenate([x[0] for x in out])
                 cols = [b.column(0).slice(lo, hi - lo).take(pa.array(row)), b.column(1).slice(lo, hi - lo).take(pa.array(row)), pa.array(np.concatenate([x[1] for x in out]).view(np.int64)), pa.array(np.concatenate([x[2] for x in out]))]
                 cols += [pa.array(np.concatenate([np.full(len(x[0]), x[3]) for x in out])), pa.array([s for x in out for s in x[4]], pa.list_(pa.int64()))]
@@ -162,29 +219,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
     Also: row_key (xxhash64 of the text, for joins back), n_windows of the item found, n_item_windows, and whether some
     were found as templates only. Words lose case and signs. Windows of WINDOW words are compared as they are, and as
     templates with numbers, units and names replaced by typed placeholders. Templates found at one shift of the item
-    count only if each of its slot values stands for one value of the document throughout. A pair is returned if at
+    count only if each of its slot values stands for one value of the document throughout; where few words are no
+    slots, also only beside another one. Adjacent names are one slot; a capitalised word that only begins sentences is
+    tried as a word and as a name. A pair is returned if at
     least `cover` of the item's windows are found, or RUN words of it in a row at one shift. Items of fewer than LEAST
     words are compared as they are. Items and texts that are null or have no words, empty tables and documents without
     items give no rows; rows that share doc_id and text count once; ties don't arise.
 
     Documents are read once and filtered against a bit table of fixed size; what passes is joined by window key.
     """
-    index = written(benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_bench_rows, "key long, item_id long, pos long, total long, k long, templated boolean, slots array<long>"), "benchmark")
+    index = written(benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_bench_rows, "key long, item_id long, pos long, at long, windows long, total long, k long, grade long, slots array<long>"), "benchmark")
     lengths = sorted(r["k"] for r in index.select("k").distinct().collect())
     if not lengths:
         return docs.sparkSession.createDataFrame([], "doc_id long, row_key long, item_id long, n_windows long, n_item_windows long, templated boolean")
     shared = docs.sparkSession.sparkContext.broadcast(_filter(index))
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_key"), "text")
     found = rows.mapInArrow(_probe(shared, lengths), "doc_id long, row_key long, key long, pos long, templated boolean, slots array<long>")
-    hits = written(found.alias("d").join(index.alias("b"), ["key", "templated"]).select("doc_id", "row_key", "item_id", F.col("b.pos").alias("at"), (F.col("d.pos") - F.col("b.pos")).alias("shift"), "total", "templated", F.col("d.slots").alias("theirs"), F.col("b.slots").alias("ours")), "hits")
+    on = F.expr("d.key = b.key and d.templated = (b.grade > 0)")
+    hits = written(found.alias("d").join(index.alias("b"), on).select("doc_id", "row_key", "item_id", "b.pos", "at", "windows", (F.col("d.pos") - F.col("b.pos")).alias("shift"), "total", "grade", "templated", F.col("d.slots").alias("theirs"), F.col("b.slots").alias("ours")), "hits")
     place = ["doc_id", "row_key", "item_id", "shift"]
-    slots = hits.where("templated").select(*place, F.explode(F.arrays_zip("ours", "theirs")).alias("s")).where("s.ours <> 0")
-    mixed = slots.groupBy(*place, F.col("s.ours")).agg(F.min("s.theirs").alias("lo"), F.max("s.theirs").alias("hi")).where("lo <> hi").select(*place).distinct()
-    on = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.expr("a.row_key = b.row_key and a.item_id <=> b.item_id and a.shift = b.shift") & F.col("a.templated")
+    slots = hits.where("templated").select(*place, "grade", F.explode(F.arrays_zip("ours", "theirs")).alias("s")).where("s.ours <> 0")
+    # the surer windows of a shift don't fall with the others
+    least = lambda x, grade: F.min(F.when(F.col("grade") <= grade, x))
+    most = lambda x, grade: F.max(F.when(F.col("grade") <= grade, x))
+    clash = lambda grade: least(F.col("s.theirs"), grade) != most(F.col("s.theirs"), grade)
+    worst = F.coalesce(*[F.when(clash(g), F.lit(g)) for g in (1, 2, 3)])
+    mixed = slots.groupBy(*place, F.col("s.ours")).agg(worst.alias("from")).groupBy(*place).agg(F.min("from").alias("from")).where("from is not null")
+    on = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.expr("a.row_key = b.row_key and a.item_id <=> b.item_id and a.shift = b.shift and a.grade >= b.from") & F.col("a.templated")
     fine = hits.drop("ours", "theirs").alias("a").join(mixed.alias("b"), on, "left_anti")
+    by = Window.partitionBy(*place, "templated").orderBy("pos")
+    beside = F.count("*").over(by.rangeBetween(-1, 1)) > F.count("*").over(by.rangeBetween(0, 0))
+    fine = fine.withColumn("beside", beside).where("grade < 3 or beside").withColumn("at", F.explode(F.sequence("at", F.col("at") + F.col("windows") - 1)))
     per = fine.groupBy("doc_id", "row_key", "item_id", "at", "total").agg(F.min("templated").alias("templated"))
     # windows of a run have one difference of place and rank
-    spots = fine.select(*place, "at", (F.col("total") > RUN - WINDOW).alias("long")).where("long").distinct()
+    spots = fine.where(F.col("total") > RUN - WINDOW).select(*place, "at").distinct()
     rank = F.row_number().over(Window.partitionBy(*place).orderBy("at"))
     runs = spots.withColumn("run", F.col("at") - rank).groupBy(*place, "run").count().where(F.col("count") > RUN - WINDOW)
     held = runs.select("doc_id", "row_key", "item_id").distinct().withColumn("held", F.lit(True))

@@ -116,6 +116,21 @@ def test_decontamination_of_passages(spark):
     assert got == {(0, 1), (1, 2), (2, 1), (4, 3), (6, 4)}
 
 
+def test_decontamination_of_dense_templates(spark):
+    items = ["A train travels 60 km in 2 hours and 90 km in 3 hours. What is its speed?", "Tom buys 3 pens and 2 red caps", "In the shop Tom asks for 7 ripe plums and later gives Sam half of them", "3 4 5 6 7 8 9 10"]
+    texts = [
+        "Look here. A train travels 50 miles in 4 days and 70 miles in 9 days. What is its speed?",
+        "Ann buys 5 pens and 8 red caps",
+        "So in the shop Mary Ann asks for 9 ripe plums and later gives Bob Lee half of them now",
+        "11 12 13 14 15 16 17 18 19 20",
+        "A train travels 50 miles in 4 days and 70 km in 9 hours. What is its speed?",
+    ]
+    rows = lambda x, name: spark.createDataFrame(list(enumerate(x)), f"{name} long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(rows(texts, "doc_id"), rows(items, "item_id")).collect()}
+    assert set(got) == {(0, 0), (1, 1), (2, 2)} and all(r.templated and r.n_windows <= r.n_item_windows for r in got.values())
+    assert got[0, 0].n_windows == 11
+
+
 def test_mixing(docs, texts, none):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == len(texts) and sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs).collect()))
