@@ -95,6 +95,26 @@ def test_kneser_ney_sums_to_one(docs):
         assert abs(p.sum() - 1) < 1e-6
 
 
+def test_bands_of_any_language(spark):
+    rng = random.Random(4)
+    tongues = {"ru": "абвгдежзийклмнопрсту", "pt": "aeiorstnmdlcp", "zh-TW": "的一是不了人我在有他这为之大来", None: "qwxzkjvyfg"}
+
+    def prose(lang, n):
+        vocab = random.Random(str(lang))
+        known = ["".join(vocab.choice(tongues[lang]) for _ in range(vocab.randint(2, 7))) for _ in range(150)]
+        return " ".join(rng.choice(known) for _ in range(n))
+
+    rows = [(lang, prose(lang, 120)) for lang, n in (("pt", 150), ("ru", 40), ("zh-TW", 40), (None, 40)) for _ in range(n)]
+    junk = [("ru", " ".join("".join(rng.choice("бпвфмнлрдтжщ") for _ in range(5)) for _ in range(120)))]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows + junk)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+    russian = [got[i].log_perplexity for i, (lang, _) in enumerate(rows) if lang == "ru"]
+    lost = [rows[i][0] for i in range(len(rows)) if not got[i].kept]
+    assert not lost and len({got[i].band for i in range(len(rows))}) == 4
+    assert got[len(rows)].log_perplexity > max(russian) + 0.1
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == {i for i, r in got.items() if r.kept}
+
+
 def test_decontamination(spark, docs, texts):
     bench = spark.createDataFrame([(1, texts[60][1].split("\n")[1]), (2, "Tom has 5 apples and Tom buys 7 more so how many apples does he own now"), (3, None), (4, "too short"), (5, "nobody says this in any of the texts that we look through here")], "item_id long, text string")
     more = spark.createDataFrame([(900, "We ask: if Ann has 9 apples and Ann buys 3 more so how many apples does he own now ok"), (901, "We ask: if Ann has 9 apples and Bob buys 3 more so how many apples does he own now ok")], "doc_id long, text string")
