@@ -13,3 +13,8 @@ def test_only_incomplete_spectra_go(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     assert sorted(con.execute(X.logits(True, True)).fetchall()) == sorted(map(tuple, rows.collect()))
+
+
+def test_accuracy_covers_all_places(spark):
+    got = {r.direction: r for r in catalog.QUERIES["teacher_accuracy_whole"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == 2 and all(r.n == 62 and abs(r.accuracy - 21 / 62) < 1e-6 for r in got.values())
