@@ -444,6 +444,15 @@ def mgf_text(spark, d):
     return mgf.mgf_text(rows)
 
 
+@query(f"""WITH p AS (SELECT spectrum_id, string_agg(printf('%.6f %.6f', mz, intensity), chr(10) ORDER BY mz, intensity) || chr(10) AS lines FROM ({X.PEAKS}) x GROUP BY spectrum_id)
+SELECT spectrum_id, 'BEGIN IONS' || chr(10) || 'TITLE=all:test:' || spectrum_id || chr(10) || 'PEPMASS=' || printf('%.6f', precursor_mz) || chr(10) || 'CHARGE=' || charge || '+' || chr(10) || coalesce(lines, '') || 'END IONS' AS value
+FROM ({X.PRECURSORS}) q LEFT JOIN p USING (spectrum_id)""")
+def mgf_text_peaks(spark, d):
+    """Whole records; a spectrum without peaks has its header only."""
+    rows = _precursors(spark, d).join(spectra.collect_peaks(_peaks(spark, d)), "spectrum_id", "left")
+    return mgf.mgf_text(rows.withColumn("title", F.concat(F.lit("all:test:"), F.col("spectrum_id").cast("string"))))
+
+
 @query()
 def mgf_roundtrip(spark, d):
     folder = f"{_scratch(spark)}/mgf"

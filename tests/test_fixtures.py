@@ -18,3 +18,8 @@ def test_only_incomplete_spectra_go(spark, tmp_path):
 def test_accuracy_covers_all_places(spark):
     got = {r.direction: r for r in catalog.QUERIES["teacher_accuracy_whole"](spark, "/root/testdata/sf0.001").collect()}
     assert len(got) == 2 and all(r.n == 62 and abs(r.accuracy - 21 / 62) < 1e-6 for r in got.values())
+
+
+def test_records_have_all_peaks(spark):
+    rows = catalog.QUERIES["mgf_text_peaks"](spark, "/root/testdata/sf0.001").collect()
+    assert sum(len(r.value.split("\n")) - 5 for r in rows) == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
