@@ -2,122 +2,218 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakforge.llm.store import drop, written
+from peakforge.llm.store import drop, free_name, written
 
 #: Lines match when 100 * intersection >= PERCENT * union of their word sets.
 PERCENT = 80
 #: Rarity is counted for so many classes of words, by hash: a bounded table, whatever the vocabulary.
-CLASSES = 1 << 14
+CLASSES = 1 << 18
 _SPACE = r"[\x20\x09-\x0D]+"
+_LEAST = -(2**63)
+
+
+def _long(x: int) -> Column:
+    return F.lit(x).cast("long")
+
+
+def _shift(x: Column, by: Column) -> Column:
+    return F.call_function("shiftleft", x, by)
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, _SPACE), lambda w: w != "")
+    """The words of a line; the plain split is the fast one, and right where no other white space than 0x20 occurs."""
+    plain = F.array_remove(F.split(line, " "), "")
+    return F.when(line.rlike("[\\x09\\x0B-\\x0D]"), F.array_remove(F.split(line, _SPACE), "")).otherwise(plain)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a 128-bit identity of the row (r1, r2); rows that share doc_id and text share it."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64("text", "doc_id", F.lit(1)).alias("r2"), "text")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    return rows.select("doc_id", "row_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("h", F.xxhash64("line"))
+    return _rows(docs).select("doc_id", "r1", "r2", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+
+
+def _place() -> Column:
+    return F.struct(F.coalesce("doc_id", _long(_LEAST)).alias("doc_id"), "line_no", "r1", "r2")
 
 
 def rarity(docs: DataFrame) -> Column:
-    """An array of CLASSES ranks, higher for classes of words that are met more often; a constant in the plan."""
-    words = docs.select(F.explode(_words(F.coalesce("text", F.lit("")))).alias("w"))
-    rows = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(CLASSES)).alias("k")).count().collect()
-    ranks = [0] * CLASSES
-    for r in rows:
-        ranks[r["k"]] = min(126, int(2 * r["count"].bit_length() + (r["count"] >> max(0, r["count"].bit_length() - 2) & 1)))
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<long>")
+    """A byte for each of CLASSES classes of words, higher for those met more often (four steps an octave); a constant in the plan."""
+    lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    words = lines.select(F.explode(_words(F.col("line"))).alias("w"))
+    rows = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(CLASSES)).alias("k")).count()
+    ranks = bytearray(b"\x01" * CLASSES)
+    for r in rows.select("k", F.least(F.lit(126), 1 + F.floor(4 * F.log2("count"))).cast("int").alias("r")).toLocalIterator():
+        ranks[r["k"]] = r["r"]
+    return F.lit(bytes(ranks))
 
 
 def _ordered(line: Column, ranks: Column) -> Column:
     """The distinct words of a line as numbers, those of rare classes first: rank in the top byte, then the hash."""
-    number = lambda w: F.shiftleft(F.get(ranks, F.pmod(F.xxhash64(w), F.lit(CLASSES)).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
-    return F.sort_array(F.array_distinct(F.transform(_words(line), number)))
+    rank = lambda h: F.ascii(F.substring(ranks, F.pmod(h, F.lit(CLASSES)).cast("int") + 1, F.lit(1)).cast("string"))
+    number = lambda h: _shift(F.coalesce(rank(h), F.lit(0)).cast("long"), F.lit(56)).bitwiseOR(F.shiftrightunsigned(h, 8))
+    return F.sort_array(F.array_distinct(F.transform(F.transform(_words(line), lambda w: F.xxhash64(w)), number)))
+
 
+def _sketch(s: Column, half: int) -> Column:
+    """Half of 128 bits, each the parity of the words that fall on it: sets that differ in d words have sketches that differ in d bits at most."""
+    bit = lambda w: _shift(F.shiftrightunsigned(w, 6).bitwiseAND(_long(1)).bitwiseXOR(_long(half)), w.bitwiseAND(_long(63)).cast("int"))
+    return F.aggregate(s, _long(0), lambda bits, w: bits.bitwiseXOR(bit(w)))
 
-def _sketch(s: Column) -> Column:
-    """64 bits, each the parity of the words that fall on it: sets that differ in d words have sketches that differ in d bits at most."""
-    return F.aggregate(s, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(w, F.lit(64)).cast("int"))))
 
+def _apart(x: str, y: str) -> Column:
+    """At least so many words are in one of two lines alone; their columns end in x and y."""
+    return F.bit_count(F.col(f"b{x}").bitwiseXOR(F.col(f"b{y}"))) + F.bit_count(F.col(f"c{x}").bitwiseXOR(F.col(f"c{y}")))
+
+
+def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(h, h2, line) of places (h, h2, first): the lines themselves, each from the first document that holds it."""
+    at = places.groupBy(F.col("first.r1").alias("r1"), F.col("first.r2").alias("r2")).agg(F.collect_list(F.struct("h", "h2", "first.line_no")).alias("at"))
+    rows = _rows(docs).select("r1", "r2", "text").join(at, ["r1", "r2"])
+    return rows.select(F.explode(F.expr("transform(at, a -> struct(a.h as h, a.h2 as h2, split(text, '\n')[a.line_no] as line))")).alias("x")).select("x.*").dropDuplicates(["h", "h2"])
+
+
+def _measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (u, v) of lines by half of their identity, with the other half (u2, v2), their words (nu, nv) and those in both (common), from the lines themselves."""
+    sets = texts.select("h", "h2", F.array_distinct(_words(F.col("line"))).alias("s"))
+    x, y = (sets.select(F.col("h").alias(k), F.col("h2").alias(k + "2"), F.col("s").alias("s" + k)) for k in "uv")
+    both = pairs.join(y, "v").join(x, "u").withColumns({"nu": F.size("su"), "nv": F.size("sv"), "common": F.size(F.array_intersect("su", "sv"))})
+    return both.drop("su", "sv")
+
+
+def _groups(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(h, h2, hub, slack): lines that are similar to a hub, and how far.
+
+    Lines that share the smallest or the largest hash of a word are a bucket; its hub has the most frequent words among
+    them, so of a group of near copies it is one with few words of its own. For a line that differs from its hub in d
+    words, slack = (100 + percent) * d - (100 - percent) * n. Two lines of one hub whose slacks add up to 0 or less are
+    similar, by the triangle inequality. A hub belongs to itself.
+    """
+    member = nodes.where("n > 0").select("h", "n", "b", "c", "weight", F.explode(F.array("k1", "k2")).alias("key"))
+    hubs = member.groupBy("key").agg(F.max(F.struct("weight", "h", "n", "b", "c")).alias("hub"), F.count("*").alias("m")).where("m > 1")
+    near = member.withColumnRenamed("b", "bx").withColumnRenamed("c", "cx").join(hubs, "key").where(F.col("h") != F.col("hub.h"))
+    near = near.withColumns({"by": F.col("hub.b"), "cy": F.col("hub.c")}).where((100 + percent) * _apart("x", "y") <= (100 - percent) * (F.col("n") + F.col("hub.n")))
+    chosen = written(near.groupBy("h").agg(F.max(F.struct("hub.weight", "hub.h")).alias("hub")).select(F.col("h").alias("u"), F.col("hub.h").alias("v")), "chosen")
+    named = chosen.select(F.col("u").alias("h")).union(chosen.select("v")).distinct()
+    texts = written(_texts(docs, nodes.select("h", "h2", "first").join(named, "h", "left_semi")), "texts", "zstd")
+    apart = F.col("nu") + F.col("nv") - 2 * F.col("common")
+    found = _measured(chosen, texts).where((100 + percent) * apart <= (100 - percent) * (F.col("nu") + F.col("nv")))
+    found = written(found.select(F.col("u").alias("h"), F.col("u2").alias("h2"), F.col("v").alias("hub"), "v2", ((100 + percent) * apart - (100 - percent) * F.col("nu")).alias("slack"), "nv"), "found")
+    own = found.select(F.col("hub").alias("h"), F.col("v2").alias("h2"), "hub", (-(100 - percent) * F.col("nv")).alias("slack")).distinct()
+    out = written(own.unionByName(found.select("h", "h2", "hub", "slack").join(own.select("h", "h2"), ["h", "h2"], "left_anti")), "groups")
+    for x in (chosen, texts, found):
+        drop(x)
+    return out
+
+
+def _within(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(h, h2, near, links): for lines of a hub, the first place and the number of the others whose slack and theirs add up to 0 or less.
+
+    Counted from sums for each slack of a hub, so a group of m lines costs m rows and not its pairs.
+    """
+    rows = groups.join(nodes.select("h", "h2", "first"), ["h", "h2"])
+    sums = rows.groupBy("hub", "slack").agg(F.count("*").alias("m"), F.min("first").alias("first"))
+    asked = sums.select("hub", (-F.col("slack")).alias("at"), F.lit(1).alias("kind"), F.col("slack"), F.lit(0).cast("long").alias("m"), F.lit(None).cast(sums.schema["first"].dataType).alias("first"))
+    upto = Window.partitionBy("hub").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = sums.select("hub", F.col("slack").alias("at"), F.lit(0).alias("kind"), "slack", "m", "first").unionByName(asked)
+    met = both.select("hub", "kind", "slack", F.sum("m").over(upto).alias("met"), F.min("first").over(upto).alias("near")).where("kind = 1").drop("kind")
+    links = F.col("met") - F.when(F.col("slack") <= 0, 1).otherwise(0)
+    return groups.join(met, ["hub", "slack"]).select("h", "h2", "near", links.alias("links"))
 
-def similar_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines, firsts, links): every line (doc_id, row_key, line_no, h), the first place of each h, and all pairs (u, v), u < v, of different similar lines by h.
+
+def _candidates(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(u, v), u < v: pairs that may be similar and that _within does not count, by prefix, positional and length filters and the sketches.
 
     Sets of n words that are similar share one of their first n - ceil(t n) + 1 words in a common order, rarest first
-    (prefix filter); the shorter has at least t times the words of the longer (length filter), and behind the first
-    words that they share enough must remain in both (positional filter). Pairs whose sketches differ in more bits than
-    similar sets can differ in words go as well. What passes is verified on the words themselves.
-    Equal lines are one row of the join, so copies cost nothing.
+    (prefix filter); the shorter has at least t times the words of the longer (length filter), and from the first word
+    that they share enough must remain in both (positional filter). Pairs whose sketches differ in more bits than
+    similar sets can differ in words go as well.
     """
-    ranks = rarity(docs)
-    lines = written(_lines(docs).drop("line"), "lines")
-    firsts = written(lines.groupBy("h").agg(F.min(_place()).alias("first")), "firsts")
-    each = _lines(docs).select("h", _ordered(F.col("line"), ranks).alias("s")).withColumn("n", F.size("s"))
-    need = F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9)
-    each = each.select("h", F.struct("n", _sketch(F.col("s")).alias("b"), F.transform(F.slice("s", 1, (F.col("n") - need + 1).cast("int")), lambda w: F.hash(w)).alias("p")).alias("x"))
-    each = each.groupBy("h").agg(F.first("x").alias("x")).select("h", "x.*")
-    first = each.select("h", "n", "b", F.posexplode("p").alias("i", "s"))  # by a hash of the word: more candidates at worst
-    x, y = (first.select("s", *[F.col(c).alias(c + k) for c in ("h", "n", "b", "i")]) for k in "xy")
+    d = nodes.where("n > 0").select("h", "h2", "n", "b", "c", "p").join(groups, ["h", "h2"], "left")
+    first = d.select("h", "n", "b", "c", "hub", "slack", F.posexplode("p").alias("i", "s"))  # by a hash of the word: more candidates at worst
+    x, y = (first.select("s", *[F.col(c).alias(c + k) for c in ("h", "n", "b", "c", "hub", "slack", "i")]) for k in "xy")
     total, left = F.col("nx") + F.col("ny"), F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
-    fits = (F.col("hx") < F.col("hy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & ((100 + percent) * left >= percent * total)
-    near = (100 + percent) * (total - F.bit_count(F.col("bx").bitwiseXOR(F.col("by")))) >= 2 * percent * total
-    pairs = written(x.join(y, "s").where(fits & near).select(F.col("hx").alias("u"), F.col("hy").alias("v"), total.alias("total")).distinct(), "pairs")
+    fits = (F.col("hx") < F.col("hy")) & ((100 + percent) * left >= percent * total) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    near = (100 + percent) * _apart("x", "y") <= (100 - percent) * total
+    counted = F.coalesce((F.col("hubx") == F.col("huby")) & (F.col("slackx") + F.col("slacky") <= 0), F.lit(False))
+    return x.join(y, "s").where(fits & near & ~counted).select(F.col("hx").alias("u"), F.col("hy").alias("v")).distinct()
+
 
+def _judged(docs: DataFrame, percent: int) -> DataFrame:
+    """Every line (doc_id, r1, r2, line_no) with the number of different lines that it matches, the place of the earliest match, and whether that lies before it."""
+    ranks = rarity(docs)
+    lines = _lines(docs)
+    s = lines.withColumn("s", _ordered(F.col("line"), ranks)).withColumn("n", F.size("s"))
+    prefix = F.slice("s", 1, (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9) + 1).cast("int"))
+    hashes = F.transform("s", lambda w: w.bitwiseAND(_long((1 << 56) - 1)))
+    lines = s.select(
+        "doc_id", "r1", "r2", "line_no", "h1", "h2", "n", _sketch(F.col("s"), 0).alias("b"), _sketch(F.col("s"), 1).alias("c"), F.transform(prefix, lambda w: F.hash(w)).alias("p"),
+        F.array_min(hashes).alias("k1"), F.array_max(hashes).alias("k2"), F.aggregate(prefix, F.lit(0), lambda a, w: a + F.shiftrightunsigned(w, 56).cast("int")).alias("weight"),
+    )
+    lines = written(lines, "lines")
+    parts = ("n", "b", "c", "k1", "k2", "weight", "p")
+    nodes = lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.first(F.struct(*parts)).alias("x"))
+    nodes = written(nodes.select(F.col("h1").alias("h"), "h2", "first", *[F.col(f"x.{c}").alias(c) for c in parts]), "nodes")
+    groups = _groups(nodes, docs, percent)
+    pairs = written(_candidates(nodes, groups, percent), "pairs")
     named = pairs.select(F.col("u").alias("h")).union(pairs.select("v")).distinct()
-    holder = firsts.join(named, "h", "left_semi")
-    wanted = holder.select(F.col("first.row_key").alias("row_key"), F.struct("h", "first.line_no").alias("at")).groupBy("row_key").agg(F.collect_list("at").alias("at"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select(F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    some = texts.join(wanted, "row_key").select(F.explode(F.expr("transform(at, a -> struct(a.h as h, split(text, '\n')[a.line_no] as line))")).alias("x")).select("x.*")
-    some = written(some, "texts", "zstd")
-    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows hold the same lines
-        some = some.dropDuplicates(["h"])
-    a, b = some.select(F.col("h").alias("u"), F.col("line").alias("s")), some.select(F.col("h").alias("v"), F.col("line").alias("t"))
-    common = F.size(F.array_intersect(_words(F.col("s")), _words(F.col("t"))))
-    links = written(pairs.join(b, "v").join(a, "u").where((100 + percent) * common >= percent * F.col("total")).select("u", "v"), "links")
+    texts = written(_texts(docs, nodes.select("h", "h2", "first").join(named, "h", "left_semi")), "texts", "zstd")
+    links = _measured(pairs, texts).where(100 * F.col("common") >= percent * (F.col("nu") + F.col("nv") - F.col("common")))
+    links = written(links.select("u", "u2", "v", "v2"), "links")
     drop(pairs)
-    drop(some)
-    return lines, firsts, links
-
+    drop(texts)
 
-def _place(prefix: str = "") -> Column:
-    return F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "line_no", "row_key")
+    both = links.unionByName(links.select(*[F.col(a).alias(b) for a, b in (("u", "v"), ("u2", "v2"), ("v", "u"), ("v2", "u2"))]))
+    ends = both.join(nodes.select(F.col("h").alias("v"), F.col("h2").alias("v2"), "first"), ["v", "v2"])
+    across = ends.groupBy(F.col("u").alias("h"), F.col("u2").alias("h2")).agg(F.min("first").alias("near"), F.count("*").alias("links"))
+    near = across.unionByName(_within(nodes, groups)).groupBy("h", "h2").agg(F.min("near").alias("near"), F.sum("links").alias("links"))
+    best = nodes.select("h", "h2", "first").join(near, ["h", "h2"], "left")
+    best = best.select(F.col("h").alias("h1"), "h2", F.least("first", F.coalesce("near", "first")).alias("best"), F.coalesce("links", _long(0)).alias("links"))
+    best = written(best, "best")
+    for x in (links, groups, nodes):
+        drop(x)
+    return lines.select("doc_id", "r1", "r2", "line_no", "h1", "h2").join(best, ["h1", "h2"]).withColumn("removed", F.col("best") < _place())
 
 
-def _judged(docs: DataFrame, percent: int) -> DataFrame:
-    """Every line with links (to different lines), the place of the earliest match, and whether that lies before it."""
-    lines, firsts, links = similar_lines(docs, percent)
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = both.join(firsts.withColumnRenamed("h", "v"), "v").groupBy("u").agg(F.min("first").alias("near"), F.count("*").alias("links"))
-    best = written(firsts.join(near.withColumnRenamed("u", "h"), "h", "left").select("h", F.least("first", F.coalesce("near", "first")).alias("best"), F.coalesce("links", F.lit(0)).alias("links")), "best")
-    return lines.join(best, "h").withColumn("removed", F.col("best") < _place())
+def _removed(docs: DataFrame, percent: int) -> DataFrame:
+    line = F.struct("line_no", "removed", "links", F.col("best.doc_id").alias("class_id"))
+    rows = _judged(docs, percent).groupBy("doc_id", "r1", "r2").agg(F.collect_set(line).alias("x"))  # a set: repeated rows give the same lines
+    return rows.select(
+        "doc_id", "r1", "r2", F.size("x").cast("long").alias("n_lines"), F.size(F.filter("x", lambda l: l["removed"])).cast("long").alias("n_removed"),
+        F.aggregate("x", _long(0), lambda n, l: n + l["links"]).alias("n_links"), F.nullif(F.array_min("x.class_id"), _long(_LEAST)).alias("class_id"),
+        F.sort_array(F.transform(F.filter("x", lambda l: l["removed"]), lambda l: l["line_no"])).alias("removed"),
+    )
 
 
 def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row per document of docs (doc_id, text): doc_id, row_key, n_lines, n_removed, n_links, class_id, removed.
+    """One row per document of docs (doc_id, text): doc_id, n_lines, n_removed, n_links, class_id, removed.
 
     Lines are split at newlines, and are sets of their words (runs of bytes other than 0x20 and 0x09-0x0D, unchanged).
     A line matches an equal line, and any whose word set has a Jaccard similarity of percent / 100 or more. It is
     removed if a line before it, by (doc_id, line), matches; a null doc_id comes first. Lines without words match
     equal lines only. n_links counts the different lines that the document's lines match, class_id is the smallest
     doc_id among their earliest matches (itself included; null stays null), removed lists the numbers of removed
-    lines. Null texts are one empty line. Rows that share doc_id and text count as one document.
+    lines. Null texts are one empty line. Rows that share doc_id and text count as one document. An empty table gives
+    an empty result; other columns, whatever their names, are not read.
+
+    1. Every line becomes its words in a common order, rarest first, once; equal lines are one row from there on.
+    2. Groups of near copies get a hub; links that follow from the distances to it are counted, not listed (_groups).
+    3. All other pairs come from the prefix join (_candidates) and are verified on the words themselves.
     """
-    line = F.struct("line_no", "removed", "links", F.col("best.doc_id").alias("class_id"))
-    rows = _judged(docs, percent).groupBy("doc_id", "row_key").agg(F.collect_set(line).alias("x"))  # a set: repeated rows give the same lines
-    return rows.select(
-        "doc_id", "row_key", F.size("x").cast("long").alias("n_lines"), F.size(F.filter("x", lambda l: l["removed"])).cast("long").alias("n_removed"),
-        F.aggregate("x", F.lit(0).cast("long"), lambda n, l: n + l["links"]).alias("n_links"), F.nullif(F.array_min("x.class_id"), F.lit(-(2**63))).alias("class_id"),
-        F.sort_array(F.transform(F.filter("x", lambda l: l["removed"]), lambda l: l["line_no"])).alias("removed"),
-    )
+    return _removed(docs, percent).drop("r1", "r2")
 
 
 def without_repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, with the lines that line_dedup removes taken out of text."""
-    gone = line_dedup(docs, percent).where("n_removed > 0").select(F.col("row_key").alias("__row_key"), F.col("removed").alias("__removed"))
-    d = docs.withColumn("__row_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))).join(gone, "__row_key", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__removed", i)), "\n")
-    return d.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept)).drop("__row_key", "__removed").select(*docs.columns)
+    own = free_name(docs)
+    gone = _removed(docs, percent).where("n_removed > 0").select(F.struct("r1", "r2").alias(own), F.struct("removed").alias(own + "x"))
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    d = docs.withColumn(own, F.struct(F.xxhash64(doc_id, text).alias("r1"), F.xxhash64(text, doc_id, F.lit(1)).alias("r2"))).join(gone, own, "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col(own + "x.removed"), i)), "\n")
+    return d.withColumn("text", F.when(F.col(own + "x").isNull(), F.col("text")).otherwise(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -33,9 +33,23 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
+    collect(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def collect(spark: SparkSession) -> None:
+    """Let go of shuffles and broadcasts of finished plans: Spark removes their files once the driver has collected the plans."""
+    spark._jvm.System.gc()
+
+
+def free_name(df: DataFrame) -> str:
+    """A column name that df does not have, nor any that begins with it."""
+    name = "_own"
+    while any(c.lower().startswith(name) for c in df.columns):
+        name += "_"
+    return name
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table made by written(), once nothing reads it any more."""
     spark = df.sparkSession
