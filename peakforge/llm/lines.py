@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from peakforge.llm.store import drop, free_name, written
 #: Lines match when 100 * intersection >= PERCENT * union of their word sets.
 PERCENT = 80
 #: Rarity is counted for so many classes of words, by hash: a bounded table, whatever the vocabulary.
-CLASSES = 1 << 18
+CLASSES = 1 << 16
+#: Lines of more words have a sketch of 128 bits instead of 64.
+LONG = 64
 _SPACE = r"[\x20\x09-\x0D]+"
 _LEAST = -(2**63)
 
@@ -36,40 +40,46 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return _rows(docs).select("doc_id", "r1", "r2", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+    """Every line: its place, its 128-bit identity (h1, h2), and a 32-bit hash of each distinct word (one for each, equal or not)."""
+    lines = _rows(docs).select("doc_id", "r1", "r2", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    words = F.transform(F.array_distinct(_words(F.col("line"))), lambda w: F.hash(w))
+    return lines.select("doc_id", "r1", "r2", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), words.alias("words"))
 
 
 def _place() -> Column:
     return F.struct(F.coalesce("doc_id", _long(_LEAST)).alias("doc_id"), "line_no", "r1", "r2")
 
 
-def rarity(docs: DataFrame) -> Column:
-    """A byte for each of CLASSES classes of words, higher for those met more often (four steps an octave); a constant in the plan."""
-    lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    words = lines.select(F.explode(_words(F.col("line"))).alias("w"))
-    rows = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(CLASSES)).alias("k")).count()
-    ranks = bytearray(b"\x01" * CLASSES)
-    for r in rows.select("k", F.least(F.lit(126), 1 + F.floor(4 * F.log2("count"))).cast("int").alias("r")).toLocalIterator():
+def rarity(lines: DataFrame) -> Column:
+    """For each of CLASSES classes of words (by hash) a number in the upper half of a long, greater for those that more lines hold (four steps an octave); a constant in the plan."""
+    rows = lines.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(CLASSES - 1)).alias("k")).count()
+    ranks = [0] * CLASSES
+    for r in rows.select("k", F.floor(4 * F.log2("count")).cast("int").alias("r")).toLocalIterator():
         ranks[r["k"]] = r["r"]
-    return F.lit(bytes(ranks))
+    return F.split(F.lit(",".join(str(r << 32) for r in ranks)), ",").cast("array<long>")
+
+
+def _ordered(words: Column, ranks: Column) -> Column:
+    """Hashes of words as longs in one order for all lines: those of rare classes first."""
+    return F.sort_array(F.transform(words, lambda w: F.coalesce(F.get(ranks, w.bitwiseAND(F.lit(CLASSES - 1))), _long(0)).bitwiseOR(w.cast("long").bitwiseAND(_long((1 << 32) - 1)))))
 
 
-def _ordered(line: Column, ranks: Column) -> Column:
-    """The distinct words of a line as numbers, those of rare classes first: rank in the top byte, then the hash."""
-    rank = lambda h: F.ascii(F.substring(ranks, F.pmod(h, F.lit(CLASSES)).cast("int") + 1, F.lit(1)).cast("string"))
-    number = lambda h: _shift(F.coalesce(rank(h), F.lit(0)).cast("long"), F.lit(56)).bitwiseOR(F.shiftrightunsigned(h, 8))
-    return F.sort_array(F.array_distinct(F.transform(F.transform(_words(line), lambda w: F.xxhash64(w)), number)))
+def _sketch(words: Column, bit: Callable[[Column], Column]) -> Column:
+    """64 bits, each the parity of the words that fall on it: sets that differ in d words have sketches that differ in d bits at most."""
+    return F.aggregate(words, _long(0), lambda bits, w: bits.bitwiseXOR(_shift(bit(w), w)))
 
 
-def _sketch(s: Column, half: int) -> Column:
-    """Half of 128 bits, each the parity of the words that fall on it: sets that differ in d words have sketches that differ in d bits at most."""
-    bit = lambda w: _shift(F.shiftrightunsigned(w, 6).bitwiseAND(_long(1)).bitwiseXOR(_long(half)), w.bitwiseAND(_long(63)).cast("int"))
-    return F.aggregate(s, _long(0), lambda bits, w: bits.bitwiseXOR(bit(w)))
+def _halves() -> tuple[Column, Column]:
+    upper = lambda w: F.shiftrightunsigned(w, 6).bitwiseAND(F.lit(1))
+    long = F.col("n") > LONG
+    low = F.when(long, _sketch(F.col("words"), lambda w: upper(w).cast("long"))).otherwise(_sketch(F.col("words"), lambda _: _long(1)))
+    return low, F.when(long, _sketch(F.col("words"), lambda w: upper(w).bitwiseXOR(F.lit(1)).cast("long"))).otherwise(_long(0))
 
 
 def _apart(x: str, y: str) -> Column:
-    """At least so many words are in one of two lines alone; their columns end in x and y."""
-    return F.bit_count(F.col(f"b{x}").bitwiseXOR(F.col(f"b{y}"))) + F.bit_count(F.col(f"c{x}").bitwiseXOR(F.col(f"c{y}")))
+    """At least so many words are in one of two lines alone; their columns n, b, c end in x and y."""
+    b, c = (F.col(k + x).bitwiseXOR(F.col(k + y)) for k in "bc")
+    return F.when(F.least("n" + x, "n" + y) > LONG, F.bit_count(b) + F.bit_count(c)).otherwise(F.bit_count(b.bitwiseXOR(c)))
 
 
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -79,55 +89,62 @@ def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.expr("transform(at, a -> struct(a.h as h, a.h2 as h2, split(text, '\n')[a.line_no] as line))")).alias("x")).select("x.*").dropDuplicates(["h", "h2"])
 
 
-def _measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (u, v) of lines by half of their identity, with the other half (u2, v2), their words (nu, nv) and those in both (common), from the lines themselves."""
-    sets = texts.select("h", "h2", F.array_distinct(_words(F.col("line"))).alias("s"))
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (u, v) of lines by half of their identity, with the other half (u2, v2), their sizes (nu, nv) and what is in both (common), by sets (h, h2, s)."""
     x, y = (sets.select(F.col("h").alias(k), F.col("h2").alias(k + "2"), F.col("s").alias("s" + k)) for k in "uv")
     both = pairs.join(y, "v").join(x, "u").withColumns({"nu": F.size("su"), "nv": F.size("sv"), "common": F.size(F.array_intersect("su", "sv"))})
     return both.drop("su", "sv")
 
 
-def _groups(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(h, h2, hub, slack): lines that are similar to a hub, and how far.
+def _similar(percent: int) -> Column:
+    return 100 * F.col("common") >= percent * (F.col("nu") + F.col("nv") - F.col("common"))
+
+
+def _slack(percent: int, own: str) -> Column:
+    """(100 + percent) * d - (100 - percent) * n for a line of n words, d of them or of its hub's in one of the two alone."""
+    return (100 + percent) * (F.col("nu") + F.col("nv") - 2 * F.col("common")) - (100 - percent) * F.col(own)
+
+
+def _groups(nodes: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """(u, u2, v, v2, slack): lines u that are similar to a hub v, and how far, by the hashes of their words.
 
     Lines that share the smallest or the largest hash of a word are a bucket; its hub has the most frequent words among
-    them, so of a group of near copies it is one with few words of its own. For a line that differs from its hub in d
-    words, slack = (100 + percent) * d - (100 - percent) * n. Two lines of one hub whose slacks add up to 0 or less are
-    similar, by the triangle inequality. A hub belongs to itself.
+    them, so of a group of near copies it is one with few words of its own.
     """
-    member = nodes.where("n > 0").select("h", "n", "b", "c", "weight", F.explode(F.array("k1", "k2")).alias("key"))
-    hubs = member.groupBy("key").agg(F.max(F.struct("weight", "h", "n", "b", "c")).alias("hub"), F.count("*").alias("m")).where("m > 1")
-    near = member.withColumnRenamed("b", "bx").withColumnRenamed("c", "cx").join(hubs, "key").where(F.col("h") != F.col("hub.h"))
-    near = near.withColumns({"by": F.col("hub.b"), "cy": F.col("hub.c")}).where((100 + percent) * _apart("x", "y") <= (100 - percent) * (F.col("n") + F.col("hub.n")))
-    chosen = written(near.groupBy("h").agg(F.max(F.struct("hub.weight", "hub.h")).alias("hub")).select(F.col("h").alias("u"), F.col("hub.h").alias("v")), "chosen")
+    member = nodes.where("n > 0").select("h", "weight", *[F.col(c).alias(c + "x") for c in "nbc"], F.explode(F.array("k1", "k2")).alias("key"))
+    hub = F.max(F.struct("weight", F.col("h").alias("v"), *[F.col(c + "x").alias(c + "y") for c in "nbc"])).alias("hub")
+    hubs = member.groupBy("key").agg(hub, F.count("*").alias("m")).where("m > 1").select("key", "hub.*").withColumnRenamed("weight", "hub_weight")
+    near = member.join(hubs, "key").where((F.col("h") != F.col("v")) & ((100 + percent) * _apart("x", "y") <= (100 - percent) * (F.col("nx") + F.col("ny"))))
+    chosen = written(near.groupBy("h").agg(F.max(F.struct("hub_weight", "v")).alias("hub")).select(F.col("h").alias("u"), F.col("hub.v").alias("v")), "chosen")
     named = chosen.select(F.col("u").alias("h")).union(chosen.select("v")).distinct()
-    texts = written(_texts(docs, nodes.select("h", "h2", "first").join(named, "h", "left_semi")), "texts", "zstd")
-    apart = F.col("nu") + F.col("nv") - 2 * F.col("common")
-    found = _measured(chosen, texts).where((100 + percent) * apart <= (100 - percent) * (F.col("nu") + F.col("nv")))
-    found = written(found.select(F.col("u").alias("h"), F.col("u2").alias("h2"), F.col("v").alias("hub"), "v2", ((100 + percent) * apart - (100 - percent) * F.col("nu")).alias("slack"), "nv"), "found")
-    own = found.select(F.col("hub").alias("h"), F.col("v2").alias("h2"), "hub", (-(100 - percent) * F.col("nv")).alias("slack")).distinct()
-    out = written(own.unionByName(found.select("h", "h2", "hub", "slack").join(own.select("h", "h2"), ["h", "h2"], "left_anti")), "groups")
-    for x in (chosen, texts, found):
-        drop(x)
-    return out
+    sets = lines.select(F.col("h1").alias("h"), "h2", F.col("words").alias("s")).join(named, "h", "left_semi").dropDuplicates(["h", "h2"])
+    found = _measured(chosen, written(sets, "sets")).where(_similar(percent))
+    return written(found.select("u", "u2", "v", "v2", _slack(percent, "nu").alias("slack"), "nv"), "groups")
+
 
+def _members(groups: DataFrame, percent: int) -> DataFrame:
+    """(h, h2, hub, slack): each line of groups once; a hub belongs to itself."""
+    own = groups.select(F.col("v").alias("h"), F.col("v2").alias("h2"), F.col("v").alias("hub"), (-(100 - percent) * F.col("nv")).alias("slack")).distinct()
+    rest = groups.select(F.col("u").alias("h"), F.col("u2").alias("h2"), F.col("v").alias("hub"), "slack")
+    return own.unionByName(rest.join(own.select("h", "h2"), ["h", "h2"], "left_anti"))
 
-def _within(nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """(h, h2, near, links): for lines of a hub, the first place and the number of the others whose slack and theirs add up to 0 or less.
 
-    Counted from sums for each slack of a hub, so a group of m lines costs m rows and not its pairs.
+def _within(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """(h, h2, near, links): for the lines of a hub, the first place and the number of the others whose slack and theirs add up to 0 or less.
+
+    Such lines are similar, by the triangle inequality. They are counted from sums for each slack of a hub, so a group of m lines costs m rows and not its pairs.
     """
-    rows = groups.join(nodes.select("h", "h2", "first"), ["h", "h2"])
+    rows = members.join(nodes.select("h", "h2", "first"), ["h", "h2"])
     sums = rows.groupBy("hub", "slack").agg(F.count("*").alias("m"), F.min("first").alias("first"))
     asked = sums.select("hub", (-F.col("slack")).alias("at"), F.lit(1).alias("kind"), F.col("slack"), F.lit(0).cast("long").alias("m"), F.lit(None).cast(sums.schema["first"].dataType).alias("first"))
     upto = Window.partitionBy("hub").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     both = sums.select("hub", F.col("slack").alias("at"), F.lit(0).alias("kind"), "slack", "m", "first").unionByName(asked)
     met = both.select("hub", "kind", "slack", F.sum("m").over(upto).alias("met"), F.min("first").over(upto).alias("near")).where("kind = 1").drop("kind")
     links = F.col("met") - F.when(F.col("slack") <= 0, 1).otherwise(0)
-    return groups.join(met, ["hub", "slack"]).select("h", "h2", "near", links.alias("links"))
+    return members.join(met, ["hub", "slack"]).select("h", "h2", "near", links.alias("links"))
 
 
-def _candidates(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def _candidates(nodes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """(u, v), u < v: pairs that may be similar and that _within does not count, by prefix, positional and length filters and the sketches.
 
     Sets of n words that are similar share one of their first n - ceil(t n) + 1 words in a common order, rarest first
@@ -135,7 +152,7 @@ def _candidates(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     that they share enough must remain in both (positional filter). Pairs whose sketches differ in more bits than
     similar sets can differ in words go as well.
     """
-    d = nodes.where("n > 0").select("h", "h2", "n", "b", "c", "p").join(groups, ["h", "h2"], "left")
+    d = nodes.where("n > 0").select("h", "h2", "n", "b", "c", "p").join(members, ["h", "h2"], "left")
     first = d.select("h", "n", "b", "c", "hub", "slack", F.posexplode("p").alias("i", "s"))  # by a hash of the word: more candidates at worst
     x, y = (first.select("s", *[F.col(c).alias(c + k) for c in ("h", "n", "b", "c", "hub", "slack", "i")]) for k in "xy")
     total, left = F.col("nx") + F.col("ny"), F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
@@ -147,36 +164,41 @@ def _candidates(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 
 def _judged(docs: DataFrame, percent: int) -> DataFrame:
     """Every line (doc_id, r1, r2, line_no) with the number of different lines that it matches, the place of the earliest match, and whether that lies before it."""
-    ranks = rarity(docs)
-    lines = _lines(docs)
-    s = lines.withColumn("s", _ordered(F.col("line"), ranks)).withColumn("n", F.size("s"))
-    prefix = F.slice("s", 1, (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9) + 1).cast("int"))
-    hashes = F.transform("s", lambda w: w.bitwiseAND(_long((1 << 56) - 1)))
-    lines = s.select(
-        "doc_id", "r1", "r2", "line_no", "h1", "h2", "n", _sketch(F.col("s"), 0).alias("b"), _sketch(F.col("s"), 1).alias("c"), F.transform(prefix, lambda w: F.hash(w)).alias("p"),
-        F.array_min(hashes).alias("k1"), F.array_max(hashes).alias("k2"), F.aggregate(prefix, F.lit(0), lambda a, w: a + F.shiftrightunsigned(w, 56).cast("int")).alias("weight"),
-    )
-    lines = written(lines, "lines")
-    parts = ("n", "b", "c", "k1", "k2", "weight", "p")
-    nodes = lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.first(F.struct(*parts)).alias("x"))
-    nodes = written(nodes.select(F.col("h1").alias("h"), "h2", "first", *[F.col(f"x.{c}").alias(c) for c in parts]), "nodes")
-    groups = _groups(nodes, docs, percent)
-    pairs = written(_candidates(nodes, groups, percent), "pairs")
-    named = pairs.select(F.col("u").alias("h")).union(pairs.select("v")).distinct()
-    texts = written(_texts(docs, nodes.select("h", "h2", "first").join(named, "h", "left_semi")), "texts", "zstd")
-    links = _measured(pairs, texts).where(100 * F.col("common") >= percent * (F.col("nu") + F.col("nv") - F.col("common")))
+    lines = written(_lines(docs), "lines")
+    n = F.size("words")
+    some = lines.select("*", n.alias("n"), _ordered(F.col("words"), rarity(lines)).alias("s")).select("*", F.slice("s", 1, (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9) + 1).cast("int")).alias("first"))
+    low, high = _halves()
+    weight = F.aggregate("first", _long(0), lambda a, w: a + F.shiftrightunsigned(w, 32))
+    parts = F.struct("n", low.alias("b"), high.alias("c"), F.array_min("words").alias("k1"), F.array_max("words").alias("k2"), weight.alias("weight"), F.transform("first", lambda w: F.hash(w)).alias("p"))
+    nodes = some.select("h1", "h2", _place().alias("place"), parts.alias("x")).groupBy("h1", "h2").agg(F.min("place").alias("first"), F.first("x").alias("x"))
+    nodes = written(nodes.select(F.col("h1").alias("h"), "h2", "first", "x.*"), "nodes")
+
+    groups = _groups(nodes, lines, percent)
+    while True:
+        members = written(_members(groups, percent), "members")
+        pairs = written(_candidates(nodes, members, percent), "pairs")
+        ends = [groups.select("u"), groups.select("v"), pairs.select("u"), pairs.select("v")]
+        named = ends[0].union(ends[1]).union(ends[2]).union(ends[3]).toDF("h").distinct()
+        texts = _texts(docs, nodes.select("h", "h2", "first").join(named, "h", "left_semi"))
+        sets = written(texts.select("h", "h2", F.array_distinct(_words(F.col("line"))).alias("s")), "sets", "zstd")
+        wrong = _measured(groups.drop("u2", "v2", "nv"), sets).where(~_similar(percent) | (_slack(percent, "nu") != F.col("slack"))).select("u")
+        wrong = written(wrong, "wrong")
+        if wrong.isEmpty():
+            break
+        groups = written(groups.join(wrong, "u", "left_anti"), "groups")  # two words with one hash: rare, and then these lines are no members
+    links = _measured(pairs, sets).where(_similar(percent))
     links = written(links.select("u", "u2", "v", "v2"), "links")
-    drop(pairs)
-    drop(texts)
+    for x in (pairs, sets, groups):
+        drop(x)
 
     both = links.unionByName(links.select(*[F.col(a).alias(b) for a, b in (("u", "v"), ("u2", "v2"), ("v", "u"), ("v2", "u2"))]))
     ends = both.join(nodes.select(F.col("h").alias("v"), F.col("h2").alias("v2"), "first"), ["v", "v2"])
     across = ends.groupBy(F.col("u").alias("h"), F.col("u2").alias("h2")).agg(F.min("first").alias("near"), F.count("*").alias("links"))
-    near = across.unionByName(_within(nodes, groups)).groupBy("h", "h2").agg(F.min("near").alias("near"), F.sum("links").alias("links"))
+    near = across.unionByName(_within(nodes, members)).groupBy("h", "h2").agg(F.min("near").alias("near"), F.sum("links").alias("links"))
     best = nodes.select("h", "h2", "first").join(near, ["h", "h2"], "left")
     best = best.select(F.col("h").alias("h1"), "h2", F.least("first", F.coalesce("near", "first")).alias("best"), F.coalesce("links", _long(0)).alias("links"))
     best = written(best, "best")
-    for x in (links, groups, nodes):
+    for x in (links, members, nodes):
         drop(x)
     return lines.select("doc_id", "r1", "r2", "line_no", "h1", "h2").join(best, ["h1", "h2"]).withColumn("removed", F.col("best") < _place())
 
