@@ -28,9 +28,11 @@ def _shift(x: Column, by: Column) -> Column:
 
 
 def _words(line: Column) -> Column:
-    """The words of a line; the plain split is the fast one, and right where no other white space than 0x20 occurs."""
-    plain = F.array_remove(F.split(line, " "), "")
-    return F.when(line.rlike("[\\x09\\x0B-\\x0D]"), F.array_remove(F.split(line, _SPACE), "")).otherwise(plain)
+    """The words of a line. The plain split is the fast one, and right where words are one 0x20 apart."""
+    odd = line.contains("  ") | line.startswith(" ") | line.endswith(" ") | (line == "")
+    for c in "\t\x0b\x0c\r":
+        odd = odd | line.contains(c)
+    return F.when(odd, F.array_remove(F.split(line, _SPACE), "")).otherwise(F.split(line, " "))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -51,17 +53,17 @@ def _place() -> Column:
 
 
 def rarity(lines: DataFrame) -> Column:
-    """For each of CLASSES classes of words (by hash) a number in the upper half of a long, greater for those that more lines hold (four steps an octave); a constant in the plan."""
+    """For each of CLASSES classes of words (by hash) a number, greater for those that more lines hold (four steps an octave); a constant in the plan."""
     rows = lines.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(CLASSES - 1)).alias("k")).count()
     ranks = [0] * CLASSES
     for r in rows.select("k", F.floor(4 * F.log2("count")).cast("int").alias("r")).toLocalIterator():
         ranks[r["k"]] = r["r"]
-    return F.split(F.lit(",".join(str(r << 32) for r in ranks)), ",").cast("array<long>")
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<long>")
 
 
 def _ordered(words: Column, ranks: Column) -> Column:
     """Hashes of words as longs in one order for all lines: those of rare classes first."""
-    return F.sort_array(F.transform(words, lambda w: F.coalesce(F.get(ranks, w.bitwiseAND(F.lit(CLASSES - 1))), _long(0)).bitwiseOR(w.cast("long").bitwiseAND(_long((1 << 32) - 1)))))
+    return F.sort_array(F.transform(words, lambda w: _shift(F.coalesce(F.get(ranks, w.bitwiseAND(F.lit(CLASSES - 1))), _long(0)), F.lit(32)).bitwiseOR(w.cast("long").bitwiseAND(_long((1 << 32) - 1)))))
 
 
 def _sketch(words: Column, bit: Callable[[Column], Column]) -> Column:
@@ -85,6 +87,7 @@ def _apart(x: str, y: str) -> Column:
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(h, h2, line) of places (h, h2, first): the lines themselves, each from the first document that holds it."""
     at = places.groupBy(F.col("first.r1").alias("r1"), F.col("first.r2").alias("r2")).agg(F.collect_list(F.struct("h", "h2", "first.line_no")).alias("at"))
+    at = written(at, "places")
     rows = _rows(docs).select("r1", "r2", "text").join(at, ["r1", "r2"])
     return rows.select(F.explode(F.expr("transform(at, a -> struct(a.h as h, a.h2 as h2, split(text, '\n')[a.line_no] as line))")).alias("x")).select("x.*").dropDuplicates(["h", "h2"])
 
@@ -96,6 +99,10 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.drop("su", "sv")
 
 
+def _lengths(percent: int) -> Column:
+    return 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
+
+
 def _similar(percent: int) -> Column:
     return 100 * F.col("common") >= percent * (F.col("nu") + F.col("nv") - F.col("common"))
 
@@ -108,17 +115,17 @@ def _slack(percent: int, own: str) -> Column:
 def _groups(nodes: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """(u, u2, v, v2, slack): lines u that are similar to a hub v, and how far, by the hashes of their words.
 
-    Lines that share the smallest or the largest hash of a word are a bucket; its hub has the most frequent words among
-    them, so of a group of near copies it is one with few words of its own.
+    Lines that share the smallest or the largest hash of their prefixes are a bucket; its hub has the most frequent words
+    in its prefix, so of a group of near copies it is one with few words of its own.
     """
     member = nodes.where("n > 0").select("h", "weight", *[F.col(c).alias(c + "x") for c in "nbc"], F.explode(F.array("k1", "k2")).alias("key"))
     hub = F.max(F.struct("weight", F.col("h").alias("v"), *[F.col(c + "x").alias(c + "y") for c in "nbc"])).alias("hub")
     hubs = member.groupBy("key").agg(hub, F.count("*").alias("m")).where("m > 1").select("key", "hub.*").withColumnRenamed("weight", "hub_weight")
-    near = member.join(hubs, "key").where((F.col("h") != F.col("v")) & ((100 + percent) * _apart("x", "y") <= (100 - percent) * (F.col("nx") + F.col("ny"))))
+    near = member.join(hubs, "key").where((F.col("h") != F.col("v")) & _lengths(percent) & ((100 + percent) * _apart("x", "y") <= (100 - percent) * (F.col("nx") + F.col("ny"))))
     chosen = written(near.groupBy("h").agg(F.max(F.struct("hub_weight", "v")).alias("hub")).select(F.col("h").alias("u"), F.col("hub.v").alias("v")), "chosen")
-    named = chosen.select(F.col("u").alias("h")).union(chosen.select("v")).distinct()
+    named = written(chosen.select(F.col("u").alias("h")).union(chosen.select("v")).distinct(), "named")
     sets = lines.select(F.col("h1").alias("h"), "h2", F.col("words").alias("s")).join(named, "h", "left_semi").dropDuplicates(["h", "h2"])
-    found = _measured(chosen, written(sets, "sets")).where(_similar(percent))
+    found = _measured(chosen, written(sets, "sets", hashes=True)).where(_similar(percent))
     return written(found.select("u", "u2", "v", "v2", _slack(percent, "nu").alias("slack"), "nv"), "groups")
 
 
@@ -152,26 +159,43 @@ def _candidates(nodes: DataFrame, members: DataFrame, percent: int) -> DataFrame
     that they share enough must remain in both (positional filter). Pairs whose sketches differ in more bits than
     similar sets can differ in words go as well.
     """
-    d = nodes.where("n > 0").select("h", "h2", "n", "b", "c", "p").join(members, ["h", "h2"], "left")
-    first = d.select("h", "n", "b", "c", "hub", "slack", F.posexplode("p").alias("i", "s"))  # by a hash of the word: more candidates at worst
-    x, y = (first.select("s", *[F.col(c).alias(c + k) for c in ("h", "n", "b", "c", "hub", "slack", "i")]) for k in "xy")
-    total, left = F.col("nx") + F.col("ny"), F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
-    fits = (F.col("hx") < F.col("hy")) & ((100 + percent) * left >= percent * total) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    near = (100 + percent) * _apart("x", "y") <= (100 - percent) * total
-    counted = F.coalesce((F.col("hubx") == F.col("huby")) & (F.col("slackx") + F.col("slacky") <= 0), F.lit(False))
-    return x.join(y, "s").where(fits & near & ~counted).select(F.col("hx").alias("u"), F.col("hy").alias("v")).distinct()
-
-
-def _judged(docs: DataFrame, percent: int) -> DataFrame:
-    """Every line (doc_id, r1, r2, line_no) with the number of different lines that it matches, the place of the earliest match, and whether that lies before it."""
-    lines = written(_lines(docs), "lines")
+    d = nodes.where("n > 0").select("h", "h2", "n", "b", "c", "p")
+    grouped = members.select("h", "h2", F.lit(1).alias("m"))
+    size = F.col("n") * 2 + F.coalesce("m", F.lit(0))  # narrow rows: this is the largest shuffle
+    first = d.join(grouped, ["h", "h2"], "left").select("h", "b", "c", size.alias("m"), F.posexplode("p").alias("i", "s"))  # by a hash of the word: more candidates at worst
+    each = first.select("s", "h", "b", "c", F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("m").cast("long")).alias("x"))
+    single = lambda k: F.col("x" + k).bitwiseAND(_long(1)) == 0
+    across = _met(each, percent, single("x") | single("y"))
+    inner = d.join(members, ["h", "h2"]).select("h", "b", "c", "hub", "slack", (F.col("n") * 2).alias("m"), F.posexplode("p").alias("i", "s"))
+    inner = inner.select("s", "h", "b", "c", F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("m").cast("long")).alias("x"), "hub", "slack")
+    within = _met(inner, percent, (F.col("hubx") != F.col("huby")) | (F.col("slackx") + F.col("slacky") > 0))
+    return across.unionByName(within).distinct()
+
+
+def _met(rows: DataFrame, percent: int, also: Column) -> DataFrame:
+    """(u, v): rows (s, h, b, c, x, ...) that share s and pass the filters; x holds the place of s above 32 bits, and twice the number of words."""
+    x, y = (rows.select("s", *[F.col(c).alias(c + k) for c in rows.columns[1:]]) for k in "xy")
+    n = {k: F.shiftright(F.col("x" + k), 1).bitwiseAND(_long((1 << 31) - 1)) for k in "xy"}
+    left = {k: n[k] - F.shiftright(F.col("x" + k), 32) for k in "xy"}
+    total = n["x"] + n["y"]
+    fits = (100 * F.least(*n.values()) >= percent * F.greatest(*n.values())) & ((100 + percent) * F.least(*left.values()) >= percent * total)
+    b, c = (F.col(k + "x").bitwiseXOR(F.col(k + "y")) for k in "bc")
+    apart = F.when(F.least(*n.values()) > LONG, F.bit_count(b) + F.bit_count(c)).otherwise(F.bit_count(b.bitwiseXOR(c)))
+    near = (100 + percent) * apart <= (100 - percent) * total
+    return x.join(y, "s").where((F.col("hx") < F.col("hy")) & fits & near & also).select(F.col("hx").alias("u"), F.col("hy").alias("v"))
+
+
+def _judged(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Every line (doc_id, r1, r2, line_no, h1, h2), and for lines that match others (h1, h2, best, links): the place of the earliest match, and how many different lines match."""
+    lines = written(_lines(docs), "lines", hashes=True)
     n = F.size("words")
     some = lines.select("*", n.alias("n"), _ordered(F.col("words"), rarity(lines)).alias("s")).select("*", F.slice("s", 1, (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9) + 1).cast("int")).alias("first"))
     low, high = _halves()
-    weight = F.aggregate("first", _long(0), lambda a, w: a + F.shiftrightunsigned(w, 32))
-    parts = F.struct("n", low.alias("b"), high.alias("c"), F.array_min("words").alias("k1"), F.array_max("words").alias("k2"), weight.alias("weight"), F.transform("first", lambda w: F.hash(w)).alias("p"))
-    nodes = some.select("h1", "h2", _place().alias("place"), parts.alias("x")).groupBy("h1", "h2").agg(F.min("place").alias("first"), F.first("x").alias("x"))
-    nodes = written(nodes.select(F.col("h1").alias("h"), "h2", "first", "x.*"), "nodes")
+    weight = F.aggregate("first", _long(0), lambda a, w: a + F.shiftrightunsigned(w, 32)) * 64 / F.size("first")
+    prefix = F.transform("first", lambda w: F.hash(w))
+    parts = F.struct("n", low.alias("b"), high.alias("c"), F.array_min(prefix).alias("k1"), F.array_max(prefix).alias("k2"), weight.alias("weight"), prefix.alias("p"))
+    nodes = some.select("h1", "h2", _place().alias("place"), parts.alias("x")).groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.first("x").alias("x"))
+    nodes = written(nodes.select(F.col("h1").alias("h"), "h2", "first", (F.col("first") != F.col("last")).alias("again"), "x.*"), "nodes", hashes=True)
 
     groups = _groups(nodes, lines, percent)
     while True:
@@ -179,7 +203,8 @@ def _judged(docs: DataFrame, percent: int) -> DataFrame:
         pairs = written(_candidates(nodes, members, percent), "pairs")
         ends = [groups.select("u"), groups.select("v"), pairs.select("u"), pairs.select("v")]
         named = ends[0].union(ends[1]).union(ends[2]).union(ends[3]).toDF("h").distinct()
-        texts = _texts(docs, nodes.select("h", "h2", "first").join(named, "h", "left_semi"))
+        places = written(nodes.select("h", "h2", "first").join(written(named, "named"), "h", "left_semi"), "places")
+        texts = _texts(docs, places)
         sets = written(texts.select("h", "h2", F.array_distinct(_words(F.col("line"))).alias("s")), "sets", "zstd")
         wrong = _measured(groups.drop("u2", "v2", "nv"), sets).where(~_similar(percent) | (_slack(percent, "nu") != F.col("slack"))).select("u")
         wrong = written(wrong, "wrong")
@@ -192,24 +217,31 @@ def _judged(docs: DataFrame, percent: int) -> DataFrame:
         drop(x)
 
     both = links.unionByName(links.select(*[F.col(a).alias(b) for a, b in (("u", "v"), ("u2", "v2"), ("v", "u"), ("v2", "u2"))]))
-    ends = both.join(nodes.select(F.col("h").alias("v"), F.col("h2").alias("v2"), "first"), ["v", "v2"])
+    ends = both.join(places.select(F.col("h").alias("v"), F.col("h2").alias("v2"), "first"), ["v", "v2"])
     across = ends.groupBy(F.col("u").alias("h"), F.col("u2").alias("h2")).agg(F.min("first").alias("near"), F.count("*").alias("links"))
-    near = across.unionByName(_within(nodes, members)).groupBy("h", "h2").agg(F.min("near").alias("near"), F.sum("links").alias("links"))
-    best = nodes.select("h", "h2", "first").join(near, ["h", "h2"], "left")
-    best = best.select(F.col("h").alias("h1"), "h2", F.least("first", F.coalesce("near", "first")).alias("best"), F.coalesce("links", _long(0)).alias("links"))
+    own = places.unionByName(nodes.where("again").select("h", "h2", "first")).select("h", "h2", F.col("first").alias("near"), _long(0).alias("links"))
+    best = across.unionByName(_within(places, members)).unionByName(own).groupBy(F.col("h").alias("h1"), "h2").agg(F.min("near").alias("best"), F.sum("links").alias("links"))
     best = written(best, "best")
     for x in (links, members, nodes):
         drop(x)
-    return lines.select("doc_id", "r1", "r2", "line_no", "h1", "h2").join(best, ["h1", "h2"]).withColumn("removed", F.col("best") < _place())
+    return lines.select("doc_id", "r1", "r2", "line_no", "h1", "h2"), best
 
 
 def _removed(docs: DataFrame, percent: int) -> DataFrame:
-    line = F.struct("line_no", "removed", "links", F.col("best.doc_id").alias("class_id"))
-    rows = _judged(docs, percent).groupBy("doc_id", "r1", "r2").agg(F.collect_set(line).alias("x"))  # a set: repeated rows give the same lines
+    lines, best = _judged(docs, percent)
+    matched = lines.join(best, ["h1", "h2"])
+    line = F.struct("line_no", (F.col("best") < _place()).alias("removed"), "links", F.col("best.doc_id").alias("class_id"))
+    by = ["doc_id", "r1", "r2"]
+    found = matched.select(*by, line.alias("x")).groupBy(*by).agg(F.collect_set("x").alias("x"))  # a set: repeated rows give the same lines
+    sizes = lines.groupBy(*by).agg((F.max("line_no") + 1).alias("n_lines"))
+    rows = sizes.alias("a").join(found.alias("b"), (F.col("a.r1") == F.col("b.r1")) & (F.col("a.r2") == F.col("b.r2")), "left")
+    x = F.coalesce("x", F.expr("cast(array() as array<struct<line_no: int, removed: boolean, links: bigint, class_id: bigint>>)"))
+    rows = rows.select("a.doc_id", "a.r1", "a.r2", F.col("n_lines").cast("long").alias("n_lines"), x.alias("x"))
+    gone = F.filter("x", lambda l: l["removed"])
+    first = F.when(F.size("x") < F.col("n_lines"), F.coalesce("doc_id", _long(_LEAST)))  # lines that match no other are their own
     return rows.select(
-        "doc_id", "r1", "r2", F.size("x").cast("long").alias("n_lines"), F.size(F.filter("x", lambda l: l["removed"])).cast("long").alias("n_removed"),
-        F.aggregate("x", _long(0), lambda n, l: n + l["links"]).alias("n_links"), F.nullif(F.array_min("x.class_id"), _long(_LEAST)).alias("class_id"),
-        F.sort_array(F.transform(F.filter("x", lambda l: l["removed"]), lambda l: l["line_no"])).alias("removed"),
+        *by, "n_lines", F.size(gone).cast("long").alias("n_removed"), F.aggregate("x", _long(0), lambda n, l: n + l["links"]).alias("n_links"),
+        F.nullif(F.least(F.array_min("x.class_id"), first), _long(_LEAST)).alias("class_id"), F.sort_array(F.transform(gone, lambda l: l["line_no"])).alias("removed"),
     )
 
 

@@ -28,11 +28,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/peakforge/{uuid.uuid4().hex}/{name}"
 
 
-def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """df, computed once and kept as Parquet in the shared folder: a lost executor costs no recomputation of what lies before."""
+def written(df: DataFrame, name: str, codec: str = "snappy", hashes: bool = False) -> DataFrame:
+    """df, computed once and kept as Parquet in the shared folder: a lost executor costs no recomputation of what lies before.
+
+    hashes says that most values are, so that no dictionary of them is tried.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("parquet.enable.dictionary", str(not hashes).lower()).parquet(path)
     collect(spark)
     return spark.read.schema(df.schema).parquet(path)
 
