@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakforge.llm.store import drop, free_name, written
+from peakforge.llm.store import drop, free_name, small, written
 
 #: Lines match when 100 * intersection >= PERCENT * union of their word sets.
 PERCENT = 80
@@ -87,8 +87,7 @@ def _apart(x: str, y: str) -> Column:
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(h, h2, line) of places (h, h2, first): the lines themselves, each from the first document that holds it."""
     at = places.groupBy(F.col("first.r1").alias("r1"), F.col("first.r2").alias("r2")).agg(F.collect_list(F.struct("h", "h2", "first.line_no")).alias("at"))
-    at = written(at, "places")
-    rows = _rows(docs).select("r1", "r2", "text").join(at, ["r1", "r2"])
+    rows = _rows(docs).select("r1", "r2", "text").join(small(written(at, "places")), ["r1", "r2"])
     return rows.select(F.explode(F.expr("transform(at, a -> struct(a.h as h, a.h2 as h2, split(text, '\n')[a.line_no] as line))")).alias("x")).select("x.*").dropDuplicates(["h", "h2"])
 
 
@@ -124,7 +123,7 @@ def _groups(nodes: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     near = member.join(hubs, "key").where((F.col("h") != F.col("v")) & _lengths(percent) & ((100 + percent) * _apart("x", "y") <= (100 - percent) * (F.col("nx") + F.col("ny"))))
     chosen = written(near.groupBy("h").agg(F.max(F.struct("hub_weight", "v")).alias("hub")).select(F.col("h").alias("u"), F.col("hub.v").alias("v")), "chosen")
     named = written(chosen.select(F.col("u").alias("h")).union(chosen.select("v")).distinct(), "named")
-    sets = lines.select(F.col("h1").alias("h"), "h2", F.col("words").alias("s")).join(named, "h", "left_semi").dropDuplicates(["h", "h2"])
+    sets = lines.select(F.col("h1").alias("h"), "h2", F.col("words").alias("s")).join(small(named), "h", "left_semi").dropDuplicates(["h", "h2"])
     found = _measured(chosen, written(sets, "sets", hashes=True)).where(_similar(percent))
     return written(found.select("u", "u2", "v", "v2", _slack(percent, "nu").alias("slack"), "nv"), "groups")
 
@@ -160,9 +159,9 @@ def _candidates(nodes: DataFrame, members: DataFrame, percent: int) -> DataFrame
     similar sets can differ in words go as well.
     """
     d = nodes.where("n > 0").select("h", "h2", "n", "b", "c", "p")
-    grouped = members.select("h", "h2", F.lit(1).alias("m"))
-    size = F.col("n") * 2 + F.coalesce("m", F.lit(0))  # narrow rows: this is the largest shuffle
-    first = d.join(grouped, ["h", "h2"], "left").select("h", "b", "c", size.alias("m"), F.posexplode("p").alias("i", "s"))  # by a hash of the word: more candidates at worst
+    members = small(members)
+    size = F.col("n") * 2 + F.when(F.col("hub").isNull(), 0).otherwise(1)  # narrow rows: this is the largest shuffle
+    first = d.join(members, ["h", "h2"], "left").select("h", "b", "c", size.alias("m"), F.posexplode("p").alias("i", "s"))  # by a hash of the word: more candidates at worst
     each = first.select("s", "h", "b", "c", F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("m").cast("long")).alias("x"))
     single = lambda k: F.col("x" + k).bitwiseAND(_long(1)) == 0
     across = _met(each, percent, single("x") | single("y"))
@@ -191,7 +190,7 @@ def _judged(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     n = F.size("words")
     some = lines.select("*", n.alias("n"), _ordered(F.col("words"), rarity(lines)).alias("s")).select("*", F.slice("s", 1, (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9) + 1).cast("int")).alias("first"))
     low, high = _halves()
-    weight = F.aggregate("first", _long(0), lambda a, w: a + F.shiftrightunsigned(w, 32)) * 64 / F.size("first")
+    weight = F.aggregate("first", _long(0), lambda a, w: a + F.shiftrightunsigned(w, 32)) * 64 / F.greatest(F.size("first"), F.lit(1))
     prefix = F.transform("first", lambda w: F.hash(w))
     parts = F.struct("n", low.alias("b"), high.alias("c"), F.array_min(prefix).alias("k1"), F.array_max(prefix).alias("k2"), weight.alias("weight"), prefix.alias("p"))
     nodes = some.select("h1", "h2", _place().alias("place"), parts.alias("x")).groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.first("x").alias("x"))
@@ -203,7 +202,7 @@ def _judged(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         pairs = written(_candidates(nodes, members, percent), "pairs")
         ends = [groups.select("u"), groups.select("v"), pairs.select("u"), pairs.select("v")]
         named = ends[0].union(ends[1]).union(ends[2]).union(ends[3]).toDF("h").distinct()
-        places = written(nodes.select("h", "h2", "first").join(written(named, "named"), "h", "left_semi"), "places")
+        places = written(nodes.select("h", "h2", "first").join(small(written(named, "named")), "h", "left_semi"), "places")
         texts = _texts(docs, places)
         sets = written(texts.select("h", "h2", F.array_distinct(_words(F.col("line"))).alias("s")), "sets", "zstd")
         wrong = _measured(groups.drop("u2", "v2", "nv"), sets).where(~_similar(percent) | (_slack(percent, "nu") != F.col("slack"))).select("u")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -45,6 +46,20 @@ def collect(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Bytes of Parquet up to which a written table may be broadcast.
+BROADCAST = 8 << 20
+
+
+def small(df: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """A table made by written(), marked for a broadcast if its files take at most so many bytes; beyond that Spark shuffles it."""
+    spark = df.sparkSession
+    for f in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f.rpartition("/")[0])
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength() <= most:
+            return F.broadcast(df)
+    return df
+
+
 def free_name(df: DataFrame) -> str:
     """A column name that df does not have, nor any that begins with it."""
     name = "_own"
