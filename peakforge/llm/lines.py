@@ -114,14 +114,31 @@ def _slack(percent: int, own: str) -> Column:
 def _groups(nodes: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """(u, u2, v, v2, slack): lines u that are similar to a hub v, and how far, by the hashes of their words.
 
-    Lines that share the smallest or the largest hash of their prefixes are a bucket; its hub has the most frequent words
-    in its prefix, so of a group of near copies it is one with few words of its own.
+    Lines that share two hashes at an end of the order of their rarer words' hashes are a bucket; its hub is the line
+    with the most copies, then with the largest buckets: of a group of near copies, one with few words of its own. A line that is similar
+    to the hub of its hub goes there. Any choice gives the same result; a good one leaves few pairs to the prefix join.
     """
-    member = nodes.where("n > 0").select("h", "weight", *[F.col(c).alias(c + "x") for c in "nbc"], F.explode(F.array("k1", "k2")).alias("key"))
-    hub = F.max(F.struct("weight", F.col("h").alias("v"), *[F.col(c + "x").alias(c + "y") for c in "nbc"])).alias("hub")
-    hubs = member.groupBy("key").agg(hub, F.count("*").alias("m")).where("m > 1").select("key", "hub.*").withColumnRenamed("weight", "hub_weight")
-    near = member.join(hubs, "key").where((F.col("h") != F.col("v")) & _lengths(percent) & ((100 + percent) * _apart("x", "y") <= (100 - percent) * (F.col("nx") + F.col("ny"))))
-    chosen = written(near.groupBy("h").agg(F.max(F.struct("hub_weight", "v")).alias("hub")).select(F.col("h").alias("u"), F.col("hub.v").alias("v")), "chosen")
+    every = nodes.where("n > 0").select("h", F.explode(F.array_distinct("keys")).alias("key"))
+    sizes = every.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    member = written(every.join(sizes, "key"), "members", hashes=True)
+    shapes = nodes.select("h", F.col("copies").alias("weight"), *[F.col(c).alias(c + "x") for c in "nbc"])
+    central = member.groupBy("h").agg(F.sum("m").alias("m"))
+    member = member.select("h", "key").join(shapes.join(small(written(central, "central", hashes=True)), "h"), "h")
+    hub = F.max(F.struct("weight", "m", F.col("h").alias("v"), *[F.col(c + "x").alias(c + "y") for c in "nbc"])).alias("hub")
+    hubs = member.groupBy("key").agg(hub).select("key", F.struct("hub.weight", "hub.m").alias("hub_weight"), *["hub." + c for c in ("v", "ny", "by", "cy")])
+    fits = _lengths(percent) & ((100 + percent) * _apart("x", "y") <= (100 - percent) * (F.col("nx") + F.col("ny")))
+    near = member.join(hubs, "key").where((F.col("h") != F.col("v")) & fits)
+    ends = ["v", *[c + "y" for c in "nbc"]]
+    own = [c + "x" for c in "nbc"]
+    best = F.max(F.struct("hub_weight", *ends)).alias("hub")
+    chosen = written(near.groupBy(F.col("h").alias("u"), *own).agg(best).select("u", *own, "hub.*"), "chosen", hashes=True)
+    for _ in range(2):
+        above = chosen.select(F.col("u").alias("v"), F.struct("hub_weight", *ends).alias("above"))
+        both = chosen.join(small(above), "v", "left").select("u", *own, F.struct("hub_weight", *ends).alias("hub"), "above")
+        moved = both.where("above is not null").select("u", *own, "hub", "above.*").where((F.col("u") != F.col("v")) & fits).select("u", *own, F.struct("hub_weight", *ends).alias("hub"))
+        later = both.drop("above").unionByName(moved).groupBy("u", *own).agg(F.max("hub").alias("hub")).select("u", *own, "hub.*")
+        chosen = written(later, "chosen", hashes=True)
+    chosen = chosen.select("u", "v")
     named = written(chosen.select(F.col("u").alias("h")).union(chosen.select("v")).distinct(), "named")
     sets = lines.select(F.col("h1").alias("h"), "h2", F.col("words").alias("s")).join(small(named), "h", "left_semi").dropDuplicates(["h", "h2"])
     found = _measured(chosen, written(sets, "sets", hashes=True)).where(_similar(percent))
@@ -189,12 +206,16 @@ def _judged(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     lines = written(_lines(docs), "lines", hashes=True)
     n = F.size("words")
     some = lines.select("*", n.alias("n"), _ordered(F.col("words"), rarity(lines)).alias("s")).select("*", F.slice("s", 1, (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9) + 1).cast("int")).alias("first"))
-    low, high = _halves()
-    weight = F.aggregate("first", _long(0), lambda a, w: a + F.shiftrightunsigned(w, 32)) * 64 / F.greatest(F.size("first"), F.lit(1))
+    bits = _halves()
     prefix = F.transform("first", lambda w: F.hash(w))
-    parts = F.struct("n", low.alias("b"), high.alias("c"), F.array_min(prefix).alias("k1"), F.array_max(prefix).alias("k2"), weight.alias("weight"), prefix.alias("p"))
-    nodes = some.select("h1", "h2", _place().alias("place"), parts.alias("x")).groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.first("x").alias("x"))
-    nodes = written(nodes.select(F.col("h1").alias("h"), "h2", "first", (F.col("first") != F.col("last")).alias("again"), "x.*"), "nodes", hashes=True)
+    rare = F.sort_array(F.transform(F.slice("s", 1, F.floor((F.col("n") + 1) / 2).cast("int")), lambda w: F.hash(w)))
+    some = some.withColumn("rare", rare)
+    low = [F.get("rare", F.lit(i)) for i in range(3)]
+    top = [F.get("rare", F.size("rare") - i) for i in (1, 2, 3)]
+    keys = F.array(F.xxhash64(*low[:2]), F.xxhash64(*low[1:]), F.xxhash64(*top[:2]), F.xxhash64(*top[1:]))
+    parts = F.struct("n", bits[0].alias("b"), bits[1].alias("c"), keys.alias("keys"), prefix.alias("p"))
+    nodes = some.select("h1", "h2", _place().alias("place"), parts.alias("x")).groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("copies"), F.first("x").alias("x"))
+    nodes = written(nodes.select(F.col("h1").alias("h"), "h2", "first", (F.col("first") != F.col("last")).alias("again"), "copies", "x.*"), "nodes", hashes=True)
 
     groups = _groups(nodes, lines, percent)
     while True:
