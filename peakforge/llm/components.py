@@ -42,7 +42,7 @@ def components(links: DataFrame) -> DataFrame:
     Links are first contracted by union-find within each partition; then large-star and small-star
     rounds join the partial forests, each round kept in the shared folder, until nothing changes.
     """
-    edges = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(_forest, "u long, v long").distinct(), "forest")
+    edges = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(_forest, "u long, v long").distinct(), "forest", hashes=True)
     print_of = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     state = print_of(edges)
     while state[0]:
@@ -51,7 +51,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        later = written(small, "forest")
+        later = written(small, "forest", hashes=True)
         drop(edges)
         edges, before, state = later, state, print_of(later)
         if state == before:

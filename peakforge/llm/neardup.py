@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakforge.llm import text as T
 from peakforge.llm.components import components
-from peakforge.llm.store import drop, written
+from peakforge.llm.store import drop, free_name, small, written
 
 SHINGLE = 5
 #: 16 bands of 4 ranks: a pair at a Jaccard similarity of 0.85 shares no band with a probability of 7e-6.
@@ -85,7 +85,7 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return key
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("r1", pa.int64()), ("r2", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _SETS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
@@ -103,7 +103,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.zeros(hi - lo + 1, np.int32)
             at[full + 1] = BANDS
             bands = pa.ListArray.from_arrays(pa.array(np.cumsum(at, dtype=np.int32)), pa.array(T.signed(keys.reshape(-1))))
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(T.signed(h1)), pa.array(T.signed(h2)), bands], schema=_SKETCH)
+            yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(3)), pa.array(np.diff(bounds)), pa.array(T.signed(h1)), pa.array(T.signed(h2)), bands], schema=_SKETCH)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,61 +126,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Every pair of nodes (node, root) with different roots that can be similar enough: an exact prefix join.
 
-    Shingles are ordered by how few of these sets hold them. Two similar sets share one of their first
+    Sets are sorted by hash, an order that is the same for all. Two similar sets share one of their first
     n - ceil(t n) + 1 shingles, and at the first that they share enough must remain behind it in both.
-    Shingles of one set alone are dropped from the index, so what sets a text apart costs nothing.
     """
-    rows = nodes.join(sets, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    many = rows.groupBy("s").agg(F.count("*").alias("f"))
-    need = F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9)
-    ranked = rows.join(many, "s").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("r"))
-    first = ranked.select("node", "root", "n", F.posexplode(F.slice("r", 1, (F.col("n") - need + 1).cast("int")))).where("col.f > 1").select("node", "root", "n", F.col("pos").alias("i"), F.col("col.s").alias("s"))
+    n = F.size("shingles")
+    need = F.ceil(n * percent / F.lit(100.0) - 1e-9)
+    first = nodes.join(sets, "node").select("node", "root", n.alias("n"), F.posexplode(F.slice("shingles", 1, (n - need + 1).cast("int"))).alias("i", "s"))
     x, y = (first.select(F.col("s"), *[F.col(c).alias(c + k) for c in ("node", "root", "n", "i")]) for k in "xy")
     left = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
     return x.join(y, "s").where((F.col("nodex") < F.col("nodey")) & (F.col("rootx") != F.col("rooty")) & ((100 + percent) * left >= percent * (F.col("nx") + F.col("ny")))).select(F.col("nodex").alias("u"), F.col("nodey").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
-
-    Texts with A-Z lower-cased are sets of distinct 5-word shingles; a text of fewer words is one shingle, a text
-    without words (or null) is empty and linked with nothing. Two documents are linked when
-    100 * intersection >= percent * union; component_id is the smallest doc_id reachable, kept is doc_id = component_id.
-
-    1. Sketch: SuperMinHash bands and a 128-bit digest of the set. Equal sets form a class; only classes go on.
-    2. In each bucket of a band the most central class (the one with the largest buckets) is verified against the
-       others, so a group of m copies costs m checks. Links are joined by union-find.
-    3. Of buckets that still hold several components, small ones have all pairs between components verified; the
-       members of larger ones go through an exact prefix join of their full sets. No link between components is lost.
-
-    Rows that share a doc_id share a node. A null doc_id never is a component_id; such rows are kept unless linked
-    with a row that has one. Columns other than doc_id and text are not read. An empty table gives an empty result.
-    """
-    sketch = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch, "doc_id long, n long, h1 long, h2 long, bands array<long>"), "sketch")
-    classes = written(
-        sketch.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.max("n").cast("int").alias("n"), F.first("bands").alias("bands")).withColumn("node", F.coalesce("doc", "h1")),
-        "classes",
-    )
+def _placed(docs: DataFrame, percent: int) -> DataFrame:
+    """One row per row of docs: doc_id, r1, r2 (128 bits of doc_id and text), n, root (its component), component (the smallest doc_id there); null without words."""
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), *_identity(), "text")
+    sketch = written(rows.mapInArrow(_sketch, "doc_id long, r1 long, r2 long, n long, h1 long, h2 long, bands array<long>"), "sketch", hashes=True)
+    classes = sketch.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.max("n").cast("int").alias("n"), F.first("bands").alias("bands"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes", hashes=True)  # numbered once, when written
     member = classes.select("node", "n", F.explode("bands").alias("key"))
     sizes = member.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     central = member.join(sizes, "key").groupBy("node").agg(F.sum("m").alias("c"), F.first("n").alias("n"))
-    member = written(member.select("node", "key").join(sizes.select("key"), "key").join(central, "node"), "members")
+    member = written(member.select("node", "key").join(sizes.select("key"), "key").join(central, "node"), "members", hashes=True)
     hub = member.groupBy("key").agg(F.max(F.struct("c", "node", "n")).alias("hub"))
     fits = 100 * F.least("n", F.col("hub.n")) >= percent * F.greatest("n", F.col("hub.n"))
     pairs = member.join(hub, "key").where(fits & (F.col("node") != F.col("hub.node"))).select(F.col("hub.node").alias("u"), F.col("node").alias("v")).distinct()
 
     wanted = classes.select("node", "h1", "h2", "doc").join(member.select("node").distinct(), "node", "left_semi")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(written(wanted.select(F.col("doc").alias("doc_id")).distinct(), "wanted")), "doc_id", "left_semi")
     if not wanted.where("doc is null").isEmpty():
         texts = texts.unionByName(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is null"))
     found = texts.select("text").mapInArrow(_sets, "h1 long, h2 long, shingles array<long>")
-    sets = written(found.join(wanted, ["h1", "h2"]).select("node", "shingles").dropDuplicates(["node"]), "sets")
+    sets = written(found.join(wanted, ["h1", "h2"]).select("node", "shingles").dropDuplicates(["node"]), "sets", hashes=True)
     links = written(_verified(pairs, sets, percent), "links")
     root = components(links)
 
     state = member.join(root, "node", "left").select("node", "n", "key", F.coalesce("root", "node").alias("root"))
     mixed = state.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
-    rest = written(state.join(mixed, "key"), "rest")
+    rest = written(state.join(mixed, "key"), "rest", hashes=True)
     x, y = (rest.where(f"m <= {SMALL}").select("key", *[F.col(c).alias(c + k) for c in ("node", "root", "n")]) for k in "xy")
     fits = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
     pairs = x.join(y, "key").where((F.col("nodex") < F.col("nodey")) & (F.col("rootx") != F.col("rooty")) & fits).select(F.col("nodex").alias("u"), F.col("nodey").alias("v"))
@@ -193,20 +176,55 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     drop(member)
 
     placed = classes.join(root, "node", "left").select("h1", "h2", "doc", F.coalesce("root", "node").alias("root"))
-    least = placed.groupBy("root").agg(F.min("doc").alias("component_id"))
-    placed = placed.join(least, "root").select("h1", "h2", "component_id")
-    out = sketch.select("doc_id", "n", "h1", "h2").join(placed, ["h1", "h2"], "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
+    least = placed.groupBy("root").agg(F.min("doc").alias("component"))
+    placed = written(placed.join(least, "root").select("h1", "h2", "root", "component"), "placed", hashes=True)
+    drop(classes)
+    rows = sketch.select("doc_id", "r1", "r2", "n", "h1", "h2")
+    empty = rows.where("n = 0").select("doc_id", "r1", "r2", "n", F.lit(None).cast("long").alias("root"), F.lit(None).cast("long").alias("component"))
+    return rows.where("n > 0").join(placed, ["h1", "h2"]).drop("h1", "h2").unionByName(empty)
+
+
+def _identity() -> list[Column]:
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    return [F.xxhash64(doc_id, text).alias("r1"), F.xxhash64(text, doc_id, F.lit(1)).alias("r2")]
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
+
+    Texts with A-Z lower-cased are sets of distinct 5-word shingles; a text of fewer words is one shingle, a text
+    without words (or null) is empty and linked with nothing. Two documents are linked when
+    100 * intersection >= percent * union; component_id is the smallest doc_id reachable, kept is doc_id = component_id.
+
+    1. Sketch: SuperMinHash bands and a 128-bit digest of the set. Equal sets form a class; only classes go on.
+    2. In each bucket of a band the most central class (the one with the largest buckets) is verified against the
+       others, so a group of m copies costs m checks. Links are joined by union-find.
+    3. Of buckets that still hold several components, small ones have all pairs between components verified; the
+       members of larger ones go through an exact prefix join of their full sets. No link between components is lost.
+
+    Rows that share a doc_id but not the text are documents of their own, linked only by their texts. A null doc_id
+    never is a component_id; such rows are kept unless linked with a row that has one. Columns other than doc_id and
+    text are not read, whatever their names. An empty table gives an empty result.
+    """
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    return _placed(docs, percent).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
 def first_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, all columns unchanged; of rows that share a doc_id, one."""
-    near = near_duplicates(docs, percent)
-    kept = written(near.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    d = docs.alias("d")
-    pick = lambda some: d.join(some.alias("k"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    again = kept.where("n > 1 and doc_id is not null")
-    if again.isEmpty():
-        return pick(kept)
-    return pick(kept.where("n = 1 or doc_id is null")).unionByName(pick(again).dropDuplicates(["doc_id"]))
+    """The rows of docs, all columns unchanged, one of each component: of those with the smallest doc_id the one with the smallest hash.
+
+    Rows without words stay. Rows equal in doc_id and text count once. Without any doc_id in a component one row of it stays.
+    """
+    rows = _placed(docs, percent).groupBy("doc_id", "r1", "r2", "n", "root").agg(F.count("*").alias("m"))
+    rows = written(rows, "rows", hashes=True)
+    linked = rows.where("n > 0")
+    first = linked.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "r1", "r2")).alias("at")).select("root", "at.r1", "at.r2")
+    own = free_name(docs)
+    row = lambda some: small(written(some.select(F.struct("r1", "r2").alias(own)), "some", hashes=True))
+    d = docs.withColumn(own, F.struct(*_identity()))
+    kept = d.join(row(linked.join(first, ["root", "r1", "r2"], "left_anti")), own, "left_anti")
+    again = rows.where("m > 1")
+    if not again.isEmpty():
+        again = row(again)
+        kept = kept.join(again, own, "left_anti").unionByName(kept.join(again, own, "left_semi").dropDuplicates([own]))
+    return kept.drop(own)
