@@ -10,6 +10,7 @@ A file is a stream of ids, cut into blocks of BLOCK ids whatever the documents a
 
 from __future__ import annotations
 
+import itertools
 import os
 import uuid
 import zlib
@@ -17,11 +18,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from peakforge.llm import text as T
 from peakforge.llm.store import new_path, written
 
 BLOCK = 256
@@ -31,6 +34,10 @@ TRAILER = 40
 END_ID = 0
 #: Words whose ids a worker keeps; beyond that it starts anew, which costs time only.
 KEPT = 400_000
+#: What stands for the end of a text among its words; a text with a NUL of its own is encoded whole.
+END = "\0\0"
+#: Bytes of text that are encoded at once; a longer text is one batch.
+BATCH = 1 << 21
 
 
 # blocks
@@ -165,10 +172,12 @@ class Reader:
 
 
 class Encoder:
-    """encode_batch of a byte-level BPE tokenizer, remembering the ids of words.
+    """Ids of a byte-level BPE tokenizer, as encode(text, add_special_tokens=False) gives them, remembering the ids of words.
 
     Its splitting never joins what stands before a space with what follows, if neither neighbour of the space is white
-    space, and the same holds for a newline; so such texts are encoded word by word. Any other text is encoded whole.
+    space, and the same holds for a newline; so such texts are cut into words, and each different word of a batch is
+    looked up once. Any other text, and one that holds an added token such as <|endoftext|> (which becomes that token's
+    id, as the library does it), is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -176,58 +185,104 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes | None] = {}
+        self.added = [str(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.bytes = np.zeros(self.tok.get_vocab_size(), np.int64)
         for token, i in self.tok.get_vocab().items():  # in a byte-level vocabulary a character stands for a byte
             self.bytes[i] = len(token)
-
-    def split(self, parts: list[str], some: int = 400) -> list[bytes]:
-        """The ids of each of parts, encoded many in one text: the ids' lengths in bytes tell where each part ends."""
+        self.known = {END: 0}  # a word's row, or -1: its text is encoded whole
+        self.at, self.size, self.uses = np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.int32)
+        self.pool = np.array([END_ID], np.uint32)
+
+    def forget(self) -> None:
+        """Drop the words that only one batch has had."""
+        kept = [(w, r) for w, r in self.known.items() if r == 0 or r > 0 and self.uses[r] > 1]
+        row = np.array([r for _, r in kept], np.int64)
+        self.known = {w: i for i, (w, _) in enumerate(kept)}
+        self.pool, (self.at, self.size) = self._ids(row), (np.cumsum(self.size[row]) - self.size[row], self.size[row])
+        self.uses = np.zeros(len(row), np.int32)
+
+    def _ids(self, row: np.ndarray) -> np.ndarray:
+        """The ids of rows, one after the other."""
+        size = self.size[row]
+        return self.pool[np.repeat(self.at[row] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, each encoded alone, in a row; and how many each has."""
+        ids = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.array([len(x) for x in ids], np.int64)
+
+    def together(self, parts: list[str], some: int = 400) -> tuple[np.ndarray, np.ndarray]:
+        """As whole, but many of parts are encoded in one text: the ids' lengths in bytes tell where each part ends."""
         texts = ["".join(parts[i : i + some]) for i in range(0, len(parts), some)]
-        ids = np.concatenate([np.array(e.ids, self.kind) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)])
+        ids, _ = self.whole(texts)
         ends = np.cumsum([len(p.encode()) for p in parts])
         upto = np.cumsum(self.bytes[ids])
         cut = np.searchsorted(upto, ends)
         if len(upto) != cut[-1] + 1 or (upto[cut] != ends).any():
             return self.whole(parts)
-        data, size = ids.tobytes(), self.kind.itemsize
-        cut = [0, *(size * (cut + 1)).tolist()]
-        return [data[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        parts = [None if "\0" in t else ("\0" + t).replace("\n", " \n").split(" ") for t in texts]
-        if len(known) > KEPT:
-            known.clear()
-        missing = list(set().union(*(p for p in parts if p)) - known.keys())
-        plain = []
-        for p in missing:
+        return ids, np.diff(cut, prepend=-1)
+
+    def _learn(self, parts: list[str], added: bool) -> None:
+        """Rows for parts: words with what stands before them, a NUL for the start of a text, a newline, or nothing for a space."""
+        first, inner = [], []
+        for p in parts:
             bare = p[1:] if p[:1] in ("\0", "\n") else p
-            if p == "\0" or bare and not bare[0].isspace() and not bare[-1].isspace():
-                plain.append(p)
+            if bare and not bare[0].isspace() and not bare[-1].isspace() or p == "\0":
+                if added and any(t in p for t in self.added):
+                    self.known[p] = -1
+                else:
+                    (first if p[0] == "\0" else inner).append(p)
             else:
-                known[p] = None
-        first = [p for p in plain if p[0] == "\0"]
-        known.update(zip(first, self.whole([p[1:] for p in first]), strict=True))
-        inner = [p for p in plain if p[0] != "\0"]
-        if inner:
-            known.update(zip(inner, self.split([p if p[0] == "\n" else " " + p for p in inner]), strict=True))
-        out: list[bytes | None] = []
-        odd = []
-        for i, p in enumerate(parts):
-            try:
-                out.append(b"".join(map(known.__getitem__, p)))
-            except TypeError:
-                out.append(None)
-                odd.append(i)
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        return out
+                self.known[p] = -1
+        whole = self.whole([p[1:] for p in first])
+        together = self.together([p if p[0] == "\n" else " " + p for p in inner]) if inner else self.whole([])
+        self.known.update(zip(first + inner, range(len(self.at), len(self.at) + len(first) + len(inner)), strict=True))
+        sizes = np.concatenate([whole[1], together[1]])
+        self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.uses = np.concatenate([self.uses, np.zeros(len(sizes), np.int32)])
+        self.pool = np.concatenate([self.pool, whole[0], together[0]])
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts in a row, END_ID after each, and how many each has with it."""
+        if len(self.known) > KEPT:
+            self.forget()
+        n = len(texts)
+        odd = pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)
+        added = np.zeros(n, bool)
+        for token in self.added:
+            added |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        odd = odd | added
+        marked = pc.binary_join_element_wise(pa.scalar("\0"), pc.replace_substring(texts, "\n", " \n"), pa.scalar(" " + END), "")
+        lists = pc.split_pattern(marked, " ")
+        words = lists.flatten().dictionary_encode()
+        parts = words.dictionary.to_pylist()
+        rows = np.fromiter(map(self.known.get, parts, itertools.repeat(-2)), np.int64, len(parts))
+        if len(missing := np.flatnonzero(rows == -2)):
+            unknown = [parts[i] for i in missing.tolist()]
+            self._learn(unknown, bool(added.any()))
+            rows[missing] = np.fromiter(map(self.known.__getitem__, unknown), np.int64, len(unknown))
+        self.uses[rows[rows >= 0]] += 1
+        row = rows[words.indices.to_numpy()]
+        starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        if (row < 0).any():
+            odd = odd | np.logical_or.reduceat(row < 0, starts[:-1])
+        if not odd.any():
+            return self._ids(row), np.add.reduceat(self.size[row], starts[:-1])
+        text = np.repeat(np.arange(n), np.diff(starts))
+        row = row[~odd[text]]
+        ids = self._ids(row)
+        sizes = np.bincount(text[~odd[text]], self.size[row], n).astype(np.int64)
+        some = np.flatnonzero(odd)
+        rest, sizes[some] = self.whole(texts.take(pa.array(some)).to_pylist())
+        out = np.empty(len(ids) + len(rest) + len(some), np.uint32)
+        sizes[some] += 1
+        whole = np.repeat(odd, sizes)
+        out[~whole] = ids
+        ends = np.cumsum(sizes)[some] - 1
+        whole[ends] = False
+        out[whole], out[ends] = rest, END_ID
+        return out, sizes
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -238,24 +293,15 @@ def _write(folder: str, tokenizer: str) -> Callable:
         if tokenizer not in _ENCODERS:
             _ENCODERS[tokenizer] = Encoder(tokenizer)
         encoder = _ENCODERS[tokenizer]
-        end = np.array([END_ID], encoder.kind).tobytes()
         part = TaskContext.get().partitionId()
         path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.pfor"  # a task that is run again leaves a file that no manifest names
         out = None
         for b in batches:
-            lo = 0
-            while lo < b.num_rows:
-                texts, size, hi = [], 0, lo
-                while hi < b.num_rows and size < 1 << 20:
-                    texts.append(b.column(1)[hi].as_py() or "")
-                    size += len(texts[-1])
-                    hi += 1
-                coded = encoder(texts)
+            texts = b.column(1).fill_null("")
+            for lo, hi, _, _ in T.slices(b, b.schema.names[1], BATCH):
+                ids, sizes = encoder(texts.slice(lo, hi - lo))
                 out = out or Writer(path)
-                sizes = np.array([len(x) // encoder.kind.itemsize + 1 for x in coded], np.int64)
-                ids = np.frombuffer(end.join(coded) + end, encoder.kind).astype(np.uint32)
                 out.add(b.column(0).slice(lo, hi - lo).to_pylist(), sizes, ids)
-                lo = hi
         if out:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), pa.array([len(out.docs)], pa.int64()), pa.array([out.ids], pa.int64())], names=["part", "path", "n_docs", "n_ids"])
@@ -268,7 +314,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None) ->
 
     Returns the manifest: part, path, n_docs, n_ids, start (ids in all files before it), one row per file. Each task
     writes one file of its range of ids; only files that the manifest names count. Null texts are empty; END_ID ends
-    each document. An empty table gives no files.
+    each document. An added token in a text, such as <|endoftext|>, becomes that token's id. An empty table gives no
+    files. Rows that share a doc_id are ordered by text; other columns, whatever their names, are not read.
     """
     folder = folder or new_path(docs.sparkSession, "tokens")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
