@@ -33,11 +33,12 @@ MAGIC = b"PFOR0001"
 TRAILER = 40
 END_ID = 0
 #: Words whose ids a worker keeps; beyond that it starts anew, which costs time only.
-KEPT = 400_000
+KEPT = 300_000
 #: What stands for the end of a text among its words; a text with a NUL of its own is encoded whole.
 END = "\0\0"
+WHITE = frozenset(c for c in map(chr, range(0x110000)) if c.isspace())
 #: Bytes of text that are encoded at once; a longer text is one batch.
-BATCH = 1 << 21
+BATCH = 1 << 23
 
 
 # blocks
@@ -215,7 +216,7 @@ class Encoder:
         """As whole, but many of parts are encoded in one text: the ids' lengths in bytes tell where each part ends."""
         texts = ["".join(parts[i : i + some]) for i in range(0, len(parts), some)]
         ids, _ = self.whole(texts)
-        ends = np.cumsum([len(p.encode()) for p in parts])
+        ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in parts])
         upto = np.cumsum(self.bytes[ids])
         cut = np.searchsorted(upto, ends)
         if len(upto) != cut[-1] + 1 or (upto[cut] != ends).any():
@@ -225,15 +226,19 @@ class Encoder:
     def _learn(self, parts: list[str], added: bool) -> None:
         """Rows for parts: words with what stands before them, a NUL for the start of a text, a newline, or nothing for a space."""
         first, inner = [], []
+        space, known = WHITE, self.known
         for p in parts:
-            bare = p[1:] if p[:1] in ("\0", "\n") else p
-            if bare and not bare[0].isspace() and not bare[-1].isspace() or p == "\0":
-                if added and any(t in p for t in self.added):
-                    self.known[p] = -1
-                else:
-                    (first if p[0] == "\0" else inner).append(p)
+            a = p[0] if p else " "
+            if a == "\0":
+                ok = len(p) == 1 or p[1] not in space and p[-1] not in space
+            else:
+                ok = (a != "\n" or len(p) > 1 and p[1] not in space) and (a == "\n" or a not in space) and p[-1:] not in space and p != ""
+            if not ok or added and any(t in p for t in self.added):
+                known[p] = -1
+            elif a == "\0":
+                first.append(p)
             else:
-                self.known[p] = -1
+                inner.append(p)
         whole = self.whole([p[1:] for p in first])
         together = self.together([p if p[0] == "\n" else " " + p for p in inner]) if inner else self.whole([])
         self.known.update(zip(first + inner, range(len(self.at), len(self.at) + len(first) + len(inner)), strict=True))
