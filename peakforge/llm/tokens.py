@@ -10,7 +10,6 @@ A file is a stream of ids, cut into blocks of BLOCK ids whatever the documents a
 
 from __future__ import annotations
 
-import itertools
 import os
 import uuid
 import zlib
@@ -36,7 +35,9 @@ END_ID = 0
 KEPT = 300_000
 #: What stands for the end of a text among its words; a text with a NUL of its own is encoded whole.
 END = "\0\0"
-WHITE = frozenset(c for c in map(chr, range(0x110000)) if c.isspace())
+_WHITE = "".join(f"\\x{{{ord(c):x}}}" for c in map(chr, range(0x110000)) if c.isspace())
+#: Parts that neither begin nor end with white space, but for the NUL or newline that marks what stands before them.
+PLAIN = f"(?s)^[\\x00\n]?[^{_WHITE}](.*[^{_WHITE}])?$"
 #: Bytes of text that are encoded at once; a longer text is one batch.
 BATCH = 1 << 23
 
@@ -90,8 +91,11 @@ def unpack(data: bytes, starts: np.ndarray) -> np.ndarray:
         if not w:
             out[at] = 0
             continue
-        bits = np.unpackbits(raw[starts[at][:, None] + 7 + np.arange(size)], axis=1, bitorder="little").reshape(len(at), BLOCK, w)
-        out[at] = bits @ (np.uint32(1) << np.arange(w, dtype=np.uint32))
+        bits = np.unpackbits(raw[starts[at][:, None] + 7 + np.arange(size)], axis=1, bitorder="little")
+        unit = 8 if w <= 8 else 16 if w <= 16 else 32
+        wide = np.zeros((len(at) * BLOCK, unit), np.uint8)
+        wide[:, :w] = bits.reshape(-1, w)
+        out[at] = np.packbits(wide, axis=1, bitorder="little").view(f"<u{unit // 8}").reshape(len(at), BLOCK)
     for k in np.flatnonzero(odd):
         n, w = int(odd[k]), int(width[k])
         p = int(starts[k]) + 7 + w * BLOCK // 8
@@ -172,6 +176,10 @@ class Reader:
 # encoding
 
 
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes, dtype=np.int32) - sizes
+
+
 class Encoder:
     """Ids of a byte-level BPE tokenizer, as encode(text, add_special_tokens=False) gives them, remembering the ids of words.
 
@@ -190,62 +198,59 @@ class Encoder:
         self.bytes = np.zeros(self.tok.get_vocab_size(), np.int64)
         for token, i in self.tok.get_vocab().items():  # in a byte-level vocabulary a character stands for a byte
             self.bytes[i] = len(token)
-        self.known = {END: 0}  # a word's row, or -1: its text is encoded whole
-        self.at, self.size, self.uses = np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.int32)
+        self.known = pa.array([END])  # words, and for each: where its ids are, how many, how often used, is its text encoded whole
+        self.at, self.size, self.uses, self.odd = np.zeros(1, np.int32), np.ones(1, np.int32), np.zeros(1, np.int32), np.zeros(1, bool)
         self.pool = np.array([END_ID], np.uint32)
 
     def forget(self) -> None:
         """Drop the words that only one batch has had."""
-        kept = [(w, r) for w, r in self.known.items() if r == 0 or r > 0 and self.uses[r] > 1]
-        row = np.array([r for _, r in kept], np.int64)
-        self.known = {w: i for i, (w, _) in enumerate(kept)}
-        self.pool, (self.at, self.size) = self._ids(row), (np.cumsum(self.size[row]) - self.size[row], self.size[row])
-        self.uses = np.zeros(len(row), np.int32)
+        self.uses[0] = 2
+        row = np.flatnonzero(self.uses > 1)
+        self.known = self.known.take(pa.array(row))
+        self.pool, self.size, self.odd = self._ids(row), self.size[row], self.odd[row]
+        self.at, self.uses = _starts(self.size), np.zeros(len(row), np.int32)
 
     def _ids(self, row: np.ndarray) -> np.ndarray:
         """The ids of rows, one after the other."""
         size = self.size[row]
-        return self.pool[np.repeat(self.at[row] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        at = np.repeat(self.at[row] - _starts(size), size)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.pool[at]
 
     def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts, each encoded alone, in a row; and how many each has."""
         ids = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.array([len(x) for x in ids], np.int64)
 
-    def together(self, parts: list[str], some: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    def together(self, parts: pa.Array, some: int = 400) -> tuple[np.ndarray, np.ndarray]:
         """As whole, but many of parts are encoded in one text: the ids' lengths in bytes tell where each part ends."""
-        texts = ["".join(parts[i : i + some]) for i in range(0, len(parts), some)]
-        ids, _ = self.whole(texts)
-        ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in parts])
+        ends = np.cumsum(pc.binary_length(parts).to_numpy())
+        if not len(parts):
+            return self.whole([])
+        data = parts.buffers()[2][np.frombuffer(parts.buffers()[1], np.int32)[parts.offset] :]
+        cuts = [0, *ends[some - 1 : -1 : some].tolist(), int(ends[-1])]
+        ids, _ = self.whole([data[x:y].to_pybytes().decode() for x, y in zip(cuts[:-1], cuts[1:], strict=True)])
         upto = np.cumsum(self.bytes[ids])
         cut = np.searchsorted(upto, ends)
         if len(upto) != cut[-1] + 1 or (upto[cut] != ends).any():
-            return self.whole(parts)
+            return self.whole(parts.to_pylist())
         return ids, np.diff(cut, prepend=-1)
 
-    def _learn(self, parts: list[str], added: bool) -> None:
-        """Rows for parts: words with what stands before them, a NUL for the start of a text, a newline, or nothing for a space."""
-        first, inner = [], []
-        space, known = WHITE, self.known
-        for p in parts:
-            a = p[0] if p else " "
-            if a == "\0":
-                ok = len(p) == 1 or p[1] not in space and p[-1] not in space
-            else:
-                ok = (a != "\n" or len(p) > 1 and p[1] not in space) and (a == "\n" or a not in space) and p[-1:] not in space and p != ""
-            if not ok or added and any(t in p for t in self.added):
-                known[p] = -1
-            elif a == "\0":
-                first.append(p)
-            else:
-                inner.append(p)
-        whole = self.whole([p[1:] for p in first])
-        together = self.together([p if p[0] == "\n" else " " + p for p in inner]) if inner else self.whole([])
-        self.known.update(zip(first + inner, range(len(self.at), len(self.at) + len(first) + len(inner)), strict=True))
-        sizes = np.concatenate([whole[1], together[1]])
-        self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(sizes) - sizes])
+    def _learn(self, parts: pa.Array) -> None:
+        """Add parts to the known: words with what stands before them, a NUL for the start of a text, a newline, or nothing for a space."""
+        odd = ~pc.match_substring_regex(parts, PLAIN).to_numpy(zero_copy_only=False)
+        for token in self.added:
+            odd |= pc.match_substring(parts, token).to_numpy(zero_copy_only=False)
+        start = pc.starts_with(parts, "\0").to_numpy(zero_copy_only=False)
+        first, inner = parts.filter(pa.array(~odd & start)), parts.filter(pa.array(~odd & ~start))
+        whole = self.whole(pc.binary_replace_slice(first.cast(pa.binary()), 0, 1, b"").cast(pa.string()).to_pylist())
+        together = self.together(pc.if_else(pc.starts_with(inner, "\n"), inner, pc.binary_join_element_wise(pa.scalar(" "), inner, "")))
+        self.known = pa.concat_arrays([self.known, first, inner, parts.filter(pa.array(odd))])
+        sizes = np.concatenate([whole[1], together[1], np.zeros(int(odd.sum()))]).astype(np.int32)
+        self.at = np.concatenate([self.at, len(self.pool) + _starts(sizes)])
         self.size = np.concatenate([self.size, sizes])
         self.uses = np.concatenate([self.uses, np.zeros(len(sizes), np.int32)])
+        self.odd = np.concatenate([self.odd, np.arange(len(sizes)) >= len(sizes) - int(odd.sum())])
         self.pool = np.concatenate([self.pool, whole[0], together[0]])
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -254,26 +259,24 @@ class Encoder:
             self.forget()
         n = len(texts)
         odd = pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)
-        added = np.zeros(n, bool)
         for token in self.added:
-            added |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
-        odd = odd | added
+            odd = odd | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         marked = pc.binary_join_element_wise(pa.scalar("\0"), pc.replace_substring(texts, "\n", " \n"), pa.scalar(" " + END), "")
         lists = pc.split_pattern(marked, " ")
         words = lists.flatten().dictionary_encode()
-        parts = words.dictionary.to_pylist()
-        rows = np.fromiter(map(self.known.get, parts, itertools.repeat(-2)), np.int64, len(parts))
-        if len(missing := np.flatnonzero(rows == -2)):
-            unknown = [parts[i] for i in missing.tolist()]
-            self._learn(unknown, bool(added.any()))
-            rows[missing] = np.fromiter(map(self.known.__getitem__, unknown), np.int64, len(unknown))
-        self.uses[rows[rows >= 0]] += 1
+        rows = pc.index_in(words.dictionary, self.known)
+        if rows.null_count:
+            self._learn(words.dictionary.filter(rows.is_null()))
+            rows = pc.index_in(words.dictionary, self.known)
+        rows = rows.to_numpy()
+        self.uses[rows] += 1
         row = rows[words.indices.to_numpy()]
         starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        if (row < 0).any():
-            odd = odd | np.logical_or.reduceat(row < 0, starts[:-1])
+        strange = self.odd[row]
+        if strange.any():
+            odd = odd | np.logical_or.reduceat(strange, starts[:-1])
         if not odd.any():
-            return self._ids(row), np.add.reduceat(self.size[row], starts[:-1])
+            return self._ids(row), np.add.reduceat(self.size[row], starts[:-1], dtype=np.int64)
         text = np.repeat(np.arange(n), np.diff(starts))
         row = row[~odd[text]]
         ids = self._ids(row)
