@@ -43,10 +43,16 @@ class Flatten:
         self.attachments: list[dict] = []
 
     def visit(self, parts: list[dict] | None) -> str:
-        return "".join(getattr(self, f"visit_{p.get('type') or 'text'}", self.visit_unknown)(p) for p in parts or [] if p)
-
-    def visit_text(self, p: dict) -> str:
-        return escape(p.get("text") or "")
+        out, said = [], []
+        for p in [*(p for p in parts or [] if p), None]:
+            if p and (p.get("type") or "text") == "text":
+                said.append(p.get("text") or "")
+                continue
+            out.append(escape("".join(said)))  # texts side by side are escaped as one: a control string may span them
+            said = []
+            if p:
+                out.append(getattr(self, f"visit_{p['type']}", self.visit_unknown)(p))
+        return "".join(out)
 
     def visit_image(self, p: dict) -> str:
         side = lambda k: -(-(p.get(k) or 1) // self.PATCH)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakforge.llm.store import written
+from peakforge.llm.store import drop, free_name, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code-point order, repeated as often as needed.
@@ -54,15 +54,20 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return s.select("source", "source_size", F.least(cap, F.coalesce(F.col("level") * F.col("w"), cap)).alias("target"))
 
 
-def plan(docs: DataFrame, seed: int = 0, **options) -> tuple[DataFrame, Column, Column, Column]:
-    """(one row per source, size, key, range): what decides how often each document is taken.
+def _range(key: Column) -> Column:
+    """RANGES ranges of keys in ascending order; keys of any quality spread over many of them."""
+    return F.floor(key / (key + 1) * RANGES)
+
+
+def plan(docs: DataFrame, seed: int = 0, **options) -> tuple[DataFrame, DataFrame, Column, Column]:
+    """(one row per document, one row per source, size, key): what decides how often each document is taken.
 
     A source row has source, source_size, target, epochs, last_range and last (key, doc_id, size).
     """
     size = words()
     key = -F.log(uniform(F.col("doc_id"), seed)) / quality_weight(size)
-    part = F.floor((F.lit(1.0) - F.exp(-key)) * RANGES)
-    narrow = written(docs.select("doc_id", "source", size.alias("size"), key.alias("key"), part.alias("part")), "mix")
+    narrow = docs.select("doc_id", "source", size.alias("size"), key.alias("key"))
+    narrow = written(narrow.withColumn("part", _range(F.col("key"))), "mix")
     by = Window.partitionBy("source")
     sums = narrow.groupBy("source", "part").agg(F.sum("size").alias("size"))
     goal = targets(sums.groupBy("source").agg(F.sum("size").alias("source_size")), **options)
@@ -79,7 +84,9 @@ def plan(docs: DataFrame, seed: int = 0, **options) -> tuple[DataFrame, Column,
     edge = edge.select("source", F.col("part").alias("last_part"))
     out = goal.alias("a").join(edge.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.*", "last_part")
     out = out.alias("a").join(last.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.source", "source_size", "target", "epochs", "last_part", "last")
-    return written(out, "plan"), size, key, part
+    out = written(out, "plan")
+    drop(goal)
+    return narrow, out, size, key
 
 
 def _times(size: Column, key: Column, part: Column) -> Column:
@@ -100,10 +107,8 @@ def mix_sources(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
     A source is never gathered: sizes are summed over RANGES key ranges, and only the one range in which the budget
     ends is sorted. The verdict is then a limit for each source, so no text is shuffled.
     """
-    goals, _, _, _ = plan(docs, seed, **options)
-    narrow = docs.select("doc_id", "source", words().alias("size"), quality_weight(words()).alias("q"))
-    key = -F.log(uniform(F.col("doc_id"), seed)) / F.col("q")
-    d = narrow.select("doc_id", "source", "size", key.alias("key")).withColumn("part", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * RANGES)).alias("d")
+    narrow, goals, _, _ = plan(docs, seed, **options)
+    d = narrow.alias("d")
     joined = d.join(goals.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
     times = _times(F.col("d.size"), F.col("d.key"), F.col("d.part"))
     return joined.select("d.doc_id", "d.size", "source_size", "target", (F.col("d.size") * times).cast("long").alias("taken"), times.alias("times"))
@@ -111,9 +116,12 @@ def mix_sources(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
 
 def mixed(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
     """The rows of docs, each as often as mix_sources takes it, all columns unchanged."""
-    goals, size, key, part = plan(docs, seed, **options)
-    d = docs.withColumns({"__size": size, "__key": key, "__part": part}).alias("d")
+    narrow, goals, size, key = plan(docs, seed, **options)
+    drop(narrow)
+    own = free_name(docs)
+    col = lambda c: F.col(f"d.{own}.{c}")
+    d = docs.withColumn(own, F.struct(size.alias("size"), key.alias("key"))).alias("d")
     joined = d.join(goals.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    times = _times(F.col("d.__size"), F.col("d.__key"), F.col("d.__part"))
-    rows = joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))).alias("__time"))
-    return rows.drop("__time")
+    times = _times(col("size"), col("key"), _range(col("key")))
+    rows = joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))).alias(own))
+    return rows.drop(own)

@@ -13,12 +13,14 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset, as in local tests."""
+    """spark.checkpoint.dir of the session; a temporary folder only where it is unset in local mode, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         path = spark._jvm.org.apache.hadoop.fs.Path(base)
         whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
         return re.sub("^file:/+", "file:///", whole).rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="peakforge-")

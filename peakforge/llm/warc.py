@@ -84,22 +84,23 @@ def write_warc(pages: DataFrame, folder: str | None = None, least: int = 0) -> D
     `least` bytes, that with the largest page_id (null smallest; then the largest url) is a response, all others are
     revisits without a payload that refer to its page_id; of repeated rows one is the response. Smaller payloads are
     all responses. A null url or page_id has no header. An empty table gives no files. Tasks that are run again leave
-    files that the manifest does not name. Roles are decided on digests alone; a payload is shuffled once.
+    files that the manifest does not name. Roles are decided on digests (SHA-1, another hash and the size) alone; a payload is shuffled once.
     """
     folder = folder or new_path(pages.sparkSession, "warc")
     html = F.coalesce("html", F.lit(""))
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), payload_digest(html).alias("digest"), F.octet_length(html).cast("long").alias("size"))
-    rows = p.groupBy("digest", "size", "page_id", "url").agg(F.count("*").alias("copies"))
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), payload_digest(html).alias("digest"), F.octet_length(html).cast("long").alias("size"), F.xxhash64(html).alias("x"))
+    rows = p.groupBy("digest", "x", "size", "page_id", "url").agg(F.count("*").alias("copies"))
     order = F.struct(F.coalesce("page_id", F.lit(-(2**63))).alias("k"), F.coalesce("url", F.lit("")).alias("u"), F.col("url").isNotNull().alias("n"))
     rows = rows.withColumn("order", order)
-    top = rows.groupBy("digest").agg(F.max(F.struct("order", "page_id")).alias("top"))
-    one = rows.join(top, "digest").withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
+    same = ["digest", "x", "size"]  # colliding pairs of SHA-1 are public
+    top = rows.groupBy(*same).agg(F.max(F.struct("order", "page_id")).alias("top"))
+    one = rows.join(top, same).withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
     response = (F.col("size") < least) | ((F.col("order") == F.col("top.order")) & (F.col("copy") == 1))
-    one = one.select(F.when(response, "response").otherwise("revisit").alias("kind"), "page_id", "url", "digest", "size", F.when(~response, F.col("top.page_id")).alias("refers"))
+    one = one.select(F.when(response, "response").otherwise("revisit").alias("kind"), "page_id", "url", *same, F.when(~response, F.col("top.page_id")).alias("refers"))
     # written before it is read twice: each record must have the same role in both branches
     one = written(one, "records")
-    payloads = p.select("digest", "html").dropDuplicates(["digest"])
-    full = one.where("kind = 'response'").join(payloads, "digest").select("kind", "page_id", "url", "digest", "size", "refers", "html")
+    payloads = p.select(*same, "html").dropDuplicates(same)
+    full = one.where("kind = 'response'").join(payloads, same).select("kind", "page_id", "url", "digest", "size", "refers", "html")
     bare = one.where("kind = 'revisit'").select("kind", "page_id", "url", "digest", "size", "refers", F.lit(None).cast("string").alias("html"))
     manifest = full.unionByName(bare).mapInArrow(_write(folder), "name string, bytes long")
     return written(manifest.withColumn("folder", F.lit(folder)), "manifest")
