@@ -18,6 +18,8 @@ SHINGLE = 5
 BANDS, ROWS = 16, 4
 #: Members of a bucket up to which all its pairs between components are verified; larger ones go through the prefix join.
 SMALL = 32
+#: Bits of the parity sketch of a set: sets that differ in d shingles have sketches that differ in d bits at most.
+BITS = 256
 _U = np.uint64
 
 
@@ -86,13 +88,30 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
 
 
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("r1", pa.int64()), ("r2", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64()))])
-_SETS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+_SETS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("shingles", pa.list_(pa.int64())), *((f"b{i}", pa.int64()) for i in range(BITS // 64))])
+
+
+_BITS = [f"b{i}" for i in range(BITS // 64)]
 
 
 def _digests(s: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return T.spans(s, bounds[:-1], bounds[1:], 2), T.spans(s, bounds[:-1], bounds[1:], 3)
 
 
+def parity(s: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(BITS / 64, rows) longs: each bit the parity of the shingles of a row that fall on it."""
+    rows = len(bounds) - 1
+    at = np.repeat(np.arange(rows) * BITS, np.diff(bounds)) + (s % _U(BITS)).astype(np.int64)
+    odd = (np.bincount(at, minlength=rows * BITS) & 1).astype(np.uint8)
+    return np.ascontiguousarray(np.packbits(odd.reshape(rows, BITS), axis=1).view(np.int64).T)
+
+
+def _fits(percent: int) -> Column:
+    """Whether two sets, by their sizes nx and ny and their sketches, may be similar enough."""
+    apart = sum((F.bit_count(F.col(f"b{i}x").bitwiseXOR(F.col(f"b{i}y"))) for i in range(BITS // 64)), F.lit(0))
+    return (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & ((100 + percent) * apart <= (100 - percent) * (F.col("nx") + F.col("ny")))
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, hi, data, offs in T.slices(b, "text"):
@@ -112,7 +131,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s, bounds = shingles(data, offs)
             h1, h2 = _digests(s, bounds)
             sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(T.signed(s)))
-            yield pa.RecordBatch.from_arrays([pa.array(T.signed(h1)), pa.array(T.signed(h2)), sets], schema=_SETS)
+            bits = parity(s, bounds)
+            yield pa.RecordBatch.from_arrays([pa.array(T.signed(h1)), pa.array(T.signed(h2)), sets, *(pa.array(b) for b in bits)], schema=_SETS)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -127,14 +147,15 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Every pair of nodes (node, root) with different roots that can be similar enough: an exact prefix join.
 
     Sets are sorted by hash, an order that is the same for all. Two similar sets share one of their first
-    n - ceil(t n) + 1 shingles, and at the first that they share enough must remain behind it in both.
+    n - ceil(t n) + 1 shingles, and at the first that they share enough must remain behind it in both; and their
+    sketches differ in no more bits than similar sets can differ in shingles.
     """
     n = F.size("shingles")
     need = F.ceil(n * percent / F.lit(100.0) - 1e-9)
-    first = nodes.join(sets, "node").select("node", "root", n.alias("n"), F.posexplode(F.slice("shingles", 1, (n - need + 1).cast("int"))).alias("i", "s"))
-    x, y = (first.select(F.col("s"), *[F.col(c).alias(c + k) for c in ("node", "root", "n", "i")]) for k in "xy")
+    first = nodes.join(sets, "node").select("node", "root", n.alias("n"), *_BITS, F.posexplode(F.slice("shingles", 1, (n - need + 1).cast("int"))).alias("i", "s"))
+    x, y = (first.select(F.col("s"), *[F.col(c).alias(c + k) for c in ("node", "root", "n", "i", *_BITS)]) for k in "xy")
     left = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
-    return x.join(y, "s").where((F.col("nodex") < F.col("nodey")) & (F.col("rootx") != F.col("rooty")) & ((100 + percent) * left >= percent * (F.col("nx") + F.col("ny")))).select(F.col("nodex").alias("u"), F.col("nodey").alias("v")).distinct()
+    return x.join(y, "s").where((F.col("nodex") < F.col("nodey")) & (F.col("rootx") != F.col("rooty")) & ((100 + percent) * left >= percent * (F.col("nx") + F.col("ny"))) & _fits(percent)).select(F.col("nodex").alias("u"), F.col("nodey").alias("v")).distinct()
 
 
 def _placed(docs: DataFrame, percent: int) -> DataFrame:
@@ -156,17 +177,16 @@ def _placed(docs: DataFrame, percent: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(written(wanted.select(F.col("doc").alias("doc_id")).distinct(), "wanted")), "doc_id", "left_semi")
     if not wanted.where("doc is null").isEmpty():
         texts = texts.unionByName(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is null"))
-    found = texts.select("text").mapInArrow(_sets, "h1 long, h2 long, shingles array<long>")
-    sets = written(found.join(wanted, ["h1", "h2"]).select("node", "shingles").dropDuplicates(["node"]), "sets", hashes=True)
+    found = texts.select("text").mapInArrow(_sets, "h1 long, h2 long, shingles array<long>, " + ", ".join(f"{b} long" for b in _BITS))
+    sets = written(found.join(wanted, ["h1", "h2"]).select("node", "shingles", *_BITS).dropDuplicates(["node"]), "sets", hashes=True)
     links = written(_verified(pairs, sets, percent), "links")
     root = components(links)
 
     state = member.join(root, "node", "left").select("node", "n", "key", F.coalesce("root", "node").alias("root"))
     mixed = state.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
-    rest = written(state.join(mixed, "key"), "rest", hashes=True)
-    x, y = (rest.where(f"m <= {SMALL}").select("key", *[F.col(c).alias(c + k) for c in ("node", "root", "n")]) for k in "xy")
-    fits = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
-    pairs = x.join(y, "key").where((F.col("nodex") < F.col("nodey")) & (F.col("rootx") != F.col("rooty")) & fits).select(F.col("nodex").alias("u"), F.col("nodey").alias("v"))
+    rest = written(state.join(mixed, "key").join(sets.select("node", *_BITS), "node"), "rest", hashes=True)
+    x, y = (rest.where(f"m <= {SMALL}").select("key", *[F.col(c).alias(c + k) for c in ("node", "root", "n", *_BITS)]) for k in "xy")
+    pairs = x.join(y, "key").where((F.col("nodex") < F.col("nodey")) & (F.col("rootx") != F.col("rooty")) & _fits(percent)).select(F.col("nodex").alias("u"), F.col("nodey").alias("v"))
     large = rest.where(f"m > {SMALL}").select("node", "root").distinct()
     more = _verified(pairs.unionByName(_prefix_pairs(large, sets, percent)).distinct(), sets, percent)
     links = written(links.unionByName(more), "links")
