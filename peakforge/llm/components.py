@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakforge.llm.text import trimmed
 from peakforge.llm.store import drop, written
 
 _FOREST = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -42,7 +43,7 @@ def components(links: DataFrame) -> DataFrame:
     Links are first contracted by union-find within each partition; then large-star and small-star
     rounds join the partial forests, each round kept in the shared folder, until nothing changes.
     """
-    edges = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(_forest, "u long, v long").distinct(), "forest", hashes=True)
+    edges = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(trimmed(_forest), "u long, v long").distinct(), "forest", hashes=True)
     print_of = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     state = print_of(edges)
     while state[0]:

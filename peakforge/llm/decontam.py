@@ -228,13 +228,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
 
     Documents are read once and filtered against a bit table of fixed size; what passes is joined by window key.
     """
-    index = written(benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_bench_rows, "key long, item_id long, pos long, at long, windows long, total long, k long, grade long, slots array<long>"), "benchmark")
+    index = written(benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(T.trimmed(_bench_rows), "key long, item_id long, pos long, at long, windows long, total long, k long, grade long, slots array<long>"), "benchmark")
     lengths = sorted(r["k"] for r in index.select("k").distinct().collect())
     if not lengths:
         return docs.sparkSession.createDataFrame([], "doc_id long, row_key long, item_id long, n_windows long, n_item_windows long, templated boolean")
     shared = docs.sparkSession.sparkContext.broadcast(_filter(index))
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_key"), "text")
-    found = rows.mapInArrow(_probe(shared, lengths), "doc_id long, row_key long, key long, pos long, templated boolean, slots array<long>")
+    found = rows.mapInArrow(T.trimmed(_probe(shared, lengths)), "doc_id long, row_key long, key long, pos long, templated boolean, slots array<long>")
     on = F.expr("d.key = b.key and d.templated = (b.grade > 0)")
     hits = written(found.alias("d").join(index.alias("b"), on).select("doc_id", "row_key", "item_id", "b.pos", "at", "windows", (F.col("d.pos") - F.col("b.pos")).alias("shift"), "total", "grade", "templated", F.col("d.slots").alias("theirs"), F.col("b.slots").alias("ours")), "hits")
     place = ["doc_id", "row_key", "item_id", "shift"]

@@ -162,7 +162,7 @@ def _placed(docs: DataFrame, percent: int) -> DataFrame:
     """One row per row of docs: doc_id, r1, r2 (128 bits of doc_id and text), n, root (its component), component (the smallest doc_id there); null without words."""
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), *_identity(), "text")
-    sketch = written(rows.mapInArrow(_sketch, "doc_id long, r1 long, r2 long, n long, h1 long, h2 long, bands array<long>"), "sketch", hashes=True)
+    sketch = written(rows.mapInArrow(T.trimmed(_sketch), "doc_id long, r1 long, r2 long, n long, h1 long, h2 long, bands array<long>"), "sketch", hashes=True)
     classes = sketch.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.max("n").cast("int").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes", hashes=True)  # numbered once, when written
     member = classes.select("node", "n", F.explode("bands").alias("key"))
@@ -177,7 +177,7 @@ def _placed(docs: DataFrame, percent: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(written(wanted.select(F.col("doc").alias("doc_id")).distinct(), "wanted")), "doc_id", "left_semi")
     if not wanted.where("doc is null").isEmpty():
         texts = texts.unionByName(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is null"))
-    found = texts.select("text").mapInArrow(_sets, "h1 long, h2 long, shingles array<long>, " + ", ".join(f"{b} long" for b in _BITS))
+    found = texts.select("text").mapInArrow(T.trimmed(_sets), "h1 long, h2 long, shingles array<long>, " + ", ".join(f"{b} long" for b in _BITS))
     sets = written(found.join(wanted, ["h1", "h2"]).select("node", "shingles", *_BITS).dropDuplicates(["node"]), "sets", hashes=True)
     links = written(_verified(pairs, sets, percent), "links")
     root = components(links)

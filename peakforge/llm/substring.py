@@ -99,7 +99,7 @@ def factors(docs: DataFrame) -> DataFrame:
     docs has (row_key, text); the reference is the least (row_key, lo) that holds the same words. Every occurrence has
     rows, the reference too.
     """
-    index = written(docs.mapInArrow(_index, "a long, c long, row_key long, lo int, size int"), "anchors")
+    index = written(docs.mapInArrow(T.trimmed(_index), "a long, c long, row_key long, lo int, size int"), "anchors")
     here = F.struct("row_key", "lo")
     per = index.groupBy("a").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("mixed"), F.min(here).alias("ref")).where("n > 1").drop("n")
     found = written(index.join(per, "a"), "found")
@@ -112,7 +112,7 @@ def factors(docs: DataFrame) -> DataFrame:
     edge = runs.where("n = 1").select("a").distinct()
     check = runs.join(edge, "a", "left_semi").select(F.col("r.row_key").alias("row_key"), F.struct("a", "r.lo", "r.size", (F.col("n") == 1).alias("single")).alias("run"))
     check = check.groupBy("row_key").agg(F.collect_list("run").alias("runs"))
-    windows = written(docs.join(check, "row_key").select("row_key", "text", "runs").mapInArrow(_windows, "a long, w long, row_key long, lo int, single boolean"), "windows")
+    windows = written(docs.join(check, "row_key").select("row_key", "text", "runs").mapInArrow(T.trimmed(_windows), "a long, w long, row_key long, lo int, single boolean"), "windows")
     twice = windows.groupBy("a", "w").agg(F.count("*").alias("n"), F.min(here).alias("ref")).where("n > 1").drop("n")
     edges = windows.where("single").join(twice, ["a", "w"]).select("row_key", "lo", F.lit(1).alias("size"), "ref")
     return same.unionByName(again).unionByName(edges).select("row_key", "lo", "size", F.col("ref.row_key").alias("ref_key"), F.col("ref.lo").alias("ref_lo"))
@@ -187,9 +187,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     other's windows, so of texts as long as a window nothing remains. factors lists (start, size, ref_key, ref_start).
     """
     schema = "doc_id long, n_words long, n_removed long, text string, factors array<struct<start:long, size:long, ref_key:long, ref_start:long>>"
-    return _located(docs).mapInArrow(lambda it: _kept(it, False), schema)
+    return _located(docs).mapInArrow(T.trimmed(lambda it: _kept(it, False)), schema)
 
 
 def repeated_digests(docs: DataFrame) -> DataFrame:
     """As repeated_passages, with the SHA-256 of the kept words in place of text and factors."""
-    return _located(docs).mapInArrow(lambda it: _kept(it, True), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _located(docs).mapInArrow(T.trimmed(lambda it: _kept(it, True)), "doc_id long, n_words long, n_removed long, kept_sha256 string")

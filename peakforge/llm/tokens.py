@@ -328,7 +328,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None) ->
     folder = folder or new_path(docs.sparkSession, "tokens")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = written(ordered.mapInArrow(_write(folder, tokenizer), "part int, path string, n_docs long, n_ids long"), "manifest")
+    manifest = written(ordered.mapInArrow(T.trimmed(_write(folder, tokenizer)), "part int, path string, n_docs long, n_ids long"), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
     return manifest.withColumn("start", F.sum("n_ids").over(before) - F.col("n_ids"))
 
@@ -358,4 +358,4 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_digests(manifest: DataFrame) -> DataFrame:
     """From the files of a manifest, per document: doc_id, start, n_tokens, ids_crc32 (of its ids as little-endian u32)."""
     files = manifest.select("path", "start").repartition(max(1, manifest.count()))
-    return files.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(T.trimmed(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")
