@@ -32,14 +32,14 @@ MAGIC = b"PFOR0001"
 TRAILER = 40
 END_ID = 0
 #: Words whose ids a worker keeps; beyond that it starts anew, which costs time only.
-KEPT = 300_000
+KEPT = 200_000
 #: What stands for the end of a text among its words; a text with a NUL of its own is encoded whole.
 END = "\0\0"
 _WHITE = "".join(f"\\x{{{ord(c):x}}}" for c in map(chr, range(0x110000)) if c.isspace())
 #: Parts that neither begin nor end with white space, but for the NUL or newline that marks what stands before them.
 PLAIN = f"(?s)^[\\x00\n]?[^{_WHITE}](.*[^{_WHITE}])?$"
 #: Bytes of text that are encoded at once; a longer text is one batch.
-BATCH = 1 << 23
+BATCH = 1 << 22
 
 
 # blocks
@@ -219,7 +219,7 @@ class Encoder:
 
     def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts, each encoded alone, in a row; and how many each has."""
-        ids = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [np.array(e.ids, np.uint32) for i in range(0, len(texts), 32) for e in self.tok.encode_batch_fast(texts[i : i + 32], add_special_tokens=False)]
         return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.array([len(x) for x in ids], np.int64)
 
     def together(self, parts: pa.Array, some: int = 400) -> tuple[np.ndarray, np.ndarray]:
