@@ -30,11 +30,11 @@ def beam(logp: np.ndarray, mz: float, charge: int, reverse: bool, beams: int, mi
     """Best (tokens, score) of one spectrum and direction; logp is (steps, vocabulary). Score -2 without a candidate.
 
     reverse: tokens run from the C-terminal end. A finished candidate whose mass fits scores exp(mean logp), any other
-    that less 1. Ties go to the better parent, then to the smaller token.
+    that less 1. Ties go to the better parent, then to the smaller token. An end at the first step is the empty
+    peptide, whatever min_len is. Without a charge no mass fits, and none is too large.
     """
-    target = (mz - K.PROTON) * charge
-    shifts = target / charge + K.PROTON - np.arange(isotopes + 1) * K.ISOTOPE / charge
-    error = lambda m: (m / charge + K.PROTON - shifts) / mz * 1e6
+    shifts = mz - np.arange(isotopes + 1) * K.ISOTOPE / (charge or np.nan)
+    error = lambda m: ((m / charge + K.PROTON if charge > 0 else m) - shifts) / mz * 1e6
     lightest = _MASS.min()
     live: list[tuple[float, list[int], float]] = [(0.0, [], 0.0)]
     best: tuple[list[int], float] = ([], -2.0)
@@ -60,7 +60,7 @@ def beam(logp: np.ndarray, mz: float, charge: int, reverse: bool, beams: int, mi
             if t >= 2:
                 fits = bool((np.abs(error(m + K.H2O)) < ppm).any())
                 over = not done and bool((error(m + K.H2O + lightest) > ppm).all())
-            short = done and t - 1 < min_len
+            short = done and 1 < t <= min_len
             if bad or short:
                 continue
             if done or over:

@@ -470,7 +470,11 @@ def csv_roundtrip(spark, d):
 def _scratch(spark: SparkSession) -> str:
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp()
     return f"{base.rstrip('/')}/peakforge-{uuid.uuid4().hex}"
 
 

@@ -30,7 +30,7 @@ def exhaustive(logp, mz, charge, min_len):
             if K.SOS in tokens[:-1] or any(over(tokens[:k]) for k in range(2, n)):
                 continue
             done = tokens[-1] == K.SOS
-            if (done and n - 1 < min_len) or not (done or over(tokens)):
+            if (done and 1 < n <= min_len) or not (done or over(tokens)):
                 continue
             fits = done and n >= 2 and any(abs(e) < 50 for e in errors(tokens))
             value = math.exp(sum(logp[i][t] for i, t in enumerate(tokens)) / n) - (not fits)
@@ -56,6 +56,14 @@ def test_wide_beam_is_exhaustive():
     assert found
 
 
+def test_end_at_the_first_step_and_no_charge():
+    logp = np.full((5, len(MASS)), -30.0)
+    logp[:, K.SOS] = np.log(0.99)
+    tokens, score = decoding.beam(logp, 400.0, 2, False, 5, 2)
+    assert tokens == [] and abs(score - (0.99 - 1)) < 1e-9
+    assert decoding.beam(logp, 400.0, 0, False, 5, 2) == (tokens, score)
+
+
 def test_activations(spark):
     df = spark.createDataFrame([(-2.0,), (0.0,), (1.5,), (None,)], "x double")
     got = [r.g for r in df.select(A.activation("gelu", F.col("x")).alias("g")).collect()]
