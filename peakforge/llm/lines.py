@@ -120,7 +120,7 @@ def _groups(nodes: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """
     every = nodes.where("n > 0").select("h", F.explode(F.array_distinct("keys")).alias("key"))
     sizes = every.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    member = written(every.join(sizes, "key"), "members", hashes=True)
+    member = member_keys = written(every.join(sizes, "key"), "members", hashes=True)
     shapes = nodes.select("h", F.col("copies").alias("weight"), *[F.col(c).alias(c + "x") for c in "nbc"])
     central = member.groupBy("h").agg(F.sum("m").alias("m"))
     member = member.select("h", "key").join(shapes.join(small(written(central, "central", hashes=True)), "h"), "h")
@@ -137,12 +137,17 @@ def _groups(nodes: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
         both = chosen.join(small(above), "v", "left").select("u", *own, F.struct("hub_weight", *ends).alias("hub"), "above")
         moved = both.where("above is not null").select("u", *own, "hub", "above.*").where((F.col("u") != F.col("v")) & fits).select("u", *own, F.struct("hub_weight", *ends).alias("hub"))
         later = both.drop("above").unionByName(moved).groupBy("u", *own).agg(F.max("hub").alias("hub")).select("u", *own, "hub.*")
-        chosen = written(later, "chosen", hashes=True)
+        chosen, spent = written(later, "chosen", hashes=True), chosen
+        drop(spent)
     chosen = chosen.select("u", "v")
     named = written(chosen.select(F.col("u").alias("h")).union(chosen.select("v")).distinct(), "named")
     sets = lines.select(F.col("h1").alias("h"), "h2", F.col("words").alias("s")).join(small(named), "h", "left_semi").dropDuplicates(["h", "h2"])
-    found = _measured(chosen, written(sets, "sets", hashes=True)).where(_similar(percent))
-    return written(found.select("u", "u2", "v", "v2", _slack(percent, "nu").alias("slack"), "nv"), "groups")
+    sets = written(sets, "sets", hashes=True)
+    found = _measured(chosen, sets).where(_similar(percent))
+    groups = written(found.select("u", "u2", "v", "v2", _slack(percent, "nu").alias("slack"), "nv"), "groups")
+    for x in (sets, chosen, named, member_keys):
+        drop(x)
+    return groups
 
 
 def _members(groups: DataFrame, percent: int) -> DataFrame:
@@ -218,6 +223,8 @@ def _judged(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     nodes = written(nodes.select(F.col("h1").alias("h"), "h2", "first", (F.col("first") != F.col("last")).alias("again"), "copies", "x.*"), "nodes", hashes=True)
 
     groups = _groups(nodes, lines, percent)
+    wide, lines = lines, written(lines.select("doc_id", "r1", "r2", "line_no", "h1", "h2"), "lines", hashes=True)
+    drop(wide)  # the hashes of words, the larger part of it, have done
     while True:
         members = written(_members(groups, percent), "members")
         pairs = written(_candidates(nodes, members, percent), "pairs")
@@ -244,7 +251,7 @@ def _judged(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     best = written(best, "best")
     for x in (links, members, nodes):
         drop(x)
-    return lines.select("doc_id", "r1", "r2", "line_no", "h1", "h2"), best
+    return lines, best
 
 
 def _removed(docs: DataFrame, percent: int) -> DataFrame:
