@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakforge.llm import chat, classifier, decontam, enrich, lines, mixing, neardup, quality, substring, tokens, warc
+from peakforge.llm import chat, classifier, decontam, enrich, lines, mixing, neardup, quality, substring, tokens, warc, whitening
 from peakforge.llm.store import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,11 +56,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_enrich_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.enrich_sales(table(spark, sf_dir, "sales"), table(spark, sf_dir, "client_changes"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mix_sources, op3_minhash_near_dedup, op4_warc, op5_quality_rules, op6_substring_dedup, op7_token_output, op8_line_dedup, op9_chat_formatting, op10_quality_classifier, op12_enrich_sales)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mix_sources, op3_minhash_near_dedup, op4_warc, op5_quality_rules, op6_substring_dedup, op7_token_output, op8_line_dedup, op9_chat_formatting, op10_quality_classifier, op11_whiten_embeddings, op12_enrich_sales)}
 
 _ESCAPED = "length({0}) + length({0}) - length(replace({0}, chr(92), ''))" + "".join(f" + (length({{0}}) - length(replace({{0}}, '{c}', ''))) // {len(c)}" for c in chat.CONTROL)
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
