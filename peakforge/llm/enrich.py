@@ -1,7 +1,7 @@
 """Sales joined with the version of their client that was valid when they were sold, in numbered batches of a stateful stream.
 
 Both tables are dealt to batches by the day they came in. Each batch is a new start of one transformWithState query on one
-checkpoint. Its state holds sorted versions and waiting sales; an injected clock row carries both watermarks of the batch.
+checkpoint. Its state holds sorted versions and waiting sales, in Arrow blocks; an injected clock row carries both watermarks of the batch.
 In a batch, changes below their watermark are late; sales sold before the smaller watermark (or at no known time) look up the last
 version by bisection and are emitted; then all versions up to that watermark but a client's last are pruned.
 
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -34,14 +35,20 @@ HOT, UNIT, BUCKET = 4096, 1024, 32768
 NULL, TOP = -(1 << 63), (1 << 63) - 1
 CLOCK, CHANGE, SALE = 0, 1, 2
 
-_HELD = "client long, split boolean, seg long, time long, seq long, id long, cents long, op string, kept boolean"
-_WAITING = "client long, known boolean, split boolean, seg long, time long, id long"
+_LONG, _FLAG = pa.int64(), pa.bool_()
+_HELD = pa.schema([("client", _LONG), ("split", _FLAG), ("seg", _LONG), ("time", _LONG), ("seq", _LONG), ("id", _LONG), ("cents", _LONG), ("op", pa.string()), ("kept", _FLAG)])
+_WAITING = pa.schema([("client", _LONG), ("known", _FLAG), ("split", _FLAG), ("seg", _LONG), ("time", _LONG), ("id", _LONG)])
+#: Rows in a value of a ListState: a value a row would be pickled and copied one by one.
+BLOCK = 8192
 _OUT = "rec string, id long, batch int, n_held long, change_id long, balance_cents long, op string, client long, split boolean, seg long, sold boolean, found boolean, kept boolean, has_kept boolean"
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every store takes megabytes of disk ahead
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # the next start opens the stores anew
+    "spark.sql.streaming.minBatchesToRetain": "2",
 }
 
 
@@ -109,10 +116,26 @@ def _clock(spark: SparkSession, marks: list[tuple[int, int]], buckets: int) -> D
     )
 
 
-def _columns(rows: list[tuple], names: list[str]) -> dict[str, np.ndarray]:
-    """State rows as arrays."""
-    kinds = {"split": bool, "known": bool, "kept": bool, "op": object}
-    return {n: np.array(x, kinds.get(n, np.int64)) for n, x in zip(names, zip(*rows, strict=True) if rows else [()] * len(names), strict=True)}
+def _held(state, schema: pa.Schema) -> dict[str, np.ndarray]:
+    """The rows of a ListState of Arrow blocks, as arrays."""
+    blocks = [b for (x,) in state.get() for b in pa.ipc.open_stream(x)]
+    whole = pa.Table.from_batches(blocks, schema)
+    return {n: whole.column(n).to_numpy() for n in schema.names}
+
+
+def _hold(state, schema: pa.Schema, before: int, rows: dict[str, np.ndarray]) -> None:
+    """Put rows, in their order, into a ListState that had so many."""
+    whole = pa.table({n: pa.array(rows[n], schema.field(n).type) for n in schema.names}, schema)
+    blocks = []
+    for b in whole.to_batches(BLOCK):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, schema) as out:
+            out.write_batch(b)
+        blocks.append((sink.getvalue().to_pybytes(),))
+    if blocks:
+        state.put(blocks)
+    elif before:
+        state.clear()
 
 
 def _joined(a: dict, b: dict) -> dict[str, np.ndarray]:
@@ -127,8 +150,7 @@ class Enrich(StatefulProcessor):
     """Holds versions, sorted by client, unit, time, seq and id, and the sales that wait."""
 
     def init(self, handle) -> None:
-        self.held, self.waiting = handle.getListState("held", _HELD), handle.getListState("waiting", _WAITING)
-        self.held_names, self.waiting_names = ([x.split()[0] for x in s.split(", ")] for s in (_HELD, _WAITING))
+        self.held, self.waiting = handle.getListState("held", "block binary"), handle.getListState("waiting", "block binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows), ignore_index=True)
@@ -140,14 +162,14 @@ class Enrich(StatefulProcessor):
         late = changes[changes["time"] < late_below]
         yield from self._emitted("late", late["id"].to_numpy(), batch)
         fresh = changes[(changes["time"] >= late_below) & changes["known"]]
-        old = list(self.held.get())
-        v = _joined(_columns(old, self.held_names), {n: np.zeros(len(fresh), bool) if n == "kept" else fresh[n].to_numpy() for n in self.held_names})
+        old = _held(self.held, _HELD)
+        v = _joined(old, {n: np.zeros(len(fresh), bool) if n == "kept" else fresh[n].to_numpy() for n in _HELD.names})
         order = np.lexsort((v["id"], v["seq"], v["time"], v["seg"], v["client"]))
         v = {n: x[order] for n, x in v.items()}
 
-        waited = list(self.waiting.get())
+        waited = _held(self.waiting, _WAITING)
         sales = new[new["kind"] == SALE]
-        s = _joined(_columns(waited, self.waiting_names), {n: sales[n].to_numpy() for n in self.waiting_names})
+        s = _joined(waited, {n: sales[n].to_numpy() for n in _WAITING.names})
         is_due = (s["time"] == NULL) | (s["time"] < until) | (until == TOP)
         due = {n: x[is_due] for n, x in s.items()}
 
@@ -167,19 +189,12 @@ class Enrich(StatefulProcessor):
         following[:-1] = (unit[:n][:-1] == unit[:n][1:]) & below[1:]
         stay = ~(below & following)
         v["kept"] = below
-        self._put(self.held, old, {c: x[stay] for c, x in v.items()})
-        self._put(self.waiting, waited, {c: x[~is_due] for c, x in s.items()})
+        _hold(self.held, _HELD, len(old["id"]), {c: x[stay] for c, x in v.items()})
+        _hold(self.waiting, _WAITING, len(waited["id"]), {c: x[~is_due] for c, x in s.items()})
 
     def close(self) -> None:
         pass
 
-    @staticmethod
-    def _put(state, before: list, now: dict[str, np.ndarray]) -> None:
-        if rows := list(zip(*(x.tolist() for x in now.values()), strict=True)):
-            state.put(rows)
-        elif before:
-            state.clear()
-
     @staticmethod
     def _emitted(rec: str, ids: np.ndarray, batch: int, n_held=None, v=None, place=None, found=None, unit=None, has_kept=None) -> Iterator[pd.DataFrame]:
         n = len(ids)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakforge.llm import chat, classifier, decontam, enrich, lines, mixing, neardup, quality, substring, tokens, warc, whitening
+from peakforge.llm import chat, classifier, decontam, enrich, lines, mixing, mtree, neardup, quality, substring, tokens, warc, whitening
 from peakforge.llm.store import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,7 +64,11 @@ def op12_enrich_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.enrich_sales(table(spark, sf_dir, "sales"), table(spark, sf_dir, "client_changes"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mix_sources, op3_minhash_near_dedup, op4_warc, op5_quality_rules, op6_substring_dedup, op7_token_output, op8_line_dedup, op9_chat_formatting, op10_quality_classifier, op11_whiten_embeddings, op12_enrich_sales)}
+def op13_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_products(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mix_sources, op3_minhash_near_dedup, op4_warc, op5_quality_rules, op6_substring_dedup, op7_token_output, op8_line_dedup, op9_chat_formatting, op10_quality_classifier, op11_whiten_embeddings, op12_enrich_sales, op13_top_products)}
 
 _ESCAPED = "length({0}) + length({0}) - length(replace({0}, chr(92), ''))" + "".join(f" + (length({{0}}) - length(replace({{0}}, '{c}', ''))) // {len(c)}" for c in chat.CONTROL)
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
@@ -139,6 +143,17 @@ WITH c AS (
   FROM c GROUP BY conv_id
 )
 SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+""",
+    "op13_top_products": """
+WITH v AS (
+  SELECT row_number() OVER () AS u, vec_id, list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+  SELECT q.u, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.u <> c.u
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY u ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 10
 """,
     "op6_substring_dedup": rf"""
 WITH d AS (

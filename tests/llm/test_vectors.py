@@ -7,7 +7,7 @@ from math import floor, inf, isfinite, nan
 import numpy as np
 import pytest
 
-from peakforge.llm import whitening
+from peakforge.llm import mtree, whitening
 
 SCHEMA = "vec_id long, embedding array<float>, label int, x string, i int, key long"
 
@@ -67,3 +67,43 @@ def test_whitening_of_few_and_of_none(spark):
     assert {(r.component, r.whitened is None) for r in line} == {(1, False), (2, True)} and line[0].identity_error < 1e-12
     huge = whitening.whiten(spark.createDataFrame([(1, [1e10], 0, None, None, None), (2, [-1e10], 0, None, None, None), (3, [3e38], 0, None, None, None)], SCHEMA)).collect()
     assert [(r.vec_id, r.deviation, round(abs(r.whitened), 9)) for r in huge] == [(1, None, 1.0), (2, None, 1.0)]
+
+
+@pytest.mark.parametrize(("n", "d", "spread"), [(700, 5, 1.0), (300, 3, 5e4)])
+def test_top_products(spark, monkeypatch, n, d, spread):
+    """Small trees of several groups; scores beyond exact doubles with a large spread; ties among copies, and more copies than k."""
+    for name, size in (("TREE", 128), ("PAGE", 8), ("GROUP", 4), ("PIVOTS", 16), ("BLOCK_BYTES", 200)):
+        monkeypatch.setattr(mtree, name, size)
+    rows = [(i, v and [c and float(np.float32(c * spread)) for c in v], *rest) for i, v, *rest in vectors(2, n, d)]
+    got = mtree.top_products(spark.createDataFrame(rows, SCHEMA), "vec_id % 25 = 0", 6).collect()
+    own = sound(rows, d, 1024)
+    want = []
+    for a, (i, x) in enumerate(own):
+        if i is not None and i % 25 == 0:
+            scores = sorted(((-sum(p * q for p, q in zip(x, y, strict=True)), j is None, j or 0, j) for b, (j, y) in enumerate(own) if a != b), key=lambda s: s[:3])
+            want += [(i, rank, j, -s) for rank, (s, _, _, j) in enumerate(scores[:6], 1)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_bounds_leave_out_most_of_clustered_vectors():
+    """Clusters on a sphere: most distances are never computed, and the best are right."""
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(40, 6))
+    x = np.floor(1024 * (centres[np.sort(r.integers(0, 40, 4000))] / np.linalg.norm(centres, axis=1).mean() + 0.01 * r.normal(size=(4000, 6)))).astype(np.int64)
+    ids, top = np.arange(4000), int(np.square(x).sum(axis=1).max())
+    s = mtree._Search(ids[::100], x[::100], 5, top, (ids[:0], x[:0]))
+    for lo in range(0, 4000, 1000):
+        s.add(mtree._tree(ids[lo : lo + 1000], ids[lo : lo + 1000], x[lo : lo + 1000], top))
+    for q in range(40):
+        scores = x @ x[100 * q]
+        order = [i for i in np.lexsort((ids, -scores)) if i != 100 * q][:5]
+        assert s.best[2][s.best[0] == q].tolist() == order
+    assert s.computed < 0.5 * 40 * 4000
+
+
+def test_search_in_few_and_none(spark):
+    few = lambda rows: [tuple(x) for x in mtree.top_products(spark.createDataFrame(rows, SCHEMA), "vec_id = 1").collect()]
+    rest = (0, None, None, None)
+    assert few([]) == [] and few([(1, None, *rest)]) == [] and few([(1, [1.0], *rest)]) == []
+    assert few([(1, [1.0], *rest), (None, [2.0], *rest)]) == [(1, 1, None, 1024 * 2048)]
+    assert few([(1, [0.0], *rest)] * 2) == [(1, 1, 1, 0)] * 2
