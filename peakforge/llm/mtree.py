@@ -150,7 +150,7 @@ class _Search:
             reach(alive, from_root[alive], g, group_router[g], group_radius[g], group_dist[g])
         while len(alive):
             node = low[alive].argmin(axis=1)
-            going = low[alive, node] <= self.bound[alive]
+            going = np.isfinite(low[alive, node]) & (low[alive, node] <= self.bound[alive])
             alive, node = alive[going], node[going]
             new = []
             for v in np.unique(node):
