@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,8 @@ from peakforge.functions import sizing
 from peakforge.functions import vectors as V
 from peakforge.operators import decoding, matching, metrics, spectra
 from peakforge.plans import fixtures as X
-from peakforge.sources import files, mgf
+from peakforge.sources import files, mgf, ragged
+from peakforge.sources.scratch import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -80,10 +80,7 @@ def spectrum_clean(spark, d):
 
 @query(f"SELECT spectrum_id, count(*) AS n_peaks, CAST(sum(count(*)) OVER (ORDER BY spectrum_id) - count(*) AS BIGINT) AS start FROM ({X.PEAKS}) p GROUP BY spectrum_id")
 def peaks_offsets(spark, d):
-    from pyspark.sql import Window
-
-    n = _peaks(spark, d).groupBy("spectrum_id").agg(F.count("*").alias("n_peaks"))
-    return n.withColumn("start", F.sum("n_peaks").over(Window.orderBy("spectrum_id")) - F.col("n_peaks"))
+    return ragged.offsets(_peaks(spark, d).groupBy("spectrum_id").agg(F.count("*").alias("n_peaks")))
 
 
 @query(f"SELECT spectrum_id, charge, round((precursor_mz - {K.PROTON!r}) * charge, 6) AS mass FROM ({X.PRECURSORS}) q WHERE charge BETWEEN 1 AND 10")
@@ -455,29 +452,18 @@ def mgf_text_peaks(spark, d):
 
 @query()
 def mgf_roundtrip(spark, d):
-    folder = f"{_scratch(spark)}/mgf"
+    folder = f"{scratch(spark)}/mgf"
     mgf.write_mgf(_spectra(spark, d).withColumn("title", F.col("spectrum_id").cast("string")), folder)
     return mgf.read_mgf(spark, folder).select("title", "precursor_mz", "charge", F.size("peaks").alias("n_peaks"), "status")
 
 
 @query()
 def csv_roundtrip(spark, d):
-    folder = f"{_scratch(spark)}/csv"
+    folder = f"{scratch(spark)}/csv"
     files.write_predictions(_pairs(spark, d).select(F.col("pred_score"), "pred_peptide", "gt_peptide"), folder)
     return files.read_predictions(spark, folder, "pred_score double, pred_peptide string, gt_peptide string")
 
 
-def _scratch(spark: SparkSession) -> str:
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp()
-    return f"{base.rstrip('/')}/peakforge-{uuid.uuid4().hex}"
-
-
 @query()
 def spectrum_augment(spark, d):
     from pyspark.sql import Window
