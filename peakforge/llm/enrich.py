@@ -82,17 +82,21 @@ def _rows(sales: DataFrame, changes: DataFrame) -> DataFrame:
     return s.unionByName(c)
 
 
-def _units(rows: DataFrame, hot: int, unit: int) -> tuple[DataFrame, list[DataFrame]]:
-    """rows with split and seg: seg numbers the stretches of time of a client that is split; the tables that this reads."""
+def _units(rows: DataFrame, hot: int, unit: int) -> tuple[DataFrame, DataFrame]:
+    """rows with split and seg: seg numbers the stretches of time, equally wide, of a client that is split; the table of these clients.
+
+    The width follows from the client's rows and its times within the days of the batches, so that a broken date doesn't stretch it.
+    """
     per = ["client", "known"]
-    many = written(rows.groupBy(*per).agg(F.count("*").alias("n")).where(F.col("n") > hot), "hot_clients")
-    at = F.when(F.col("time") != NULL, F.col("time"))
-    spread = rows.join(small(many), per).groupBy(*per, "n").agg(F.percentile_approx(at, [0.01, 0.99]).alias("q"))
+    day = 86_400_000_000
+    at = F.when(F.col("time") != NULL, F.greatest(F.lit(FIRST_DAY * day), F.least(F.lit((FIRST_DAY + DAYS) * day), F.col("time"))))
+    of = rows.groupBy(*per).agg(F.count("*").alias("n"), F.min(at).alias("low"), F.max(at).alias("high")).where(F.col("n") > hot)
     parts = F.ceil(F.col("n") / unit)
-    spread = written(spread.select(*per, parts.alias("parts"), F.coalesce(F.col("q")[0], F.lit(0)).alias("low"), F.greatest(F.lit(1), F.coalesce((F.col("q")[1] - F.col("q")[0]) / parts, F.lit(1))).cast("long").alias("width")), "spreads")
+    width = F.greatest(F.lit(1), F.coalesce(((F.col("high") - F.col("low")) / parts).cast("long"), F.lit(1)))
+    spread = written(of.select(*per, parts.alias("parts"), F.coalesce("low", F.lit(0)).alias("low"), width.alias("width")), "spreads")
     seg = F.when(F.col("time") == NULL, F.pmod(F.xxhash64("id"), "parts")).otherwise(F.floor((F.col("time") - F.col("low")) / F.col("width")))
     joined = rows.join(small(spread), per, "left").withColumns({"split": F.col("parts").isNotNull(), "seg": F.coalesce(seg, F.lit(0)).cast("long")})
-    return joined.drop("parts", "low", "width"), [many, spread]
+    return joined.drop("parts", "low", "width"), spread
 
 
 def _watermarks(rows: DataFrame) -> list[tuple[int, int]]:
@@ -245,13 +249,16 @@ def enrich_sales(sales: DataFrame, changes: DataFrame, hot: int = HOT, unit: int
     """rec (`sale` or `late`), id, batch, and for sales n_held, change_id, balance_cents, op."""
     spark = sales.sparkSession
     base = written(_rows(sales, changes), "rows")
-    buckets = base.count() // bucket + 1
+    n = base.count()
+    if not n:
+        return spark.createDataFrame([], _OUT).select("rec", "id", "batch", "n_held", "change_id", "balance_cents", "op")
+    buckets = n // bucket + 1
     marks = _watermarks(base)
     units, made = _units(base, hot, unit)
     units = units.withColumn("bucket", F.pmod(F.xxhash64("client", "known", "seg"), F.lit(buckets)))
     folder = new_path(spark, "enrich")
     units.unionByName(_clock(spark, marks, buckets)).write.partitionBy("batch").parquet(f"{folder}/dealt")
-    for t in (base, *made):
+    for t in (base, made):
         drop(t)
     schema = spark.read.parquet(f"{folder}/dealt").drop("batch").schema
     path = spark._jvm.org.apache.hadoop.fs.Path

@@ -61,15 +61,23 @@ def tables(seed: int, n: int, clients: int) -> tuple[list[dict], list[dict]]:
     return sales + sales[:5], changes + changes[:20]
 
 
-@pytest.mark.parametrize(("hot", "bucket"), [(20, 64)])
-def test_enriched_sales_equal_a_loop(spark, hot, bucket):
+@pytest.fixture
+def few_stores(spark):
+    """Each start opens and saves a state store per shuffle partition."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_enriched_sales_equal_a_loop(spark, few_stores):
     """Clients with over 20 rows are split by time, the others are not."""
     sales, changes = tables(3, 400, 40)
-    got = enrich.enrich_sales(spark.createDataFrame([tuple(s.values()) for s in sales], SALES), spark.createDataFrame([tuple(c.values()) for c in changes], CHANGES), hot, 16, bucket)
+    got = enrich.enrich_sales(spark.createDataFrame([tuple(s.values()) for s in sales], SALES), spark.createDataFrame([tuple(c.values()) for c in changes], CHANGES), 20, 16, 64)
     assert sorted((tuple(x) for x in got.collect()), key=repr) == brute(sales, changes)
     assert got.columns == ["rec", "id", "batch", "n_held", "change_id", "balance_cents", "op"]
 
 
-def test_empty_tables(spark):
+def test_empty_tables(spark, few_stores):
     none = lambda schema: spark.createDataFrame([], schema)
     assert enrich.enrich_sales(none(SALES), none(CHANGES)).collect() == []
