@@ -33,6 +33,11 @@ def float_encoding(x: Column, size: int, low: float = 0.001, high: float = 10000
     return F.array(*[F.sin(x / t) for t in wavelengths(half, low, high)], *[F.cos(x / t) for t in wavelengths(size - half, low, high)])
 
 
+def positional_encoding(x: Column, position: Column, size: int, low: float = 1.0, high: float = 10000.0) -> Column:
+    """x, the vector at a position of a sequence, plus the encoding of that position."""
+    return F.zip_with(x, float_encoding(position.cast("double"), size, low, high), lambda a, b: a.cast("double") + b)
+
+
 def rotate(a: Column, angles: Column) -> Column:
     """Rotary embedding in the half-split layout."""
     half = (F.size(a) / 2).cast("int")

@@ -50,12 +50,14 @@ def _longer(true: Column, predicted: Column) -> Column:
 
 
 def match(true: Column, predicted: Column, mode: str = "forward") -> Column:
-    """Flag for each place of the longer peptide (token arrays). Modes: forward; backward, the same from the ends."""
+    """Flag for each place of the longer peptide (token arrays). Modes: forward; backward, the same from the ends; best, as best_match."""
     walk = lambda t, q: _masses(t, q, lambda x, y: _flags(_meets(x, y), _longer(x, y)))
     if mode == "forward":
         return walk(true, predicted)
     if mode == "backward":
         return F.reverse(walk(F.reverse(true), F.reverse(predicted)))
+    if mode == "best":
+        return best_match(true, predicted)
     raise ValueError(f"no such mode: {mode}")
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakforge.operators.ordered import running
+
 EPS = 1e-8
 
 
@@ -19,25 +21,29 @@ def seven(pairs: DataFrame, by: str) -> DataFrame:
     """three(), peptide_precision, precision and recall of modified residues, and the area under the curve; a row without a prediction (not given) matches nothing and predicts nothing."""
     none = {c: F.when(F.col("given"), F.col(c)).otherwise(0) for c in ("n_match", "n_pred", "ptm_pred", "ptm_true_match", "ptm_pred_match")}
     rows = pairs.withColumns(none | {"whole": F.col("whole") & F.col("given")})
-    ratio = lambda a, b: (F.sum(a) / (F.sum(b) + EPS)).alias(f"ptm_{'precision' if 'pred' in b else 'recall'}")
-    ptm = rows.groupBy(by).agg(ratio("ptm_pred_match", "ptm_pred"), ratio("ptm_true_match", "ptm_true"))
-    return three(rows, by).withColumn("peptide_precision", F.col("peptide_recall")).join(ptm, by).join(pr_auc(rows, by), by)
+    sums = ("n_match", "n_pred", "n_true", "ptm_pred_match", "ptm_pred", "ptm_true_match", "ptm_true")
+    totals = [F.sum(c).alias(c) for c in sums] + [F.sum(F.col("whole").cast("int")).alias("whole"), F.count("*").alias("n"), F.sum("area").alias("pr_auc")]
+    ratio = {"aa_precision": ("n_match", "n_pred"), "aa_recall": ("n_match", "n_true"), "peptide_recall": ("whole", "n"), "peptide_precision": ("whole", "n"), "ptm_precision": ("ptm_pred_match", "ptm_pred"), "ptm_recall": ("ptm_true_match", "ptm_true")}
+    return curve(rows, by).groupBy(by).agg(*totals).select(by, *[(F.col(a) / (F.col(b) + EPS)).alias(c) for c, (a, b) in ratio.items()], "pr_auc")
+
 
+def curve(pairs: DataFrame, by: str, ranges: int | None = None) -> DataFrame:
+    """Precision and recall after each row by falling score (then spectrum_id) of rows (score, spectrum_id, whole), and the area below since the row before.
 
-def curve(pairs: DataFrame, by: str) -> DataFrame:
-    """Precision and recall after each row by falling score (then spectrum_id) of rows (score, spectrum_id, whole)."""
-    w = Window.partitionBy(by).orderBy(F.col("score").desc(), "spectrum_id")
-    hit = F.sum(F.col("whole").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    n = F.count("*").over(Window.partitionBy(by))
-    return pairs.select("*", (hit / F.row_number().over(w)).alias("precision"), (hit / n).alias("recall"), F.row_number().over(w).alias("rank"))
+    A data set is summed in ranges of scores, so it may be of any length.
+    """
+    hit = F.col("whole").cast("long")
+    c = running(pairs, [by], [F.col("score").desc(), F.col("spectrum_id")], ranges, hits=hit, rank=F.lit(1).cast("long"))
+    own = F.coalesce(hit, F.lit(0))
+    precision, recall = F.col("hits") / F.col("rank"), F.col("hits") / F.col("rank_total")
+    before = F.when(F.col("rank") > 1, (F.col("hits") - own) / (F.col("rank") - 1))
+    area = own / F.col("rank_total") * (precision + before) / 2
+    return c.withColumns({"precision": precision, "recall": recall, "area": area}).drop("hits", "hits_total", "rank_total")
 
 
-def pr_auc(pairs: DataFrame, by: str) -> DataFrame:
+def pr_auc(pairs: DataFrame, by: str, ranges: int | None = None) -> DataFrame:
     """Area under the curve by trapezoids from its first point on."""
-    w = Window.partitionBy(by).orderBy("rank")
-    c = curve(pairs, by)
-    area = (F.col("recall") - F.lag("recall").over(w)) * (F.col("precision") + F.lag("precision").over(w)) / 2
-    return c.select(by, area.alias("area")).groupBy(by).agg(F.sum("area").alias("pr_auc"))
+    return curve(pairs, by, ranges).groupBy(by).agg(F.sum("area").alias("pr_auc"))
 
 
 def with_mean(rows: DataFrame, name: str, values: list[str]) -> DataFrame:

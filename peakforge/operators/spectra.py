@@ -64,19 +64,29 @@ def clean(spectra: DataFrame, low: float = 50.0, high: float = 2500.0, tolerance
     return spectra.withColumn("peaks", peaks)
 
 
-def noise(*keys: Column) -> Column:
-    """A number in [0, 1) from integers, the same in every engine."""
-    return F.pmod(sum((k.cast("long") * p for k, p in zip(keys, (7919, 104729, 1299709), strict=False)), F.lit(0).cast("long")), F.lit(10007)) / 10007.0
+def uniform(seed: int, name: str, *keys: Column) -> Column:
+    """A number in [0, 1) for a seed, a purpose and keys: 48 bits of a hash, so draws of different purposes or keys are independent, and any engine with MD5 draws the same."""
+    text = F.concat_ws(":", F.lit(f"{seed}:{name}"), *[F.coalesce(k.cast("string"), F.lit("null")) for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def augment(peaks: DataFrame, removal: float = 0.2, threshold: float = 0.3, perturb: float = 0.15) -> DataFrame:
-    """Rows (spectrum_id, pos, mz, intensity): a share of the weak peaks removed, the rest perturbed, maximum back at 1."""
+def augment(peaks: DataFrame, removal: float = 0.2, threshold: float = 0.3, perturb: float = 0.15, probability: float = 1.0, seed: int = 0, dummy: bool = False) -> DataFrame:
+    """Rows (spectrum_id, pos, mz, intensity): a share of the weak peaks removed, the rest perturbed, maximum back at 1; augmented says for which spectra.
+
+    A spectrum is augmented with the given probability, drawn once for each; others stay as they are. Of n weak peaks floor(removal * n) go,
+    chosen by the hash of each. With dummy the draws are made but every spectrum is returned as it came.
+    """
     from pyspark.sql import Window
 
     by = Window.partitionBy("spectrum_id")
-    weak = F.col("intensity") < threshold
-    ranked = peaks.withColumn("weak", weak).withColumn("u", noise(F.col("spectrum_id"), F.col("pos")))
-    ranked = ranked.withColumn("k", F.row_number().over(Window.partitionBy("spectrum_id", "weak").orderBy("u", "pos"))).withColumn("n", F.sum(F.col("weak").cast("int")).over(by))
-    left = ranked.where(~(F.col("weak") & (F.col("k") <= F.floor(F.col("n") * removal))))
-    moved = left.withColumn("intensity", F.col("intensity") * (1 - perturb * 2 * (noise(F.col("pos"), F.col("spectrum_id")) - 0.5)))
-    return moved.withColumn("intensity", F.col("intensity") / F.max("intensity").over(by)).select("spectrum_id", "pos", "mz", "intensity")
+    chosen = uniform(seed, "gate", F.col("spectrum_id")) < probability
+    drawn = peaks.withColumns({"augmented": chosen, "weak": F.col("intensity") < threshold, "u": uniform(seed, "remove", F.col("spectrum_id"), F.col("pos"))})
+    if dummy:
+        return drawn.select("spectrum_id", "pos", "mz", "intensity", "augmented")
+    k = F.row_number().over(Window.partitionBy("spectrum_id", "weak").orderBy("u", "pos"))
+    ranked = drawn.withColumns({"k": k, "n": F.sum(F.col("weak").cast("int")).over(by)})
+    left = ranked.where(~(F.col("augmented") & F.col("weak") & (F.col("k") <= F.floor(F.col("n") * removal))))
+    factor = 1 - perturb * 2 * (uniform(seed, "shift", F.col("spectrum_id"), F.col("pos")) - 0.5)
+    moved = left.withColumn("moved", F.when(F.col("augmented"), F.col("intensity") * factor).otherwise(F.col("intensity")))
+    final = F.when(F.col("augmented"), F.col("moved") / F.max("moved").over(by)).otherwise(F.col("moved"))
+    return moved.withColumn("intensity", final).select("spectrum_id", "pos", "mz", "intensity", "augmented")

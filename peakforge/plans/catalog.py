@@ -234,9 +234,35 @@ def pr_auc(spark, d):
     return metrics.pr_auc(_matched(spark, d, False), "lang").withColumn("pr_auc", F.round("pr_auc", 9))
 
 
-@query()
+#: Residues matched by both passes with their places on each side, and how many modified ones there are.
+_PTM_LIST = ", ".join(f"'{x}'" for x in K.PTMS)
+_PTM = _BEST.format(over="ok") + f""", two AS (SELECT spectrum_id, met AS at, i + 1 AS i, j + 1 AS j FROM z WHERE ok), one AS (SELECT spectrum_id, hit AS at, i - 1 AS i, j - 1 AS j FROM w WHERE hit IS NOT NULL),
+matched AS (SELECT * FROM two UNION ALL SELECT * FROM one WHERE NOT EXISTS (SELECT 1 FROM two WHERE two.spectrum_id = one.spectrum_id AND two.at = one.at)),
+m AS (SELECT spectrum_id, count(*) AS n_match, count(*) FILTER (p[i] IN ({_PTM_LIST})) AS ptm_true_match, count(*) FILTER (q[j] IN ({_PTM_LIST})) AS ptm_pred_match FROM matched JOIN t USING (spectrum_id) GROUP BY spectrum_id),
+ptm AS (SELECT t.spectrum_id, f.lang, f.pred_score AS score, f.pred_peptide IS NOT NULL AS given, CAST(coalesce(n_match, 0) AS INT) AS n_match, CAST(len(p) AS INT) AS n_true, CAST(len(q) AS INT) AS n_pred,
+  CAST(coalesce(ptm_true_match, 0) AS INT) AS ptm_true_match, CAST(coalesce(ptm_pred_match, 0) AS INT) AS ptm_pred_match,
+  CAST(len(list_filter(p, lambda x: x IN ({_PTM_LIST}))) AS INT) AS ptm_true, CAST(len(list_filter(q, lambda x: x IN ({_PTM_LIST}))) AS INT) AS ptm_pred
+  FROM t JOIN f USING (spectrum_id) LEFT JOIN m USING (spectrum_id))
+"""
+
+
+@query(_PTM + "SELECT spectrum_id, n_match, ptm_true_match, ptm_pred_match, ptm_true, ptm_pred FROM ptm")
+def aa_match_ptm(spark, d):
+    return _matched(spark, d, False).select("spectrum_id", "n_match", "ptm_true_match", "ptm_pred_match", "ptm_true", "ptm_pred")
+
+
+_SEVEN = ["aa_precision", "aa_recall", "peptide_recall", "peptide_precision", "ptm_precision", "ptm_recall", "pr_auc"]
+
+
+@query(_PTM + """, g AS (SELECT spectrum_id, lang, score, n_true, ptm_true, CASE WHEN given THEN n_match ELSE 0 END AS n_match, CASE WHEN given THEN n_pred ELSE 0 END AS n_pred, CASE WHEN given THEN ptm_pred ELSE 0 END AS ptm_pred,
+  CASE WHEN given THEN ptm_true_match ELSE 0 END AS ptm_true_match, CASE WHEN given THEN ptm_pred_match ELSE 0 END AS ptm_pred_match, CAST(given AND n_match = greatest(n_true, n_pred) AS INT) AS whole FROM ptm),
+k AS (SELECT *, sum(whole) OVER o / row_number() OVER o::DOUBLE AS precision, sum(whole) OVER o / count(*) OVER (PARTITION BY lang)::DOUBLE AS recall FROM g WINDOW o AS (PARTITION BY lang ORDER BY score DESC, spectrum_id ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT *, (recall - lag(recall) OVER o) * (precision + lag(precision) OVER o) / 2 AS area FROM k WINDOW o AS (PARTITION BY lang ORDER BY score DESC, spectrum_id))
+SELECT lang, round(sum(n_match) / (sum(n_pred) + 1e-8::DOUBLE), 9) AS aa_precision, round(sum(n_match) / (sum(n_true) + 1e-8::DOUBLE), 9) AS aa_recall, round(sum(whole) / (count(*) + 1e-8::DOUBLE), 9) AS peptide_recall,
+  round(sum(whole) / (count(*) + 1e-8::DOUBLE), 9) AS peptide_precision, round(sum(ptm_pred_match) / (sum(ptm_pred) + 1e-8::DOUBLE), 9) AS ptm_precision, round(sum(ptm_true_match) / (sum(ptm_true) + 1e-8::DOUBLE), 9) AS ptm_recall, round(sum(area), 9) AS pr_auc
+FROM a GROUP BY lang""")
 def metrics_seven(spark, d):
-    return metrics.seven(_matched(spark, d, False), "lang")
+    return metrics.seven(_matched(spark, d, False), "lang").withColumns({c: F.round(c, 9) for c in _SEVEN})
 
 
 @query(_BEST.format(over="ok") + """SELECT round(sum(n_match) FILTER (score > 0.5) / sum(n) FILTER (score > 0.5)::DOUBLE, 9) AS precision, round(sum(n_match) FILTER (score > 0.5) / sum(n)::DOUBLE, 9) AS recall FROM best""")
@@ -464,10 +490,42 @@ def csv_roundtrip(spark, d):
     return files.read_predictions(spark, folder, "pred_score double, pred_peptide string, gt_peptide string")
 
 
-@query()
-def spectrum_augment(spark, d):
+_DRAW = "CAST('0x' || substr(md5('{0}:{1}:' || {2}), 1, 12) AS BIGINT) / 281474976710656::DOUBLE"
+
+
+def _augment_sql(probability: float, seed: int) -> str:
+    """What augment() makes of all peaks, scaled to each spectrum's highest."""
+    key = "spectrum_id || ':' || pos"
+    return f"""SELECT spectrum_id, pos, mz, CASE WHEN augmented THEN moved / max(moved) OVER (PARTITION BY spectrum_id) ELSE moved END AS intensity, augmented FROM (
+  SELECT *, CASE WHEN augmented THEN intensity * (1 - 0.15::DOUBLE * 2 * ({_DRAW.format(seed, "shift", key)} - 0.5::DOUBLE)) ELSE intensity END AS moved FROM (
+    SELECT *, row_number() OVER (PARTITION BY spectrum_id, weak ORDER BY {_DRAW.format(seed, "remove", key)}, pos) AS k, sum(CAST(weak AS INT)) OVER (PARTITION BY spectrum_id) AS n FROM (
+      SELECT *, intensity < 0.3::DOUBLE AS weak, {_DRAW.format(seed, "gate", "spectrum_id")} < {probability!r}::DOUBLE AS augmented FROM (
+        SELECT spectrum_id, row_number() OVER (PARTITION BY spectrum_id ORDER BY mz, intensity) AS pos, mz, intensity / max(intensity) OVER (PARTITION BY spectrum_id) AS intensity FROM ({X.PEAKS}) p) a) b) c
+  WHERE NOT (augmented AND weak AND k <= floor(n * 0.2::DOUBLE))) d"""
+
+
+def _scaled(spark, d) -> DataFrame:
     from pyspark.sql import Window
 
     top = F.max("intensity").over(Window.partitionBy("spectrum_id"))
-    rows = _peaks(spark, d).withColumn("pos", F.row_number().over(Window.partitionBy("spectrum_id").orderBy("mz", "intensity"))).withColumn("intensity", F.col("intensity") / top)
-    return spectra.augment(rows)
+    return _peaks(spark, d).withColumn("pos", F.row_number().over(Window.partitionBy("spectrum_id").orderBy("mz", "intensity"))).withColumn("intensity", F.col("intensity") / top)
+
+
+@query(f"SELECT spectrum_id, CAST(pos AS INT) AS pos, round(mz, 6) AS mz, round(intensity, 6) AS intensity FROM ({_augment_sql(1.0, 0)}) a")
+def spectrum_augment(spark, d):
+    rows = spectra.augment(_scaled(spark, d)).drop("augmented")
+    return rows.select("spectrum_id", "pos", F.round("mz", 6).alias("mz"), F.round("intensity", 6).alias("intensity"))
+
+
+@query(f"SELECT spectrum_id, augmented, count(*) AS n_peaks, round(sum(intensity), 5) AS total FROM ({_augment_sql(0.4, 7)}) a GROUP BY spectrum_id, augmented")
+def augment_gate(spark, d):
+    """A share of the spectra is augmented, the others stay as they are."""
+    rows = spectra.augment(_scaled(spark, d), probability=0.4, seed=7)
+    return rows.groupBy("spectrum_id", "augmented").agg(F.count("*").alias("n_peaks"), F.round(F.sum("intensity"), 5).alias("total"))
+
+
+@query(f"SELECT count(*) AS n_peaks, count(DISTINCT spectrum_id) AS n_spectra, round(sum(intensity / top), 4) AS total FROM (SELECT *, max(intensity) OVER (PARTITION BY spectrum_id) AS top FROM ({X.PEAKS}) p) q")
+def augment_dummy(spark, d):
+    """Dummy mode: draws are made, spectra come back as they were."""
+    rows = spectra.augment(_scaled(spark, d), dummy=True)
+    return rows.agg(F.count("*").alias("n_peaks"), F.count_distinct("spectrum_id").alias("n_spectra"), F.round(F.sum("intensity"), 4).alias("total"))
