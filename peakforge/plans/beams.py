@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from peakforge.functions import constants as K
 from peakforge.operators import decoding, rounds
-from peakforge.plans.catalog import _WHOLE_LOGP, ORACLE, _logp, query
+from peakforge.plans.catalog import _LOGP, ORACLE, _logp, query
 
 _BEAMS, _MIN = 3, 4
 _META = "(VALUES " + ", ".join(f"({i}, CAST({m!r} AS DOUBLE))" for i, m in enumerate(rounds.MASSES)) + ") AS meta(token, mass)"
@@ -19,7 +19,7 @@ def _error(mass: str, i: int) -> str:
 def _unrolled(upto: int) -> str:
     """CTEs of all rounds: c<t> the candidates by place, j<t> with their flags, l<t> what lives on."""
     terminal = ", ".join(map(str, rounds.TERMINAL))
-    sql = f"""WITH lp AS ({_WHOLE_LOGP}), meta AS (SELECT * FROM {_META}),
+    sql = f"""WITH lp AS ({_LOGP}), meta AS (SELECT * FROM {_META}),
 l0 AS (SELECT spectrum_id, direction, 500.0::DOUBLE + spectrum_id * 3.7::DOUBLE AS precursor_mz, spectrum_id % 3 + 1 AS charge, 0 AS rank, 0::DOUBLE AS score, CAST([] AS INT[]) AS tokens, 0::DOUBLE AS mass
   FROM (SELECT DISTINCT spectrum_id, direction FROM lp) s)"""
     whole, heavier = f"mass + {K.H2O!r}::DOUBLE", f"mass + {K.H2O!r}::DOUBLE + {min(rounds.MASSES)!r}::DOUBLE"
@@ -80,10 +80,14 @@ def beam_rounds(spark, d):
     return found.select("spectrum_id", "direction", F.array_join(F.col("tokens").cast("array<string>"), ",").alias("tokens"), F.round("score", 6).alias("score"))
 
 
-@query(_DECODED + """, r AS (SELECT spectrum_id, max(tokens) FILTER (direction = 'fwd') AS fwd_peptide, max(score) FILTER (direction = 'fwd') AS fwd_score, max(tokens) FILTER (direction = 'rev') AS rev_peptide, max(score) FILTER (direction = 'rev') AS rev_score
+_RESOLVED = _DECODED + """, r AS (SELECT spectrum_id, max(tokens) FILTER (direction = 'fwd') AS fwd_peptide, max(score) FILTER (direction = 'fwd') AS fwd_score, max(tokens) FILTER (direction = 'rev') AS rev_peptide, max(score) FILTER (direction = 'rev') AS rev_score
   FROM decoded GROUP BY spectrum_id HAVING count(*) = 2), e AS (SELECT *, CASE WHEN fwd_score = -2 THEN '' ELSE fwd_peptide END AS f, CASE WHEN rev_score = -2 THEN '' ELSE rev_peptide END AS v FROM r),
-w AS (SELECT *, CASE WHEN f = '' AND v <> '' THEN false WHEN f <> '' AND v = '' THEN true ELSE fwd_score >= rev_score END AS ahead FROM e)
-SELECT spectrum_id, CASE WHEN ahead THEN f ELSE v END AS pred_peptide, round(CASE WHEN ahead THEN fwd_score ELSE rev_score END, 6) AS pred_score, CASE WHEN ahead THEN 'fwd' ELSE 'rev' END AS direction FROM w""")
+w AS (SELECT *, CASE WHEN f = '' AND v <> '' THEN false WHEN f <> '' AND v = '' THEN true ELSE fwd_score >= rev_score END AS ahead FROM e)"""
+_PICKED = "CASE WHEN ahead THEN f ELSE v END AS pred_peptide, round(CASE WHEN ahead THEN fwd_score ELSE rev_score END, 6) AS pred_score, CASE WHEN ahead THEN 'fwd' ELSE 'rev' END AS direction FROM w"
+ORACLE["resolve_directions"] = _RESOLVED + f" SELECT spectrum_id, fwd_peptide, round(fwd_score, 6) AS fwd_score, rev_peptide, round(rev_score, 6) AS rev_score, {_PICKED}"
+
+
+@query(_RESOLVED + f" SELECT spectrum_id, {_PICKED}")
 def resolved_rounds(spark, d):
     """Both directions of one search side by side by a conditional aggregate, and the better one."""
     steps = _logp(spark, d)

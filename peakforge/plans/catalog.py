@@ -14,7 +14,7 @@ from peakforge.functions import sizing
 from peakforge.functions import vectors as V
 from peakforge.operators import decoding, matching, metrics, spectra
 from peakforge.plans import fixtures as X
-from peakforge.sources import files, mgf, ragged
+from peakforge.sources import files, mgf, mgf_source, ragged
 from peakforge.sources.scratch import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,11 +146,15 @@ _MASSES = f"SELECT spectrum_id AS peptide_id, sum(mass) + {K.H2O!r} AS mass FROM
 @query(f"""SELECT q.spectrum_id, p.peptide_id FROM ({X.PRECURSORS}) q JOIN ({_MASSES}) p
 ON charge BETWEEN 1 AND 10 AND abs((precursor_mz - {K.PROTON!r}) * charge - mass) < 0.5""")
 def precursor_window_join(spark, d):
-    """Precursors and peptides within half a Dalton: an interval join by mass bins, each precursor in its own and both next ones."""
+    return _within_half(spark, d).select("spectrum_id", "peptide_id")
+
+
+def _within_half(spark, d) -> DataFrame:
+    """Precursors and peptides within half a Dalton, with their masses: an interval join by mass bins, each precursor in its own and both next ones."""
     p = _peptides(spark, d).select(F.col("spectrum_id").alias("peptide_id"), P.peptide_mass(P.split_residues(F.col("peptide"))).alias("mass")).withColumn("bin", F.floor("mass"))
     q = _precursors(spark, d).where("charge between 1 and 10").withColumn("m", P.mz_to_mass(F.col("precursor_mz"), F.col("charge")))
     q = q.withColumn("bin", F.explode(F.sequence(F.floor(F.col("m") - 0.5), F.floor(F.col("m") + 0.5))))
-    return p.join(q, "bin").where(F.abs(F.col("m") - F.col("mass")) < 0.5).select("spectrum_id", "peptide_id")
+    return p.join(q, "bin").where(F.abs(F.col("m") - F.col("mass")) < 0.5)
 
 
 def _walk_sql(merge: bool, turn: str = "") -> str:
@@ -290,13 +294,18 @@ def metrics_pivot(spark, d):
     return _pairs(spark, d).groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).agg(F.round(F.avg(exact), 6))
 
 
-@query("SELECT 'step=30-accuracy=0.9100.ckpt' AS path, 30 AS step, 0.91::DOUBLE AS accuracy")
-def best_checkpoint(spark, d):
-    names = ["step=10-accuracy=0.5000.ckpt", "step=20-accuracy=0.9100.ckpt", "step=30-accuracy=0.9100.ckpt", "last.ckpt"]
-    rows = spark.createDataFrame([(n,) for n in names], "path string")
+_CHECKPOINT = "CASE WHEN spectrum_id % 41 = 0 THEN 'last.ckpt' ELSE {0} END"
+
+
+@query(f"""WITH f AS (SELECT source, {_CHECKPOINT.format("'step=' || spectrum_id || '-accuracy=' || printf('%.4f', round(pred_score, 2)) || '.ckpt'")} AS path FROM ({X.pairs(True)}) f),
+p AS (SELECT *, TRY_CAST(regexp_extract(path, 'step=([0-9]+)', 1) AS INT) AS step, TRY_CAST(regexp_extract(path, 'accuracy=([0-9]+[.][0-9]+)', 1) AS DOUBLE) AS accuracy FROM f)
+SELECT source, path, step, accuracy FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY accuracy DESC, step DESC) AS k FROM p WHERE step IS NOT NULL AND accuracy IS NOT NULL) r WHERE k = 1""")
+def best_checkpoint_by_source(spark, d):
+    """Of each source's checkpoints, named by step and accuracy, the most accurate, the later at a tie; other names don't count."""
+    name = F.expr(_CHECKPOINT.format("concat('step=', spectrum_id, '-accuracy=', format_string('%.4f', round(pred_score, 2)), '.ckpt')"))
     step, accuracy = F.regexp_extract("path", r"step=(\d+)", 1).try_cast("int"), F.regexp_extract("path", r"accuracy=(\d+\.\d+)", 1).try_cast("double")
-    best = rows.select("path", step.alias("step"), accuracy.alias("accuracy")).where("step is not null and accuracy is not null").agg(F.max_by(F.struct("*"), F.struct("accuracy", "step")).alias("b"))
-    return best.select("b.*")
+    rows = _pairs(spark, d).select("source", name.alias("path")).select("source", "path", step.alias("step"), accuracy.alias("accuracy")).where("step is not null and accuracy is not null")
+    return rows.groupBy("source").agg(F.max_by(F.struct("path", "step", "accuracy"), F.struct("accuracy", "step")).alias("b")).select("source", "b.*")
 
 
 _LOGP = f"""SELECT spectrum_id, direction, step, token, logit - top - ln(sum(exp(logit - top)) OVER w) AS logp
@@ -306,7 +315,7 @@ FROM (SELECT *, max(logit) OVER (PARTITION BY spectrum_id, direction, step) AS t
 @query(f"""WITH b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY spectrum_id, direction, step ORDER BY logp DESC, token) AS k FROM ({_LOGP}) l) r WHERE k = 1),
 s AS (SELECT *, coalesce(max(CAST(token = 1 AS INT)) OVER (PARTITION BY spectrum_id, direction ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM b)
 SELECT spectrum_id, direction, coalesce(string_agg(CASE WHEN token <> 1 THEN CAST(token AS VARCHAR) END, ',' ORDER BY step), '') AS tokens, round(exp(avg(logp)), 6) AS score FROM s WHERE over = 0 GROUP BY ALL""")
-def greedy_decode(spark, d):
+def greedy_decode_whole(spark, d):
     return decoding.greedy(_logp(spark, d)).select("spectrum_id", "direction", F.array_join("tokens", ",").alias("tokens"), F.round("score", 6).alias("score"))
 
 
@@ -324,10 +333,10 @@ def beam_decode(spark, d):
 
 @query()
 def resolve_directions(spark, d):
-    names = F.array_join("tokens", ",").alias("peptide")
-    rows = _beam(spark, d).select("spectrum_id", "direction", names, "score")
-    side = lambda x: rows.where(f"direction = '{x}'").select("spectrum_id", F.col("peptide").alias(f"{x}_peptide"), F.col("score").alias(f"{x}_score"))
-    return decoding.resolve(side("fwd").join(side("rev"), "spectrum_id"))
+    """Both directions of one search side by side, by a conditional aggregate."""
+    pick = lambda c, x: F.max(F.when(F.col("direction") == x, F.col(c))).alias(f"{x}_{c}")
+    rows = _beam(spark, d).withColumn("peptide", F.array_join("tokens", ",")).groupBy("spectrum_id").agg(*[pick(c, x) for x in ("fwd", "rev") for c in ("peptide", "score")], F.count("*").alias("n"))
+    return decoding.resolve(rows.where("n = 2").drop("n")).withColumns({c: F.round(c, 6) for c in ("fwd_score", "rev_score", "pred_score")})
 
 
 _LABEL = "(spectrum_id * 7 + step) % 29"
@@ -335,23 +344,11 @@ _LABEL = "(spectrum_id * 7 + step) % 29"
 
 @query(f"""WITH l AS ({_LOGP}), r AS (SELECT spectrum_id, direction, step, {_LABEL} AS label, -max(logp) FILTER (token = {_LABEL}) AS nll, -avg(logp) AS smooth FROM l GROUP BY ALL)
 SELECT direction, round(avg(0.95::DOUBLE * nll + 0.05::DOUBLE * smooth), 6) AS loss FROM r WHERE label <> 0 GROUP BY direction""")
-def ce_label_smoothing(spark, d):
+def ce_label_smoothing_whole(spark, d):
     return decoding.smoothed_loss(_logp(spark, d).withColumn("label", F.expr(_LABEL)), 0.05, "direction").withColumn("loss", F.round("loss", 6))
 
 
-@query(f"""WITH b AS (SELECT spectrum_id, direction, step, first(token ORDER BY logp DESC, token) AS best FROM ({_LOGP}) l WHERE step <= 2 GROUP BY ALL),
-s AS (SELECT spectrum_id, direction, bool_and(best % 5 = spectrum_id % 5 OR (spectrum_id + step) % 3 = 0) AS whole FROM b GROUP BY ALL)
-SELECT direction, round(avg(CAST(whole AS INT)), 9) AS accuracy FROM s GROUP BY direction""")
-def teacher_accuracy(spark, d):
-    """Best tokens against labels, both modulo 5 so that some agree; every third place is masked out."""
-    best = decoding.best_tokens(_logp(spark, d).where("step <= 2")).withColumns({"token": F.col("token") % 5, "label": F.col("spectrum_id") % 5, "keep": (F.col("spectrum_id") + F.col("step")) % 3 != 0})
-    return decoding.whole_accuracy(best, "direction").withColumn("accuracy", F.round("accuracy", 9))
-
-
-_WHOLE_LOGP = _LOGP.replace(X.logits(True), X.logits(True, True))
-
-
-@query(f"""WITH b AS (SELECT spectrum_id, direction, step, first(token ORDER BY logp DESC, token) AS best FROM ({_WHOLE_LOGP}) l GROUP BY ALL),
+@query(f"""WITH b AS (SELECT spectrum_id, direction, step, first(token ORDER BY logp DESC, token) AS best FROM ({_LOGP}) l GROUP BY ALL),
 y AS (SELECT *, CASE spectrum_id % 3 WHEN 0 THEN best WHEN 1 THEN CASE WHEN step = 1 + spectrum_id // 3 % 8 THEN 2 + (best + 1) % 27 ELSE best END ELSE {_LABEL} END AS label FROM b),
 s AS (SELECT spectrum_id, direction, bool_and(best = label OR label = 0) AS whole FROM y GROUP BY ALL)
 SELECT direction, count(*) AS n, round(avg(CAST(whole AS INT)), 9) AS accuracy FROM s GROUP BY direction""")
@@ -389,9 +386,7 @@ def charge_filter_scan(spark, d):
 @query(f"""SELECT spectrum_id, peptide_id, round(least(abs(z - precursor_mz), abs(z - precursor_mz + {K.ISOTOPE!r} / charge)) / precursor_mz * 1000000, 4) AS ppm
 FROM (SELECT *, mass / charge + {K.PROTON!r} AS z FROM ({X.PRECURSORS}) q JOIN ({_MASSES}) p ON charge BETWEEN 1 AND 10 AND abs((precursor_mz - {K.PROTON!r}) * charge - mass) < 0.5) x""")
 def ppm_isotope_fit(spark, d):
-    p = _peptides(spark, d).select(F.col("spectrum_id").alias("peptide_id"), P.peptide_mass(P.split_residues(F.col("peptide"))).alias("mass"))
-    rows = precursor_window_join(spark, d).join(_precursors(spark, d), "spectrum_id").join(p, "peptide_id")
-    return rows.select("spectrum_id", "peptide_id", F.round(P.isotope_ppm(P.mass_to_mz(F.col("mass"), F.col("charge")), F.col("precursor_mz"), F.col("charge")), 4).alias("ppm"))
+    return _within_half(spark, d).select("spectrum_id", "peptide_id", F.round(P.isotope_ppm(P.mass_to_mz(F.col("mass"), F.col("charge")), F.col("precursor_mz"), F.col("charge")), 4).alias("ppm"))
 
 
 _SIM = f"""SELECT a.batch_id, a.pair_id AS spectrum, b.pair_id AS peptide, 20 * list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))
@@ -435,18 +430,21 @@ def float_encoding(spark, d):
     return _precursors(spark, d).select("spectrum_id", F.posexplode(V.float_encoding(F.col("precursor_mz"), 8, 1.0, 10000.0)).alias("i", "v")).withColumn("v", F.round("v", 4) + F.lit(0.0))
 
 
-@query("""SELECT step, round(CASE WHEN step < 100 THEN step / 100.0::DOUBLE ELSE pow(5.0::DOUBLE, -floor((step - 100) / 300.0::DOUBLE)) * 0.5 * (1 + cos(pi() * ((step - 100) / 300.0::DOUBLE - floor((step - 100) / 300.0::DOUBLE)))) END, 6) AS factor
-FROM (SELECT range AS step FROM range(0, 1000)) s""")
-def lr_schedule(spark, d):
-    return spark.range(1000).select(F.col("id").alias("step"), F.round(V.learning_rate(F.col("id"), 100, 1000, 3), 6).alias("factor"))
+@query("""SELECT doc_id, step, round(CASE WHEN step < 100 THEN step / 100.0::DOUBLE ELSE pow(5.0::DOUBLE, -floor((step - 100) / 300.0::DOUBLE)) * 0.5 * (1 + cos(pi() * ((step - 100) / 300.0::DOUBLE - floor((step - 100) / 300.0::DOUBLE)))) END, 6) AS factor
+FROM (SELECT doc_id, doc_id % 1000 AS step FROM documents) s""")
+def lr_schedule_steps(spark, d):
+    """The rate at the step of each document."""
+    rows = spark.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id", "doc_id % 1000 AS step")
+    return rows.select("doc_id", "step", F.round(V.learning_rate(F.col("step"), 100, 1000, 3), 6).alias("factor"))
 
 
-@query("""SELECT i AS gib, i % 11 AS beams, CAST(greatest(floor(floor(greatest(i * 1073741824.0::DOUBLE - 1610612736, 0) * 0.95::DOUBLE / (item * 1.15::DOUBLE)) / 8) * 8, 1) AS BIGINT) AS items
-FROM (SELECT i, greatest(i % 11, 1) * (300 * 512 * 2 + 4 * 100 * 9 * 512 * 2 * (1 + d) + 1024 * 2 + 2 * d * (8 * 102 + 4 * 102 * 29 + 4 + 8 * 102 * 102 + 4 * 102 + 4))
-  + 1.5::DOUBLE * (4 * 8 * 301 * 301 + 301 * 1024 * 2) AS item FROM (SELECT range AS i, CASE WHEN range % 11 >= 1 THEN 1 ELSE 0 END AS d FROM range(0, 200)) r) s""")
-def batch_size_model(spark, d):
-    rows = spark.range(200).select(F.col("id").alias("gib"), (F.col("id") % 11).alias("beams"))
-    return rows.select("gib", "beams", sizing.batch_size(F.col("gib") * float(1 << 30), F.col("beams")).alias("items"))
+@query("""SELECT spectrum_id, gib, beams, CAST(greatest(floor(floor(greatest(gib * 1073741824.0::DOUBLE - 1610612736, 0) * 0.95::DOUBLE / (item * 1.15::DOUBLE)) / 8) * 8, 1) AS BIGINT) AS items
+FROM (SELECT *, greatest(beams, 1) * (300 * 512 * 2 + 4 * 100 * 9 * 512 * 2 * (1 + d) + 1024 * 2 + 2 * d * (8 * 102 + 4 * 102 * 29 + 4 + 8 * 102 * 102 + 4 * 102 + 4))
+  + 1.5::DOUBLE * (4 * 8 * 301 * 301 + 301 * 1024 * 2) AS item FROM (SELECT s_suppkey AS spectrum_id, s_suppkey % 200 AS gib, s_suppkey % 11 AS beams, CASE WHEN s_suppkey % 11 >= 1 THEN 1 ELSE 0 END AS d FROM supplier) r) s""")
+def batch_size_rows(spark, d):
+    """How many items fit for the memory and the beams of each row."""
+    rows = spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey AS spectrum_id", "s_suppkey % 200 AS gib", "s_suppkey % 11 AS beams")
+    return rows.select("spectrum_id", "gib", "beams", sizing.batch_size(F.col("gib") * float(1 << 30), F.col("beams")).alias("items"))
 
 
 _X = "(SELECT vec_id, embedding[1]::DOUBLE * 10 AS x, embedding[2]::DOUBLE AS y FROM embeddings) e"
@@ -461,12 +459,6 @@ def activation_functions(spark, d):
     return rows.select("vec_id", *[(F.round(v, 6) + F.lit(0.0)).alias(n) for n, v in values.items()])
 
 
-@query(f"SELECT spectrum_id, 'BEGIN IONS' || chr(10) || 'TITLE=all:test:' || spectrum_id || chr(10) || 'PEPMASS=' || printf('%.6f', precursor_mz) || chr(10) || 'CHARGE=' || charge || '+' || chr(10) || 'END IONS' AS value FROM ({X.PRECURSORS}) q")
-def mgf_text(spark, d):
-    rows = _precursors(spark, d).withColumns({"title": F.concat(F.lit("all:test:"), F.col("spectrum_id").cast("string")), "peaks": F.array().cast("array<struct<mz:double, intensity:double>>")})
-    return mgf.mgf_text(rows)
-
-
 @query(f"""WITH p AS (SELECT spectrum_id, string_agg(printf('%.6f %.6f', mz, intensity), chr(10) ORDER BY mz, intensity) || chr(10) AS lines FROM ({X.PEAKS}) x GROUP BY spectrum_id)
 SELECT spectrum_id, 'BEGIN IONS' || chr(10) || 'TITLE=all:test:' || spectrum_id || chr(10) || 'PEPMASS=' || printf('%.6f', precursor_mz) || chr(10) || 'CHARGE=' || charge || '+' || chr(10) || coalesce(lines, '') || 'END IONS' AS value
 FROM ({X.PRECURSORS}) q LEFT JOIN p USING (spectrum_id)""")
@@ -476,18 +468,19 @@ def mgf_text_peaks(spark, d):
     return mgf.mgf_text(rows.withColumn("title", F.concat(F.lit("all:test:"), F.col("spectrum_id").cast("string"))))
 
 
-@query()
+@query(f"""SELECT CAST(q.spectrum_id AS VARCHAR) AS title, round(precursor_mz, 4) AS precursor_mz, CAST(charge AS SMALLINT) AS charge, CAST(n AS INT) AS n_peaks, 'ok' AS status
+FROM ({X.PRECURSORS}) q JOIN (SELECT spectrum_id, count(*) AS n FROM ({X.PEAKS}) p GROUP BY spectrum_id) c USING (spectrum_id) WHERE charge BETWEEN 1 AND 10""")
 def mgf_roundtrip(spark, d):
     folder = f"{scratch(spark)}/mgf"
     mgf.write_mgf(_spectra(spark, d).withColumn("title", F.col("spectrum_id").cast("string")), folder)
-    return mgf.read_mgf(spark, folder).select("title", "precursor_mz", "charge", F.size("peaks").alias("n_peaks"), "status")
+    return mgf_source.scan_mgf(spark, folder).select("title", F.round("precursor_mz", 4).alias("precursor_mz"), "charge", F.size("peaks").alias("n_peaks"), "status")
 
 
-@query()
+@query(f"SELECT round(pred_score, 9) AS pred_score, coalesce(pred_peptide, '') AS pred_peptide, gt_peptide FROM ({X.pairs(True)}) f")
 def csv_roundtrip(spark, d):
     folder = f"{scratch(spark)}/csv"
     files.write_predictions(_pairs(spark, d).select(F.col("pred_score"), "pred_peptide", "gt_peptide"), folder)
-    return files.read_predictions(spark, folder, "pred_score double, pred_peptide string, gt_peptide string")
+    return files.read_predictions(spark, folder, "pred_score double, pred_peptide string, gt_peptide string").withColumn("pred_score", F.round("pred_score", 9))
 
 
 _DRAW = "CAST('0x' || substr(md5('{0}:{1}:' || {2}), 1, 12) AS BIGINT) / 281474976710656::DOUBLE"

@@ -18,7 +18,7 @@ def peptides(duck: bool) -> str:
     flag = ", 'g'" if duck else ""
     return f"""SELECT spectrum_id, lang, source, letters, nterm || {ptm("letters")} AS peptide
 FROM (SELECT doc_id AS spectrum_id, lang, source, CASE WHEN doc_id % 7 = 0 THEN '+42.011' WHEN doc_id % 11 = 0 THEN '-17.027' ELSE '' END AS nterm,
-  substr(upper(regexp_replace(substr(text,1,80), '[^acdefghiklmnpqrstvwy]', ''{flag})), 1, CAST(6 + doc_id % 15 AS INT)) AS letters FROM documents) t WHERE length(letters) >= 6"""
+  substr(upper(regexp_replace(text, '[^acdefghiklmnpqrstvwy]', ''{flag})), 1, CAST(6 + doc_id % 15 AS INT)) AS letters FROM documents) t WHERE length(letters) >= 6"""
 
 
 def pairs(duck: bool) -> str:
@@ -28,15 +28,13 @@ def pairs(duck: bool) -> str:
   CAST((spectrum_id*7919) % 10007 AS DOUBLE)/CAST(10007 AS DOUBLE) AS pred_score FROM ({peptides(duck)}) x"""
 
 
-def logits(duck: bool, whole: bool | None = None) -> str:
-    """Adjusted logits of the spectra that have all 8 steps. DuckDB's older form, without whole, leaves out the last spectrum, complete or not."""
+def logits(duck: bool) -> str:
+    """Adjusted logits of the spectra that have all 8 steps."""
     div, at, ids = ("vec_id // 8", "d.off + t.token + 1", "unnest(range(0,29))") if duck else ("vec_id div 8", "d.off + t.token", "explode(sequence(0,28))")
-    complete = f"{div} IN (SELECT {div} FROM embeddings GROUP BY {div} HAVING count(DISTINCT vec_id) = 8)"
-    given = complete if (not duck if whole is None else whole) else f"{div} < (SELECT max({div}) FROM embeddings)"
     return f"""SELECT CAST({div} AS INT) AS spectrum_id, CAST(vec_id % 8 + 1 AS INT) AS step, d.direction, CAST(t.token AS INT) AS token, CAST(embedding[{at}] AS DOUBLE) * CAST(20 AS DOUBLE)
   + CASE WHEN t.token = 1 AND vec_id % 8 + 1 <= 4 THEN -20 WHEN t.token = 1 AND vec_id % 8 + 1 >= 6 THEN 12 WHEN t.token BETWEEN 22 AND 25 AND vec_id % 8 + 1 > 1 THEN -4 ELSE 0 END AS logit
 FROM embeddings CROSS JOIN (SELECT 'fwd' AS direction, 0 AS off UNION ALL SELECT 'rev', 29) d CROSS JOIN (SELECT {ids} AS token) t
-WHERE {given}"""
+WHERE {div} IN (SELECT {div} FROM embeddings GROUP BY {div} HAVING count(DISTINCT vec_id) = 8)"""
 
 
 def contrast(duck: bool) -> str:
