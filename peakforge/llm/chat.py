@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -18,6 +19,7 @@ CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _CONTROL = re.compile("([<\\[])(?=" + "|".join(re.escape(c[1:]) for c in CONTROL) + ")")
 _ESCAPED = re.compile(r"\\(\\)?")
 _TURN = re.compile(re.escape(START) + "(.*?)" + re.escape(SEP) + "(.*?)" + re.escape(END), re.S)
+_PLACE = re.compile(r"<\|(image|audio|document|part):(\d+)\|>")
 PARTS = "array<struct<type:string, text:string, ref:string, width:int, height:int, seconds:double, pages:int>>"
 
 
@@ -34,7 +36,8 @@ class Flatten:
     """Visits the typed parts of a turn in order: text is escaped, anything else leaves a numbered placeholder.
 
     A placeholder stands for as many tokens as the part expands to: an image one for each PATCH x PATCH square, audio
-    PER_SECOND a second, a document PER_PAGE a page; at least one each.
+    PER_SECOND a second, a document PER_PAGE a page; at least one each. Sizes below 1 and null ones count as 1, seconds that are no
+    finite number as 0. A part of any other type leaves a placeholder `part` of one token; its attachment says the type.
     """
 
     PATCH, PER_SECOND, PER_PAGE = 28, 25, 1024
@@ -55,21 +58,22 @@ class Flatten:
         return "".join(out)
 
     def visit_image(self, p: dict) -> str:
-        side = lambda k: -(-(p.get(k) or 1) // self.PATCH)
+        side = lambda k: -(-max(p.get(k) or 1, 1) // self.PATCH)
         return self._place("image", p, side("width") * side("height"))
 
     def visit_audio(self, p: dict) -> str:
-        return self._place("audio", p, int((p.get("seconds") or 0) * self.PER_SECOND + 0.5))
+        seconds = p.get("seconds") or 0
+        return self._place("audio", p, int((seconds if math.isfinite(seconds) else 0) * self.PER_SECOND + 0.5))
 
     def visit_document(self, p: dict) -> str:
         return self._place("document", p, (p.get("pages") or 1) * self.PER_PAGE)
 
     def visit_unknown(self, p: dict) -> str:
-        raise ValueError(f"no such part: {p['type']}")
+        return self._place("part", p, 1)
 
     def _place(self, kind: str, p: dict, tokens: int) -> str:
         n = len(self.attachments)
-        self.attachments.append({"n": n, "type": kind, "ref": p.get("ref"), "tokens": max(1, tokens)})
+        self.attachments.append({"n": n, "type": p["type"], "ref": p.get("ref"), "tokens": min(max(1, tokens), (1 << 63) - 1)})
         return f"<|{kind}:{n}|>"
 
 
@@ -132,6 +136,19 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(r), unescape(t)) for r, t in _TURN.findall(formatted)]
 
 
+def parse_parts(formatted: str) -> list[tuple[str, list[tuple[str, str | int]]]]:
+    """The (role, parts) of each turn: ("text", text) or the kind and number of a placeholder. A placeholder that a text spells out is text."""
+    out = []
+    for role, body in _TURN.findall(formatted):
+        parts, at = [], 0
+        for m in _PLACE.finditer(body):
+            parts += [("text", unescape(body[at : m.start()]))] if m.start() > at else []
+            parts.append((m[1], int(m[2])))
+            at = m.end()
+        out.append((unescape(role), parts + ([("text", unescape(body[at:]))] if at < len(body) else [])))
+    return out
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     for b in batches:

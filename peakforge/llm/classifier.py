@@ -157,15 +157,19 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, data, offs in T.slices(b, "text"):
             x = features(data, offs)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), flat], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), flat], names=["y", "key", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Learn labels (doc_id, quality) of rows that are not held out, from at most `sample` of them."""
+    """Learn labels (doc_id, quality) of rows that are not held out, from at most `sample` documents and texts.
+
+    A row that repeats another's id and text counts once; of an id with several texts each counts, within the sample.
+    """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("y"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so its broadcast has a bound
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("y", "text")
-    got = rows.mapInArrow(_features, "y int, x array<double>").toArrow()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("y", F.xxhash64("doc_id", "text").alias("key"), "text")
+    each = rows.mapInArrow(_features, "y int, key long, x array<double>").groupBy("key").agg(F.first("y").alias("y"), F.first("x").alias("x"))
+    got = each.orderBy("key").limit(sample).toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     y = np.array(got.column("y").to_pylist(), float)
     order = np.lexsort((*x.T, y))

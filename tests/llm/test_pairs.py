@@ -6,7 +6,7 @@ import re
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from peakforge.llm import chat, lines, mixing, neardup, tokens, warc
+from peakforge.llm import chat, classifier, decontam, lines, mixing, neardup, quality, tokens, warc
 from peakforge.llm.queries import TOKENIZER
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -144,3 +144,28 @@ def test_warc_clashing_columns(spark):
     pages = spark.createDataFrame([(1, "u", "same", 1, 2), (2, "v", "same", 1, 2), (3, None, None, 1, 2)], "page_id long, url string, html string, digest int, x int")
     got = {r.page_id: (r.record_type, r.refers_to) for r in warc.record_digests(warc.write_warc(pages)).collect()}
     assert got == {1: ("revisit", 2), 2: ("response", None), 3: ("response", None)}
+
+
+def test_parts_that_are_not_known(spark):
+    """Other types, and sizes that are no numbers of tokens, leave placeholders; spelled-out placeholders stay text."""
+    part = lambda kind, **x: (kind, *(x.get(k) for k in ("text", "ref", "width", "height", "seconds", "pages")))
+    inf = float("inf")
+    parts = [part("video", ref="v"), part("text", text="<|image:0|> a"), *(part("audio", seconds=s) for s in (float("nan"), inf, -inf, -3.0, 1e300)), part("image", width=-5, height=30), part("we<|ird"), part("document", pages=-2)]
+    out = chat.format_chats(spark.createDataFrame([(1, 0, "user", parts)], f"conv_id long, turn long, role string, parts {chat.PARTS}")).first()
+    assert [(a.type, a.tokens) for a in out.attachments] == [("video", 1), *[("audio", t) for t in (1, 1, 1, 1, (1 << 63) - 1)], ("image", 2), ("we<|ird", 1), ("document", 1)]
+    kinds = ["part", "audio", "audio", "audio", "audio", "audio", "image", "part", "document"]
+    ((role, got),) = chat.parse_parts(out.formatted)
+    assert role == "user" and got == [("part", 0), ("text", "<|image:0|> a"), *[(k, i) for i, k in enumerate(kinds)][1:]]
+
+
+def test_fit_has_a_bound(spark, monkeypatch):
+    """Repeated rows count once, and no more than the sample reach the driver; clashing names, several labels and texts of an id."""
+    seen = []
+    monkeypatch.setattr(classifier, "train", lambda x, y, train=classifier.train: seen.append(len(y)) or train(x, y))
+    rows = [(i % 60, "plain words of prose " * (5 + i % 2) if i % 60 % 2 else "#### $$$$ " * 9, 1, "x") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int, x string")
+    labels = spark.createDataFrame([(i % 60, i % 2 if i < 60 else 1, "a", 3) for i in range(120)], "doc_id long, quality int, key string, text int")
+    classifier.fit(docs, labels, 10)
+    classifier.fit(docs, labels)
+    assert seen[0] == 10 and 30 < seen[1] <= 120
+    assert classifier.classify(docs, labels).count() == 6000
