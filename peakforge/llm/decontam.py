@@ -105,14 +105,16 @@ def _template(h: np.ndarray, kind: np.ndarray, joins: np.ndarray, bounds: np.nda
     return np.where(slot, kind[start], value), np.where(slot, value, _U(0)), start, np.searchsorted(start, bounds)
 
 
-def _readings(kind: np.ndarray, maybe: np.ndarray) -> list[np.ndarray]:
-    """Kinds with the doubtful words taken as they are, all as names, and each alone as a name."""
+def _readings(kind: np.ndarray, maybe: np.ndarray) -> Iterator[tuple[np.ndarray, int | None]]:
+    """Kinds with the doubtful words taken as they are, all as names, and each alone as a name, with the word that alone has changed."""
     at = np.flatnonzero(maybe)
-    out = [kind] + ([np.where(maybe, NAME, kind)] if len(at) else [])
+    yield kind, None
+    if len(at):
+        yield np.where(maybe, NAME, kind), None
     for i in at if len(at) > 1 else []:
-        out.append(kind.copy())
-        out[-1][i] = NAME
-    return out
+        one = kind.copy()
+        one[i] = NAME
+        yield one, int(i)
 
 
 def _item_templates(h: np.ndarray, kind: np.ndarray, maybe: np.ndarray, joins: np.ndarray) -> Iterator[tuple]:
@@ -122,14 +124,16 @@ def _item_templates(h: np.ndarray, kind: np.ndarray, maybe: np.ndarray, joins: n
     more slots, which count beside another only. Windows of slots alone match any row of numbers; they are left out.
     """
     seen = set()
-    for n, reading in enumerate(_readings(kind, maybe)):
+    for n, (reading, word) in enumerate(_readings(kind, maybe)):
         t, value, start, bounds = _template(h, reading, joins, np.array([0, len(h)]))
         m = len(t)
         k = min(m, WINDOW)
         first = np.arange(m - k + 1)
         ends = np.append(start, len(h))
         keys = _windows(t, first, k, True)
-        for j in first:
+        place = None if word is None else int(np.searchsorted(start, word, "right")) - 1
+        # windows without the word are those of the first reading
+        for j in first if place is None else first[max(0, place - k + 1) : place + 1]:
             own = value[j : j + k]
             left = k - int((own > 0).sum())
             key, at = int(keys[j].astype(np.int64)), int(start[j])

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -169,3 +170,25 @@ def test_fit_has_a_bound(spark, monkeypatch):
     classifier.fit(docs, labels)
     assert seen[0] == 10 and 30 < seen[1] <= 120
     assert classifier.classify(docs, labels).count() == 6000
+
+
+def test_long_items_with_many_doubtful_words(spark):
+    """An item of 30,000 words in which every second sentence begins with a word that may be a name takes seconds, and is found."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    text = " ".join(" ".join([word().capitalize(), *(word() for _ in range(9)), "end."]) for _ in range(2700))
+    began = time.time()
+    items = spark.createDataFrame([(1, text), (2, None), (3, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "before " + text + " after", "k"), (2, "Nothing " * 50, None)], "doc_id long, text string, pos string")
+    got = decontam.contaminated(docs, items).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(1, 1)] and time.time() - began < 90
+    assert [r.doc_id for r in decontam.without_items(docs, items).collect()] == [2]
+
+
+def test_pipeline_stages_keep_odd_names(spark):
+    rows = [(i, "We all go to the market and buy some bread and milk for the week ahead of us . " * 4 + f"number {i}", "en", f"s{i % 2}", i) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, `a.b` int")
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and kept.exceptAll(docs).count() == 0
+    assert decontam.without_items(docs, docs.selectExpr("doc_id as item_id", "text").limit(0)).columns == docs.columns
+    assert neardup.first_documents(docs).columns == docs.columns and mixing.mixed(docs).columns == docs.columns
