@@ -435,7 +435,7 @@ FROM (SELECT doc_id, doc_id % 1000 AS step FROM documents) s""")
 def lr_schedule_steps(spark, d):
     """The rate at the step of each document."""
     rows = spark.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id", "doc_id % 1000 AS step")
-    return rows.select("doc_id", "step", F.round(V.learning_rate(F.col("step"), 100, 1000, 3), 6).alias("factor"))
+    return rows.select("doc_id", "step", F.round(V.learning_rate(F.col("step"), V.warmup_steps(0.1, 1000), 1000, 3), 6).alias("factor"))
 
 
 @query("""SELECT spectrum_id, gib, beams, CAST(greatest(floor(floor(greatest(gib * 1073741824.0::DOUBLE - 1610612736, 0) * 0.95::DOUBLE / (item * 1.15::DOUBLE)) / 8) * 8, 1) AS BIGINT) AS items

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from peakforge.functions import activations as A
 from peakforge.functions import constants as K
 from peakforge.functions import peptide as P
 from peakforge.functions import vectors as V
 from peakforge.operators import alignment, matching, spectra
 from peakforge.plans import fixtures as X
-from peakforge.plans.catalog import _BEST, _OWN, _VOCAB, _pairs, _peaks, _peptides, _precursors, _tokens_sql, query
+from peakforge.plans.catalog import _BEST, _LOGP, _OWN, _VOCAB, ORACLE, _pairs, _peaks, _peptides, _precursors, _tokens_sql, query
 from peakforge.sources import files
 from peakforge.sources.scratch import scratch
+from peakforge.streaming.rows import clean_stream
 
 #: Four tables of metrics by source, none of which has all sources.
 _TABLES = {"recall": ("lang = 'en' AND spectrum_id % 3 = 0", "avg(pred_score)"), "precision": ("lang = 'de'", "max(pred_score)"), "length": ("spectrum_id % 50 = 7", "avg(length(gt_peptide))"), "accuracy": ("source <> 'web'", "min(pred_score)")}
@@ -120,3 +122,37 @@ def vocabulary_counts(spark, d):
     n = _peptides(spark, d).select(F.explode(P.split_residues(F.col("peptide"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     words = P.vocabulary(spark).where(F.col("id") > K.SOS).join(n, "token", "left")
     return words.select("id", "token", F.round("mass", 6).alias("mass"), "n_term", (F.col("mass") < 0).alias("negative"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+@query(f"""SELECT vec_id, round(x * 0.5::DOUBLE * (1 + CASE WHEN abs(z) > 6 THEN sign(z) ELSE 2 / sqrt(pi()) * z * exp(-z * z) * list_reduce([1.0::DOUBLE, {", ".join(f"{d}" for d in range(301, 1, -2))}], lambda a, d: 1 + a * 2 * z * z / d) END), 6) + 0.0::DOUBLE AS gelu
+FROM (SELECT vec_id, embedding[1]::DOUBLE * 10 AS x, embedding[1]::DOUBLE * 10 / sqrt(2::DOUBLE) AS z FROM embeddings) e""")
+def gelu_activation(spark, d):
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").selectExpr("vec_id", "double(embedding[0]) * 10 AS x")
+    return rows.select("vec_id", (F.round(A.gelu(F.col("x")), 6) + F.lit(0.0)).alias("gelu"))
+
+
+@query(f"SELECT spectrum_id, direction, step, token, round(logp, 6) + 0.0::DOUBLE AS logp FROM ({_LOGP}) l")
+def log_softmax_arrays(spark, d):
+    """Step scores as arrays over the vocabulary, normalised within each array."""
+    rows = X.view(spark, d, X.logits(False), "embeddings")
+    grid = rows.groupBy("spectrum_id", "direction", "step").agg(F.array_sort(F.collect_list(F.struct("token", "logit"))).alias("v"))
+    return grid.select("spectrum_id", "direction", "step", F.posexplode(V.log_softmax(F.col("v.logit"))).alias("token", "logp")).withColumn("logp", F.round("logp", 6) + F.lit(0.0))
+
+
+@query(f"SELECT round(pred_score, 9) AS pred_score, coalesce(pred_peptide, '') AS pred_peptide, gt_peptide FROM ({X.pairs(True)}) f")
+def tsv_roundtrip(spark, d):
+    path = f"{scratch(spark)}/predictions.tsv"
+    files.write_predictions(_pairs(spark, d).select("pred_score", "pred_peptide", "gt_peptide"), path, "\t")
+    return files.read_predictions(spark, path, "pred_score double, pred_peptide string, gt_peptide string").withColumn("pred_score", F.round("pred_score", 9))
+
+
+@query(ORACLE["spectrum_clean"])
+def spectrum_clean_stream(spark, d):
+    """Cleaning as a stream: files in, cleaned spectra appended, as in the batch."""
+    path = f"{scratch(spark)}/stream"
+    whole = _precursors(spark, d).join(spectra.collect_peaks(_peaks(spark, d)), "spectrum_id")
+    whole.write.parquet(f"{path}/in")
+    cleaned = clean_stream(spark, f"{path}/in", whole.schema)
+    cleaned.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    rows = spark.read.schema(cleaned.schema).parquet(f"{path}/out").select("spectrum_id", F.explode("peaks").alias("p"))
+    return rows.select("spectrum_id", F.round("p.mz", 6).alias("mz"), F.round("p.intensity", 6).alias("intensity"))
