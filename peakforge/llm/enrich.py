@@ -242,7 +242,8 @@ def _resolved(out: DataFrame) -> DataFrame:
     found = F.when(F.col("found"), version).otherwise(F.col("lower"))
     sales = out.where("rec = 'sale' and split").join(units, [*per, "seg"], "left").withColumn("v", F.when(F.col("sold") & (~found["kept"] | (found["seg"] == F.col("top_kept"))), found))
     sales = sales.select("rec", "id", "batch", F.coalesce("all_held", F.lit(0).cast("long")).alias("n_held"), "v.change_id", "v.balance_cents", "v.op")
-    return out.where("rec = 'late' or rec = 'sale' and not split").select(*final).unionByName(sales)
+    whole = out.where("rec = 'late' or rec = 'sale' and not split").select(*final).unionByName(sales)
+    return whole.withColumn("batch", F.col("batch").cast("long"))
 
 
 def enrich_sales(sales: DataFrame, changes: DataFrame, hot: int = HOT, unit: int = UNIT, bucket: int = BUCKET) -> DataFrame:
@@ -251,7 +252,7 @@ def enrich_sales(sales: DataFrame, changes: DataFrame, hot: int = HOT, unit: int
     base = written(_rows(sales, changes), "rows")
     n = base.count()
     if not n:
-        return spark.createDataFrame([], _OUT).select("rec", "id", "batch", "n_held", "change_id", "balance_cents", "op")
+        return _resolved(spark.createDataFrame([], _OUT))
     buckets = n // bucket + 1
     marks = _watermarks(base)
     units, made = _units(base, hot, unit)

@@ -143,6 +143,33 @@ WITH c AS (
   FROM c GROUP BY conv_id
 )
 SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+""",
+    "op12_enrich_sales": """
+WITH s AS (
+  SELECT sale_id, client_id, sold_at, CAST(greatest(0, least(9, (datediff('day', DATE '1970-01-01', CAST(arrived_at AS DATE)) - 19723) * 10 // 152)) AS INT) AS a FROM sales
+), k AS (
+  SELECT *, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(change_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda x, c: CASE WHEN c >= 0 THEN xor(x, c) ELSE xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END) END) AS crc
+  FROM (SELECT DISTINCT * FROM client_changes WHERE valid_at IS NOT NULL) d
+), c AS (
+  SELECT *, CAST(greatest(0, least(9, (datediff('day', DATE '1970-01-01', CAST(valid_at AS DATE)) + xor(crc, 4294967295::BIGINT) % 4 - 19723) * 10 // 152)) AS INT) AS a FROM k
+), w AS (
+  SELECT CAST(b AS INT) AS b, (SELECT max(sold_at) FROM s WHERE a < b) - INTERVAL 36 HOUR AS ws, (SELECT max(valid_at) FROM c WHERE a < b) - INTERVAL 36 HOUR AS wc FROM range(0, 10) r(b)
+), h AS (
+  SELECT b, wc, CASE WHEN ws IS NOT NULL AND wc IS NOT NULL THEN least(ws, wc) END AS h FROM w
+), j AS (
+  SELECT c.*, coalesce(valid_at < wc, false) AS late, (SELECT min(b) FROM h WHERE h.h >= valid_at) AS done FROM c JOIN h ON h.b = c.a
+), v AS (
+  SELECT *, row_number() OVER o AS place, min(CASE WHEN done IS NOT NULL THEN greatest(a, done) END) OVER (o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS follower
+  FROM j WHERE NOT late AND client_id IS NOT NULL WINDOW o AS (PARTITION BY client_id ORDER BY valid_at, seq NULLS FIRST, change_id NULLS FIRST)
+), e AS (
+  SELECT row_number() OVER () AS n, sale_id, client_id, sold_at, CASE WHEN sold_at IS NULL THEN a ELSE coalesce((SELECT min(b) FROM h WHERE b >= a AND h.h > sold_at), 10) END AS batch FROM s
+), m AS (
+  SELECT n, sale_id, batch, count(place) AS n_held, arg_max(struct_pack(i := change_id, x := balance, o := op), place) FILTER (valid_at <= sold_at) AS found
+  FROM e LEFT JOIN v ON v.client_id = e.client_id AND v.a <= e.batch AND (follower IS NULL OR greatest(v.a, follower) >= e.batch) GROUP BY n, sale_id, batch
+)
+SELECT 'sale' AS rec, sale_id AS id, CAST(batch AS BIGINT) AS batch, n_held, found.i AS change_id, CAST(floor(100 * found.x + 0.5::DOUBLE) AS BIGINT) AS balance_cents, found.o AS op FROM m
+UNION ALL SELECT 'late', change_id, CAST(a AS BIGINT), NULL, NULL, NULL, NULL FROM j WHERE late
 """,
     "op13_top_products": """
 WITH v AS (
