@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from peakforge.functions import peptide as P
 from peakforge.operators import batches, spectra
 from peakforge.plans import fixtures as X
-from peakforge.plans.catalog import _MERGED, _peaks, _peptides, _precursors, _tokens_sql, query
+from peakforge.plans.catalog import _peaks, _peptides, _precursors, _tokens_sql, query
 from peakforge.sources import mgf, mgf_source, ragged
 from peakforge.sources.scratch import scratch
 

@@ -15,7 +15,7 @@ def read_mgf(spark: SparkSession, path: str, ms_level: int = 2, valid_charge: tu
     parsed has status `corrupt` and no peaks; a charge outside valid_charge drops it (a missing one is 0). At MS level
     1 there is no precursor and no charge filter. The label stays with its spectrum.
     """
-    reader = spark.read.option("lineSep", "END IONS").option("recursiveFileLookup", str(recursive).lower())
+    reader = spark.read.option("lineSep", "\nEND IONS").option("recursiveFileLookup", str(recursive).lower())
     if recursive:
         reader = reader.option("pathGlobFilter", "*.mgf")
     raw = reader.text(path).select(F.col("_metadata.file_path").alias("source_path"), F.regexp_replace("value", "\r", "").alias("v")).where(F.col("v").contains("BEGIN IONS"))
