@@ -20,7 +20,7 @@ COVER, RUN = 0.5, 13
 #: Bits of the filter that all executors get: 1 MB however large the benchmark is. Beyond that it lets more through
 #: to the join, which decides.
 FILTER_BITS = 23
-# fixed values: words that count as units of measurement
+# fixed values: words that count as units of measurement wherever they are; others do right after a number, as one of two readings
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms tonne tonnes pound pounds ounce ounces "
     "ml l litre litres liter liters gallon gallons second seconds minute minutes hour hours day days week weeks month months year years "
@@ -43,10 +43,10 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(T.word_hashes(data, s, e))
 
 
-def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all words that have a letter or digit: hash of the bare lower-case word, kind of slot (0 for none), whether it
-    may be a name as well (capitalised, seen at the beginning of sentences only), whether it may go on a name that ends
-    right before it; rows' bounds.
+    may be a name as well (capitalised, seen at the beginning of sentences only), whether it may be a unit as well
+    (right after a number, with no sign between), whether it may go on a name that ends right before it; rows' bounds.
 
     A word with a digit is a number, a word of UNITS a unit, a capitalised word a name
     if it, or the same word elsewhere in the text, begins no sentence.
@@ -82,7 +82,10 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     at = np.minimum(np.searchsorted(_UNIT_HASHES, h), len(_UNIT_HASHES) - 1)
     unit = _UNIT_HASHES[at] == h
     kind = np.select([number, unit, name], [NUMBER, UNIT, NAME], _U(0))
-    return h, kind, first & (kind == 0), (joins & ~opens)[some], bounds
+    joins = (joins & ~opens)[some]
+    measure = joins & ((kind == 0) | (kind == NAME))
+    measure[1:] &= kind[:-1] == NUMBER
+    return h, kind, first & (kind == 0), measure, joins, bounds
 
 
 _UNIT_HASHES = _unit_hashes()
@@ -105,35 +108,39 @@ def _template(h: np.ndarray, kind: np.ndarray, joins: np.ndarray, bounds: np.nda
     return np.where(slot, kind[start], value), np.where(slot, value, _U(0)), start, np.searchsorted(start, bounds)
 
 
-def _readings(kind: np.ndarray, maybe: np.ndarray) -> Iterator[tuple[np.ndarray, int | None]]:
-    """Kinds with the doubtful words taken as they are, all as names, and each alone as a name, with the word that alone has changed."""
+def _readings(kind: np.ndarray, maybe: np.ndarray, measure: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Kinds with the doubtful words taken as they are, all as names, and each alone as a name, with the words that alone have changed; then all of it with words after numbers as units."""
     at = np.flatnonzero(maybe)
-    yield kind, None
-    if len(at):
-        yield np.where(maybe, NAME, kind), None
-    for i in at if len(at) > 1 else []:
-        one = kind.copy()
-        one[i] = NAME
-        yield one, int(i)
-
-
-def _item_templates(h: np.ndarray, kind: np.ndarray, maybe: np.ndarray, joins: np.ndarray) -> Iterator[tuple]:
+    unit = np.flatnonzero(measure)
+    for base in [kind, np.where(measure, UNIT, kind)] if len(unit) else [kind]:
+        yield base, None if base is kind else unit
+        if len(at):
+            yield np.where(maybe, NAME, base), None if base is kind else unit
+        for i in at if len(at) > 1 else []:
+            one = base.copy()
+            one[i] = NAME
+            yield one, at[at == i]
+
+
+def _item_templates(h: np.ndarray, kind: np.ndarray, maybe: np.ndarray, measure: np.ndarray, joins: np.ndarray) -> Iterator[tuple]:
     """Template windows of an item: key, place, first window of words it stands for, how many, size, grade, hashes of the slots' words.
 
-    Grade 1: LITERAL words are no slots and no doubtful word is a name. 2: others that count alone. 3: windows with
+    Grade 1: LITERAL words are no slots and no doubtful word is a name or unit. 2: others that count alone. 3: windows with
     more slots, which count beside another only. Windows of slots alone match any row of numbers; they are left out.
     """
     seen = set()
-    for n, (reading, word) in enumerate(_readings(kind, maybe)):
+    for n, (reading, changed) in enumerate(_readings(kind, maybe, measure)):
         t, value, start, bounds = _template(h, reading, joins, np.array([0, len(h)]))
         m = len(t)
         k = min(m, WINDOW)
         first = np.arange(m - k + 1)
         ends = np.append(start, len(h))
         keys = _windows(t, first, k, True)
-        place = None if word is None else int(np.searchsorted(start, word, "right")) - 1
-        # windows without the word are those of the first reading
-        for j in first if place is None else first[max(0, place - k + 1) : place + 1]:
+        if changed is not None:  # windows without these words are those of another reading
+            place = np.searchsorted(start, changed, "right") - 1
+            near = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=m) > 0)])
+            first = first[near[first + k] > near[first]]
+        for j in first:
             own = value[j : j + k]
             left = k - int((own > 0).sum())
             key, at = int(keys[j].astype(np.int64)), int(start[j])
@@ -141,9 +148,9 @@ def _item_templates(h: np.ndarray, kind: np.ndarray, maybe: np.ndarray, joins: n
                 continue
             seen.add((key, at))
             enough = left >= min(LITERAL, k - 1)
-            if not enough and len(first) == 1 and k < WINDOW:
+            if not enough and m == k and k < WINDOW:
                 continue
-            alone = enough or (len(first) == 1 and left > 1)
+            alone = enough or (m == k and left > 1)
             windows = int(ends[j + k]) - at - min(len(h), WINDOW) + 1
             yield key, int(j), at, windows, k, (1 if n == 0 else 2) if enough else 2 if alone else 3, own.view(np.int64).tolist()
 
@@ -153,7 +160,7 @@ def _bench_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["key", "item_id", "pos", "at", "windows", "total", "k", "grade", "slots"]
     for b in batches:
         for lo, hi, data, offs in T.slices(b, "text"):
-            h, kind, maybe, joins, bounds = tokens(data, offs)
+            h, kind, maybe, measure, joins, bounds = tokens(data, offs)
             ids = b.column(0).slice(lo, hi - lo).to_pylist()
             rows = []
             for i in range(hi - lo):
@@ -165,7 +172,7 @@ def _bench_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first = np.arange(n - k + 1)
                 rows += [(int(key), ids[i], j, j, 1, len(first), k, 0, []) for j, key in enumerate(_windows(h[own], first, k, False).view(np.int64))]
                 if n >= LEAST:
-                    rows += [(key, ids[i], j, at, w, len(first), size, grade, slots) for key, j, at, w, size, grade, slots in _item_templates(h[own], kind[own], maybe[own], joins[own])]
+                    rows += [(key, ids[i], j, at, w, len(first), size, grade, slots) for key, j, at, w, size, grade, slots in _item_templates(h[own], kind[own], maybe[own], measure[own], joins[own])]
             types = [*[pa.int64()] * 8, pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names=names)
 
@@ -178,13 +185,17 @@ def _probe(bits, lengths: list[int]) -> Callable:
         shift = _U(64 - FILTER_BITS)
         for b in batches:
             for lo, hi, data, offs in T.slices(b, "text"):
-                h, kind, maybe, joins, bounds = tokens(data, offs)
-                plain = _template(h, kind, joins, bounds)
-                named = _template(h, np.where(maybe, NAME, kind), joins, bounds)
-                doubt = np.concatenate([[0], np.cumsum(maybe)])
+                h, kind, maybe, measure, joins, bounds = tokens(data, offs)
+                doubts = [np.concatenate([[0], np.cumsum(x)]) for x in (maybe, measure)]
+                ways = [(False, (h, None, None, bounds), [])]
+                for unit in (False, True) if measure.any() else (False,):
+                    own = np.where(measure, UNIT, kind) if unit else kind
+                    for name in (False, True):
+                        changed = [d for d, x in zip(doubts, (name, unit), strict=True) if x]
+                        ways.append((True, _template(h, np.where(maybe, NAME, own) if name else own, joins, bounds), changed))
                 out = []
                 for k in lengths:
-                    for templated, (of, value, start, rows) in ((False, (h, None, None, bounds)), (True, plain), (True, named)):
+                    for templated, (of, value, start, rows), changed in ways:
                         first, _ = T.window_starts(rows, k)
                         key = _windows(of, first, k, templated)
                         hit = table[key >> shift]
@@ -193,7 +204,7 @@ def _probe(bits, lengths: list[int]) -> Callable:
                         if templated:
                             own = value[at[:, None] + np.arange(k)]
                             ok = own.any(axis=1)
-                            if value is named[1]:  # windows without doubtful words are those of the plain reading
+                            for doubt in changed:  # windows without doubtful words are those of another reading
                                 ok &= doubt[np.append(start, len(h))[at + k]] > doubt[start[at]]
                             at, key = at[ok], key[ok]
                             slots = own[ok].view(np.int64).tolist()
@@ -225,7 +236,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
     templates with numbers, units and names replaced by typed placeholders. Templates found at one shift of the item
     count only if each of its slot values stands for one value of the document throughout; where few words are no
     slots, also only beside another one. Adjacent names are one slot; a capitalised word that only begins sentences is
-    tried as a word and as a name. A pair is returned if at
+    tried as a word and as a name, a word right after a number as a word and as a unit, whatever it is. A pair is returned if at
     least `cover` of the item's windows are found, or RUN words of it in a row at one shift. Items of fewer than LEAST
     words are compared as they are. Items and texts that are null or have no words, empty tables and documents without
     items give no rows; rows that share doc_id and text count once; ties don't arise.

@@ -151,6 +151,22 @@ def test_decontamination_of_dense_templates(spark):
     assert got[0, 0].n_windows == 11
 
 
+def test_decontamination_of_units(spark):
+    """Any word right after a number may be a unit; one unit must stand for one other throughout, and words elsewhere are no units."""
+    items = ["The car sets off at 80 km and returns at 60 km after lunch today", "Each disk holds 4 TB and she fills 3 disks with scans of old maps", "They drank 2 pints of milk before the long walk over the hill"]
+    texts = [
+        "the car sets off at 85 kph and returns at 65 kph after lunch today",
+        "the car sets off at 85 kph and returns at 65 knots after lunch today",
+        "each disk holds 16 zettabytes and she fills 9 platters with scans of old maps",
+        "they drank 5 flasks of milk before the long walk over the hill",
+        "they drank, in 1900, flasks of wine before the short walk up a hill",
+        "She said so. They drank 7 jars of milk before the long walk over the hill",
+    ]
+    rows = lambda x, name: spark.createDataFrame(list(enumerate(x)), f"{name} long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(rows(texts, "doc_id"), rows(items, "item_id")).collect()}
+    assert got == {(0, 0), (2, 1), (3, 2), (5, 2)}
+
+
 def test_mixing(docs, texts, none):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == len(texts) and sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs).collect()))
