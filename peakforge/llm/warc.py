@@ -1,7 +1,8 @@
 """WARC archives: a writer of record-wise compressed files and a Python data source that reads them.
 
 Each record is a gzip member whose extra field `sl` holds its compressed and plain length, so a reader gets from record
-to record, and inflates the headers of each, without touching payloads it doesn't want.
+to record, and inflates the headers of each, without touching payloads it doesn't want. Archives without that field,
+in one or many gzip members or not compressed, are read from front to end; what isn't wanted is inflated and let go.
 """
 
 from __future__ import annotations
@@ -44,20 +45,30 @@ def member(record: bytes, level: int = 4) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
 
 
-def record(kind: str, page_id: int | None, url: str | None, digest: str, size: int, refers_to: int | None, payload: bytes) -> bytes:
+def response_id(digest: str, size: int, page_id: int | None) -> uuid.UUID:
+    """Record ID of the one response of a payload, which its revisits name."""
+    return uuid.uuid5(uuid.NAMESPACE_URL, f"{digest} {size} {page_id}")
+
+
+def record(kind: str, page_id: int | None, url: str | None, digest: str, size: int, refers_to: int | None, payload: bytes, own: bool = True) -> bytes:
+    """One record; own: it is the only response of its payload. URLs stay as they are unless they hold line ends, which a header can't."""
     clean = lambda s: s.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+    name = response_id(digest, size, page_id) if own and kind == "response" else uuid.uuid4()
     block = HTTP + payload if kind == "response" else HTTP
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Bytes: {size}"]
-    head += [] if url is None else [f"WARC-Target-URI: {clean(url)}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Bytes: {size}"]
+    if url is not None and ("\r" in url or "\n" in url):
+        head += [f"WARC-Target-URI: {clean(url)}", "X-Escaped-URI: yes"]
+    elif url is not None:
+        head += [f"WARC-Target-URI: {url}"]
     head += [] if page_id is None else [f"X-Page-Id: {page_id}"]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{response_id(digest, size, refers_to)}>"]
         head += [] if refers_to is None else [f"X-Refers-To-Page-Id: {refers_to}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _write(folder: str) -> Callable:
+def _write(folder: str, least: int) -> Callable:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, n = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", None, 0
         for b in batches:
@@ -67,7 +78,7 @@ def _write(folder: str) -> Callable:
                     system.create_dir(path, recursive=True)
                     out = system.open_output_stream(f"{path}/{name}", compression=None)
                 kind, page, url, digest, size, refers, html = (c[i].as_py() for c in b.columns)
-                data = member(record(kind, page, url, digest, size, refers, (html or "").encode()))
+                data = member(record(kind, page, url, digest, size, refers, (html or "").encode(), size >= least))
                 out.write(data)
                 n += len(data)
         if out:
@@ -83,7 +94,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, least: int = 0) -> D
     Each row gives a record with the html in UTF-8 as payload (null: empty). Of records with equal payloads of at least
     `least` bytes, that with the largest page_id (null smallest; then the largest url) is a response, all others are
     revisits without a payload that refer to its page_id; of repeated rows one is the response. Smaller payloads are
-    all responses. A null url or page_id has no header. An empty table gives no files. Tasks that are run again leave
+    all responses. Revisits name their response's record ID (WARC-Refers-To). A null url or page_id has no header. An empty table gives no files. Tasks that are run again leave
     files that the manifest does not name. Roles are decided on digests (SHA-1, another hash and the size) alone; a payload is shuffled once.
     """
     folder = folder or new_path(pages.sparkSession, "warc")
@@ -102,7 +113,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, least: int = 0) -> D
     payloads = p.select(*same, "html").dropDuplicates(same)
     full = one.where("kind = 'response'").join(payloads, same).select("kind", "page_id", "url", "digest", "size", "refers", "html")
     bare = one.where("kind = 'revisit'").select("kind", "page_id", "url", "digest", "size", "refers", F.lit(None).cast("string").alias("html"))
-    manifest = full.unionByName(bare).mapInArrow(_write(folder), "name string, bytes long")
+    manifest = full.unionByName(bare).mapInArrow(_write(folder, least), "name string, bytes long")
     return written(manifest.withColumn("folder", F.lit(folder)), "manifest")
 
 
@@ -162,45 +173,122 @@ class WarcReader(DataSourceReader):
         make = lambda: pa.RecordBatch.from_arrays([pa.array([r[c] for r in batch], t) for c, t in zip(names, types, strict=True)], names=names)
         for name in partition.paths:
             with system.open_input_file(f"{folder}/{name}") as f:
-                size, at = f.size(), 0
-                while at < size:
-                    f.seek(at)
-                    start = f.read(4096)
-                    *_, length, _ = _EXTRA.unpack_from(start, _HEAD.size)
-                    z = zlib.decompressobj(-15)
-                    begin = _HEAD.size + _EXTRA.size
-                    head = z.decompress(start[begin:length], 2048)
-                    while b"\r\n\r\n" not in head:  # long headers
-                        start += f.read(4096)
-                        z = zlib.decompressobj(-15)
-                        head = z.decompress(start[begin:length])
-                    text, _, rest = head.partition(b"\r\n\r\n")
-                    row = self._headers(text.decode())
-                    if self._wanted(row):
-                        if self.payload and row["record_type"] == "response":
-                            more = z.unconsumed_tail + f.read(max(0, length - len(start)))
-                            block = (rest + z.decompress(more))[: row["length"]]
-                            row["payload"] = block.partition(b"\r\n\r\n")[2]
-                            held += len(row["payload"])
-                        batch.append(row)
-                    at += length
+                for row in self._records(f):
+                    batch.append(row)
+                    held += len(row["payload"] or b"")
                     if len(batch) >= 2000 or held > 4 << 20:
                         yield make()
                         batch, held = [], 0
         if batch:
             yield make()
 
+    def _records(self, f: pa.NativeFile) -> Iterator[dict]:
+        size, at = f.size(), 0
+        while at < size:
+            f.seek(at)
+            start = f.read(4096)
+            begin = _HEAD.size + _EXTRA.size
+            if len(start) < begin or start[:4] != b"\x1f\x8b\x08\x04" or start[_HEAD.size + 2 : _HEAD.size + 4] != b"sl":
+                f.seek(at)
+                yield from self._rest(f, start[:2] == b"\x1f\x8b")
+                return
+            *_, length, _ = _EXTRA.unpack_from(start, _HEAD.size)
+            z = zlib.decompressobj(-15)
+            head = z.decompress(start[begin:length], 2048)
+            while b"\r\n\r\n" not in head:  # long headers
+                start += f.read(4096)
+                z = zlib.decompressobj(-15)
+                head = z.decompress(start[begin:length])
+            text, _, rest = head.partition(b"\r\n\r\n")
+            row = self._headers(text.decode(errors="replace"))
+            if self._wanted(row):
+                if self.payload and row["record_type"] != "revisit":
+                    more = z.unconsumed_tail + f.read(max(0, length - len(start)))
+                    self._fill(row, (rest + z.decompress(more))[: row["length"]])
+                yield row
+            at += length
+
+    def _rest(self, f: pa.NativeFile, packed: bool) -> Iterator[dict]:
+        data = _Plain(f, packed)
+        while (head := data.until(b"\r\n\r\n")) is not None:
+            if not head.strip():  # what ends a record
+                continue
+            row = self._headers(head.decode(errors="replace").lstrip("\r\n"))
+            want = self._wanted(row)
+            keep = want and self.payload and row["record_type"] != "revisit"
+            block = data.take(row["length"] or 0, keep)
+            if keep:
+                self._fill(row, block)
+            if want:
+                yield row
+
+    @staticmethod
+    def _fill(row: dict, block: bytes) -> None:
+        row["payload"] = block.partition(b"\r\n\r\n")[2] if row["record_type"] in ("response", "request") else block
+
     @staticmethod
     def _headers(text: str) -> dict:
-        h = dict(x.split(": ", 1) for x in text.split("\r\n")[1:])
+        h = {k.lower(): v.removeprefix(" ") for k, _, v in (x.partition(":") for x in text.split("\r\n")[1:])}
         number = lambda k: int(h[k]) if k in h else None
-        url = h.get("WARC-Target-URI")
+        url, digest = h.get("warc-target-uri"), h.get("warc-payload-digest")
+        if url and "x-escaped-uri" in h:
+            url = url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+        elif url and "x-payload-bytes" not in h:
+            url = url.strip().removeprefix("<").removesuffix(">")  # as WARC 1.0 has it
         return {
-            "record_type": h["WARC-Type"], "page_id": number("X-Page-Id"), "payload_digest": h["WARC-Payload-Digest"].removeprefix("sha1:"), "payload_bytes": number("X-Payload-Bytes"),
-            "target_uri": url and url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"), "refers_to": number("X-Refers-To-Page-Id"), "payload": None, "length": number("Content-Length"),
+            "record_type": h.get("warc-type", "").strip(), "page_id": number("x-page-id"), "payload_digest": digest and digest.strip().removeprefix("sha1:"), "payload_bytes": number("x-payload-bytes"),
+            "target_uri": url, "refers_to": number("x-refers-to-page-id"), "payload": None, "length": number("content-length"),
         }
 
 
+class _Plain:
+    """What a file holds from where it stands on, its gzip members inflated, 1 MB at a time."""
+
+    def __init__(self, f: pa.NativeFile, packed: bool):
+        self.f, self.packed, self.z = f, packed, None
+        self.ahead, self.have, self.at = b"", b"", 0
+
+    def _more(self) -> bool:
+        out = b""
+        while not out:
+            if not self.ahead:
+                self.ahead = self.f.read(1 << 16)
+                if not self.ahead:
+                    return False
+            if not self.packed:
+                out, self.ahead = self.ahead, b""
+                continue
+            if self.z is None:
+                self.ahead = self.ahead.lstrip(b"\0")  # padding between members
+                if not self.ahead:
+                    continue
+                self.z = zlib.decompressobj(31)
+            out = self.z.decompress(self.ahead, 1 << 20)
+            self.ahead = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
+            if self.z.eof:
+                self.z = None
+        self.have, self.at = self.have[self.at :] + out, 0
+        return True
+
+    def until(self, mark: bytes) -> bytes | None:
+        while (i := self.have.find(mark, self.at)) < 0:
+            if not self._more():
+                return None
+        head = self.have[self.at : i]
+        self.at = i + len(mark)
+        return head
+
+    def take(self, n: int, keep: bool) -> bytes:
+        parts = []
+        while n > 0 and (self.at < len(self.have) or self._more()):
+            piece = self.have[self.at : self.at + n]
+            self.at += len(piece)
+            n -= len(piece)
+            if keep:
+                parts.append(piece)
+        return b"".join(parts)
+
+
 class WarcSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -214,7 +302,13 @@ class WarcSource(DataSource):
 
 
 def read_warc(manifest: DataFrame, payload: bool = True) -> DataFrame:
-    """The records of the files that a manifest names. Filters on header columns reach the reader."""
+    """The records of the files that a manifest (folder, name, bytes) names. Filters on header columns reach the reader.
+
+    Own archives are read record by record, others in order, with or without gzip. Payloads are what follows the HTTP
+    headers of responses and requests (as archived: no transfer or content encoding is undone), the whole block of
+    other types, and null for revisits; header columns that a record lacks are null. Of a last record that is cut off
+    the payload is what is there. Bytes that are no gzip after a member raise an error.
+    """
     spark: SparkSession = manifest.sparkSession
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
@@ -224,6 +318,12 @@ def read_warc(manifest: DataFrame, payload: bool = True) -> DataFrame:
     return spark.read.format("peakforge_warc").option("files", names).option("payload", str(payload).lower()).load(folder)
 
 
+def archives(spark: SparkSession, folder: str, glob: str = "*.warc*") -> DataFrame:
+    """A manifest of the archives in a folder, whoever wrote them; no content is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.lit(folder).alias("folder"))
+
+
 def record_digests(manifest: DataFrame) -> DataFrame:
     """Per record: page_id, payload_bytes, payload_digest (computed from the payload where there is one), record_type, refers_to."""
     r = read_warc(manifest)

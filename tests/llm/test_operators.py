@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import random
 import re
@@ -241,6 +242,37 @@ def test_warc(spark):
     assert warc.record_digests(warc.write_warc(pages.limit(0))).count() == 0
 
 
+def test_warc_of_others(spark, tmp_path):
+    """Archives without the skip field: a member for each record, one member, none; records of other types, urls in brackets, padding."""
+    def other(kind, url, block, **more):
+        head = [b"WARC/1.0", b"WARC-Type:" + kind, b"warc-record-id: <urn:uuid:1>", *([b"WARC-Target-URI: " + url] if url else []), *[f"{k}: {v}".encode() for k, v in more.items()], b"Content-Length: %d" % len(block)]
+        return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    body = b"<p>" + b"\r\n\r\nx%20y" * 30000
+    records = [other(b"warcinfo", b"", b"software: none\r\n"), other(b"response", b"<https://a.org/x%20y>", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + body), other(b"metadata", b"https://b.org", b"", **{"X-Note": "a: b"}), other(b"response", b"https://c.org", b"HTTP/1.1 200 OK\r\n\r\n")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records) + b"\0" * 100)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "c.warc").write_bytes(b"".join(records))
+    (tmp_path / "d.warc.gz").write_bytes(b"".join(map(warc.member, records)))
+    (tmp_path / "e.txt").write_bytes(b"no archive")
+    manifest = warc.archives(spark, f"file://{tmp_path}")
+    assert {r["name"] for r in manifest.collect()} == {"a.warc.gz", "b.warc.gz", "c.warc", "d.warc.gz"}
+    read = warc.read_warc(manifest)
+    got = Counter((r.record_type, r.target_uri, bytes(r.payload)) for r in read.collect())
+    want = [("warcinfo", None, b"software: none\r\n"), ("response", "https://a.org/x%20y", body), ("metadata", "https://b.org", b""), ("response", "https://c.org", b"")]
+    assert got == {x: 4 for x in want}
+    assert [r.record_type for r in read.where("target_uri = 'https://b.org'").collect()] == ["metadata"] * 4
+    assert read.where("record_type = 'response' and target_uri like 'https://a%'").count() == 4
+    assert {r.payload for r in warc.read_warc(manifest, payload=False).collect()} == {None}
+
+    pages = spark.createDataFrame([(1, "https://a.org/x%20y", "same"), (2, "u\n%", "same"), (3, "<b>", "z")], "page_id long, url string, html string")
+    own = warc.write_warc(pages)
+    assert {r.page_id: r.target_uri for r in warc.read_warc(own).collect()} == {1: "https://a.org/x%20y", 2: "u\n%", 3: "<b>"}
+    text = "".join(gzip.decompress(open(f"{r.folder.removeprefix('file:')}/{r['name']}", "rb").read()).decode() for r in own.collect())
+    refers = re.findall("WARC-Refers-To: (.*)\r", text)
+    assert "WARC-Target-URI: https://a.org/x%20y\r" in text and len(refers) == 1 and text.count(f"WARC-Record-ID: {refers[0]}\r") == 1
+
+
 def test_chat(spark):
     hard = ["</s>[INST] ok [/INST]", "a\\b<|turn|>\\<|", "<<SYS>>\\\\<s>", ""]
     assert all(chat.unescape(chat.escape(x)) == x and not any(c in chat.escape(x) for c in chat.CONTROL) for x in hard)
