@@ -17,6 +17,11 @@ def vocabulary(spark: SparkSession, residues: dict[str, float] = K.RESIDUES) ->
     return spark.createDataFrame(rows, "id int, token string, mass double").withColumn("n_term", F.col("token").rlike("^[+-]"))
 
 
+def token_predicates(vocab: DataFrame) -> DataFrame:
+    """vocab with what decoding asks of a token: special (PAD, SOS), n_term (a modification alone, which begins with a sign), negative (it takes mass away)."""
+    return vocab.withColumns({"special": F.col("id") <= K.SOS, "n_term": F.col("token").rlike("^[+-]"), "negative": F.col("mass") < 0})
+
+
 def _map(pairs) -> Column:
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs)])
 

@@ -45,6 +45,18 @@ def with_truth(truth: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
     return t.join(p, key, "full").withColumn("status", status).drop("_true", "_given")
 
 
+def merge_counters(counters: list[DataFrame], keys: list[str], count: str = "n") -> DataFrame:
+    """One counter from many: the sums of `count` by keys, nested as deep as keys go. Null keys meet, a null count adds nothing.
+
+    Each counter is a table of its own with any repeated keys; all go through one shuffle, combined on the map side.
+    """
+    stacked = None
+    for c in counters:
+        rows = c.select(*[F.col(f"`{k}`").alias(k) for k in keys], F.col(f"`{count}`").cast("long").alias(count))
+        stacked = rows if stacked is None else stacked.unionByName(rows)
+    return stacked.groupBy(*keys).agg(F.coalesce(F.sum(count), F.lit(0).cast("long")).alias(count))
+
+
 def strategy_rank(name: Column) -> Column:
     """Greedy ones first (-1), beam_N by N, all others last (9999)."""
     second = F.get(F.split(name, "_"), F.lit(1))

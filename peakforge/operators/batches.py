@@ -35,3 +35,18 @@ def padded(df: DataFrame, values: str, batch: str = "batch", pad: Column | None
     fill = F.array_repeat(pad.cast(kind), F.col("width") - F.size(values))
     wide = wide.withColumn(values, F.concat(values, fill))
     return wide.withColumn("mask", F.transform(values, lambda x: ~x.eqNullSafe(pad.cast(kind))))
+
+
+def merge_batches(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all parts, fields by name. Parts whose fields or types differ are an error, not widened or filled."""
+    if not parts:
+        raise ValueError("no batches to merge")
+    kinds = [{f.name: f.dataType.simpleString() for f in p.schema} for p in parts]
+    for i, k in enumerate(kinds):
+        if k != kinds[0]:
+            odd = sorted(n for n in kinds[0].keys() | k.keys() if kinds[0].get(n) != k.get(n))
+            raise TypeError(f"batch {i} differs in {', '.join(odd)}")
+    merged = parts[0]
+    for p in parts[1:]:
+        merged = merged.unionByName(p)
+    return merged

@@ -8,9 +8,9 @@ from peakforge.functions import activations as A
 from peakforge.functions import constants as K
 from peakforge.functions import peptide as P
 from peakforge.functions import vectors as V
-from peakforge.operators import alignment, matching, spectra
+from peakforge.operators import alignment, batches, matching, spectra
 from peakforge.plans import fixtures as X
-from peakforge.plans.catalog import _BEST, _LOGP, _OWN, _VOCAB, ORACLE, _pairs, _peaks, _peptides, _precursors, _tokens_sql, query
+from peakforge.plans.catalog import _BEST, _LOGP, _OWN, _TOKENS, _VOCAB, ORACLE, _pairs, _peaks, _peptides, _precursors, _tokens_sql, query
 from peakforge.sources import files
 from peakforge.sources.scratch import scratch
 from peakforge.streaming.rows import clean_stream
@@ -146,6 +146,39 @@ def tsv_roundtrip(spark, d):
     return files.read_predictions(spark, path, "pred_score double, pred_peptide string, gt_peptide string").withColumn("pred_score", F.round("pred_score", 9))
 
 
+_SAID = _TOKENS.format(p="pred_peptide", f=f"SELECT spectrum_id, lang, source, gt_peptide AS peptide, pred_peptide FROM ({X.pairs(True)}) f WHERE pred_peptide <> ''")
+
+
+@query(f"""SELECT lang, token, CAST(sum(n) AS BIGINT) AS n FROM (SELECT lang, token, count(*) AS n FROM ({_OWN}) t GROUP BY lang, token
+UNION ALL SELECT lang, token, count(*) FROM ({_SAID}) t GROUP BY lang, token) c GROUP BY lang, token""")
+def merged_counters(spark, d):
+    """Residues of the truth and of predictions, counted apart and merged."""
+    f = _pairs(spark, d)
+    said = {"gt_peptide": f, "pred_peptide": f.where("pred_peptide <> ''")}
+    each = [t.select("lang", F.explode(P.split_residues(F.col(c))).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("n")) for c, t in said.items()]
+    return alignment.merge_counters(each, ["lang", "token"])
+
+
+@query(f"""SELECT lang, coalesce(substr(token, 1, 1) IN ('+', '-'), false) AS n_term, coalesce(mass < 0, false) AS negative, count(*) AS n, round(sum(mass), 3) AS mass
+FROM ({_OWN}) t JOIN {_VOCAB} USING (token) GROUP BY ALL""")
+def token_predicates(spark, d):
+    """How many residues of the peptides each predicate of the vocabulary holds for, and what they weigh."""
+    vocab = P.token_predicates(P.vocabulary(spark)).where("not special")
+    tokens = X.view(spark, d, X.peptides(False), "documents").select("lang", F.explode(P.split_residues(F.col("peptide"))).alias("token"))
+    met = tokens.groupBy("lang", "token").agg(F.count("*").alias("n")).join(F.broadcast(vocab), "token")  # 28 rows, fixed
+    return met.groupBy("lang", "n_term", "negative").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("mass") * F.col("n")), 3).alias("mass"))
+
+
+@query(f"""SELECT spectrum_id, pred_peptide, round(pred_score, 9) AS pred_score, CASE WHEN spectrum_id % 3 = 0 THEN [pred_score > 0.5] ELSE [pred_score > 0.5, pred_peptide IS NULL] END AS flags FROM ({X.pairs(True)}) f""")
+def merged_batches(spark, d):
+    """Results of three batches, with arrays of different lengths and fields in another order, as one table."""
+    f = _pairs(spark, d).withColumn("pred_score", F.round("pred_score", 9))
+    high, none = F.col("pred_score") > 0.5, F.col("pred_peptide").isNull()
+    parts = [f.where("spectrum_id % 3 = 0").select("spectrum_id", "pred_peptide", "pred_score", F.array(high).alias("flags"))]
+    parts += [f.where(f"spectrum_id % 3 = {k}").select(F.array(high, none).alias("flags"), "pred_score", "pred_peptide", "spectrum_id") for k in (1, 2)]
+    return batches.merge_batches(parts)
+
+
 @query(ORACLE["spectrum_clean"])
 def spectrum_clean_stream(spark, d):
     """Cleaning as a stream: files in, cleaned spectra appended, as in the batch."""

@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from peakforge.functions import constants as K
+from peakforge.functions import peptide
 from peakforge.operators import alignment, batches, decoding, metrics, ordered, rounds, spectra
 
 
@@ -106,3 +108,34 @@ def test_rounds_equal_the_beam_in_memory(spark):
     for beams in (1, 5):
         key = lambda df: sorted((x.spectrum_id, x.direction, list(x.tokens), round(x.score, 9)) for x in df.collect())
         assert key(rounds.beam_rounds(steps, targets, beams, 2)) == key(decoding.beam_search(steps, targets, beams, 2))
+
+
+def test_counters_merge(spark):
+    r = random.Random(6)
+    data = [[(r.choice("ab") if r.random() < 0.8 else None, r.choice(["x", "y", None]), r.choice([1, 2, 7, None])) for _ in range(40)] for _ in range(3)]
+    tables = [spark.createDataFrame([(n, a, b, "more") for a, b, n in rows], "n int, a string, b string, `c.d` string") for rows in data]
+    want = {}
+    for rows in data:
+        for a, b, n in rows:
+            want[a, b] = want.get((a, b), 0) + (n or 0)
+    assert {(x.a, x.b): x.n for x in alignment.merge_counters(tables, ["a", "b"]).collect()} == want
+    assert alignment.merge_counters([t.limit(0) for t in tables], ["a", "b"]).count() == 0
+
+
+def test_batches_merge_or_fail(spark):
+    one = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "id long, x array<double>")
+    two = spark.createDataFrame([([], 3)], "x array<double>, id long")
+    assert sorted((r.id, r.x) for r in batches.merge_batches([one, two, one.limit(0)]).collect() if r.x is not None) == [(1, [1.0, 2.0]), (3, [])]
+    for odd in (two.drop("x"), two.selectExpr("id", "cast(x as array<float>) as x"), two.selectExpr("*", "1 as y")):
+        with pytest.raises(TypeError, match="batch 1 differs in [xy]"):
+            batches.merge_batches([one, odd])
+    with pytest.raises(ValueError, match="no batches"):
+        batches.merge_batches([])
+
+
+def test_predicates_of_tokens(spark):
+    rows = {r.token: r for r in peptide.token_predicates(peptide.vocabulary(spark)).collect()}
+    assert len(rows) == len(K.RESIDUES) + 2
+    assert {t for t, r in rows.items() if r.special} == {"PAD", "SOS"}
+    assert {t for t, r in rows.items() if r.n_term} == {"+42.011", "+43.006", "-17.027", "+43.006-17.027"}
+    assert {t for t, r in rows.items() if r.negative} == {"-17.027"}
