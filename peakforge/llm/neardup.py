@@ -146,13 +146,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Every pair of nodes (node, root) with different roots that can be similar enough: an exact prefix join.
 
-    Sets are sorted by hash, an order that is the same for all. Two similar sets share one of their first
-    n - ceil(t n) + 1 shingles, and at the first that they share enough must remain behind it in both; and their
-    sketches differ in no more bits than similar sets can differ in shingles.
+    Sets are sorted by how many of these nodes hold a shingle, then by hash, an order that is the same for all. Two
+    similar sets share one of their first n - ceil(t n) + 1 shingles, and at the first that they share enough must
+    remain behind it in both; and their sketches differ in no more bits than similar sets can differ in shingles.
+    A set with more shingles of its own than a similar one may lack has them in front, and so meets no other, however
+    many share the rest with it.
     """
     n = F.size("shingles")
     need = F.ceil(n * percent / F.lit(100.0) - 1e-9)
-    first = nodes.join(sets, "node").select("node", "root", n.alias("n"), *_BITS, F.posexplode(F.slice("shingles", 1, (n - need + 1).cast("int"))).alias("i", "s"))
+    held = nodes.join(sets, "node").select("node", "root", n.alias("n"), (n - need + 1).cast("int").alias("k"), *_BITS, "shingles")
+    each = held.select("node", F.explode("shingles").alias("s"))
+    holders = each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    shared = each.join(holders, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("shared"))
+    own = F.col("n") - F.size("shared")  # shingles that no other set holds come first
+    first = held.drop("shingles").join(shared, "node").select("node", "root", "n", *_BITS, own.alias("own"), F.posexplode(F.slice("shared", 1, F.greatest(F.col("k") - own, F.lit(0)))).alias("j", "x"))
+    first = written(first.select("node", "root", "n", *_BITS, (F.col("own") + F.col("j")).alias("i"), "x.s"), "prefixes", hashes=True)
     x, y = (first.select(F.col("s"), *[F.col(c).alias(c + k) for c in ("node", "root", "n", "i", *_BITS)]) for k in "xy")
     left = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
     return x.join(y, "s").where((F.col("nodex") < F.col("nodey")) & (F.col("rootx") != F.col("rooty")) & ((100 + percent) * left >= percent * (F.col("nx") + F.col("ny"))) & _fits(percent)).select(F.col("nodex").alias("u"), F.col("nodey").alias("v")).distinct()

@@ -192,3 +192,19 @@ def test_pipeline_stages_keep_odd_names(spark):
     assert kept.columns == docs.columns and kept.exceptAll(docs).count() == 0
     assert decontam.without_items(docs, docs.selectExpr("doc_id as item_id", "text").limit(0)).columns == docs.columns
     assert neardup.first_documents(docs).columns == docs.columns and mixing.mixed(docs).columns == docs.columns
+
+
+def test_prefix_pairs_of_far_copies(spark):
+    """Copies with more shingles of their own than a similar set may lack meet none of a large group; the similar ones are all found."""
+    rng = random.Random(5)
+    base = rng.sample(range(10**6), 200)
+    own = [0, 1, 3, 6, 9] * 8 + [30, 40, 60] * 20  # of 200: two sets of 200 need 184 in common
+    held = {i: [*base[m:], *rng.sample(range(10**7, 10**9), m)] for i, m in enumerate(own)}
+    held |= {100 + i: [*held[40 + i][:-3], *rng.sample(range(10**9, 10**10), 3)] for i in range(12)}  # far from the group, near to one of the far ones
+    bits = [f"b{i}" for i in range(neardup.BITS // 64)]
+    nodes = spark.createDataFrame([(i, i if i >= 40 else 0) for i in held], "node long, root long")
+    sets = spark.createDataFrame([(i, s, *[0] * len(bits)) for i, s in held.items()], "node long, shingles array<long>, " + ", ".join(f"{b} long" for b in bits))
+    got = {(r.u, r.v) for r in neardup._prefix_pairs(nodes, sets, 85).collect()}
+    similar = {(u, v) for u in held for v in held if u < v and v >= 40 and 100 * len(set(held[u]) & set(held[v])) >= 85 * len(set(held[u]) | set(held[v]))}
+    assert len(similar) >= 12 and similar <= got
+    assert len(got) <= 2 * len(similar)
