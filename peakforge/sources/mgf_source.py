@@ -15,6 +15,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -93,7 +94,7 @@ class MgfReader(DataSourceReader):
         return {"source_path": part.path, "part": part.part, "place": place, "title": params.get("title"), "precursor_mz": mz, "charge": charge, "ms_level": level, "annotation": params.get("seq") or None, "peaks": None, "status": status}
 
     def _records(self, part: _Range, f: _Lines) -> Iterator[dict]:
-        """Rows of the records that begin in a range."""
+        """Rows of the records that begin in a range; peaks are a flat list, m/z and intensity in turn."""
         defaults: dict[str, str] = {}
         for line in f:
             if line.strip() == b"BEGIN IONS":
@@ -149,7 +150,7 @@ class MgfReader(DataSourceReader):
                 if row is not None and use:
                     try:
                         mz, intensity = map(float, text.split()[:2])
-                        row["peaks"].append({"mz": mz, "intensity": intensity})
+                        row["peaks"] += mz, intensity
                     except ValueError:
                         row["status"], use = "damaged", False
             at += len(line)
@@ -164,34 +165,47 @@ class MgfReader(DataSourceReader):
         with system.open_input_file(partition.path) as f:
             for r in self._records(partition, _Lines(f)):
                 rows.append(r)
-                held += 200 + 32 * len(r["peaks"] or ())
+                held += 200 + 16 * len(r["peaks"] or ())
                 if held > BATCH:
-                    yield pa.RecordBatch.from_pylist(rows, FIELDS)
+                    yield _batch(rows)
                     rows, held = [], 0
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, FIELDS)
+            yield _batch(rows)
+
+
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    """Rows of _records as Arrow, their peaks without an object for each."""
+    peaks = [r["peaks"] for r in rows]
+    flat = np.fromiter((x for p in peaks for x in p or ()), np.float64).reshape(-1, 2)
+    ends = np.cumsum([0, *(len(p or ()) // 2 for p in peaks)], dtype=np.int32)
+    kind = FIELDS.field("peaks").type
+    values = pa.StructArray.from_arrays([np.ascontiguousarray(flat[:, 0]), np.ascontiguousarray(flat[:, 1])], fields=list(kind.value_type))
+    lists = pa.ListArray.from_arrays(pa.array(ends), values, type=kind, mask=pa.array([p is None for p in peaks]))
+    return pa.RecordBatch.from_arrays([lists if f.name == "peaks" else pa.array([r[f.name] for r in rows], f.type) for f in FIELDS], schema=FIELDS)
 
 
 class _Lines:
-    """Buffered lines of a file that can be read from any place."""
+    """Buffered lines of a file that can be read from any place. A line costs its own bytes; what is left of the buffer is copied once for each read of the file."""
 
     def __init__(self, f: pa.NativeFile, size: int = 1 << 20) -> None:
-        self.f, self.size, self.rest, self.over = f, size, b"", False
+        self.f, self.size = f, size
+        self.rest, self.at, self.over = b"", 0, False
 
     def seek(self, at: int) -> None:
         self.f.seek(at)
-        self.rest, self.over = b"", False
+        self.rest, self.at, self.over = b"", 0, False
 
     def readline(self) -> bytes:
-        end = self.rest.find(b"\n")
+        end = self.rest.find(b"\n", self.at)
         while end < 0 and not self.over:
             more = self.f.read(self.size)
             self.over = not more
-            start = len(self.rest)
-            self.rest += more
+            start = len(self.rest) - self.at
+            self.rest, self.at = self.rest[self.at :] + more, 0
             end = self.rest.find(b"\n", start)
         cut = end + 1 if end >= 0 else len(self.rest)
-        line, self.rest = self.rest[:cut], self.rest[cut:]
+        line = self.rest[self.at : cut]
+        self.at = cut
         return line
 
     def __iter__(self) -> Iterator[bytes]:
