@@ -1,9 +1,10 @@
-"""Quality rules: surface statistics of a text, and perplexity bands under a modified Kneser-Ney model.
+"""Quality rules: surface statistics of a text, and perplexity bands under two modified Kneser-Ney models.
 
-The model is over characters, in classes: with 32 classes and order 4 it has at most 2**20 n-grams for a language
+One is over characters, in classes: with 32 classes and order 4 it has at most 2**20 n-grams for a language
 however large the corpus is, so it may be sent to all executors, while its counts are taken over every document.
-Each value of lang that occurs, null too, has a model and a band of its own.
-(A word model grows with the corpus; scoring with it needs a shuffle of every n-gram of every text.)
+Each value of lang that occurs, null too, has a model of its own. It tells what is not spelled like the language.
+The other is over words and all their pairs (wordmodel.py). It tells what is not put together like other texts.
+Each value of lang has a band of its own under both.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from peakforge.llm import text as T
-from peakforge.llm.store import written
+from peakforge.llm import wordmodel
+from peakforge.llm.store import drop, small, written
 
 ORDER, BITS = 4, 5
 SIZE = 1 << ORDER * BITS
@@ -27,8 +30,11 @@ FEW = 30
 #: A band reaches so many robust standard deviations of the log-perplexity below and above its language's median.
 #: Text in two languages is hard to predict and clean, so the upper limit only catches what is not prose at all.
 BELOW, ABOVE = 8.0, 45.0
-#: Log-perplexities are counted in bins of this width for the medians.
-BIN = 0.002
+#: The same of the log-perplexity per word, above only (texts with copies are easy to predict, and clean), but a text
+#: stays that is at most WIDE above the median, as the spread of texts much alike says little.
+WORDS_ABOVE, WIDE = 3.0, 1.0
+#: Log-perplexities are counted in bins of these widths for the medians: per character, and per word.
+BIN, WORD_BIN = 0.002, 0.01
 SYMBOLS = b"#*$%&|<>"
 
 _U = np.uint64
@@ -128,7 +134,7 @@ class Model:
     """Interpolated modified Kneser-Ney probabilities: for each order the sorted hashes of its n-grams and their values."""
 
     def __init__(self, known: list[str | None], lang: np.ndarray, code: np.ndarray, n: np.ndarray):
-        self.known, self.keys, self.p, self.back = known, [], [], []
+        self.known, self.keys, self.p, self.back, self.characters = known, [], [], [], int(n.sum())
         raw = (lang.astype(np.int64) << ORDER * BITS) | code
         order = np.argsort(raw)
         raw, n = raw[order], n[order].astype(np.float64)
@@ -251,6 +257,7 @@ def statistics(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
         "n_symbols": count(_SYMBOL[data]),
         "n_dup_lines": np.bincount(of[by][1:][again], minlength=rows),
         "n_repeat_words": np.diff(np.concatenate([[0], np.cumsum(covered)])[bounds]),
+        "text_key": wordmodel.text_keys(h, bounds),
     }
 
 
@@ -289,25 +296,26 @@ def _scored(model) -> Callable:
             lang = index(b.column(b.schema.get_field_index("lang")))
             for lo, hi, data, offs in T.slices(b, "text"):
                 s = statistics(data, offs)
-                cols = [b.column(0).slice(lo, hi - lo), pa.array(lang[lo:hi]), *(pa.array(s[c].astype(np.int64)) for c in BASE), pa.array(base_failed(s)), pa.array(score(lang[lo:hi], data, offs))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "band", *BASE, "base_failed", "log_perplexity"])
+                cols = [b.column(0).slice(lo, hi - lo), pa.array(lang[lo:hi]), *(pa.array(s[c].astype(np.int64)) for c in BASE), pa.array(base_failed(s)), pa.array(score(lang[lo:hi], data, offs)), pa.array(s["text_key"])]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "band", *BASE, "base_failed", "log_perplexity", "text_key"])
 
     return f
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, band (index of its language), the base statistics, base_failed and log_perplexity of each row."""
+    """doc_id, band (index of its language), the base statistics, base_failed, log_perplexity and text_key of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "doc_id long, band long, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, log_perplexity double"
+    schema = "doc_id long, band long, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, log_perplexity double, text_key long"
     return docs.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(T.trimmed(_scored(shared)), schema)
 
 
-def bands(scored: DataFrame, n_languages: int, below: float = BELOW, above: float = ABOVE) -> np.ndarray:
+def bands(scored: DataFrame, n_languages: int, below: float = BELOW, above: float = ABOVE, column: str = "log_perplexity", width: float = BIN, wide: float = 0.0) -> np.ndarray:
     """(lower, upper) log-perplexity of each language: its median less below, and plus above, robust standard deviations of what passes the base rules.
 
-    The medians come from a histogram, so reruns agree and the driver gets a bounded number of rows of each language.
+    The upper limit is wide above the median at least. The medians come from a histogram, so reruns agree and the driver
+    gets a bounded number of rows of each language.
     """
-    rows = scored.where("not base_failed").groupBy("band", F.floor(F.col("log_perplexity") / BIN).alias("bin")).count().collect()
+    rows = scored.where("not base_failed").groupBy("band", F.floor(F.col(column) / width).alias("bin")).count().collect()
     by = {}
     for r in sorted(rows, key=lambda r: (r["band"], r["bin"])):
         by.setdefault(r["band"], []).append((r["bin"], r["count"]))
@@ -322,33 +330,50 @@ def bands(scored: DataFrame, n_languages: int, below: float = BELOW, above: floa
     every = nearest(*(np.concatenate([v[i] for v in own.values()]) for i in (1, 2))) if own else 0
     for k, (centre, far, n) in own.items():
         spread = 1.4826 * max(nearest(far, n), 1, every if n.sum() < FEW else 0)
-        out[k] = (centre + 0.5 - below * spread) * BIN, (centre + 0.5 + above * spread) * BIN
+        out[k] = (centre + 0.5 - below * spread) * width, (centre + 0.5) * width + max(above * spread * width, wide)
     return out
 
 
-def _verdict(limits: np.ndarray) -> F.Column:
+def _within(limits: np.ndarray, column: str) -> F.Column:
     lo, hi = (F.element_at(F.array(*[F.lit(float(x)) for x in side]), (F.col("band") + 1).cast("int")) for side in limits.T)
-    return ~F.col("base_failed") & F.col("log_perplexity").between(lo, hi)
+    return F.col(column).between(lo, hi)
+
+
+def _both(docs: DataFrame, model: Model) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Scores of docs with word_log_perplexity (0 without words), and the limits of both kinds of perplexity."""
+    plain = written(scores(docs, model), "scores")
+    words = wordmodel.word_scores(docs.select("text"), model.characters)
+    both = plain.join(words, "text_key", "left").withColumn("word_log_perplexity", F.coalesce("word_log_perplexity", F.lit(0.0)))
+    scored = written(both.select(*plain.columns, "word_log_perplexity"), "scores")
+    drop(plain)
+    n = len(model.known)
+    return scored, bands(scored, n), bands(scored, n, np.inf, WORDS_ABOVE, "word_log_perplexity", WORD_BIN, WIDE)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """One row per row of docs (doc_id, text, lang): the base statistics, base_failed, kept, band and log_perplexity.
+    """One row per row of docs (doc_id, text, lang): the base statistics, base_failed, kept, band and both log-perplexities.
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D; a null text has none. word_chars counts the code points in
     words, n_symbols those of SYMBOLS, n_dup_lines the lines (split at newlines, with a word) equal to an earlier one,
     n_repeat_words the words in 3-word windows that the text has twice or more. base_failed: fewer than 50 words, or
-    over half of them repeated. kept: not base_failed, and the perplexity lies within the band of the document's
-    language. Empty texts fail. Repeated rows give repeated rows. An empty table gives an empty result.
+    over half of them repeated. kept: not base_failed, and the perplexities per character and per word lie within the
+    bands of the document's language. Empty texts fail. Repeated rows give repeated rows. An empty table gives an empty result.
     """
-    model = fit(docs)
-    scored = written(scores(docs, model), "scores")
-    return scored.withColumn("kept", _verdict(bands(scored, len(model.known))))
+    scored, limits, words = _both(docs, fit(docs))
+    kept = ~F.col("base_failed") & _within(limits, "log_perplexity") & _within(words, "word_log_perplexity")
+    return scored.drop("text_key").withColumn("kept", kept)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that quality_rules keeps, all columns unchanged, whatever the others are called. No text is shuffled: the last pass scores again."""
+    """The rows of docs that quality_rules keeps, all columns unchanged, whatever the others are called.
+
+    The last pass scores characters again, and looks up the texts that the word model rejects, so no text is shuffled
+    while these are few enough for a broadcast.
+    """
     model = fit(docs)
-    limits = bands(scores(docs, model), len(model.known))
+    scored, limits, words = _both(docs, model)
+    odd = small(written(scored.where(~F.col("base_failed") & ~_within(words, "word_log_perplexity")).select("band", "text_key").distinct(), "odd"))
+    drop(scored)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     langs, texts = (docs.columns.index(c) for c in ("lang", "text"))
     plain = [f"c{i}" for i in range(len(docs.columns))]
@@ -357,12 +382,16 @@ def keep_good(docs: DataFrame) -> DataFrame:
         score, index = scorer(shared.value), _indexer(shared.value.known)
         for b in batches:
             lang = index(b.column(langs))
-            kept = []
+            kept, keys = [], []
             for lo, hi, data, offs in T.slices(b, plain[texts]):
+                s = statistics(data, offs)
                 x, band = score(lang[lo:hi], data, offs), limits[lang[lo:hi]]
-                kept.append(~base_failed(statistics(data, offs)) & (x >= band[:, 0]) & (x <= band[:, 1]))
+                kept.append(~base_failed(s) & (x >= band[:, 0]) & (x <= band[:, 1]))
+                keys.append(s["text_key"])
             if kept:
-                yield b.filter(pa.array(np.concatenate(kept)))
+                own = [pa.array(lang), pa.array(np.concatenate(keys))]
+                yield pa.RecordBatch.from_arrays([*b.columns, *own], names=[*plain, "band", "text_key"]).filter(pa.array(np.concatenate(kept)))
 
     named = docs.toDF(*plain)  # a name with a dot in it can't be handed to mapInArrow
-    return named.mapInArrow(T.trimmed(f), named.schema).toDF(*docs.columns)
+    good = named.mapInArrow(T.trimmed(f), StructType([*named.schema, StructField("band", LongType()), StructField("text_key", LongType())]))
+    return good.join(odd, ["band", "text_key"], "left_anti").select(*plain).toDF(*docs.columns)
