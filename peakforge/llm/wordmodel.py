@@ -7,6 +7,7 @@ come first, how many words go before them) is summed over all blocks by Spark an
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,8 +20,8 @@ from peakforge.llm.store import collect, drop, written
 
 #: Pairs that a task counts before it sends them.
 CHUNK = 1 << 20
-#: Characters of the corpus for each block of the grid.
-BLOCK = 1 << 25
+#: Characters of the corpus for each block of the grid in each part.
+BLOCK = 1 << 24
 #: Parts in which pairs are sent, one after another: each holds only so much of the shuffle folder.
 PARTS = 4
 #: Logarithms are summed in whole steps of 2**-24, so that sums don't depend on their order.
@@ -41,7 +42,11 @@ def _codes(h: np.ndarray) -> np.ndarray:
 
 
 def _rows(pair: np.ndarray, doc: np.ndarray, names: np.ndarray, side: int, whose: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (block, pairs, spread, docs, times, names): each pair once, in so many texts, in each so many times."""
+    """Rows (block, pairs, spread, docs, times, names, chunk): each pair once, in so many texts, in each so many times.
+
+    chunk says which rows have texts in common; sums are right whatever it is.
+    """
+    chunk = int.from_bytes(os.urandom(7), "big")
     order = np.argsort(pair, kind="stable")
     pair, doc = pair[order], doc[order]
     new = np.ones(len(pair), bool)
@@ -59,10 +64,11 @@ def _rows(pair: np.ndarray, doc: np.ndarray, names: np.ndarray, side: int, whose
         first = np.append(np.flatnonzero(np.diff(pair[lo:hi], prepend=pair[lo] + _U(1))), hi - lo)
         known, place = np.unique(doc[lo:hi], return_inverse=True) if whose else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         cells = [pair[lo:hi][first[:-1]], np.diff(first).astype(np.uint32), place.astype(np.uint16 if len(known) <= 1 << 16 else np.uint32), times[lo:hi].astype(np.uint32), names[known]]
-        yield pa.RecordBatch.from_arrays([pa.array([block[lo]]), pa.array([0], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], names=["block", "kind", "a", "b", "c", "d", "e"])
+        yield pa.RecordBatch.from_arrays([pa.array([block[lo]]), pa.array([0], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cells), pa.array([chunk])], names=_NAMES)
 
 
-_SENT = "block int, kind int, a binary, b binary, c binary, d binary, e binary"
+_SENT = "block int, kind int, a binary, b binary, c binary, d binary, e binary, chunk long"
+_NAMES = ["block", "kind", "a", "b", "c", "d", "e", "chunk"]
 
 
 def _pairs(side: int, part: int, parts: int, whose: bool) -> Callable:
@@ -82,7 +88,7 @@ def _pairs(side: int, part: int, parts: int, whose: bool) -> Callable:
                 before[1:] = word[:-1]
                 before[bounds[:-1][np.diff(bounds) > 0]] = 0
                 doc = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds)) + np.int32(texts)
-                mine = np.flatnonzero(before % _U(side) % _U(parts) == part)
+                mine = np.flatnonzero(before // _U(side) % _U(parts) == part)
                 names = text_keys(h, bounds) if whose else np.zeros(0, np.int64)
                 held.append(((before << _U(32) | word)[mine], doc[mine], names))
                 size, texts = size + len(mine), texts + len(bounds) - 1
@@ -156,16 +162,17 @@ def _packed(words: DataFrame, side: int, part: int, parts: int) -> DataFrame:
         get = {c: table.column(c).to_numpy() for c in ("word", *_COLUMNS)}
         g = int(get["word"][0] % side)
         out = []
-        ahead = np.flatnonzero(get["total"] > 0)
-        if len(ahead) and g % parts == part:
+        ahead = np.flatnonzero((get["total"] > 0) & (get["word"] // side % parts == part))
+        if len(ahead):
             cells = [get[c][ahead].astype(t).tobytes() for c, t in (("word", np.uint32), ("total", np.int64), ("n1", np.uint32), ("n2", np.uint32), ("kinds", np.uint32))]
             out += [[g * side + k, 1, *cells] for k in range(side)]
         after = np.flatnonzero(get["left"] > 0)
         if len(after):
             cells = [get["word"][after].astype(np.uint32).tobytes(), get["left"][after].astype(np.uint32).tobytes(), b"", b"", b""]
-            out += [[k * side + g, 2, *cells] for k in range(part, side, parts)]
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
-        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["block", "kind", "a", "b", "c", "d", "e"])
+            out += [[k * side + g, 2, *cells] for k in range(side)]
+        out = [[*r, 0] for r in out]
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.int64()]
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=_NAMES)
 
     return words.groupBy(F.col("word") % side).applyInArrow(f, _SENT)
 
@@ -190,7 +197,7 @@ def _judged(top: np.ndarray, low: np.ndarray, all_left: int, spare: float) -> Ca
         kind = table.column("kind").to_numpy()
         asked, ahead, after = (table.filter(pa.array(kind == k)) for k in range(3))
         if not len(asked):
-            return pa.table([pa.array([], pa.int64())] * 3, names=["text_key", "s", "n"])
+            return pa.table([pa.array([], pa.int64()), *[pa.array([], pa.binary())] * 3], names=["chunk", "names", "s", "n"])
         pair, count, place, times = _counted(asked)
         first = np.searchsorted(_cells(ahead, "a", np.uint32)[0], (pair >> _U(32)).astype(np.uint32))
         own = [_cells(ahead, c, t)[0][first].astype(np.int64) for c, t in (("b", np.int64), ("c", np.uint32), ("d", np.uint32), ("e", np.uint32))]
@@ -205,13 +212,21 @@ def _judged(top: np.ndarray, low: np.ndarray, all_left: int, spare: float) -> Ca
         for d, known in zip(asked.column("c").to_pylist(), _cells(asked, "e", np.int64), strict=True):
             d = np.frombuffer(d, np.uint16 if len(known) <= 1 << 16 else np.uint32)
             hi = lo + len(d)
-            out.append((known, *(np.bincount(d, x[lo:hi], len(known)).astype(np.int64) for x in (s, times))))
+            sums = (np.bincount(d, x[lo:hi], len(known)).astype(t) for x, t in ((s, np.int64), (times, np.uint32)))
+            out.append([x.tobytes() for x in (known, *sums)])
             lo = hi
-        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["text_key", "s", "n"])
+        return pa.table([asked.column("chunk"), *(pa.array(x, pa.binary()) for x in zip(*out, strict=True))], names=["chunk", "names", "s", "n"])
 
     return f
 
 
+def _summed(table: pa.Table) -> pa.Table:
+    """The sums of the texts of a chunk over its blocks."""
+    names, s, n = (np.concatenate(_cells(table, c, t)) for c, t in (("names", np.int64), ("s", np.int64), ("n", np.uint32)))
+    known, place = np.unique(names, return_inverse=True)
+    return pa.table([pa.array(known), *(pa.array(np.bincount(place, x, len(known)).astype(np.int64)) for x in (s, n))], names=["text_key", "s", "n"])
+
+
 def word_scores(docs: DataFrame, characters: int) -> DataFrame:
     """(text_key, word_log_perplexity) of every text of docs that has a word; characters: about so many are in all texts.
 
@@ -219,8 +234,8 @@ def word_scores(docs: DataFrame, characters: int) -> DataFrame:
     for all languages, as texts in two of them are as good as others. A text does not vouch for itself: each of its
     pairs is scored by the counts without those that the text adds to that pair (of equal texts, one counts).
     """
-    parts = PARTS if characters > BLOCK else 1
-    side = parts * int(np.ceil((characters / BLOCK) ** 0.5 / parts)) or 1
+    parts = max(1, min(PARTS, -(-characters // BLOCK)))
+    side = max(1, int(np.ceil((characters / BLOCK / parts) ** 0.5)))
     words = _words(docs, side, parts)
     every = words.agg(*[F.sum(c).alias(c) for c in _COLUMNS[1:5]], F.sum("left").alias("left"), F.count_if(F.col("left") > 0).alias("kinds"), *[F.count_if(F.col("left") == i).alias(f"l{i}") for i in (1, 2, 3, 4)]).first()
     if not every["kinds"]:
@@ -231,7 +246,8 @@ def word_scores(docs: DataFrame, characters: int) -> DataFrame:
     found = []
     for k in range(parts):
         rows = _sent(docs, side, k, parts, True).unionByName(_packed(words, side, k, parts))
-        part = rows.groupBy("block").applyInArrow(_judged(top, low, every["left"], spare), "text_key long, s long, n long")
+        part = rows.groupBy("block").applyInArrow(_judged(top, low, every["left"], spare), "chunk long, names binary, s binary, n binary")
+        part = part.groupBy("chunk").applyInArrow(_summed, "text_key long, s long, n long")
         found.append(written(part.groupBy("text_key").agg(F.sum("s").alias("s"), F.sum("n").alias("n")), "word_sums", hashes=True))
         del rows, part
         collect(docs.sparkSession)

@@ -61,7 +61,7 @@ def test_word_perplexity_by_plain_python(spark):
     want = log_perplexities(texts)
     rows = [(t,) for t in texts] + [(None,)]
     docs = spark.createDataFrame(rows, "text string").repartition(5)
-    for side in (1, 4):  # one block, and a grid of 16 sent in four parts
+    for side in (1, 4):  # one block, and a grid of 4 sent in four parts
         got = sorted(r.word_log_perplexity for r in wordmodel.word_scores(docs, side * side * wordmodel.BLOCK).collect())
         each = sorted({t: w for t, w in zip([" ".join(t.split()) for t in texts], want, strict=True) if w is not None}.values())
         assert got == pytest.approx(each, abs=1e-6)
