@@ -12,7 +12,9 @@ from peakforge.llm.store import drop, free_name, small, written
 #: Lines match when 100 * intersection >= PERCENT * union of their word sets.
 PERCENT = 80
 #: Rarity is counted for so many classes of words, by hash: a bounded table, whatever the vocabulary.
-CLASSES = 1 << 16
+CLASSES = 1 << 18
+#: Lines in a bucket of so many may have many links: their pairs are looked at with a longer sketch, and made once.
+CROWD = 8
 #: Lines of more words have a sketch of 128 bits instead of 64.
 LONG = 64
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -53,17 +55,17 @@ def _place() -> Column:
 
 
 def rarity(lines: DataFrame) -> Column:
-    """For each of CLASSES classes of words (by hash) a number, greater for those that more lines hold (four steps an octave); a constant in the plan."""
+    """For each of CLASSES classes of words (by hash) a number above 32 bits, greater for those that more lines hold (four steps an octave); a constant in the plan."""
     rows = lines.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(CLASSES - 1)).alias("k")).count()
     ranks = [0] * CLASSES
     for r in rows.select("k", F.floor(4 * F.log2("count")).cast("int").alias("r")).toLocalIterator():
-        ranks[r["k"]] = r["r"]
+        ranks[r["k"]] = r["r"] << 32
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<long>")
 
 
 def _ordered(words: Column, ranks: Column) -> Column:
     """Hashes of words as longs in one order for all lines: those of rare classes first."""
-    return F.sort_array(F.transform(words, lambda w: _shift(F.coalesce(F.get(ranks, w.bitwiseAND(F.lit(CLASSES - 1))), _long(0)), F.lit(32)).bitwiseOR(w.cast("long").bitwiseAND(_long((1 << 32) - 1)))))
+    return F.sort_array(F.transform(words, lambda w: F.get(ranks, w.bitwiseAND(F.lit(CLASSES - 1))).bitwiseOR(w.cast("long").bitwiseAND(_long((1 << 32) - 1)))))
 
 
 def _sketch(words: Column, bit: Callable[[Column], Column]) -> Column:
@@ -78,6 +80,11 @@ def _halves() -> tuple[Column, Column]:
     return low, F.when(long, _sketch(F.col("words"), lambda w: upper(w).bitwiseXOR(F.lit(1)).cast("long"))).otherwise(_long(0))
 
 
+def _eighth(words: Column, k: int) -> Column:
+    """An eighth of a sketch of 512 bits, of hashes of words."""
+    return _sketch(F.filter(words, lambda w: F.shiftrightunsigned(w, 6).bitwiseAND(F.lit(7)) == k), lambda _: _long(1))
+
+
 def _apart(x: str, y: str) -> Column:
     """At least so many words are in one of two lines alone; their columns n, b, c end in x and y."""
     b, c = (F.col(k + x).bitwiseXOR(F.col(k + y)) for k in "bc")
@@ -111,8 +118,8 @@ def _slack(percent: int, own: str) -> Column:
     return (100 + percent) * (F.col("nu") + F.col("nv") - 2 * F.col("common")) - (100 - percent) * F.col(own)
 
 
-def _groups(nodes: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """(u, u2, v, v2, slack): lines u that are similar to a hub v, and how far, by the hashes of their words.
+def _groups(nodes: DataFrame, lines: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(u, u2, v, v2, slack): lines u that are similar to a hub v, and how far, by the hashes of their words; and (h, h2, q) of all lines that have or may have a hub or many links, with their sketch of 512 bits.
 
     Lines that share two hashes at an end of the order of their rarer words' hashes are a bucket; its hub is the line
     with the most copies, then with the largest buckets: of a group of near copies, one with few words of its own. A line that is similar
@@ -140,14 +147,16 @@ def _groups(nodes: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
         chosen, spent = written(later, "chosen", hashes=True), chosen
         drop(spent)
     chosen = chosen.select("u", "v")
-    named = written(chosen.select(F.col("u").alias("h")).union(chosen.select("v")).distinct(), "named")
+    crowded = member_keys.where(F.col("m") >= CROWD).select("h")
+    named = written(chosen.select(F.col("u").alias("h")).union(chosen.select("v")).union(crowded).distinct(), "named")
     sets = lines.select(F.col("h1").alias("h"), "h2", F.col("words").alias("s")).join(small(named), "h", "left_semi").dropDuplicates(["h", "h2"])
     sets = written(sets, "sets", hashes=True)
     found = _measured(chosen, sets).where(_similar(percent))
     groups = written(found.select("u", "u2", "v", "v2", _slack(percent, "nu").alias("slack"), "nv"), "groups")
+    crowd = written(sets.select("h", "h2", F.array(*[_eighth(F.col("s"), k) for k in range(8)]).alias("q")), "crowd", hashes=True)
     for x in (sets, chosen, named, member_keys):
         drop(x)
-    return groups
+    return groups, crowd
 
 
 def _members(groups: DataFrame, percent: int) -> DataFrame:
@@ -172,36 +181,44 @@ def _within(nodes: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(met, ["hub", "slack"]).select("h", "h2", "near", links.alias("links"))
 
 
-def _candidates(nodes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _candidates(nodes: DataFrame, members: DataFrame, crowd: DataFrame, percent: int) -> DataFrame:
     """(u, v), u < v: pairs that may be similar and that _within does not count, by prefix, positional and length filters and the sketches.
 
     Sets of n words that are similar share one of their first n - ceil(t n) + 1 words in a common order, rarest first
     (prefix filter); the shorter has at least t times the words of the longer (length filter), and from the first word
     that they share enough must remain in both (positional filter). Pairs whose sketches differ in more bits than
-    similar sets can differ in words go as well.
+    similar sets can differ in words go as well. Two lines of the crowd are compared by their longer sketches, and are
+    met at the first word that they share only, so that a large group makes few rows beyond its links.
     """
     d = nodes.where("n > 0").select("h", "h2", "n", "b", "c", "p")
-    members = small(members)
-    size = F.col("n") * 2 + F.when(F.col("hub").isNull(), 0).otherwise(1)  # narrow rows: this is the largest shuffle
-    first = d.join(members, ["h", "h2"], "left").select("h", "b", "c", size.alias("m"), F.posexplode("p").alias("i", "s"))  # by a hash of the word: more candidates at worst
-    each = first.select("s", "h", "b", "c", F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("m").cast("long")).alias("x"))
-    single = lambda k: F.col("x" + k).bitwiseAND(_long(1)) == 0
-    across = _met(each, percent, single("x") | single("y"))
-    inner = d.join(members, ["h", "h2"]).select("h", "b", "c", "hub", "slack", (F.col("n") * 2).alias("m"), F.posexplode("p").alias("i", "s"))
-    inner = inner.select("s", "h", "b", "c", F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("m").cast("long")).alias("x"), "hub", "slack")
-    within = _met(inner, percent, (F.col("hubx") != F.col("huby")) | (F.col("slackx") + F.col("slacky") > 0))
+    ids, place = small(written(crowd.select("h", "h2"), "ids", hashes=True)), F.shiftleft(F.col("i").cast("long"), 32)
+    size = F.col("n") * 2 + F.when(F.col("in_crowd"), 1).otherwise(0)  # narrow rows: this is the largest shuffle
+    known = d.join(ids.withColumn("in_crowd", F.lit(True)), ["h", "h2"], "left")
+    first = known.select("h", "b", "c", size.alias("m"), F.posexplode("p").alias("i", "s"))  # by a hash of the word: more candidates at worst
+    alone = lambda k: F.col("x" + k).bitwiseAND(_long(1)) == 0
+    b, c = (F.col(k + "x").bitwiseXOR(F.col(k + "y")) for k in "bc")
+    apart = F.when(F.least(*_size().values()) > LONG, F.bit_count(b) + F.bit_count(c)).otherwise(F.bit_count(b.bitwiseXOR(c)))
+    across = _met(first.select("s", "h", "b", "c", place.bitwiseOR(F.col("m").cast("long")).alias("x")), percent, apart, alone("x") | alone("y"))
+
+    inner = d.join(ids, ["h", "h2"]).join(crowd, ["h", "h2"]).join(small(members), ["h", "h2"], "left").select("h", "n", "hub", "slack", "p", *[F.col("q")[k].alias(f"q{k}") for k in range(8)], F.posexplode("p").alias("i", "s"))
+    inner = inner.select("s", "h", place.bitwiseOR(F.col("n").cast("long") * 2).alias("x"), "hub", "slack", *[f"q{k}" for k in range(8)], F.expr("slice(p, 1, i)").alias("ahead"))
+    apart = sum((F.bit_count(F.col(f"q{k}x").bitwiseXOR(F.col(f"q{k}y"))) for k in range(1, 8)), F.bit_count(F.col("q0x").bitwiseXOR(F.col("q0y"))))
+    counted = F.coalesce((F.col("hubx") == F.col("huby")) & (F.col("slackx") + F.col("slacky") <= 0), F.lit(False))
+    within = _met(inner, percent, apart, ~counted & ~F.arrays_overlap("aheadx", "aheady"))
     return across.unionByName(within).distinct()
 
 
-def _met(rows: DataFrame, percent: int, also: Column) -> DataFrame:
-    """(u, v): rows (s, h, b, c, x, ...) that share s and pass the filters; x holds the place of s above 32 bits, and twice the number of words."""
+def _size() -> dict[str, Column]:
+    return {k: F.shiftright(F.col("x" + k), 1).bitwiseAND(_long((1 << 31) - 1)) for k in "xy"}
+
+
+def _met(rows: DataFrame, percent: int, apart: Column, also: Column) -> DataFrame:
+    """(u, v): rows (s, h, x, ...) that share s and pass the filters; x holds the place of s above 32 bits, and twice the number of words. apart: at least so many words are in one of two lines alone."""
     x, y = (rows.select("s", *[F.col(c).alias(c + k) for c in rows.columns[1:]]) for k in "xy")
-    n = {k: F.shiftright(F.col("x" + k), 1).bitwiseAND(_long((1 << 31) - 1)) for k in "xy"}
+    n = _size()
     left = {k: n[k] - F.shiftright(F.col("x" + k), 32) for k in "xy"}
     total = n["x"] + n["y"]
     fits = (100 * F.least(*n.values()) >= percent * F.greatest(*n.values())) & ((100 + percent) * F.least(*left.values()) >= percent * total)
-    b, c = (F.col(k + "x").bitwiseXOR(F.col(k + "y")) for k in "bc")
-    apart = F.when(F.least(*n.values()) > LONG, F.bit_count(b) + F.bit_count(c)).otherwise(F.bit_count(b.bitwiseXOR(c)))
     near = (100 + percent) * apart <= (100 - percent) * total
     return x.join(y, "s").where((F.col("hx") < F.col("hy")) & fits & near & also).select(F.col("hx").alias("u"), F.col("hy").alias("v"))
 
@@ -222,12 +239,12 @@ def _judged(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     nodes = some.select("h1", "h2", _place().alias("place"), parts.alias("x")).groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("copies"), F.first("x").alias("x"))
     nodes = written(nodes.select(F.col("h1").alias("h"), "h2", "first", (F.col("first") != F.col("last")).alias("again"), "copies", "x.*"), "nodes", hashes=True)
 
-    groups = _groups(nodes, lines, percent)
+    groups, crowd = _groups(nodes, lines, percent)
     wide, lines = lines, written(lines.select("doc_id", "r1", "r2", "line_no", "h1", "h2"), "lines", hashes=True)
     drop(wide)  # the hashes of words, the larger part of it, have done
     while True:
         members = written(_members(groups, percent), "members")
-        pairs = written(_candidates(nodes, members, percent), "pairs")
+        pairs = written(_candidates(nodes, members, crowd, percent), "pairs")
         ends = [groups.select("u"), groups.select("v"), pairs.select("u"), pairs.select("v")]
         named = ends[0].union(ends[1]).union(ends[2]).union(ends[3]).toDF("h").distinct()
         places = written(nodes.select("h", "h2", "first").join(small(written(named, "named")), "h", "left_semi"), "places")
@@ -240,7 +257,7 @@ def _judged(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         groups = written(groups.join(wrong, "u", "left_anti"), "groups")  # two words with one hash: rare, and then these lines are no members
     links = _measured(pairs, sets).where(_similar(percent))
     links = written(links.select("u", "u2", "v", "v2"), "links")
-    for x in (pairs, sets, groups):
+    for x in (pairs, sets, groups, crowd):
         drop(x)
 
     both = links.unionByName(links.select(*[F.col(a).alias(b) for a, b in (("u", "v"), ("u2", "v2"), ("v", "u"), ("v2", "u2"))]))

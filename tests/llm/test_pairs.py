@@ -58,6 +58,28 @@ def test_lines_of_near_copies(spark):
         assert (d, t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)) in kept
 
 
+def test_pairs_of_a_large_group_are_made_once(spark, monkeypatch):
+    """The candidate joins of a group of near copies make at most twice as many rows as there are similar pairs."""
+    rng, made, met = random.Random(5), [], lines._met
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for d in range(150):
+        w = list(base)
+        for k in rng.sample(range(60), rng.randrange(2, 7)):
+            w[k] = f"z{rng.random()}"
+        texts.append((d, " ".join(w)))
+
+    def counted(*args):
+        rows = met(*args)
+        made.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(lines, "_met", counted)
+    got = sorted(((*r[:5], list(r.removed)) for r in lines.line_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()), key=str)
+    assert got == line_brute(texts)
+    assert 0 < sum(made) <= sum(r[3] for r in got)
+
+
 def near_brute(texts):
     sets = []
     for _, t in texts:
