@@ -7,7 +7,7 @@ come first, how many words go before them) is summed over all blocks by Spark an
 
 from __future__ import annotations
 
-import os
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,12 +41,40 @@ def _codes(h: np.ndarray) -> np.ndarray:
     return np.maximum(h >> _U(32), _U(1))
 
 
+def _halves(pair: np.ndarray) -> bytes:
+    """Pairs in order, as bytes: how many first words, how many pairs each has, the first words, and the second words of all pairs; half of eight bytes a pair."""
+    first = pair >> _U(32)
+    at = np.flatnonzero(np.diff(first, prepend=first[:1] + _U(1)))
+    cells = [np.array([len(at)]), np.diff(np.append(at, len(pair))), first[at], pair & _U(0xFFFFFFFF)]
+    return np.concatenate(cells, dtype=np.uint32, casting="unsafe").tobytes()
+
+
+def _whole(data: bytes) -> np.ndarray:
+    """The pairs that _halves has packed."""
+    x = np.frombuffer(data, np.uint32)
+    n = int(x[0])
+    return np.repeat(x[1 + n : 1 + 2 * n].astype(np.uint64) << _U(32), x[1 : 1 + n]) | x[1 + 2 * n :]
+
+
+def _small(x: np.ndarray) -> bytes:
+    """Counts or places as bytes, one or two each if they fit; the first byte tells."""
+    most = x.max(initial=0)
+    kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32
+    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
+
+
+def _large(data: bytes) -> np.ndarray:
+    """What _small has packed."""
+    return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.uint32)
+
+
 def _rows(pair: np.ndarray, doc: np.ndarray, names: np.ndarray, side: int, whose: bool) -> Iterator[pa.RecordBatch]:
     """Rows (block, pairs, spread, docs, times, names, chunk): each pair once, in so many texts, in each so many times.
 
-    chunk says which rows have texts in common; sums are right whatever it is.
+    chunk says which rows have texts in common, the first of which brings their names. It comes from the names, so
+    that a task that runs again sends the same; chunks of equal texts become one, with twice the sums and counts.
     """
-    chunk = int.from_bytes(os.urandom(7), "big")
+    chunk = int.from_bytes(hashlib.blake2b(names.tobytes(), digest_size=7).digest(), "big")
     order = np.argsort(pair, kind="stable")
     pair, doc = pair[order], doc[order]
     new = np.ones(len(pair), bool)
@@ -62,9 +90,8 @@ def _rows(pair: np.ndarray, doc: np.ndarray, names: np.ndarray, side: int, whose
     cuts = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block))
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         first = np.append(np.flatnonzero(np.diff(pair[lo:hi], prepend=pair[lo] + _U(1))), hi - lo)
-        known, place = np.unique(doc[lo:hi], return_inverse=True) if whose else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        cells = [pair[lo:hi][first[:-1]], np.diff(first).astype(np.uint32), place.astype(np.uint16 if len(known) <= 1 << 16 else np.uint32), times[lo:hi].astype(np.uint32), names[known]]
-        yield pa.RecordBatch.from_arrays([pa.array([block[lo]]), pa.array([0], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cells), pa.array([chunk])], names=_NAMES)
+        cells = [_halves(pair[lo:hi][first[:-1]]), _small(np.diff(first)), _small(doc[lo:hi]) if whose else b"", _small(times[lo:hi]), names.tobytes() if lo == 0 else b""]
+        yield pa.RecordBatch.from_arrays([pa.array([block[lo]]), pa.array([0], pa.int32()), *(pa.array([c], pa.binary()) for c in cells), pa.array([chunk])], names=_NAMES)
 
 
 _SENT = "block int, kind int, a binary, b binary, c binary, d binary, e binary, chunk long"
@@ -111,7 +138,7 @@ def _cells(table: pa.Table, name: str, dtype: type) -> list[np.ndarray]:
 
 def _counted(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The pairs of a block in order, and how often each occurs; for each (pair, text) sent, the place of its pair and how often it has it."""
-    sent, spread, times = (np.concatenate(_cells(table, c, t)) for c, t in (("a", np.uint64), ("b", np.uint32), ("d", np.uint32)))
+    sent, spread, times = (np.concatenate([f(x) for x in table.column(c).to_pylist()]) for c, f in (("a", _whole), ("b", _large), ("d", _large)))
     pair, place = np.unique(sent, return_inverse=True)
     place = np.repeat(place.astype(np.int32), spread)
     return pair, np.bincount(place, times, len(pair)).astype(np.int64), place, times
@@ -197,7 +224,7 @@ def _judged(top: np.ndarray, low: np.ndarray, all_left: int, spare: float) -> Ca
         kind = table.column("kind").to_numpy()
         asked, ahead, after = (table.filter(pa.array(kind == k)) for k in range(3))
         if not len(asked):
-            return pa.table([pa.array([], pa.int64()), *[pa.array([], pa.binary())] * 3], names=["chunk", "names", "s", "n"])
+            return pa.table([pa.array([], pa.int64()), *[pa.array([], pa.binary())] * 4], names=["chunk", "names", "docs", "s", "n"])
         pair, count, place, times = _counted(asked)
         first = np.searchsorted(_cells(ahead, "a", np.uint32)[0], (pair >> _U(32)).astype(np.uint32))
         own = [_cells(ahead, c, t)[0][first].astype(np.int64) for c, t in (("b", np.int64), ("c", np.uint32), ("d", np.uint32), ("e", np.uint32))]
@@ -209,22 +236,24 @@ def _judged(top: np.ndarray, low: np.ndarray, all_left: int, spare: float) -> Ca
         often = times[more].astype(np.int64)
         s[more] = log(place[more], often) * often
         lo, out = 0, []
-        for d, known in zip(asked.column("c").to_pylist(), _cells(asked, "e", np.int64), strict=True):
-            d = np.frombuffer(d, np.uint16 if len(known) <= 1 << 16 else np.uint32)
+        for d in map(_large, asked.column("c").to_pylist()):
             hi = lo + len(d)
-            sums = (np.bincount(d, x[lo:hi], len(known)).astype(t) for x, t in ((s, np.int64), (times, np.uint32)))
-            out.append([x.tobytes() for x in (known, *sums)])
+            n = np.bincount(d, times[lo:hi]).astype(np.int64)
+            at = np.flatnonzero(n)
+            out.append([_small(at), np.bincount(d, s[lo:hi])[at].astype(np.int64).tobytes(), _small(n[at])])
             lo = hi
-        return pa.table([asked.column("chunk"), *(pa.array(x, pa.binary()) for x in zip(*out, strict=True))], names=["chunk", "names", "s", "n"])
+        return pa.table([asked.column("chunk"), asked.column("e"), *(pa.array(x, pa.binary()) for x in zip(*out, strict=True))], names=["chunk", "names", "docs", "s", "n"])
 
     return f
 
 
 def _summed(table: pa.Table) -> pa.Table:
     """The sums of the texts of a chunk over its blocks."""
-    names, s, n = (np.concatenate(_cells(table, c, t)) for c, t in (("names", np.int64), ("s", np.int64), ("n", np.uint32)))
-    known, place = np.unique(names, return_inverse=True)
-    return pa.table([pa.array(known), *(pa.array(np.bincount(place, x, len(known)).astype(np.int64)) for x in (s, n))], names=["text_key", "s", "n"])
+    names = next(x for x in _cells(table, "names", np.int64) if len(x))
+    docs, n = (np.concatenate([_large(x) for x in table.column(c).to_pylist()]) for c in ("docs", "n"))
+    s, n = (np.bincount(docs, x, len(names)).astype(np.int64) for x in (np.concatenate(_cells(table, "s", np.int64)), n))
+    at = np.flatnonzero(n)
+    return pa.table([pa.array(x[at]) for x in (names, s, n)], names=["text_key", "s", "n"])
 
 
 def word_scores(docs: DataFrame, characters: int) -> DataFrame:
@@ -246,7 +275,7 @@ def word_scores(docs: DataFrame, characters: int) -> DataFrame:
     found = []
     for k in range(parts):
         rows = _sent(docs, side, k, parts, True).unionByName(_packed(words, side, k, parts))
-        part = rows.groupBy("block").applyInArrow(_judged(top, low, every["left"], spare), "chunk long, names binary, s binary, n binary")
+        part = rows.groupBy("block").applyInArrow(_judged(top, low, every["left"], spare), "chunk long, names binary, docs binary, s binary, n binary")
         part = part.groupBy("chunk").applyInArrow(_summed, "text_key long, s long, n long")
         found.append(written(part.groupBy("text_key").agg(F.sum("s").alias("s"), F.sum("n").alias("n")), "word_sums", hashes=True))
         del rows, part

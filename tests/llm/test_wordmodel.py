@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,20 @@ def test_word_perplexity_by_plain_python(spark):
     assert wordmodel.word_scores(docs.where(F.length("text") < 1), 0).count() == 0
 
 
+def test_pairs_are_sent_in_few_bytes():
+    """So many bytes a pair, however many blocks there are, and what is sent holds every pair and text."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{min(int(rng.paretovariate(0.5)), 20000)}" for _ in range(120)) for _ in range(2000)] + ["", "alone"]
+    for side in (4, 24):
+        rows = [r for b in wordmodel._pairs(side, 0, 1, True)([pa.RecordBatch.from_pydict({"text": texts})]) for r in b.to_pylist()]
+        sent = sum(len(r[c]) for r in rows for c in "abcde")
+        pairs = sum(len(pairs_of(t)) for t in texts)
+        assert sent < 11 * pairs
+        assert sum(len(wordmodel._large(r["d"])) for r in rows) == pairs
+        assert len({int(p) for r in rows for p in wordmodel._whole(r["a"])}) == len(set().union(*map(pairs_of, texts)))
+        assert len({r["chunk"] for r in rows}) == 1 and sum(len(r["e"]) for r in rows) == 8 * len(texts)
+
+
 def test_words_in_any_order_are_rejected(spark):
     """A model of a few characters of context keeps them: they are spelled like the rest."""
     rng = random.Random(6)
