@@ -54,18 +54,23 @@ def _place() -> Column:
     return F.struct(F.coalesce("doc_id", _long(_LEAST)).alias("doc_id"), "line_no", "r1", "r2")
 
 
-def rarity(lines: DataFrame) -> Column:
-    """For each of CLASSES classes of words (by hash) a number above 32 bits, greater for those that more lines hold (four steps an octave); a constant in the plan."""
-    rows = lines.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(CLASSES - 1)).alias("k")).count()
-    ranks = [0] * CLASSES
-    for r in rows.select("k", F.floor(4 * F.log2("count")).cast("int").alias("r")).toLocalIterator():
-        ranks[r["k"]] = r["r"] << 32
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<long>")
+def rarity(lines: DataFrame) -> DataFrame:
+    """One row, ranks: for each of CLASSES classes of words (by hash) a number, greater for those that more lines hold (four steps an octave).
+
+    It is a table and not a constant, which Spark would print into every description of a plan, on the driver.
+    """
+    k = F.col("w").bitwiseAND(F.lit(CLASSES - 1)).cast("long")
+    held = lines.select(F.explode("words").alias("w")).groupBy(k.alias("k")).count()
+    every = held.select("k", F.floor(4 * F.log2("count")).cast("short").alias("r")).unionByName(lines.sparkSession.range(CLASSES).select(F.col("id").alias("k"), F.lit(0).cast("short").alias("r")))
+    ranks = every.groupBy("k").agg(F.max("r").alias("r")).agg(F.sort_array(F.collect_list(F.struct("k", "r"))).alias("x"))
+    return written(ranks.select(F.col("x.r").alias("ranks")), "ranks")
 
 
 def _ordered(words: Column, ranks: Column) -> Column:
     """Hashes of words as longs in one order for all lines: those of rare classes first."""
-    return F.sort_array(F.transform(words, lambda w: F.get(ranks, w.bitwiseAND(F.lit(CLASSES - 1))).bitwiseOR(w.cast("long").bitwiseAND(_long((1 << 32) - 1)))))
+    rank = lambda w: F.shiftleft(F.get(ranks, w.bitwiseAND(F.lit(CLASSES - 1))).cast("long"), 32)
+    own = lambda w: w.cast("long").bitwiseAND(_long((1 << 32) - 1))
+    return F.sort_array(F.transform(words, lambda w: F.coalesce(rank(w).bitwiseOR(own(w)), _long(0))))  # never null, and Spark sorts such longs as they are
 
 
 def _sketch(words: Column, bit: Callable[[Column], Column]) -> Column:
@@ -227,7 +232,9 @@ def _judged(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Every line (doc_id, r1, r2, line_no, h1, h2), and for lines that match others (h1, h2, best, links): the place of the earliest match, and how many different lines match."""
     lines = written(_lines(docs), "lines", hashes=True)
     n = F.size("words")
-    some = lines.select("*", n.alias("n"), _ordered(F.col("words"), rarity(lines)).alias("s")).select("*", F.slice("s", 1, (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9) + 1).cast("int")).alias("first"))
+    ranks = rarity(lines)
+    some = lines.withColumn("ranks", ranks.scalar())  # as a column of its own, as a subquery can't be written in a lambda; the optimizer puts it there
+    some = some.select(*lines.columns, n.alias("n"), _ordered(F.col("words"), F.col("ranks")).alias("s")).select("*", F.slice("s", 1, (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9) + 1).cast("int")).alias("first"))
     bits = _halves()
     prefix = F.transform("first", lambda w: F.hash(w))
     rare = F.sort_array(F.transform(F.slice("s", 1, F.floor((F.col("n") + 1) / 2).cast("int")), lambda w: F.hash(w)))

@@ -146,6 +146,14 @@ def test_control_strings_over_parts(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_plans_of_lines_are_short(spark):
+    """Spark keeps descriptions of plans on the driver: what is counted of all words is not written into them."""
+    docs = spark.createDataFrame([(i, f"a b c d e f g h i {i}\nsome other line {i}") for i in range(30)], "doc_id long, text string")
+    assert lines.line_dedup(docs).count() == 30
+    every = spark._jsparkSession.sharedState().statusStore().executionsList()
+    assert max(len(every.apply(i).physicalPlanDescription()) for i in range(every.size())) < 500_000
+
+
 def test_added_tokens_and_small_caches(monkeypatch):
     import pyarrow as pa
     from tokenizers import Tokenizer
