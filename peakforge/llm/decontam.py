@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakforge.llm import text as T
-from peakforge.llm.store import written
+from peakforge.llm.store import narrow_batches, written
 
 #: Words in a window, and the fewest of them that are no slots where the window counts without a neighbour; an item
 #: with fewer than LEAST words is found as it is only.
@@ -251,7 +251,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_key"), "text")
     found = rows.mapInArrow(T.trimmed(_probe(shared, lengths)), "doc_id long, row_key long, key long, pos long, templated boolean, slots array<long>")
     on = F.expr("d.key = b.key and d.templated = (b.grade > 0)")
-    hits = written(found.alias("d").join(index.alias("b"), on).select("doc_id", "row_key", "item_id", "b.pos", "at", "windows", (F.col("d.pos") - F.col("b.pos")).alias("shift"), "total", "grade", "templated", F.col("d.slots").alias("theirs"), F.col("b.slots").alias("ours")), "hits")
+    with narrow_batches(docs.sparkSession):
+        hits = written(found.alias("d").join(index.alias("b"), on).select("doc_id", "row_key", "item_id", "b.pos", "at", "windows", (F.col("d.pos") - F.col("b.pos")).alias("shift"), "total", "grade", "templated", F.col("d.slots").alias("theirs"), F.col("b.slots").alias("ours")), "hits")
     place = ["doc_id", "row_key", "item_id", "shift"]
     slots = hits.where("templated").select(*place, "grade", F.explode(F.arrays_zip("ours", "theirs")).alias("s")).where("s.ours <> 0")
     # the surer windows of a shift don't fall with the others

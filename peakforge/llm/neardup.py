@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from peakforge.llm import text as T
 from peakforge.llm.components import components
-from peakforge.llm.store import drop, free_name, small, written
+from peakforge.llm.store import drop, free_name, narrow_batches, small, written
 
 SHINGLE = 5
 #: 16 bands of 4 ranks: a pair at a Jaccard similarity of 0.85 shares no band with a probability of 7e-6.
@@ -170,7 +170,8 @@ def _placed(docs: DataFrame, percent: int) -> DataFrame:
     """One row per row of docs: doc_id, r1, r2 (128 bits of doc_id and text), n, root (its component), component (the smallest doc_id there); null without words."""
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), *_identity(), "text")
-    sketch = written(rows.mapInArrow(T.trimmed(_sketch), "doc_id long, r1 long, r2 long, n long, h1 long, h2 long, bands array<long>"), "sketch", hashes=True)
+    with narrow_batches(docs.sparkSession):
+        sketch = written(rows.mapInArrow(T.trimmed(_sketch), "doc_id long, r1 long, r2 long, n long, h1 long, h2 long, bands array<long>"), "sketch", hashes=True)
     classes = sketch.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.max("n").cast("int").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes", hashes=True)  # numbered once, when written
     member = classes.select("node", "n", F.explode("bands").alias("key"))

@@ -19,7 +19,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from peakforge.llm import text as T
 from peakforge.llm import wordmodel
-from peakforge.llm.store import drop, small, written
+from peakforge.llm.store import drop, narrow_batches, small, written
 
 ORDER, BITS = 4, 5
 SIZE = 1 << ORDER * BITS
@@ -341,7 +341,8 @@ def _within(limits: np.ndarray, column: str) -> F.Column:
 
 def _both(docs: DataFrame, model: Model) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """Scores of docs with word_log_perplexity (0 without words), and the limits of both kinds of perplexity."""
-    plain = written(scores(docs, model), "scores")
+    with narrow_batches(docs.sparkSession):
+        plain = written(scores(docs, model), "scores")
     words = wordmodel.word_scores(docs.select("text"), model.characters)
     both = plain.join(words, "text_key", "left").withColumn("word_log_perplexity", F.coalesce("word_log_perplexity", F.lit(0.0)))
     scored = written(both.select(*plain.columns, "word_log_perplexity"), "scores")

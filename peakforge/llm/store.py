@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/peakforge/{uuid.uuid4().hex}/{name}"
 
 
+#: Bytes of an Arrow batch of texts. JVM and worker each hold two or more at a time, so Spark's own limit costs hundreds of MB.
+ARROW_BYTES = 8 << 20
+_ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def narrow_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run meanwhile send batches of ARROW_BYTES to Python, unless the session has set a limit of its own."""
+    if spark.conf.get(_ARROW_LIMIT, None) is not None:
+        yield
+        return
+    spark.conf.set(_ARROW_LIMIT, ARROW_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_ARROW_LIMIT)
+
+
 def written(df: DataFrame, name: str, codec: str = "snappy", hashes: bool = False) -> DataFrame:
     """df, computed once and kept as Parquet in the shared folder: a lost executor costs no recomputation of what lies before.
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakforge.llm import text as T
-from peakforge.llm.store import new_path, written
+from peakforge.llm.store import narrow_batches, new_path, written
 
 BLOCK = 256
 GROUP = 2048  # blocks handled at once
@@ -328,7 +328,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None) ->
     folder = folder or new_path(docs.sparkSession, "tokens")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = written(ordered.mapInArrow(T.trimmed(_write(folder, tokenizer)), "part int, path string, n_docs long, n_ids long"), "manifest")
+    with narrow_batches(docs.sparkSession):
+        manifest = written(ordered.mapInArrow(T.trimmed(_write(folder, tokenizer)), "part int, path string, n_docs long, n_ids long"), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
     return manifest.withColumn("start", F.sum("n_ids").over(before) - F.col("n_ids"))
 

@@ -154,6 +154,32 @@ def test_plans_of_lines_are_short(spark):
     assert max(len(every.apply(i).physicalPlanDescription()) for i in range(every.size())) < 500_000
 
 
+def test_token_batches_are_narrow(spark, monkeypatch):
+    """A worker gets long texts in batches of some MB, not 10,000 rows at once; a limit that the session has set stays."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(folder, tokenizer):
+        def f(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([""]), *(pa.array([n], pa.int64()) for n in (b.num_rows, b.nbytes))], names=["part", "path", "n_docs", "n_ids"])
+
+        return f
+
+    monkeypatch.setattr(tokens, "_write", sizes)
+    docs = spark.range(3000).select(F.lit(1).alias("doc_id"), F.repeat(F.lit("abcdefg "), 1250).alias("text"))
+    rows = tokens.write_tokens(docs, TOKENIZER).collect()
+    assert sum(r.n_docs for r in rows) == 3000 and max(r.n_ids for r in rows) < 10 << 20
+    assert spark.conf.get(limit, None) is None
+    spark.conf.set(limit, 1 << 20)
+    try:
+        assert max(r.n_ids for r in tokens.write_tokens(docs, TOKENIZER).collect()) < 2 << 20
+        assert spark.conf.get(limit) == str(1 << 20)
+    finally:
+        spark.conf.unset(limit)
+
+
 def test_added_tokens_and_small_caches(monkeypatch):
     import pyarrow as pa
     from tokenizers import Tokenizer
